@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph",)
+MODULES = ("graph", "maintenance")
 
 
 def load():

@@ -11,6 +11,7 @@ from codelattice.operators import nodes as N
 from codelattice.operators.skew import first_per_key, last_per_key
 from codelattice.plans.registry import oracle_view, query
 from codelattice.plans.views import Tables
+from codelattice.session import cut_lineage
 
 CLASS = "CASE WHEN instr({0}, '.') > 1 THEN split_part({0}, '.', 1) ELSE {0} END"
 HASH = "substr(sha256({0}), 1, 16)"
@@ -310,14 +311,14 @@ oracle_view("ox_hops", f"""
 
 @query("khop_expand", "SELECT id, hop FROM ox_hops")
 def khop_expand(t):
-    return E.khop_nodes(all_edges(t), _far_seeds(t), 2)
+    return E.khop_nodes(cut_lineage(all_edges(t)), _far_seeds(t), 2)
 
 
 @query("khop_edges", """
     SELECT e.edge_id, e.source, e.target, e.call_count FROM ox_edges e
     WHERE source IN (SELECT id FROM ox_hops WHERE hop < 2) OR target IN (SELECT id FROM ox_hops WHERE hop < 2)""")
 def khop_edges(t):
-    edges = all_edges(t)
+    edges = cut_lineage(all_edges(t))
     return E.khop_edges(edges, E.khop_nodes(edges, _far_seeds(t), 2), 2).select("edge_id", "source", "target", "call_count")
 
 
