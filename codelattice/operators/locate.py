@@ -9,46 +9,35 @@ and however many locations one file has, no list of pairs per file is ever built
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import paths
 from codelattice.operators.skew import skew_join
 
-BLOCK = 16
+BITS = 4  # blocks of 16 ** level lines
 LEVELS = 8  # 16 ** 8 lines is beyond any int line number
 OPEN_END = 2**31
 
 
-def _tiles(start: Column, stop: Column) -> Column:
-    """Array of ``struct(level, block)`` that tiles the lines ``start <= line < stop``."""
+_SEQ = "IF({0} < {1}, sequence({0}, {1} - 1), array())"
 
-    def span(lo: Column, hi: Column, level: int) -> Column:
-        empty = F.array().cast("array<struct<level:int,block:bigint>>")
-        blocks = F.transform(
-            F.sequence(lo, hi - 1), lambda b: F.struct(F.lit(level).alias("level"), b.cast("bigint").alias("block"))
-        )
-        return F.when(lo < hi, blocks).otherwise(empty)
 
-    tiles = []
-    for level in range(LEVELS):
-        size = BLOCK**level
-        lo, hi = F.ceil(start / F.lit(size)).cast("bigint"), F.floor(stop / F.lit(size)).cast("bigint")
-        up_lo = F.ceil(start / F.lit(size * BLOCK)).cast("bigint") * BLOCK
-        up_hi = F.floor(stop / F.lit(size * BLOCK)).cast("bigint") * BLOCK
-        split = up_lo < up_hi
-        tiles += [
-            span(lo, F.when(split, F.least(hi, up_lo)).otherwise(hi), level),
-            F.when(split, span(F.greatest(lo, up_hi), hi, level)).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")),
-        ]
-    return F.concat(*tiles)
+def _tile_ranges(ranges: DataFrame) -> DataFrame:
+    """``ranges`` repeated per aligned block (``level, block``) that tiles ``start <= line < stop``.
 
-
-def _blocks_of(line: Column) -> Column:
-    return F.array(*[
-        F.struct(F.lit(level).alias("level"), F.floor(line / F.lit(BLOCK**level)).cast("bigint").alias("block"))
-        for level in range(LEVELS)
-    ])
+    At each level a range takes the blocks inside it that no larger block inside it covers.
+    """
+    bounds = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).selectExpr(
+        "*",
+        f"shiftright(start + shiftleft(1L, {BITS} * level) - 1, {BITS} * level) AS lo",
+        f"shiftright(stop, {BITS} * level) AS hi",
+        f"shiftleft(shiftright(start + shiftleft(1L, {BITS} * (level + 1)) - 1, {BITS} * (level + 1)), {BITS}) AS up_lo",
+        f"shiftleft(shiftright(stop, {BITS} * (level + 1)), {BITS}) AS up_hi",
+    )
+    edges = f"concat({_SEQ.format('lo', 'least(hi, up_lo)')}, {_SEQ.format('greatest(lo, up_hi)', 'hi')})"
+    blocks = F.expr(f"IF(up_lo < up_hi, {edges}, {_SEQ.format('lo', 'hi')})")
+    return bounds.withColumn("block", F.explode(blocks)).drop("lo", "hi", "up_lo", "up_hi")
 
 
 def _enclosing(locations: DataFrame, ranges: DataFrame, hot_files=None) -> DataFrame:
@@ -57,12 +46,14 @@ def _enclosing(locations: DataFrame, ranges: DataFrame, hot_files=None) -> DataF
     ``ranges`` has ``file_path, start, stop`` (half open), ``rank`` (smaller is better) and ``id``.
     """
     best = (
-        ranges.withColumn("tile", F.explode(_tiles(F.col("start"), F.col("stop"))))
-        .groupBy("file_path", "tile.level", "tile.block")
+        _tile_ranges(ranges)
+        .groupBy("file_path", "level", "block")
         .agg(F.min(F.struct("rank", "id")).alias("best"))
     )
     asked = locations.select("file_path", "line").where((F.col("file_path") != "") & (F.col("line") > 0)).distinct()
-    keys = asked.withColumn("tile", F.explode(_blocks_of(F.col("line")))).select("file_path", "line", "tile.level", "tile.block")
+    keys = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn(
+        "block", F.expr(f"shiftright(cast(line AS bigint), {BITS} * level)")
+    )
     hits = skew_join(keys, best, ["file_path", "level", "block"], hot=hot_files)
     return hits.groupBy("file_path", "line").agg(F.min("best").alias("best")).select(
         "file_path", "line", F.col("best.id").alias("symbol_id")

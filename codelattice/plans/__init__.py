@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph", "maintenance", "locating", "lookups")
+MODULES = ("graph", "maintenance", "locating", "lookups", "snapshots")
 
 
 def load():

@@ -31,9 +31,9 @@ def node_search(t):
     return _searched(t, "BRAND1")
 
 
-@query("node_search_wildcard", _search("_3.%lime"))
+@query("node_search_wildcard", _search("d_3.%(1"))
 def node_search_wildcard(t):
-    return _searched(t, "_3.%lime")
+    return _searched(t, "d_3.%(1")
 
 
 @query("ordered_list_topn", "SELECT edge_id, remarks, updated_at FROM fx_edge_annotations ORDER BY updated_at DESC, edge_id LIMIT 50")

@@ -134,7 +134,7 @@ def _view_sql(sha) -> dict[str, str]:
           c_custkey AS created_at
         FROM customer"""
     views["fx_snapshot_nodes"] = f"""
-        SELECT concat('sn', cast(o.o_custkey AS string)) AS snapshot_id, o.o_orderkey AS seq,
+        SELECT concat('sn', cast(cast(floor(o.o_orderkey / 24) AS bigint) AS string)) AS snapshot_id, o.o_orderkey AS seq,
           CASE WHEN o.o_orderkey % 6 = 0 THEN concat('sv', cast(o.o_orderkey AS string))
                WHEN o.o_orderkey % 6 = 3 THEN {sha("coalesce(s.file_path, 'src/gone.java')", 16)}
                WHEN o.o_orderkey % 6 = 4 THEN concat('legacy', cast(o.o_orderkey AS string))
@@ -149,7 +149,8 @@ def _view_sql(sha) -> dict[str, str]:
                ELSE coalesce(s.file_path, 'src/gone.java') END AS file_path,
           CASE WHEN o.o_orderkey % 6 IN (1, 2) THEN cast(1 + o.o_orderkey % 40 AS int) ELSE 0 END AS line,
           o.o_orderkey % 6 = 0 AS is_virtual,
-          CASE WHEN o.o_orderkey % 12 = 6 THEN concat('sv', cast(o.o_orderkey - 6 AS string)) ELSE '' END AS parent_id,
+          CASE WHEN o.o_orderkey % 24 IN (6, 12) THEN concat('sv', cast(o.o_orderkey - 6 AS string))
+               WHEN o.o_orderkey % 24 = 18 OR o.o_orderkey % 120 = 0 THEN 'svgone' ELSE '' END AS parent_id,
           CASE WHEN o.o_orderkey % 4 = 0 THEN o.o_orderpriority ELSE '' END AS description,
           CASE WHEN o.o_orderkey % 8 = 0 THEN 'seen' ELSE '' END AS ai_remarks
         FROM orders o LEFT JOIN fx_symbols s ON s.seq = o.o_orderkey % 2200"""
