@@ -6,7 +6,7 @@ A report is a table of lines with a sort key, so a snapshot of any size is forma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators.nodes import text_or_empty
@@ -155,6 +155,23 @@ def report_lines(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return out
 
 
+CHUNK = 100_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``nr``, the position of a row in its snapshot by ``seq``, counting in chunks of ``seq``.
+
+    No task orders more than one chunk, however large a snapshot is.
+    """
+    by_chunk = Window.partitionBy("snapshot_id", "_chunk").orderBy("seq")
+    over_chunks = Window.partitionBy("snapshot_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = rows.withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
+    before = chunked.groupBy("snapshot_id", "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(over_chunks), F.lit(0)))
+    placed = chunked.withColumn("_in", F.row_number().over(by_chunk)).join(before.drop("_n"), ["snapshot_id", "_chunk"])
+    return placed.withColumn("nr", (F.col("_in") + F.col("_before")).cast("bigint")).select(*rows.columns, "nr")
+
+
 def _planned_lines(tree: DataFrame, related: DataFrame) -> list[DataFrame]:
     """Lines of the planned nodes; steps below 10 come before a node's related edges, 99 after them."""
     flat, depth = F.col("flat"), F.col("depth")
@@ -176,16 +193,7 @@ def _planned_lines(tree: DataFrame, related: DataFrame) -> list[DataFrame]:
         ("note", say("Description", F.col("description")), told), ("gap", "", root & told),
         ("note", say("AI Remarks", F.col("ai_remarks")), remarked & ~root),
     ]
-    # The number in a flat list is the count of earlier nodes of the snapshot, from per-node ranks.
-    from pyspark.sql import Window
-
-    nr = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("seq"))
-    listed = tree.where("flat").withColumn("nr", nr).unionByName(tree.where(~flat).withColumn("nr", F.lit(0)))
-
-    def rows(df, entries, first_step):
-        made = _lines(df.withColumn("_order", F.col("order")).drop("order"), 2, entries)
-        return made
-
+    listed = _numbered(tree.where("flat")).unionByName(tree.where(~flat).withColumn("nr", F.lit(0).cast("bigint")))
     base = listed.withColumnRenamed("order", "walk")
     entries = [
         F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"),

@@ -11,6 +11,7 @@ from codelattice.operators import nodes as N
 from codelattice.operators import snapshot as S
 from codelattice.plans.graph import BASENAME, all_edges, all_nodes
 from codelattice.plans.registry import oracle_view, query
+from codelattice.session import cut_lineage
 
 BACKED = "NOT (type IN ('directory', 'file') OR (type IN ('class', 'interface') AND file_path <> '' AND line = 0))"
 
@@ -88,8 +89,8 @@ def snapshot_restore_nodes(t):
 
 
 @query("snapshot_restore_annotations", """
-    WITH said AS (SELECT n.id, arg_max(n.description, concat(n.snapshot_id, CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS description,
-        arg_max(n.ai_remarks, concat(n.snapshot_id, CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS ai_remarks
+    WITH said AS (SELECT n.id, arg_max(n.description, concat(n.snapshot_id, chr(1), CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS description,
+        arg_max(n.ai_remarks, concat(n.snapshot_id, chr(1), CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS ai_remarks
       FROM fx_snapshot_nodes n LEFT JOIN ox_sn_known k ON k.snapshot_id = n.snapshot_id AND k.id = n.id
       WHERE (n.description <> '' OR n.ai_remarks <> '') AND (n.is_virtual OR k.id IS NOT NULL) GROUP BY n.id)
     SELECT id AS node_id, description, ai_remarks FROM said
@@ -103,7 +104,7 @@ def snapshot_restore_annotations(t):
       SELECT caller_id, callee_id FROM fx_method_calls UNION ALL SELECT caller_id, callee_id FROM ox_sn_missing) c GROUP BY 2
     UNION ALL SELECT 'remark', coalesce(a.edge_id, r.edge_id), coalesce(a.call_count, 0), coalesce(r.remarks, a.remarks)
     FROM fx_edge_annotations a FULL JOIN (SELECT concat(source_id, '::', target_id) AS edge_id,
-        arg_max(remarks, concat(snapshot_id, '|', lpad(cast(seq AS string), 12, '0'))) AS remarks
+        arg_max(remarks, concat(snapshot_id, chr(1), lpad(cast(seq AS string), 12, '0'))) AS remarks
       FROM ox_sn_restorable WHERE remarks <> '' GROUP BY 1) r ON r.edge_id = a.edge_id""")
 def snapshot_restore_edges(t):
     out = _restored(t)
@@ -166,7 +167,7 @@ def snapshot_reconcile_nodes(t):
       LEFT JOIN fx_edge_annotations a ON a.edge_id = e.edge_id WHERE p.rn = 1""")
 def snapshot_reconcile_edges(t):
     fresh = E.annotate_edges(all_edges(t), t.fx_edge_annotations)
-    return S.reconcile_edges(t.fx_snapshot_edges, _reconciled(t), fresh)
+    return S.reconcile_edges(t.fx_snapshot_edges, cut_lineage(_reconciled(t)), fresh)
 
 
 @query("snapshot_codec", """
