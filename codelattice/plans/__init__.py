@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph", "maintenance", "locating", "lookups", "snapshots", "trees", "texts")
+MODULES = ("graph", "maintenance", "locating", "lookups", "snapshots", "trees", "texts", "streams")
 
 
 def load():
