@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Rule sets by name, and the languages each one serves.
+FAMILIES = {"java": ("java",), "python": ("python",), "go": ("go",), "typescript": ("typescript", "javascript")}
+
 # Lines that open a class-like block; group 1 is its name.
 CLASS_LINE = {
     "java": r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)",
@@ -15,7 +18,6 @@ CLASS_LINE = {
     "go": r"^type\s+(\w+)\s+(?:struct|interface)\b",
     "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+(\w+)",
 }
-CLASS_LINE["javascript"] = CLASS_LINE["typescript"]
 
 # Lines that open a unit; group 1 is its name, group 2 its parameters.
 UNIT_LINE = {
@@ -24,7 +26,6 @@ UNIT_LINE = {
     "go": r"^func\s+(?:\([^()]*\)\s*)?(\w+)\s*\(([^{]*)\)[^{()]*\{\s*$",
     "typescript": r"^\s*(?:export\s+)?(?:(?:public|protected|private|static|async|function)\s+)*(\w+)\s*\((.*)\)[^()]*\{\s*$",
 }
-UNIT_LINE["javascript"] = UNIT_LINE["typescript"]
 GO_RECEIVER = r"^func\s+\(\s*\w*\s*\*?(\w+)[^)]*\)"
 
 # Names a unit line may show that are statements.
@@ -72,14 +73,12 @@ DECISIONS = {
         Decision("error", r"(\bthrow\s[^\n]*;)", fixed=7, hint="add error handling"),
     ),
 }
-DECISIONS["javascript"] = DECISIONS["typescript"]
 VALIDATION_WORDS = {
     "java": ("null", "isEmpty", "isBlank", "length", "valid", "check", "verify", "assert"),
     "go": ("nil", "err", "empty", "valid", "check", "null", "isEmpty", "isBlank", "length", "verify", "assert"),
     "python": ("none", "empty", "len(", "validate", "check", "assert", "isinstance", "not "),
     "typescript": ("null", "undefined", "length", "empty", "validate", "check", "instanceof"),
 }
-VALIDATION_WORDS["javascript"] = VALIDATION_WORDS["typescript"]
 VALIDATION_HINT = "add validation check"
 GO_ERROR_PRIORITY, GO_ERROR_HINT = 15, "add error check"
 
@@ -91,7 +90,6 @@ PLACEHOLDERS = {
     "python": {"condition": "True", "validation": "True", "return": "True", "error": 'raise Exception("TODO")'},
     "typescript": {"condition": "true {}", "validation": "true {}", "return": "return null; {}", "error": 'throw new Error("TODO"); {}'},
 }
-PLACEHOLDERS["javascript"] = PLACEHOLDERS["typescript"]
 
 # Markers left in a text; groups are session, id and hint.
 MARKERS = (

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codelattice.functions.rules import FAMILIES
+
 
 # White space as Unicode defines it.
 SPACE = "[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -21,10 +25,9 @@ def lines(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("\n")) | (text == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def count_of(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of ``needle``."""
-    gap = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return (gap / F.lit(len(needle))).cast("int")
+def count_of(text: Column, *needles: str) -> Column:
+    """Non-overlapping occurrences of any of ``needles``."""
+    return F.regexp_count(text, F.lit("|".join(re.escape(n) for n in needles)))
 
 
 def normalise_whitespace(text: Column) -> Column:
@@ -53,7 +56,6 @@ def character_at(text: Column, offset: Column) -> Column:
 COMMENTS = {
     "java": r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/",
     "go": r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/",
-    "javascript": r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/",
     "typescript": r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/",
     "python": r"#[^\n]*",
 }
@@ -68,10 +70,10 @@ def body_hash(body: Column, language: str) -> Column:
 
 
 def by_language(language: Column, make) -> Column:
-    """``make(name)`` for the row's language; NULL for one that is not known."""
-    out = None
-    for name in COMMENTS:
-        out = F.when(language == name, make(name)) if out is None else out.when(language == name, make(name))
+    """``make(rule set)`` for the row's language; NULL for one that is not known."""
+    out = F
+    for name, served in FAMILIES.items():
+        out = out.when(language.isin(*served), make(name))
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths, text
-from codelattice.functions.rules import CALL, CLASS_LINE, DECLARATION, GO_RECEIVER, STATEMENTS, UNIT_LINE
+from codelattice.functions.rules import CALL, CLASS_LINE, DECLARATION, FAMILIES, GO_RECEIVER, STATEMENTS, UNIT_LINE
 from codelattice.operators.skew import first_per_key, skew_join
 
 
@@ -75,7 +75,7 @@ def _owner(h: Column, language: str) -> Column:
 
 def _units(df: DataFrame, language: str) -> DataFrame:
     """``df`` rows of one language with ``lines`` and the array ``units``, in text order."""
-    rows = hold(df.where(F.col("language") == language), lines=text.lines(F.col("text")))
+    rows = hold(df.where(F.col("language").isin(*FAMILIES[language])), lines=text.lines(F.col("text")))
     rows = hold(rows, headers=_headers(language))
     count = F.size("lines") + 1
 
@@ -96,7 +96,7 @@ def _body(u: str = "unit") -> Column:
 
 
 def _all_units(files: DataFrame) -> list[tuple[str, DataFrame]]:
-    return [(language, _units(files, language)) for language in UNIT_LINE]
+    return [(language, _units(files, language)) for language in FAMILIES]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -116,11 +116,11 @@ def segment_units(files: DataFrame) -> DataFrame:
     for language, cut in _all_units(files):
         rows = cut.select("file_path", "language", "lines", F.explode(F.filter("units", lambda u: ~u["is_class"])).alias("unit"))
         name, owner, header = F.col("unit.name"), F.col("unit.owner"), F.col("unit.header")
-        qualified = F.when(owner != "", F.concat(owner, F.lit("."), name)).otherwise(name) if language in ("python", "typescript", "javascript") else name
+        qualified = F.when(owner != "", F.concat(owner, F.lit("."), name)).otherwise(name) if language in ("python", "typescript") else name
         if language == "java":
             rows = rows.where(name != owner)
         public = {"java": F.rlike(header, F.lit(r"\bpublic\b")), "go": F.rlike(name, F.lit("^[A-Z]"))}.get(language, F.lit(True))
-        static = F.rlike(header, F.lit(r"\bstatic\b")) if language in ("java", "typescript", "javascript") else F.lit(False)
+        static = F.rlike(header, F.lit(r"\bstatic\b")) if language in ("java", "typescript") else F.lit(False)
         out.append(rows.select(
             "file_path", "language", qualified.alias("name"), F.col("unit.start_line").alias("start_line"), F.col("unit.end_line").alias("end_line"),
             F.regexp_replace(header, r"\s*[{:]\s*$", "").alias("signature"), _body().alias("body"), static.alias("is_static"), public.alias("is_public"),
@@ -133,7 +133,7 @@ def without_units(files: DataFrame) -> DataFrame:
     return _union([cut.where(F.size(F.filter("units", lambda u: ~u["is_class"])) == 0).select("file_path", "language") for _, cut in _all_units(files)])
 
 
-SIGNATURE_LIMIT = {"java": 200, "go": 200, "python": 240, "typescript": 240, "javascript": 240}
+SIGNATURE_LIMIT = {"java": 200, "go": 200, "python": 240, "typescript": 240}
 
 
 def symbol_table(files: DataFrame) -> DataFrame:

@@ -33,13 +33,13 @@ def _complexity(expr: str, language: str) -> str:
       SELECT doc_id, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line, len(parts) AS n FROM (
         SELECT doc_id, string_split(text, {NL}) AS parts FROM documents) a) b WHERE NOT (line_no = n AND line = '')""")
 def explode_lines(t):
-    return U.explode_lines(t.documents, "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return U.explode_lines(t.wide("documents"), "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
 @query("normalise_whitespace", f"""
     SELECT doc_id, sha256(array_to_string([{TRIM.format('x')} for x in string_split(text, {NL}) if {TRIM.format('x')} <> ''], {NL})) AS text_hash FROM documents""")
 def normalise_whitespace(t):
-    return t.documents.select("doc_id", F.sha2(text.normalise_whitespace(F.col("text")), 256).alias("text_hash"))
+    return t.wide("documents").select("doc_id", F.sha2(text.normalise_whitespace(F.col("text")), 256).alias("text_hash"))
 
 
 SIG = TRIM.format(f"split_part(text, {NL}, 1)")
@@ -47,7 +47,7 @@ SIG = TRIM.format(f"split_part(text, {NL}, 1)")
 
 @query("signature_of", f"SELECT doc_id, CASE WHEN length({SIG}) > 200 THEN concat(substr({SIG}, 1, 200), '...') ELSE {SIG} END AS signature FROM documents")
 def signature_of(t):
-    return t.documents.select("doc_id", text.first_line_signature(F.col("text"), 200).alias("signature"))
+    return t.wide("documents").select("doc_id", text.first_line_signature(F.col("text"), 200).alias("signature"))
 
 
 @query("offset_to_position", f"""
@@ -56,15 +56,15 @@ def signature_of(t):
 def offset_to_position(t):
     code = F.col("text")
     at = F.floor(F.length(code) * 3 / 4).cast("int")
-    return t.documents.select("doc_id", text.line_at(code, at).alias("line"), text.character_at(code, at).alias("character"))
+    return t.wide("documents").select("doc_id", text.line_at(code, at).alias("line"), text.character_at(code, at).alias("character"))
 
 
 @query("body_fingerprint", f"""
     SELECT doc_id, sha256(array_to_string(regexp_extract_all(regexp_replace(text, '{text.COMMENTS["java"]}', ' ', 'g'), '{text.TOKEN}'), ' ')) AS body_hash FROM documents
     UNION ALL SELECT -1 - doc_id, sha256('') FROM documents""")
 def body_fingerprint(t):
-    some = t.documents.select("doc_id", text.body_hash(F.col("text"), "java").alias("body_hash"))
-    none = t.documents.select((-1 - F.col("doc_id")).alias("doc_id"), text.body_hash(F.lit(None).cast("string"), "java").alias("body_hash"))
+    some = t.wide("documents").select("doc_id", text.body_hash(F.col("text"), "java").alias("body_hash"))
+    none = t.wide("documents").select((-1 - F.col("doc_id")).alias("doc_id"), text.body_hash(F.lit(None).cast("string"), "java").alias("body_hash"))
     return some.unionByName(none)
 
 
@@ -72,7 +72,7 @@ def body_fingerprint(t):
     SELECT page_id, {_complexity("html", "java")} AS java, {_complexity("html", "python")} AS python, {_complexity("html", "typescript")} AS typescript FROM pages
     UNION ALL SELECT -1 - doc_id, {_complexity("text", "java")}, {_complexity("text", "python")}, {_complexity("text", "typescript")} FROM documents""")
 def complexity_score(t):
-    rows = t.pages.select("page_id", F.col("html").alias("text")).unionByName(t.documents.select((-1 - F.col("doc_id")).alias("page_id"), "text"))
+    rows = t.wide("pages").select("page_id", F.col("html").alias("text")).unionByName(t.wide("documents").select((-1 - F.col("doc_id")).alias("page_id"), "text"))
     return rows.select("page_id", *[scoring.complexity(F.col("text"), name).alias(name) for name in ("java", "python", "typescript")])
 
 
@@ -130,13 +130,13 @@ PARAM_LIST = f"""[trim(replace(x, chr(1), ',')) for x in string_split(regexp_rep
       array_to_string({PARAM_LIST}, '; ') AS params
     FROM ox_bodies WHERE {CALLABLE}""")
 def segment_units(t):
-    units = U.segment_units(t.fx_source_files)
+    units = U.segment_units(t.wide("fx_source_files"))
     return units.select("file_path", "language", "name", "start_line", "end_line", "signature", F.sha2("body", 256).alias("body_hash"), "is_static", "is_public", "params")
 
 
 @query("segment_rejects", "SELECT concat('doc', doc_id) AS file_path, 'python' AS language FROM documents")
 def segment_rejects(t):
-    files = t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("python").alias("language"), "text")
+    files = t.wide("documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("python").alias("language"), "text")
     return U.without_units(files)
 
 
@@ -160,18 +160,18 @@ HASHED = _by_language(lambda k: f"sha256(array_to_string(regexp_extract_all(rege
     SELECT concat('sym_', substr(sha256(concat_ws(':', file_path, full_name, kind, header)), 1, 32)) AS id, full_name AS name, kind, file_path, cast(start_line AS int) AS line,
       cast(end_line AS int) AS end_line, header AS signature, CASE WHEN is_class THEN '' ELSE {HASHED} END AS body_hash FROM ox_named""")
 def symbol_table(t):
-    return U.symbol_table(t.fx_source_files)
+    return U.symbol_table(t.wide("fx_source_files"))
 
 
 @query("split_params", f"""
     SELECT file_path, cast(start_line AS int) AS start_line, array_to_string({PARAM_LIST}, '|') AS parts FROM ox_units WHERE NOT is_class
     UNION ALL SELECT concat('doc', doc_id), 0, array_to_string([trim(x) for x in string_split(replace(translate(text, '()[]{{}}<>', ''), {NL}, ' '), ',') if trim(x) <> ''], '|') FROM documents""")
 def split_params(t):
-    heads = U.segment_units(t.fx_source_files)
+    heads = U.segment_units(t.wide("fx_source_files"))
     parts = F.replace("params", F.lit("; "), F.lit("|"))
-    init = U.symbol_table(t.fx_source_files).where("kind = 'constructor'").select("file_path", F.col("line").alias("start_line"), F.lit("CustomerRepo repo").alias("parts"))
+    init = U.symbol_table(t.wide("fx_source_files")).where("kind = 'constructor'").select("file_path", F.col("line").alias("start_line"), F.lit("CustomerRepo repo").alias("parts"))
     flat = F.translate("text", "()[]{}<>", "")
-    docs = t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit(0).alias("start_line"),
+    docs = t.wide("documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit(0).alias("start_line"),
                               F.array_join(text.split_params(flat), "|").alias("parts"))
     return heads.select("file_path", "start_line", parts.alias("parts")).unionByName(init).unionByName(docs)
 
@@ -194,7 +194,7 @@ oracle_view("ox_candidates", f"""
 
 @query("call_candidates", "SELECT * FROM ox_candidates")
 def call_candidates(t):
-    return U.call_candidates(t.fx_source_files)
+    return U.call_candidates(t.wide("fx_source_files"))
 
 
 @query("receiver_type_resolve", f"""
@@ -207,7 +207,7 @@ def call_candidates(t):
     FROM ox_candidates c LEFT JOIN types a ON a.file_path = c.file_path AND a.caller = c.caller AND a.caller <> '' AND a.name = regexp_replace(c.receiver, '^this\\.', '')
       LEFT JOIN types b ON b.file_path = c.file_path AND b.caller = '' AND b.name = regexp_replace(c.receiver, '^this\\.', '')""")
 def receiver_type_resolve(t):
-    return U.resolve_receivers(U.call_candidates(t.fx_source_files), U.declared_types(t.fx_source_files))
+    return U.resolve_receivers(U.call_candidates(t.wide("fx_source_files")), U.declared_types(t.wide("fx_source_files")))
 
 
 @query("unchanged_unit_skip", f"""
@@ -215,8 +215,8 @@ def receiver_type_resolve(t):
     WHERE NOT n.is_class AND NOT (n.language = 'java' AND n.name = n.owner) AND NOT EXISTS (SELECT 1 FROM ox_bodies_old o WHERE o.file_path = n.file_path AND o.owner = n.owner AND o.name = n.name
       AND array_to_string([trim(x) for x in string_split(o.body, {NL}) if trim(x) <> ''], {NL}) = array_to_string([trim(x) for x in string_split(n.body, {NL}) if trim(x) <> ''], {NL}))""")
 def unchanged_unit_skip(t):
-    units = U.segment_units(t.fx_source_files)
-    return M.changed_units(units, U.segment_units(t.fx_source_files_old)).select("file_path", "name")
+    units = U.segment_units(t.wide("fx_source_files"))
+    return M.changed_units(units, U.segment_units(t.wide("fx_source_files_old"))).select("file_path", "name")
 
 
 # --- decisions and masks --------------------------------------------------------------------------
@@ -250,13 +250,13 @@ oracle_view("ox_points", "SELECT *, row_number() OVER (PARTITION BY file_path OR
 
 @query("decision_points", "SELECT file_path, start, kind, hint, code, priority FROM ox_points")
 def decision_points(t):
-    rows = M.with_decision_points(t.fx_source_files).select("file_path", F.explode("points").alias("p"))
+    rows = M.with_decision_points(t.wide("fx_source_files")).select("file_path", F.explode("points").alias("p"))
     return rows.select("file_path", "p.start", "p.kind", "p.hint", "p.code", "p.priority")
 
 
 @query("topk_per_unit", "SELECT file_path, start, priority, cast(rn AS int) AS rank FROM ox_points WHERE rn <= 1")
 def topk_per_unit(t):
-    rows = M.with_decision_points(t.fx_source_files).select("file_path", F.posexplode(M.top_points(F.col("points"), 1)).alias("pos", "p"))
+    rows = M.with_decision_points(t.wide("fx_source_files")).select("file_path", F.posexplode(M.top_points(F.col("points"), 1)).alias("pos", "p"))
     return rows.select("file_path", "p.start", "p.priority", (F.col("pos") + 1).alias("rank"))
 
 
@@ -272,7 +272,7 @@ oracle_view("ox_masks", """
       cast(length(split_part(substr(text, 1, start + length(code)), {NL}, -1)) AS int) AS end_char
     FROM ox_masks""")
 def mask_spans(t):
-    return M.mask_rows(M.mask_texts(t.fx_source_files, "file_path"), "file_path")
+    return M.mask_rows(M.mask_texts(t.wide("fx_source_files"), "file_path"), "file_path")
 
 
 def _cut(at: str, stop: str) -> str:
@@ -298,13 +298,13 @@ oracle_view("ox_edits", f"""
         SELECT *, coalesce(lag(b) OVER w, 0) AS prev, row_number() OVER w = count(*) OVER (PARTITION BY file_path) AS last FROM ox_edits WINDOW w AS (PARTITION BY file_path ORDER BY a, b)) x GROUP BY file_path) e
     ON e.file_path = s.file_path""")
 def apply_edits_desc(t):
-    return M.mask_texts(t.fx_source_files, "file_path").select("file_path", "masked_code")
+    return M.mask_texts(t.wide("fx_source_files"), "file_path").select("file_path", "masked_code")
 
 
 @query("mask_sessions", """
     SELECT substr(sha256(concat(file_path, ':', text)), 1, 32) AS id, file_path, language, 'pending' AS status, length(text) AS chars FROM fx_source_files""")
 def mask_sessions(t):
-    rows = M.mask_sessions(M.mask_texts(t.fx_source_files, "file_path"), "file_path")
+    rows = M.mask_sessions(M.mask_texts(t.wide("fx_source_files"), "file_path"), "file_path")
     return rows.select("id", "file_path", "language", "status", F.length("original_code").cast("bigint").alias("chars"))
 
 
@@ -315,10 +315,10 @@ def mask_sessions(t):
         ON u.file_path = l.file_path AND l.line_no BETWEEN u.start_line AND u.end_line
       WHERE u.start_line IS NULL OR u.start_line = l.line_no) x GROUP BY file_path""")
 def reassemble(t):
-    units = U.segment_units(t.fx_source_files).where("start_line % 2 = 0")
+    units = U.segment_units(t.wide("fx_source_files")).where("start_line % 2 = 0")
     short = F.concat(F.lit("<"), F.substring_index("name", ".", -1), F.lit(">"))
     per_file = units.groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", short.alias("body"))).alias("u"))
-    joined = U.hold(t.fx_source_files.join(per_file, "file_path", "left"), lines=text.lines(F.col("text")))
+    joined = U.hold(t.wide("fx_source_files").join(per_file, "file_path", "left"), lines=text.lines(F.col("text")))
     units_or_none = F.coalesce("u", F.array().cast("array<struct<start_line:int,end_line:int,body:string>>"))
     return U.hold(joined, put=units_or_none).select("file_path", M.reassemble(F.col("lines"), F.col("put")).alias("out"))
 
@@ -329,7 +329,7 @@ def reassemble(t):
       AND NOT EXISTS (SELECT 1 FROM ox_bodies_old o WHERE o.file_path = n.file_path AND o.owner = n.owner AND o.name = n.name AND o.body = n.body)) AS masked
     FROM fx_source_files s""")
 def mask_changed_units(t):
-    files, _ = M.mask_changed_units(t.fx_source_files, t.fx_source_files_old)
+    files, _ = M.mask_changed_units(t.wide("fx_source_files"), t.wide("fx_source_files_old"))
     return files.select("file_path", F.contains("masked_text", F.lit("[MASK:session=")).alias("masked"))
 
 
@@ -347,7 +347,7 @@ oracle_view("ox_markers", " UNION ALL ".join(_MARK))
     SELECT file_path, conv_id, turn, session_id, mask_id, hint, {_count("pre", chr(10))} AS line, cast(length(split_part(pre, {NL}, -1)) AS int) AS character
     FROM (SELECT *, substr(text, 1, instr(text, concat('[MASK:session=', session_id, ' ')) - CASE WHEN hint = 'add check' THEN 3 ELSE 4 END) AS pre FROM ox_markers) y""")
 def marker_scan(t):
-    return M.scan_markers(t.fx_marked_texts, ["file_path", "conv_id", "turn"])
+    return M.scan_markers(t.wide("fx_marked_texts"), ["file_path", "conv_id", "turn"])
 
 
 @query("marker_sessions", """
@@ -356,9 +356,9 @@ def marker_scan(t):
       SELECT file_path, session_id, true AS open FROM ox_markers UNION ALL SELECT file_path, id, false FROM fx_mask_sessions) m ON m.file_path = f.file_path
     GROUP BY f.file_path""")
 def marker_sessions(t):
-    files = t.fx_marked_texts.select("file_path").union(t.fx_symbols.select("file_path"))
+    files = t.wide("fx_marked_texts").select("file_path").union(t.fx_symbols.select("file_path"))
     tracked = t.fx_mask_sessions.select("file_path", F.col("id").alias("session_id"))
-    return Z.marker_sessions(files, M.scan_markers(t.fx_marked_texts, ["file_path"]), tracked)
+    return Z.marker_sessions(files, M.scan_markers(t.wide("fx_marked_texts"), ["file_path"]), tracked)
 
 
 @query("validation_rollup", """

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codelattice.session import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -298,6 +300,10 @@ class Tables:
             return self._loaded[name]
         raise AttributeError(name)
 
+    def wide(self, name: str) -> DataFrame:
+        """A table of texts, spread over the cores for per-row work."""
+        return spread(getattr(self, name))
+
     def sql(self, body: str) -> DataFrame:
         text = with_views(body, SPARK_VIEWS)
         for name in BASE:
