@@ -25,7 +25,7 @@ def id_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def upsert_last_wins(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Insert or replace: per key the last row of the batch, else the stored row, as a whole."""
     latest = last_per_key(batch, keys, order).select(*table.columns)
-    return table.join(latest, list(keys), "left_anti").unionByName(latest)
+    return table.join(latest, list(keys), "left_anti").select(*table.columns).unionByName(latest)
 
 
 def upsert_keep_created(writes: DataFrame, keys: Sequence[str], order: str, created: str) -> DataFrame:
@@ -283,7 +283,7 @@ def apply_file_delta(
     """
     fresh = last_per_key(new_symbols, ["id"], order).select(*symbols.columns)
     kept = skew_join(symbols, files.select("file_path").distinct(), "file_path", "left_anti")
-    kept = kept.join(fresh.select("id"), "id", "left_anti")
+    kept = kept.join(fresh.select("id"), "id", "left_anti").select(*symbols.columns)
     stale = diff.where(F.col("change").isin("changed", "removed")).select("id").distinct()
     removed = diff.where(F.col("change") == "removed").select("id").distinct()
     indexed = skew_join(calls.where(~is_manual()), stale.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti")

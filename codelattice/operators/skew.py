@@ -35,20 +35,21 @@ def skew_join(
     """Equi-join of a large ``left`` with a ``right`` that has few rows per key.
 
     Without ``hot`` this is a plain join, for which adaptive execution splits partitions that turn out
-    large. With ``hot``, key values from :func:`hot_keys`, the rows of ``left`` for those keys are
+    large. Columns come in the order of ``left``, then ``right``. With ``hot``, key values from :func:`hot_keys`, the rows of ``left`` for those keys are
     spread over ``salts`` tasks and only the matching rows of ``right`` are repeated. Inner, left,
     left_semi and left_anti. Rows of ``left`` equal in every column share a salt, so count exact
     duplicates first.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    shown = left.columns if how in ("left_semi", "left_anti") else [*left.columns, *[c for c in right.columns if c not in keys]]
     if not hot:
-        return left.join(right, keys, how)
+        return left.join(right, keys, how).select(*shown)
     is_hot = F.col(keys[0]).isin(list(hot))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).select(*shown)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:

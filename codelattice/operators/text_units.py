@@ -33,15 +33,17 @@ def _indent(line: Column) -> Column:
 def _headers(language: str) -> Column:
     """Array of unit header lines of ``lines``: ``line_no, name, params, header, is_class, indent``."""
     unit, klass = UNIT_LINE[language], CLASS_LINE[language]
-    found = F.transform(
-        "lines",
-        lambda s, i: F.struct(
-            (i + 1).alias("line_no"),
-            F.coalesce(F.nullif(F.regexp_extract(s, klass, 1), F.lit("")), F.regexp_extract(s, unit, 1)).alias("name"),
-            F.regexp_extract(s, unit, 2).alias("params"), s.alias("header"), F.rlike(s, F.lit(klass)).alias("is_class"),
-            _indent(s).alias("indent"),
-        ),
-    )
+    numbered = F.transform("lines", lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("header")))
+    opening = F.filter(numbered, lambda x: F.rlike(x["header"], F.lit(klass)) | F.rlike(x["header"], F.lit(unit)))
+
+    def parts(x):
+        s = x["header"]
+        name = F.coalesce(F.nullif(F.regexp_extract(s, klass, 1), F.lit("")), F.regexp_extract(s, unit, 1))
+        return F.struct(
+            x["line_no"].alias("line_no"), name.alias("name"), F.regexp_extract(s, unit, 2).alias("params"), s.alias("header"),
+            F.rlike(s, F.lit(klass)).alias("is_class"), _indent(s).alias("indent"))
+
+    found = F.transform(opening, parts)
     return F.filter(found, lambda h: (h["name"] != "") & (h["is_class"] | ~h["name"].isin(*STATEMENTS)))
 
 
