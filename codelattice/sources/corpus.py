@@ -13,7 +13,8 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 
     The listing and the reads are Spark's own; folders a scan skips never reach the content column.
     """
-    glob = "*.{" + ",".join(ext[1:] for ext in paths.EXTENSION_LANGUAGE) + "}"
+    any_case = ["".join(f"[{c}{c.upper()}]" for c in ext[1:]) for ext in paths.EXTENSION_LANGUAGE]
+    glob = "*.{" + ",".join(any_case) + "}"
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         .load(root)

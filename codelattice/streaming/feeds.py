@@ -67,7 +67,7 @@ def parse_usage(lines: DataFrame, column: str = "line") -> DataFrame:
     """``ts, feature, status, details`` (a map) of each line that has the form of a usage line."""
     part = [F.regexp_extract(column, USAGE_LINE, g) for g in (1, 2, 3, 4)]
     return lines.where(F.rlike(column, F.lit(USAGE_LINE))).select(
-        F.to_timestamp_ntz(part[0], F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), part[1].alias("feature"), part[2].alias("status"),
+        part[0].try_cast("timestamp_ntz").alias("ts"), part[1].alias("feature"), part[2].alias("status"),
         F.str_to_map(part[3], F.lit(", "), F.lit("=")).alias("details"))
 
 
