@@ -15,7 +15,7 @@ from codelattice.plans import load
 from codelattice.session import local_session
 
 HEADLINE = [
-    "edge_rollup", "graph_nodes", "view_elements", "khop_expand", "neighbourhood_edges",
+    "edge_rollup", "graph_nodes", "view_elements", "khop_expand", "neighbourhood",
     "locate_enclosing_nearest", "locate_enclosing_narrowest", "callsite_to_edges",
     "file_delta_apply", "unit_diff", "upsert_keep_created", "overlay_clear",
     "restore_stats", "snapshot_reconcile_nodes", "path_tree", "compact_chains",

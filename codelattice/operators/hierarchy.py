@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import paths
 from codelattice.operators import nodes as N
-from codelattice.operators.skew import skew_join
+from codelattice.operators.skew import hot_keys, skew_join
 
 TYPE_RANK = {"directory": 0, "file": 1, "method": 2}
 
@@ -73,7 +73,7 @@ def compact_chains(tree: DataFrame) -> DataFrame:
     # Per kept folder, the deepest kept one above it: that is the parent, and its depth cuts the name.
     above = kept.select("id", F.explode(F.slice(up, F.lit(1), F.size(up) - 1)).alias("a")).select(
         F.col("id").alias("child"), F.concat(F.lit("dir:"), "a.path").alias("id"), "a.depth")
-    nearest = skew_join(above, kept.select("id"), "id", "left_semi").groupBy(F.col("child").alias("id")).agg(
+    nearest = skew_join(above, kept.select("id"), "id", "left_semi", hot=hot_keys(above, "id")).groupBy(F.col("child").alias("id")).agg(
         F.max(F.struct("depth", F.col("id").alias("parent_id"))).alias("p"))
     depth = F.coalesce("p.depth", F.lit(0))
     names = F.transform(F.slice(up, depth + 1, F.size(up) - depth), lambda a: a["name"])
@@ -93,7 +93,8 @@ def search_tree(tree: DataFrame, text: str) -> DataFrame:
     over = hits.select(F.explode(strict_ancestors()).alias("id")).distinct()
     lowest = hits.select("id").join(over, "id", "left_anti")
     below = tree.select("id", F.explode(strict_ancestors()).alias("above"))
-    inside = skew_join(below, lowest.select(F.col("id").alias("above")), "above", "left_semi").select("id")
+    # Top folders are above most rows, so they are looked for and spread.
+    inside = skew_join(below, lowest.select(F.col("id").alias("above")), "above", "left_semi", hot=hot_keys(below, "above")).select("id")
     shown = hits.select("id").unionByName(over).unionByName(inside).distinct()
     return tree.join(shown, "id", "left_semi")
 

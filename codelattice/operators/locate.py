@@ -4,7 +4,8 @@ An interval join of locations with symbols, done by equal keys only. Each symbol
 into aligned blocks of 1, 16, 256, … lines, the fewest that tile it. Per block only the best symbol
 is kept, since the order of preference does not depend on the location. A location lies in exactly one
 block per size, so it looks up a handful of keys and takes the best hit. However many ranges overlap
-and however many locations one file has, no list of pairs per file is ever built.
+and however many locations one file has, no list of pairs per file is ever built. ``hot_files``, from
+``hot_keys`` on the location's file, spreads the look-ups of files with a large share of the locations.
 """
 
 from __future__ import annotations
@@ -99,12 +100,12 @@ def locate_narrowest(locations: DataFrame, symbols: DataFrame, hot_files=None) -
     return skew_join(flat, found, ["file_path", "line"], "left", hot=hot_files)
 
 
-def _resolved(sites: DataFrame, found: DataFrame) -> DataFrame:
+def _resolved(sites: DataFrame, found: DataFrame, hot_files=None) -> DataFrame:
     callee = found.select(
         F.col("file_path").alias("callee_file"), F.col("line").alias("callee_line"), F.col("symbol_id").alias("callee_id")
     )
     clean = sites.withColumn("callee_file", paths.normalised(F.col("callee_file")))
-    return skew_join(clean, callee, ["callee_file", "callee_line"], "left")
+    return skew_join(clean, callee, ["callee_file", "callee_line"], "left", hot=hot_files)
 
 
 def _places(sites: DataFrame) -> DataFrame:
@@ -119,14 +120,14 @@ def _as_calls(resolved: DataFrame) -> DataFrame:
     )
 
 
-def resolve_sites(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_sites(sites: DataFrame, symbols: DataFrame, hot_files=None) -> DataFrame:
     """Call sites (``caller_id, callee_file, callee_line, file_path, line``) with the narrowest ``callee_id``."""
-    return _resolved(sites, locate_narrowest(_places(sites), symbols))
+    return _resolved(sites, locate_narrowest(_places(sites), symbols, hot_files), hot_files)
 
 
-def sites_to_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+def sites_to_calls(sites: DataFrame, symbols: DataFrame, hot_files=None) -> DataFrame:
     """Distinct calls from call sites; sites without an enclosing callee drop out."""
-    return _as_calls(resolve_sites(sites, symbols))
+    return _as_calls(resolve_sites(sites, symbols, hot_files))
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths
-from codelattice.operators.skew import skew_join
+from codelattice.operators.skew import matchable, skew_join
 
 NODE_COLUMNS = [
     "id", "label", "type", "file_path", "line", "is_virtual", "materialized", "virtual_class_id", "virtual_directory"
@@ -222,15 +222,15 @@ def effective_parents(visible: DataFrame, files: DataFrame) -> DataFrame:
     A real node without a parent falls back to its file (methods, fields) or its folder (classes).
     """
     typed = visible.withColumn("display_type", display_type())
-    by_path = files.select(F.col("path").alias("file_path"), F.col("id").alias("_file"), F.col("directory").alias("_dir"))
+    by_path = files.select(F.col("path").alias("_path"), F.col("id").alias("_file"), F.col("directory").alias("_dir"))
     real = ~F.col("is_virtual") & (F.col("file_path") != "")
+    typed = typed.withColumn("_path", matchable(F.col("file_path"), real, F.col("id")))
     fallback = (
         F.when(real & F.col("display_type").isin("method", "field"), F.col("_file"))
         .when(real & (F.col("display_type") == "file"), F.col("_dir"))
     )
-    wanted = skew_join(typed, by_path, "file_path", "left").withColumn(
-        "parent", F.coalesce(F.nullif("parent_id", F.lit("")), fallback, F.lit(""))
-    )
+    named = F.coalesce(F.nullif("parent_id", F.lit("")), fallback)
+    wanted = skew_join(typed, by_path, "_path", "left").withColumn("parent", matchable(named, named.isNotNull(), F.col("id")))
     boxes = (
         typed.where(F.col("display_type").isin(*CONTAINER_TYPES))
         .select(F.col("id").alias("parent"), F.lit(True).alias("_box")).distinct()

@@ -52,6 +52,14 @@ def skew_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).select(*shown)
 
 
+def matchable(key: Column, usable: Column, row_id: Column) -> Column:
+    """``key`` where it is usable, else a value of the row's own that matches nothing.
+
+    A left join on a column that is empty or NULL for many rows would send all of those to one task.
+    """
+    return F.when(usable, key).otherwise(F.concat(F.lit("\0"), row_id))
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The row with the greatest ``order`` per key, by aggregation, so each task sends one row per key."""
     return _pick(df, keys, order, F.max_by)

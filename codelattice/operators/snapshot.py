@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths
 from codelattice.operators.nodes import CLASS_TYPES, text_or_empty
-from codelattice.operators.skew import first_per_key, skew_join
+from codelattice.operators.skew import first_per_key, matchable, skew_join
 
 
 def context_type() -> Column:
@@ -122,8 +122,9 @@ def restore(
     snapshot. Notes go to planned nodes and to symbols that still exist.
     """
     virtual_ids = _virtual_ids(nodes)
-    parents = virtual_ids.select("snapshot_id", F.col("id").alias("parent_id"), F.col("id").alias("_class"))
-    planned = skew_join(nodes.where("is_virtual"), parents, ["snapshot_id", "parent_id"], "left")
+    parents = virtual_ids.select("snapshot_id", F.col("id").alias("_parent"), F.col("id").alias("_class"))
+    parent = matchable(F.col("parent_id"), text_or_empty("parent_id") != "", F.col("id"))
+    planned = skew_join(nodes.where("is_virtual").withColumn("_parent", parent), parents, ["snapshot_id", "_parent"], "left")
     row = F.struct("label", "type", F.col("_class").alias("virtual_class_id"))
     loaded = planned.groupBy("id").agg(F.max_by(row, _load_order()).alias("r")).select(
         "id", "r.label", "r.type", "r.virtual_class_id", F.lit(None).cast("string").alias("virtual_directory"),
@@ -200,8 +201,10 @@ def reconcile_nodes(nodes: DataFrame, fresh_nodes: DataFrame, files: DataFrame,
     is_dir = ~F.col("is_virtual") & (F.col("type") == "directory")
     is_file = ~F.col("is_virtual") & ((F.col("type") == "file") | placeholder_class())
     joined = (
-        nodes.withColumn("_dir_id", F.when(is_dir, F.col("id"))).withColumn("_dir_path", F.when(is_dir & has_path, F.col("file_path")))
-        .withColumn("_file_id", F.when(is_file, F.col("id"))).withColumn("_file_path", F.when(is_file & has_path, F.col("file_path")))
+        nodes.withColumn("_dir_id", matchable(F.col("id"), is_dir, F.col("id")))
+        .withColumn("_dir_path", matchable(F.col("file_path"), is_dir & has_path, F.col("id")))
+        .withColumn("_file_id", matchable(F.col("id"), is_file, F.col("id")))
+        .withColumn("_file_path", matchable(F.col("file_path"), is_file & has_path, F.col("id")))
         .join(n, F.col("id") == F.col("_n_id"), "left")
         .join(d1, F.col("_dir_id") == F.col("_di_id"), "left").join(d2, F.col("_dir_path") == F.col("_dp_path"), "left")
         .join(f1, F.col("_file_id") == F.col("_fi_id"), "left").join(f2, F.col("_file_path") == F.col("_fp_path"), "left")

@@ -265,7 +265,7 @@ def _found(t: Tables):
     return E.neighbourhood_edges(all_calls(t), seeds, nodes), seeds, nodes
 
 
-@query("neighbourhood_edges", """
+@query("neighbourhood", """
     SELECT seed_id, concat(source, '::', target) AS edge_id, source, target, count(*) AS call_count,
       bool_or(call_type = 'manual') AS is_manual FROM ox_touched GROUP BY seed_id, source, target""")
 def neighbourhood_edges(t):
@@ -373,7 +373,7 @@ def graph_bundle_nodes(t):
     return rows.unionByName(N.directory_nodes(t.fx_virtual_directories))
 
 
-@query("graph_bundle_sizes", """
+@query("graph_bundle", """
     SELECT 'directories' AS part, count(*) AS n FROM ox_dirs UNION ALL SELECT 'edges', count(*) FROM ox_edges
     UNION ALL SELECT 'files', count(*) FROM ox_files
     UNION ALL SELECT 'nodes', (SELECT count(*) FROM ox_nodes) + (SELECT count(*) FROM fx_virtual_directories)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelattice.operators import locate as L
+from codelattice.operators.skew import hot_keys
 from codelattice.plans.registry import oracle_view, query
 
 oracle_view("ox_nearest", """
@@ -40,14 +41,16 @@ def _answer(df):
     SELECT l.file_path, l.line, coalesce(n.id, '') AS symbol_id FROM {ASKED} l
     LEFT JOIN ox_nearest n ON n.file_path = l.file_path AND n.line = l.line""")
 def locate_enclosing_nearest(t):
-    return _answer(L.locate_nearest(_asked(t), t.fx_symbols))
+    asked = _asked(t)
+    return _answer(L.locate_nearest(asked, t.fx_symbols, hot_keys(asked, "file_path")))
 
 
 @query("locate_enclosing_narrowest", f"""
     SELECT l.file_path, l.line, coalesce(n.id, '') AS symbol_id FROM {ASKED} l
     LEFT JOIN ox_narrowest n ON n.file_path = l.file_path AND n.line = l.line""")
 def locate_enclosing_narrowest(t):
-    return _answer(L.locate_narrowest(_asked(t), t.fx_symbols))
+    asked = _asked(t)
+    return _answer(L.locate_narrowest(asked, t.fx_symbols, hot_keys(asked, "file_path")))
 
 
 @query("interval_rank", """
@@ -64,7 +67,7 @@ def interval_rank(t):
     SELECT DISTINCT c.caller_id, n.id AS callee_id, 'direct' AS call_type, c.file_path, c.line
     FROM fx_call_sites c JOIN ox_narrowest n ON n.file_path = c.callee_file AND n.line = c.callee_line""")
 def callsite_to_edges(t):
-    return L.sites_to_calls(t.fx_call_sites, t.fx_symbols)
+    return L.sites_to_calls(t.fx_call_sites, t.fx_symbols, hot_keys(t.fx_call_sites, "callee_file"))
 
 
 @query("resolution_stats", """

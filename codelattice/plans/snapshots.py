@@ -77,7 +77,7 @@ def _restored(t):
                      t.fx_node_annotations, t.fx_edge_annotations)
 
 
-@query("snapshot_restore_nodes", """
+@query("snapshot_restore", """
     SELECT id, label, type, coalesce(virtual_class_id, '') AS virtual_class_id, coalesce(virtual_directory, '') AS virtual_directory,
       materialized = 1 AS materialized FROM fx_virtual_nodes
     UNION ALL SELECT n.id, n.label, n.type, coalesce(p.id, ''), '', false FROM fx_snapshot_nodes n

@@ -8,7 +8,7 @@ from tests.compare import ROOT, compare, connect
 FOLDER = f"{ROOT}/sf0.001"
 QUERIES, ORACLES = load()
 NAMES = [
-    "edge_rollup", "neighbourhood_edges", "locate_enclosing_nearest", "file_delta_apply", "virtual_entity_create",
+    "edge_rollup", "neighbourhood", "locate_enclosing_nearest", "file_delta_apply", "virtual_entity_create",
     "snapshot_restore_edges", "snapshot_reconcile_nodes", "compact_chains", "symbol_table", "apply_edits_desc", "save_debounce",
 ]
 

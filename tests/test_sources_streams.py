@@ -73,3 +73,25 @@ def test_checkpoint_folder_stays_the_same(spark):
     folder = session.checkpoint_dir(spark)
     assert folder and session.checkpoint_dir(spark) == folder
     assert session.cut_lineage(spark.range(5)).count() == 5
+
+
+def test_own_extractor(spark):
+    from codelattice.model import SYMBOLS
+    from codelattice.sources.extractors import extract_symbols
+
+    def extract(batches):
+        for batch in batches:
+            out = batch[["file_path"]].assign(id=batch.file_path, name="n", kind="method", line=1, end_line=2, signature=batch.text, body_hash="", created_at=0)
+            yield out[SYMBOLS.names]
+
+    files = spark.createDataFrame([("a.x", "x", "hello")], "file_path string, language string, text string")
+    assert rows(extract_symbols(files, extract), "id", "signature") == [("a.x", "hello")]
+
+
+def test_loose_values(spark):
+    from codelattice.functions import coerce
+
+    df = spark.createDataFrame([('{"f": "a", "n": 7.9}',), ('{"f": 3, "n": "7"}',), ("broken",), (None,), ('{"n": -2}',)], "j string")
+    got = df.select(coerce.json_text_or_empty(F.col("j"), "$.f").alias("f"), coerce.json_int_or_zero(F.col("j"), "$.n").alias("n")).collect()
+    assert [tuple(r) for r in got] == [("a", 7), ("", 0), ("", 0), ("", 0), ("", -2)]
+    assert [r[0] for r in spark.sql("SELECT * FROM VALUES ('12'), ('x'), ('-1.5') AS t(v)").select(coerce.int_or_zero(F.col("v"))).collect()] == [12, 0, -1]
