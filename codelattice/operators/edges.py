@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import ids
@@ -21,18 +20,19 @@ def endpoint_keys(nodes: DataFrame, directories: DataFrame | None = None) -> Dat
     Where several nodes answer to a key the last one wins, in the order of nodes by (label, id), each
     with its label before its id, and then directories by path.
     """
-    label, node = F.col("label"), F.col("id")
-    claims = [
-        nodes.select(label.alias("key"), node.alias("node_id"), F.struct(F.lit(0).alias("g"), label.alias("a"), node.alias("b"), F.lit(0).alias("s")).alias("ord")),
-        nodes.select(node.alias("key"), node.alias("node_id"), F.struct(F.lit(0).alias("g"), label.alias("a"), node.alias("b"), F.lit(1).alias("s")).alias("ord")),
-    ]
+    def claims(df: DataFrame, group: int, name: Column, node: Column, place: Column) -> DataFrame:
+        """Two rows per node: its name, then its id, both for ``node``."""
+        def claim(key: Column, slot: int) -> Column:
+            order = F.struct(F.lit(group).alias("g"), place.alias("a"), node.alias("b"), F.lit(slot).alias("s"))
+            return F.struct(key.alias("key"), node.alias("node_id"), order.alias("ord"))
+
+        return df.select(F.inline(F.array(claim(name, 0), claim(node, 1))))
+
+    table = claims(nodes, 0, F.col("label"), F.col("id"), F.col("label"))
     if directories is not None:
-        path, hashed = F.col("path"), ids.path_id(F.col("path"))
-        claims += [
-            directories.select(F.col("name").alias("key"), hashed.alias("node_id"), F.struct(F.lit(1).alias("g"), path.alias("a"), hashed.alias("b"), F.lit(0).alias("s")).alias("ord")),
-            directories.select(hashed.alias("key"), hashed.alias("node_id"), F.struct(F.lit(1).alias("g"), path.alias("a"), hashed.alias("b"), F.lit(1).alias("s")).alias("ord")),
-        ]
-    return reduce(DataFrame.unionByName, claims).groupBy("key").agg(F.max_by("node_id", "ord").alias("node_id"))
+        path = F.col("path")
+        table = table.unionByName(claims(directories, 1, F.col("name"), ids.path_id(path), path))
+    return table.groupBy("key").agg(F.max_by("node_id", "ord").alias("node_id"))
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,12 @@ def edge_rollup(
     return annotate_edges(edges, edge_annotations)
 
 
+def both_ways(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs ``a, b`` in both directions, in one pass over ``df``."""
+    here, there = F.col(a), F.col(b)
+    return df.select(F.inline(F.array(F.struct(here.alias(a), there.alias(b)), F.struct(there.alias(a), here.alias(b)))))
+
+
 def neighbour_ids(calls: DataFrame, edge_annotations: DataFrame, seeds: DataFrame) -> DataFrame:
     """``seed_id, id``: other ends of calls and annotated edges at each seed, in either direction."""
     links = (
@@ -99,7 +105,7 @@ def neighbour_ids(calls: DataFrame, edge_annotations: DataFrame, seeds: DataFram
         .unionByName(edge_annotations.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")))
         .distinct()
     )
-    both = links.unionByName(links.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both_ways(links, "a", "b")
     wanted = seeds.select(F.col("id").alias("a")).distinct()
     return skew_join(both, wanted, "a", "left_semi").select(F.col("a").alias("seed_id"), F.col("b").alias("id")).distinct()
 
@@ -115,11 +121,13 @@ def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFram
         .unionByName(seed_nodes.select(F.col("id").alias("seed_id"), F.col("label").alias("key")))
         .distinct()
     )
-    pairs = call_pairs(calls)
-    out = skew_join(pairs, names.withColumnRenamed("key", "caller_id"), "caller_id").withColumn("out", F.lit(True))
-    into = skew_join(pairs, names.withColumnRenamed("key", "callee_id"), "callee_id").withColumn("out", F.lit(False))
+    ends = F.array(
+        F.struct(F.col("caller_id").alias("key"), F.lit(True).alias("out")),
+        F.struct(F.col("callee_id").alias("key"), F.lit(False).alias("out")),
+    )
+    matched = skew_join(call_pairs(calls).select("*", F.inline(ends)), names, "key")
     # A call matched at both ends counts once, and as an outgoing one.
-    touched = out.unionByName(into).groupBy("seed_id", "caller_id", "callee_id").agg(
+    touched = matched.groupBy("seed_id", "caller_id", "callee_id").agg(
         F.first("n").alias("n"), F.first("manual").alias("manual"), F.max("out").alias("out")
     )
     resolved = resolve_endpoints(touched, endpoint_keys(nodes))
@@ -147,8 +155,7 @@ def neighbourhood_node_ids(found: DataFrame, seed_nodes: DataFrame, nodes: DataF
 
 def khop_nodes(edges: DataFrame, seeds: DataFrame, k: int, checkpoint_every: int = 3) -> DataFrame:
     """``id, hop``: nodes within ``k`` undirected steps of the seeds and the least number of steps."""
-    ends = edges.select(F.col("source").alias("id"), F.col("target").alias("other"))
-    adjacency = ends.unionByName(ends.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    adjacency = both_ways(edges, "source", "target").toDF("id", "other").distinct()
     reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, k + 1):
