@@ -32,6 +32,7 @@ def virtual_tree(nodes: DataFrame) -> DataFrame:
         above = level.select("snapshot_id", F.col("id").alias("parent_id"), F.col("order").alias("_above"))
         level = cut_lineage(
             below.join(above, ["snapshot_id", "parent_id"])
+            .where(~F.exists("_above", lambda up: up["id"] == F.col("id")))  # a node is not below itself
             .select(*[below[c] for c in planned.columns], F.lit(depth + 1).alias("depth"),
                     F.concat("_above", F.array(step)).alias("order"), F.lit(False).alias("flat"))
         )

@@ -231,14 +231,16 @@ oracle_view("ox_links", """
     SELECT caller_id AS a, callee_id AS b FROM ox_calls UNION SELECT source_node_id, target_node_id FROM fx_edge_annotations""")
 
 
-def _hub_seeds(t: Tables) -> DataFrame:
+oracle_view("ox_ids", "SELECT id FROM fx_symbols UNION SELECT id FROM fx_virtual_nodes")
+
+
+def _class_ids(t: Tables) -> DataFrame:
     return t.fx_symbols.where(F.col("kind") == "class").select("id")
 
 
 @query("neighbours", f"""
     SELECT p.seed_id, n.id, n.label, n.type, n.file_path, n.line, n.is_virtual FROM (
-      SELECT a AS seed_id, b AS id FROM ox_links WHERE a IN (SELECT id FROM fx_symbols WHERE kind = 'class')
-      UNION SELECT b, a FROM ox_links WHERE b IN (SELECT id FROM fx_symbols WHERE kind = 'class')) p
+      SELECT a AS seed_id, b AS id FROM ox_links WHERE a IN (SELECT id FROM ox_ids) UNION SELECT b, a FROM ox_links WHERE b IN (SELECT id FROM ox_ids)) p
     JOIN (SELECT id, label, type, file_path, line, is_virtual FROM ox_real UNION ALL
       SELECT id, label, type, coalesce(f.file_path, p.file_path), line, is_virtual FROM ox_planned p LEFT JOIN (
         SELECT cls, file_path FROM (SELECT lower(split_part(name, '.', 1)) AS cls, file_path,
@@ -246,22 +248,27 @@ def _hub_seeds(t: Tables) -> DataFrame:
           FROM fx_symbols WHERE instr(name, '.') > 0) x WHERE rn = 1) f ON f.cls = lower({CLASS.format('p.label')})) n
     ON n.id = p.id""")
 def neighbours(t):
-    pairs = E.neighbour_ids(all_calls(t), t.fx_edge_annotations, _hub_seeds(t))
+    seeds = t.fx_symbols.select("id").unionByName(t.fx_virtual_nodes.select("id"))
+    pairs = E.neighbour_ids(all_calls(t), t.fx_edge_annotations, seeds)
     found = N.lookup_nodes(t.fx_symbols, t.fx_virtual_nodes, t.fx_node_annotations, pairs.select("id")).where("found")
     cols = ["id", "label", "type", "file_path", "line", "is_virtual"]
     return E.skew_join(pairs, found.select(*cols), "id").select("seed_id", *cols)
 
 
-oracle_view("ox_seeds", "SELECT id, label FROM ox_nodes WHERE type = 'class' AND NOT is_virtual")
+oracle_view("ox_seeds", "SELECT id, label FROM ox_nodes")
 oracle_view("ox_touched", """
-    SELECT s.id AS seed_id, c.caller_id IN (s.id, s.label) AS out, a.node_id AS source, b.node_id AS target, c.call_type
-    FROM ox_calls c JOIN ox_seeds s ON c.caller_id IN (s.id, s.label) OR c.callee_id IN (s.id, s.label)
-    JOIN ox_node_keys a ON a.key = c.caller_id JOIN ox_node_keys b ON b.key = c.callee_id""")
+    WITH c AS (SELECT *, row_number() OVER () AS nr FROM ox_calls),
+      k AS (SELECT id AS seed_id, id AS key FROM ox_seeds UNION SELECT id, label FROM ox_seeds),
+      m AS (SELECT seed_id, caller_id, callee_id, nr, call_type, bool_or(out) AS out FROM (
+        SELECT k.seed_id, c.*, true AS out FROM c JOIN k ON k.key = c.caller_id
+        UNION ALL SELECT k.seed_id, c.*, false FROM c JOIN k ON k.key = c.callee_id) x GROUP BY seed_id, caller_id, callee_id, nr, call_type)
+    SELECT m.seed_id, m.out, a.node_id AS source, b.node_id AS target, m.call_type
+    FROM m JOIN ox_node_keys a ON a.key = m.caller_id JOIN ox_node_keys b ON b.key = m.callee_id""")
 
 
 def _found(t: Tables):
     nodes = all_nodes(t)
-    seeds = nodes.where((F.col("type") == "class") & ~F.col("is_virtual")).select("id", "label")
+    seeds = nodes.select("id", "label")
     return E.neighbourhood_edges(all_calls(t), seeds, nodes), seeds, nodes
 
 
@@ -330,7 +337,7 @@ def khop_edges(t):
       (source IN (SELECT id FROM fx_symbols WHERE kind = 'class') AND target IN (SELECT id FROM fx_visible))
       OR (target IN (SELECT id FROM fx_symbols WHERE kind = 'class') AND source IN (SELECT id FROM fx_visible))""")
 def connected_edges(t):
-    return E.connected_edges(all_edges(t), _hub_seeds(t), t.fx_visible).select("edge_id", "call_count")
+    return E.connected_edges(all_edges(t), _class_ids(t), t.fx_visible).select("edge_id", "call_count")
 
 
 @query("induced_edges", """
@@ -355,7 +362,7 @@ def graph_merge(t):
     SELECT edge_id, call_count FROM ox_edges WHERE source NOT IN (SELECT id FROM fx_symbols WHERE kind = 'class')
       AND target NOT IN (SELECT id FROM fx_symbols WHERE kind = 'class')""")
 def graph_remove_node(t):
-    return E.remove_nodes(all_edges(t), _hub_seeds(t)).select("edge_id", "call_count")
+    return E.remove_nodes(all_edges(t), _class_ids(t)).select("edge_id", "call_count")
 
 
 @query("graph_remove_edge", """

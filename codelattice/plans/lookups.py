@@ -44,16 +44,15 @@ def ordered_list_topn(t):
 
 @query("nodes_by_file", """
     SELECT r.file_path, r.line, r.id, r.label, coalesce(a.description, '') AS description
-    FROM ox_real r LEFT JOIN fx_node_annotations a ON a.node_id = r.id
-    WHERE r.file_path IN (SELECT file_path FROM fx_symbols WHERE line = 7)""")
+    FROM ox_real r LEFT JOIN fx_node_annotations a ON a.node_id = r.id""")
 def nodes_by_file(t):
-    files = t.fx_symbols.where("line = 7").select("file_path")
+    files = t.fx_symbols.select("file_path")
     rows = N.nodes_by_file(t.fx_symbols, t.fx_node_annotations, files)
     return rows.select("file_path", "line", "id", "label", "description").orderBy("file_path", "line", "id")
 
 
 oracle_view("ox_wanted", """
-    SELECT id FROM fx_symbols WHERE line < 10 UNION SELECT id FROM fx_virtual_nodes UNION SELECT concat('x', id) FROM fx_virtual_nodes""")
+    SELECT id FROM fx_symbols UNION SELECT id FROM fx_virtual_nodes UNION SELECT concat('x', id) FROM fx_virtual_nodes""")
 
 
 @query("node_lookup", f"""
@@ -64,7 +63,7 @@ oracle_view("ox_wanted", """
         row_number() OVER (PARTITION BY lower(split_part(name, '.', 1)) ORDER BY name, id) AS rn
         FROM fx_symbols WHERE instr(name, '.') > 0) x WHERE rn = 1) f ON f.cls = lower({CLASS.format('v.label')})""")
 def node_lookup(t):
-    wanted = t.fx_symbols.where("line < 10").select("id").union(t.fx_virtual_nodes.select("id")).union(
+    wanted = t.fx_symbols.select("id").union(t.fx_virtual_nodes.select("id")).union(
         t.fx_virtual_nodes.select(F.concat(F.lit("x"), "id")))
     rows = N.lookup_nodes(t.fx_symbols, t.fx_virtual_nodes, t.fx_node_annotations, wanted)
     return rows.select("id", "label", "file_path", "is_virtual", "found")
