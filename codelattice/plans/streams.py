@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelattice.operators import index as I
-from codelattice.plans.registry import query
+from codelattice.plans.registry import oracle_view, query
 from codelattice.sources import versioned
 from codelattice.streaming import feeds as S
 
 SIX_HOURS = 6 * 3600 * 1000
 
 
-@query("save_debounce", """
-    SELECT file_path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS due,
-      count(*) AS saves, arg_max(event_id, ts) AS last_event FROM (
+oracle_view("ox_bursts", """
+    SELECT file_path, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS due, count(*) AS saves, arg_max(event_id, ts) AS last_event FROM (
       SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY ts, event_id) AS burst FROM (
         SELECT *, lag(ts) OVER (PARTITION BY file_path ORDER BY ts, event_id) AS prev FROM fx_save_events) a) b GROUP BY file_path, burst""")
+BURST = """SELECT file_path, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS due, saves, last_event FROM ox_bursts"""
+
+
+@query("save_debounce", BURST)
 def save_debounce(t):
-    jobs = S.debounce_batch(t.fx_save_events, SIX_HOURS)
+    return _stamped(S.debounce_batch(t.fx_save_events, SIX_HOURS))
+
+
+def _stamped(jobs):
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return jobs.select("file_path", F.date_format("started", stamp).alias("started"), F.date_format("due", stamp).alias("due"), "saves", "last_event")
 
@@ -29,15 +35,17 @@ def _save_stream(t):
     return S.index_jobs(events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), path.alias("file_path")))
 
 
-@query("save_debounce_stream")
+# An append-mode stream holds bursts back until the watermark has passed their end.
+@query("save_debounce_stream", BURST + " WHERE due <= (SELECT max(ts) FROM fx_save_events) - INTERVAL 1 HOUR")
 def save_debounce_stream(t):
     jobs = S.debounce(_save_stream(t).withWatermark("ts", "1 hour"), "6 hours")
-    return S.append_available(jobs, "debounce")
+    return _stamped(S.append_available(jobs, "debounce"))
 
 
-@query("queue_dedupe")
+# All saves of the one input file come in one batch, so each file is queued once.
+@query("queue_dedupe", "SELECT DISTINCT file_path FROM fx_save_events")
 def queue_dedupe(t):
-    return S.append_available(S.queue_once(_save_stream(t), "ts", "6 hours"), "queue")
+    return S.append_available(S.queue_once(_save_stream(t), "ts", "6 hours"), "queue").select("file_path")
 
 
 @query("incremental_index_stream", """
