@@ -73,6 +73,8 @@ DECISIONS = {
         Decision("error", r"(\bthrow\s[^\n]*;)", fixed=7, hint="add error handling"),
     ),
 }
+# Returns that are too plain to be a decision.
+BARE_RETURN = {"java": r"return;|return null;", "go": r"^return(\s+nil)?\s*$", "python": r"^return$", "typescript": r"^return;$"}
 VALIDATION_WORDS = {
     "java": ("null", "isEmpty", "isBlank", "length", "valid", "check", "verify", "assert"),
     "go": ("nil", "err", "empty", "valid", "check", "null", "isEmpty", "isBlank", "length", "verify", "assert"),

@@ -154,7 +154,7 @@ def _parts(tables: dict, keys: dict):
     return out
 
 
-CALL_KEY = ids.edge_id  # readability below
+CALL_KEY = ids.edge_id
 
 
 @query("virtual_cascade_delete", f"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelattice.operators import index as I
 from codelattice.plans.registry import oracle_view, query
 from codelattice.sources import versioned
 from codelattice.streaming import feeds as S
