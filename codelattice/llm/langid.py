@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import LOWER, text_chunks
@@ -158,6 +159,23 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, PREDICTED)
 
 
-def rejected() -> Column:
-    """Texts without a language: no letter in them."""
-    return F.col("lang_pred") == "und"
+def in_a_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not ``und``. Without a model all rows stay.
+
+    Ambiguous texts stay too: they are in one language or another.
+    """
+    if model is None:
+        return docs
+    name = "_lang"
+    while name in docs.columns:
+        name += "_"
+
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        column, out = pa.array(texts, pa.string()), []
+        for lo, hi, data, offsets in text_chunks(column, 1 << 19):
+            best, _, _ = model.decode(model.margins(data, offsets))
+            out += [model.languages[b] if t is not None and _LETTER.search(t) else "und" for b, t in zip(best.tolist(), column.slice(lo, hi - lo).to_pylist(), strict=True)]
+        return pd.Series(out)
+
+    return docs.withColumn(name, language(F.col("text").cast("string"))).where(F.col(name) != "und").drop(name)

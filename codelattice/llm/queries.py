@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import bwt_dedup, content, decontaminate, fagin, langid, packing, urlmodel
+from codelattice.llm import bwt_dedup, chosen_path, content, decontaminate, fagin, langid, lattice, packing, trie_counts, urlmodel
 from codelattice.llm.common import crc_mod, table
 
 PACK_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
@@ -35,6 +36,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lattice.score_documents(docs, crc_mod("doc_id", 5) != 1, vocabulary(PIECE_VOCABULARY))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -43,17 +50,25 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fagin.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pack, op3_language, op5_main_text, op6_top_k, op8_repeats, op10_url_filter)
+    for f in (op1_decontaminate, op2_pack, op3_language, op4_lattice_score, op5_main_text, op6_top_k, op7_token_counts, op8_repeats, op9_near_duplicates, op10_url_filter)
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
