@@ -28,6 +28,7 @@ SLICE = 1 << 22  # bytes of a text that are looked at together
 BAND = 16  # strings of a band
 BUCKET_BYTES = 4 << 20  # bytes of bands that one task gets
 SHARD_BYTES = 1 << 19
+SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # different pieces of one anchor, beyond which each string is a band
 NO_ID = -(1 << 63)
 _PIECES = "anchor long, content long, length int, place int, doc_id long, start long"
@@ -77,12 +78,57 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield np.array([lo]), np.array([at]), part, np.array([0, len(part)])
 
 
-def _anchored(length: int, gram: int):
+class Seen:
+    """A set of 64-bit hashes as bits, two for each; may answer yes for a hash that was not put in, never no for one that was."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def spots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(bits - 1)
+        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.spots(hashes, self.bits):
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out
+
+
+def seen_of(hashes: DataFrame) -> Seen:
+    """The one column of ``hashes`` as a set of at most ``SEEN_BITS`` bits: its size is bounded, whatever the rows."""
+    n = hashes.count()
+    bits = 1 << 20
+    while bits < min(SEEN_BITS, 16 * n):
+        bits *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(Seen.spots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            at = np.unique(at)
+            if len(at):
+                word = at >> 6
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    found = hashes.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return Seen(out, bits)
+
+
+def _anchored(length: int, gram: int, seen: Seen | None = None):
+    """Pieces of all texts, or those whose anchor may be in ``seen``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, begin, data, offsets in _slices(batch.column(1), length):
                 row, start, size, place, anchor, content = pieces_of(data, offsets, length, gram)
+                if seen is not None:
+                    row, start, size, place, anchor, content = (x[seen.maybe(anchor)] for x in (row, start, size, place, anchor, content))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)),
                      pa.array(ids[rows[row]].astype(np.int64)), pa.array(start + begin[row])],
@@ -201,17 +247,26 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _merge_bucket(length: int):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["core"].duplicated(keep=False)].sort_values(["doc_id", "start"], kind="stable")
-        docs, starts, ends = [], [], []
+def _merge_buckets(length: int):
+    """Bands come with all others of their core. Of equal ones the oldest goes on; those whose core is in others too are merged."""
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)  # a bucket, sized by their number
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        equal = rows.duplicated(["core", "bytes"])
+        docs, starts = rows["doc_id"][equal].tolist(), rows["start"][equal].tolist()
+        ends = (rows["start"][equal] + rows["bytes"][equal].map(len)).tolist()
+        rows = rows[~equal]
+        rows = rows[rows["core"].duplicated(keep=False)]
         if len(rows):
             for doc, at, flags in zip(rows["doc_id"].tolist(), rows["start"].tolist(), repeated_starts(rows["bytes"].tolist(), length), strict=True):
                 for a, b in zip(*_runs(flags), strict=True):
                     docs.append(doc)
                     starts.append(at + int(a))
                     ends.append(at + int(b) - 1 + length)
-        return pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
+        yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
 
     return merge
 
@@ -233,11 +288,11 @@ def _cut_bands(length: int, band: int):
         for batch in batches:
             for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                found = [x for w in wanted for x in bands_of(raw, w["start"], w["length"], w["place"], length, 1 if w["hot"] else band)]
-                core, start, part = zip(*found, strict=True)
+                found = [(*x, w["hot"]) for w in wanted for x in bands_of(raw, w["start"], w["length"], w["place"], length, 1 if w["hot"] else band)]
+                core, start, part, hot = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core, pa.int64()), pa.array([doc] * len(core), pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
-                    ["core", "doc_id", "start", "bytes"])
+                    [pa.array(core, pa.int64()), pa.array(hot), pa.array([doc] * len(core), pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
+                    ["core", "hot", "doc_id", "start", "bytes"])
 
     return cut
 
@@ -247,28 +302,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int =
 
     Ranges may overlap. Earlier is by document id, then by place. ``docs`` has ``doc_id`` (not null) and ``text``.
     """
-    found = docs.mapInArrow(_anchored(length, gram), _PIECES)
+    anchors = docs.mapInArrow(_anchored(length, gram), _PIECES).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen_of(written(anchors.where("n > 1").select("anchor")))
+    found = written(docs.mapInArrow(_anchored(length, gram, seen), _PIECES))
     key = ["anchor", "content", "length"]
     # equal pieces are counted before they move
     contents = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "place")).alias("oldest"))
     per_anchor = contents.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
     known = written(contents.join(per_anchor, "anchor"))
-    not_oldest = (F.col("doc_id") != F.col("oldest.doc_id")) | (F.col("start") != F.col("oldest.start"))
-    many = known.where(F.col("n") > 1).select(*key, "oldest")
-    whole = found.join(many, key).where(not_oldest).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
+    many = known.where(F.col("n") > 1).select(*key, F.col("oldest.doc_id").alias("first_id"), F.col("oldest.start").alias("first_start"))
+    not_first = "doc_id <> first_id or start <> first_start"
+    whole = written(found.drop("place").join(many, key).where(not_first).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")))
+
     several = known.where(F.col("kinds") > 1).select("length", "oldest.*", (F.col("kinds") > HOT).alias("hot"))
     wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "place", "hot")).alias("wanted"))  # at most its pieces per document
-    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_bands(length, band), "core long, doc_id long, start long, bytes binary")
-    cut = written(cut.withColumn("content", F.xxhash64("bytes")))
-    oldest = cut.groupBy("core", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "bytes")).alias("oldest"))
-    oldest = written(oldest)
-    equal = cut.select("core", "content", "doc_id", "start", F.octet_length("bytes").alias("length"))
-    again = equal.join(oldest.where("n > 1").select("core", "content", "oldest.doc_id", "oldest.start").toDF("core", "content", "first_id", "first_start"), ["core", "content"])
-    again = again.where("doc_id <> first_id or start <> first_start").select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
-    size = oldest.agg(F.sum(F.octet_length("oldest.bytes"))).first()[0] or 0
-    dealt = oldest.select("core", "oldest.*", F.pmod("core", F.lit(int(size // BUCKET_BYTES) + 1)).alias("bucket"))
-    merged = dealt.groupBy("bucket").applyInPandas(_merge_bucket(length), "doc_id long, start long, end long")
-    return whole.unionByName(again).unionByName(merged)
+    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_bands(length, band), "core long, hot boolean, doc_id long, start long, bytes binary")
+    cut = written(cut)
+    # strings of hot anchors are bands of their own, and equal if their cores are
+    single = cut.where("hot").select("core", "doc_id", "start")
+    oldest = single.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("o")).where("n > 1")
+    again = single.join(oldest.select("core", F.col("o.doc_id").alias("first_id"), F.col("o.start").alias("first_start")), "core").where(not_first)
+    again = again.select("doc_id", "start", (F.col("start") + F.lit(length)).alias("end"))
+    size = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    bands = cut.where("not hot").select("core", "doc_id", "start", "bytes").repartition(int(size // BUCKET_BYTES) + 1, "core")
+    merged = bands.mapInPandas(_merge_buckets(length), "doc_id long, start long, end long")
+    return written(whole.unionByName(again).unionByName(merged))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
