@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import mixed, powers, text_chunks, written
+from codelattice.llm.common import fresh, mixed, powers, text_chunks, written
 
 LENGTH = 100
 GRAM = 20
@@ -30,7 +30,6 @@ BUCKET_BYTES = 4 << 20  # bytes of bands that one task gets
 SHARD_BYTES = 1 << 19
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # different pieces of one anchor, beyond which each string is a band
-NO_ID = -(1 << 63)
 _PIECES = "anchor long, content long, length int, place int, doc_id long, start long"
 
 
@@ -254,7 +253,8 @@ def _merge_buckets(length: int):
         parts = list(frames)  # a bucket, sized by their number
         if not parts:
             return
-        rows = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        # rows that repeat a document give the same band at the same place
+        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["core", "doc_id", "start"]).sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
         equal = rows.duplicated(["core", "bytes"])
         docs, starts = rows["doc_id"][equal].tolist(), rows["start"][equal].tolist()
         ends = (rows["start"][equal] + rows["bytes"][equal].map(len)).tolist()
@@ -332,11 +332,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int =
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (maximal ranges) and ``kept`` (the bytes left) of every document.
 
-    Null is empty. Rows with equal ids and texts are the same document and answered alike; a null id counts as the
-    smallest. Texts shorter than ``length`` bytes lose nothing.
+    Null is empty. Ids name documents: rows that repeat an id and its text are the same document and answered
+    alike; rows without an id have no place in the order, are not searched and lose nothing. Nor do texts shorter
+    than ``length`` bytes. Further columns are ignored.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = repeats(texts, length).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ranges = repeats(texts.where("doc_id is not null"), length).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +354,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for a, b in joined:
                     left.append(raw[at:a])
                     at = b
-                ids.append(None if doc == NO_ID else doc)
+                ids.append(doc)
                 sizes.append(len(raw))
                 removed.append([{"start": a, "end": b} for a, b in joined])
                 kept.append(b"".join([*left, raw[at:]]))
@@ -374,10 +375,11 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated ranges cut out of ``text``; bytes that no longer form a character go with them."""
-    left = deduplicated(docs, length).where(F.size("removed") > 0).select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
+    name = fresh("_kept", docs)
+    left = deduplicated(docs, length).where(F.size("removed") > 0).select("doc_id", F.col("kept").alias(name)).dropDuplicates(["doc_id"])
 
     @F.pandas_udf("string")
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
-    return docs.join(left, "doc_id", "left").withColumn("text", F.when(F.col("_kept").isNotNull(), text_of("_kept")).otherwise(F.col("text"))).select(*docs.columns)
+    return docs.join(left, "doc_id", "left").withColumn("text", F.when(F.col(name).isNotNull(), text_of(name)).otherwise(F.col("text"))).select(*docs.columns)

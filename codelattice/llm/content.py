@@ -9,7 +9,6 @@ menus, headers, footers, side columns, notices, adverts, forms and reader commen
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -198,7 +197,3 @@ def extract(pages: DataFrame) -> DataFrame:
         return html.map(main_text, na_action=None)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("text"))
-
-
-def texts_of(pages: Iterator[str]) -> list[str]:
-    return [main_text(x) for x in pages]

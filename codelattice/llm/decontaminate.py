@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import LOWER, span_hashes, text_chunks, window_hashes, window_ok, word_spans
+from codelattice.llm.common import LOWER, fresh, span_hashes, text_chunks, window_hashes, window_ok, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000  # benchmark text that one broadcast holds; larger benchmarks go in several passes
@@ -60,7 +59,7 @@ class Windows:
                     yield k, size, items
 
 
-def _scan_batches(windows: Windows, spans: bool):
+def _scan_batches(windows: Windows):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -109,7 +108,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for k in range(blocks):
         # one block of the test set, of about block_bytes
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        parts.append(texts.mapInArrow(_scan_batches(Windows([tuple(r) for r in mine.collect()], window), True), HITS))
+        parts.append(texts.mapInArrow(_scan_batches(Windows([tuple(r) for r in mine.collect()], window)), HITS))
     if blocks == 1:
         return parts[0]
     rows = parts[0]
@@ -153,7 +152,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit byte ranges cut out of ``text``; other columns stay. ``doc_id`` has to be unique."""
-    hits = benchmark_hits(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
+    name = fresh("_spans", docs)
+    hits = benchmark_hits(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(name)).dropDuplicates(["doc_id"])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -171,14 +171,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out)
 
-    return docs.join(hits, "doc_id", "left").withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    return docs.join(hits, "doc_id", "left").withColumn("text", cut("text", name)).select(*docs.columns)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated ones."""
     bad = decontamination_report(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import LOWER, text_chunks
+from codelattice.llm.common import LOWER, fresh, text_chunks
 
 SAMPLE_ROWS = 400  # labelled rows of each language that the classifiers are fitted on
 SAMPLE_CHARS = 20_000  # longer texts are not chosen for the fit
@@ -122,7 +122,8 @@ def fit(rows: list[tuple[str, str]], margin: float = MARGIN) -> Model:
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """About ``rows`` labelled texts of each language, chosen by a hash of the id; all where there are fewer."""
-    usable = docs.where("text is not null and lang is not null").where(F.length("text") <= chars).where(F.col("text").rlike(r"\p{L}"))
+    named = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = named.where("text is not null and lang is not null").where(F.length("text") <= chars).where(F.col("text").rlike(r"\p{L}"))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.join(F.broadcast(counts), "lang").where(share * F.col("_n") < rows)  # one row per language
@@ -166,9 +167,7 @@ def in_a_language(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return docs
-    name = "_lang"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("_lang", docs)
 
     @F.pandas_udf("string")
     def language(texts: pd.Series) -> pd.Series:
