@@ -54,8 +54,25 @@ def pruned_below(root: str, path: Column, hidden_only: bool = False) -> Column:
     return F.rlike(below, F.lit("/(" + "|".join(names) + ")/"))
 
 
+def _folded(path: Column) -> Column:
+    """Segments with ``..`` resolved; above the root of an absolute path there is nothing, a relative one keeps its ``..``."""
+    absolute = F.startswith(path, F.lit("/"))
+
+    def step(done, name):
+        up = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        back = F.when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(absolute, done).otherwise(F.concat(done, F.array(name)))
+        return F.when(name == "..", back).otherwise(F.concat(done, F.array(name)))
+
+    parts = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def normalised(path: Column) -> Column:
-    """Collapse ``//`` and ``/./`` and drop a trailing slash."""
+    """Collapse ``//`` and ``/./``, resolve ``..`` and drop a trailing slash."""
+    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.(/|$)")), _folded(path)).otherwise(_collapsed(path))
+
+
+def _collapsed(path: Column) -> Column:
     flat = F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), r"/{2,}", "/")
     return F.when(flat == "/", flat).otherwise(F.regexp_replace(flat, r"(/\.?)$", ""))
 

@@ -40,14 +40,14 @@ def upsert_keep_created(writes: DataFrame, keys: Sequence[str], order: str, crea
 def patch_annotations(table: DataFrame, patches: DataFrame, fields: Sequence[str], order: str) -> DataFrame:
     """Field-wise patch. A NULL field in a patch means "not given"; an empty string does overwrite.
 
-    Keyed by ``node_id``; several patches of one node apply in ``order``.
+    Keyed by ``node_id``; several patches of one node apply in ``order``. Other columns of ``table`` stay.
     """
     given = [
         F.max_by(F.struct(F.col(f).alias("v")), F.when(F.col(f).isNotNull(), F.col(order))).alias(f"_{f}") for f in fields
     ]
     merged = patches.groupBy("node_id").agg(*given)
     value = {f: F.coalesce(F.col(f"_{f}.v"), F.col(f), F.lit("")).alias(f) for f in fields}
-    return table.select("node_id", *fields).join(merged, "node_id", "full_outer").select("node_id", *value.values())
+    return table.join(merged, "node_id", "full_outer").select(*[value.get(c, c) for c in table.columns])
 
 
 def patch_nodes(virtual: DataFrame, patches: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def apply_file_delta(
 
     ``files`` (``file_path, file_hash``) names the saved files, ``new_symbols`` all their symbols,
     ``diff`` (``id, change``) the outcome of :func:`unit_diff`, and ``new_calls`` the calls of changed
-    units. Manual calls are never touched.
+    units. Manual calls are never touched. Further columns of ``manifest`` come from ``files`` where it has them.
     """
     fresh = last_per_key(new_symbols, ["id"], order).select(*symbols.columns)
     kept = skew_join(symbols, files.select("file_path").distinct(), "file_path", "left_anti")
@@ -288,11 +288,12 @@ def apply_file_delta(
     removed = diff.where(F.col("change") == "removed").select("id").distinct()
     indexed = skew_join(calls.where(~is_manual()), stale.withColumnRenamed("id", "caller_id"), "caller_id", "left_anti")
     indexed = skew_join(indexed, removed.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti")
-    seen = files.where((F.col("file_path") != "") & (F.coalesce("file_hash", F.lit("")) != "")).select("file_path", "file_hash")
+    told = [c for c in manifest.columns if c in files.columns]
+    seen = files.where((F.col("file_path") != "") & (F.coalesce("file_hash", F.lit("")) != "")).select(*told)
     return {
         "symbols": kept.unionByName(fresh),
         "method_calls": calls.where(is_manual()).unionByName(indexed).unionByName(new_calls.select(*calls.columns)),
-        "manifest": manifest.select("file_path", "file_hash").join(seen, "file_path", "left_anti").unionByName(seen),
+        "manifest": manifest.join(seen, "file_path", "left_anti").unionByName(seen, allowMissingColumns=True).select(*manifest.columns),
     }
 
 

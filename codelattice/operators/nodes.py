@@ -116,13 +116,13 @@ def directory_nodes(directories: DataFrame) -> DataFrame:
 def search_nodes(
     symbols: DataFrame, virtual: DataFrame, annotations: DataFrame, text: str, limit: int = 50
 ) -> DataFrame:
-    """Nodes whose label contains ``text`` in any case, by label; at most 50.
+    """Nodes whose label contains ``text`` in any case, by label; at most ``limit``.
 
     ``%`` and ``_`` in the text are wildcards. Built planned nodes are found too.
     """
     pattern = "%" + text.replace("\\", "\\\\") + "%"
     pool = real_nodes(symbols).unionByName(planned_nodes(virtual)).where(F.col("label").ilike(pattern))
-    top = pool.orderBy("label", "id").limit(min(limit, 50))
+    top = pool.orderBy("label", "id").limit(limit)
     return annotate_nodes(top, annotations).orderBy("label", "id")
 
 

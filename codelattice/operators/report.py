@@ -40,10 +40,16 @@ def virtual_tree(nodes: DataFrame) -> DataFrame:
             break
         done, depth = done.unionByName(level), depth + 1
     rootless = planned.join(roots.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
-    at = F.struct(F.lpad(F.col("seq").cast("string"), 19, "0").alias("label"), F.col("id"))
+    at = F.struct(_sortable(F.col("seq")).alias("label"), F.col("id"))
     return done.unionByName(rootless.select("*", F.lit(0).alias("depth"), F.array(at).alias("order"), F.lit(True).alias("flat")))
 
 
+def _sortable(number: Column) -> Column:
+    """A bigint as text that sorts like the number, negative ones included."""
+    shifted = number.bitwiseAND(F.lit(2**63 - 1))  # a negative number without its sign bit
+    return F.concat(F.when(number < 0, "0").otherwise("1"), F.lpad(shifted.cast("string"), 19, "0"))
+
+
 # The texts of a report.
 ADVICE = "*Use this context to inform your response. Proceed with whatever the user asked.*"
 USAGE = (
@@ -66,7 +72,7 @@ def _lines(df: DataFrame, section: int, items: list[tuple[str, Column | str, Col
                (F.lit(text) if isinstance(text, str) else text).alias("line")))
         for i, (kind, text, cond) in enumerate(items)
     ]
-    key = F.array(*[F.struct(c.cast("string").alias("label"), F.lit("").alias("id")) for c in order]) if order else F.array().cast("array<struct<label:string,id:string>>")
+    key = F.array(*[F.struct(c.cast("string").alias("label"), F.lit("").alias("id")).cast("struct<label:string,id:string>") for c in order]) if order else F.array().cast("array<struct<label:string,id:string>>")
     return df.select("snapshot_id", F.lit(section).alias("section"), key.alias("order"), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(
         "snapshot_id", "section", "order", "e.step", "e.kind", "e.line")
 
@@ -138,7 +144,7 @@ def report_lines(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
         F.lit("- **"), "label", F.lit("**"), F.when(F.col("line") > 0, F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))).otherwise(""),
         F.lit(" — "), "type", F.when(text_or_empty("description") != "", F.concat(F.lit(": "), "description")).otherwise(""))
     files = context.select("snapshot_id", "_file").distinct()
-    position = F.lpad(F.col("seq").cast("string"), 19, "0")
+    position = _sortable(F.col("seq"))
     parts += [
         _lines(files, 4, [("file", F.concat(F.lit("**File:** `"), "_file", F.lit("`")), None)], F.col("_file"), F.lit("")),
         _lines(context, 4, [("context", item, None)], F.col("_file"), position),

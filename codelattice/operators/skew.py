@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1 / 64  # a key with at least this share of the rows is hot, so at most 64 keys are
-HOT_ROWS = 1_000_000  # below this many rows a key is no burden for one task
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Values of ``key`` that hold at least ``share`` of all rows of ``df``.
 
     Runs one counting job over that column. There are never more than ``1 / share`` such values,
     whatever the size of ``df``, so the list is safe to bring to the driver.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_rows) & F.col(key).isNotNull())
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull())
     total = df.agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") >= total.scalar() * F.lit(share))
     return [row[0] for row in hot.select(key).collect()]

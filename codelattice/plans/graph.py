@@ -190,7 +190,7 @@ def endpoint_resolve(t):
     SELECT e.*, coalesce(a.remarks, '') AS remarks FROM ox_edges e LEFT JOIN fx_edge_annotations a ON a.edge_id = e.edge_id""")
 def edge_rollup(t):
     calls = all_calls(t)
-    hot = E.find_hubs(calls.select("caller_id", "callee_id"))
+    hot = E.find_hubs(E.call_pairs(calls))
     return E.edge_rollup(calls, all_nodes(t), t.fx_virtual_directories, t.fx_edge_annotations, hot)
 
 

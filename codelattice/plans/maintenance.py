@@ -40,7 +40,7 @@ oracle_view("ox_patches", """
 @query("annotation_patch", """
     SELECT coalesce(a.node_id, p.node_id) AS node_id,
       CASE WHEN p.d IS NOT NULL THEN p.d ELSE coalesce(a.description, '') END AS description,
-      CASE WHEN p.r IS NOT NULL THEN p.r ELSE coalesce(a.ai_remarks, '') END AS ai_remarks
+      CASE WHEN p.r IS NOT NULL THEN p.r ELSE coalesce(a.ai_remarks, '') END AS ai_remarks, a.updated_at
     FROM fx_node_annotations a FULL JOIN (
       SELECT node_id, arg_max(description, seq) FILTER (WHERE description IS NOT NULL) AS d,
         arg_max(ai_remarks, seq) FILTER (WHERE ai_remarks IS NOT NULL) AS r FROM ox_patches GROUP BY node_id) p

@@ -137,7 +137,7 @@ def incremental_index(
     """Apply a stream of saved files to the tables kept at ``root``, one batch after the other.
 
     ``saved_units`` has, for each saved file, all its units: ``file_path, file_hash, id, kind, body_hash,
-    seq``. ``calls_of`` gives the new calls of changed units (``id``). A batch that was applied before is
+    seq``; a file saved without units has one row with no ``id``. Of several saves in a batch the last counts. ``calls_of`` gives the new calls of changed units (``id``). A batch that was applied before is
     skipped, so a restart does not apply it twice.
     """
 
@@ -148,7 +148,9 @@ def incremental_index(
         tables = versioned.load_tables(spark, root, INDEX_TABLES)
         batch = batch.persist()
         files = batch.groupBy("file_path").agg(F.max_by("file_hash", "seq").alias("file_hash"))
-        new = I.last_per_key(batch.select("id", "kind", "file_path", "body_hash", "seq"), ["id"], "seq")
+        # units of each file's last save; a save without units is a row without an id
+        last = batch.join(files, ["file_path", "file_hash"], "left_semi").where("id is not null")
+        new = I.last_per_key(last.select("id", "kind", "file_path", "body_hash", "seq"), ["id"], "seq")
         old = tables["symbols"].join(files.select("file_path"), "file_path", "left_semi")
         diff = I.unit_diff(old, new)
         fresh = calls_of(diff.where(F.col("change") == "changed").select("id"))

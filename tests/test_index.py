@@ -100,3 +100,9 @@ def test_built_plans_are_marked(frame):
     symbols = frame("name string", [("A.b(int)",)])
     assert rows(I.mark_materialised(virtual, symbols), "id", "materialized") == [("v1", True), ("v2", False), ("v3", True)]
     assert rows(I.mark_materialised(virtual, symbols, ignore_parameters=True), "id", "materialized") == [("v1", True), ("v2", True), ("v3", True)]
+
+
+def test_patches_keep_other_columns(frame):
+    table = frame("node_id string, description string, code string", [("a", "old", "x = 1")])
+    patches = frame("node_id string, description string, at long", [("a", "new", 1), ("b", "more", 1)])
+    assert rows(I.patch_annotations(table, patches, ["description"], "at"), "node_id", "description", "code") == [("a", "new", "x = 1"), ("b", "more", None)]

@@ -70,7 +70,7 @@ def test_rollup_is_the_same_with_hubs(spark, frame):
         F.when(F.col("id") % 7 == 0, "manual").otherwise("direct").alias("call_type"))
     nodes = spark.range(60).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id")).withColumn("label", F.col("id"))
     keys, pairs = E.endpoint_keys(nodes), E.call_pairs(calls)
-    hubs = E.find_hubs(calls.select("caller_id", "callee_id"), share=0.2, min_rows=10)
+    hubs = E.find_hubs(calls.select("caller_id", "callee_id"), share=0.2)
     assert hubs.callees == ["n0"]
     assert rows(E.roll_up(pairs, keys, hot=hubs), "*") == rows(E.roll_up(pairs, keys), "*")
 
@@ -78,7 +78,7 @@ def test_rollup_is_the_same_with_hubs(spark, frame):
 def test_skew_join_kinds_agree_with_plain_joins(spark):
     left = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).alias("k"), "id")
     right = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = hot_keys(left, "k", share=0.3, min_rows=1)
+    hot = hot_keys(left, "k", share=0.3)
     assert hot == [7]
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(skew_join(left, right, "k", how, hot=hot, salts=8), "*") == rows(left.join(right, ["k"], how), "*")

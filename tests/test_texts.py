@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths, scoring, text
 from codelattice.operators import masking as M
+from codelattice.operators import report
 from codelattice.operators import sessions as Z
 from codelattice.operators import text_units as U
 from tests.conftest import rows
@@ -172,3 +173,24 @@ def test_sessions(frame):
     sent = frame("id string, seq int, code string", [("a", 0, "old"), ("a", 1, "new"), ("b", 1, "bad")])
     assert rows(Z.session_transitions(sessions, sent, results), "id", "filled_code", "status") == [
         ("a", "new", "validated"), ("b", "bad", "filled"), ("c", "", "pending"), ("d", "", "pending")]
+
+
+def test_overlapping_points_are_masked_once(frame):
+    code = "class A {\n  void f() {\n    if ((x = a > 1 && c.d() ? 1 : 0) > 0) {\n      y();\n    }\n  }\n}\n"
+    masked = M.mask_texts(frame("path string, language string, text string", [("A.java", "java", code)]), "path", limit=0).persist()
+    marks = masked.select(F.regexp_count("masked_code", F.lit("mask_[0-9a-f]{16}"))).first()[0]
+    assert M.mask_rows(masked, "path").count() == marks > 0
+
+
+def test_parent_folders_are_resolved(frame):
+    wanted = {"/ws/../etc/x": "/etc/x", "/ws/a/../b": "/ws/b", "/../x": "/x", "../x": "../x", "a/../../x": "../x", "/ws//a/./b/": "/ws/a/b", "/a/..": "/", "/a..b/c": "/a..b/c"}
+    df = frame("p string", [(p,) for p in wanted]).select("p", paths.normalised(F.col("p")).alias("n"), paths.within(F.col("p"), "/ws").alias("w"))
+    found = {r.p: (r.n, r.w) for r in df.collect()}
+    assert {p: n for p, (n, _) in found.items()} == wanted
+    assert [p for p, (_, w) in found.items() if w] == ["/ws/a/../b", "/ws//a/./b/"]
+
+
+def test_numbers_as_sort_keys(frame):
+    numbers = [-(2**63), -1234567890123456789, -5, -1, 0, 3, 20, 2**63 - 1]
+    df = frame("n long", [(n,) for n in reversed(numbers)]).orderBy(report._sortable(F.col("n")))
+    assert [r.n for r in df.collect()] == numbers
