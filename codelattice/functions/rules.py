@@ -14,22 +14,44 @@ FAMILIES = {"java": ("java",), "python": ("python",), "go": ("go",), "typescript
 # Lines that open a class-like block; group 1 is its name.
 CLASS_LINE = {
     "java": r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)",
-    "python": r"^(?:    |\t)?class\s+(\w+)",
+    "python": r"^\s*class\s+(\w+)",
     "go": r"^type\s+(\w+)\s+(?:struct|interface)\b",
     "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+(\w+)",
 }
 
+# What stands between the parentheses of a parameter list, with one level of parentheses inside.
+_PARAMS = r"([^()]*(?:\([^()]*\)[^()]*)*)"
+
 # Lines that open a unit; group 1 is its name, group 2 its parameters.
 UNIT_LINE = {
-    "java": r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*(?:[\w<>\[\],.? ]*[\w>\]]\s+)?(\w+)\s*\(([^;]*)\)[^;()]*\{\s*$",
-    "python": r"^(?:    |\t)?(?:async\s+)?def\s+(\w+)\s*\((.*)\)[^()]*:\s*$",
-    "go": r"^func\s+(?:\([^()]*\)\s*)?(\w+)\s*\(([^{]*)\)[^{()]*\{\s*$",
-    "typescript": r"^\s*(?:export\s+)?(?:(?:public|protected|private|static|async|function)\s+)*(\w+)\s*\((.*)\)[^()]*\{\s*$",
+    "java": r"^\s+(?:@\w+(?:\([^()]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*"
+    r"(?:[\w<>\[\],.? ]*[\w>\]]\s+)?(\w+)\s*\(" + _PARAMS + r"\)\s*(?:throws\s+[\w.,\s]+)?(?:\{.*|;\s*)$",
+    "python": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(" + _PARAMS + r"\)\s*(?:->[^:]*)?:",
+    "go": r"^func\s+(?:\([^()]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(" + _PARAMS + r"\)[^(){]*(?:\([^()]*\)[^(){]*)*\{",
+    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:(?:public|protected|private|static|async|function)\s+)*(\w+)\s*(?:<[^()]*>\s*)?\(" + _PARAMS + r"\)[^();]*\{",
+}
+# A Java method without a body has a type before its name; a call has none.
+TYPED = r"^\s+[^(]*[\w>\]]\s+\w+\s*\("
+# Lines that give a name a function as its value.
+VALUE_LINE = {
+    "typescript": r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]*)?=\s*(?:async\s+)?(?:function\s*\w*\s*)?(?:\(" + _PARAMS + r"\)|\w+)\s*(?::[^=>]*)?(?:=>|\{)",
 }
+# Field declarations; group 1 is the list of names with their values.
+FIELD_LINE = (
+    r"^\s+(?:@\w+(?:\([^()]*\))?\s+)*(?:(?:public|protected|private|static|final|volatile|transient)\s+)*"
+    r"[\w.]+(?:<[^=;()]*>)?(?:\[\])*\s+(\w+(?:\[\])*\s*(?:;|,.*;|=.*))\s*(?://.*)?$"
+)
+# Code on the header line itself.
+_AFTER_BRACE = r"\)[^()]*?\{(.*)$"
+BODY_ON_HEADER = {"java": _AFTER_BRACE, "go": _AFTER_BRACE, "python": r"\)\s*(?:->[^:]*)?:(.*)$", "typescript": r"(?:\)[^()]*?\{|=>)(.*)$"}
 GO_RECEIVER = r"^func\s+\(\s*\w*\s*\*?(\w+)[^)]*\)"
 
 # Names a unit line may show that are statements.
 STATEMENTS = ("if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else", "try", "do", "function")
+# Lines that start like a unit or a field but are statements.
+STATEMENT_START = r"^\s*(?:return|throw|new|else|assert|yield|await|case|package|import)\s+\S"
+# Words before a parenthesis that are not calls in Go.
+NOT_CALLED = ("if", "for", "switch", "return", "func", "go", "defer", "range", "select", "case", "interface", "chan", "map", "struct")
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,9 @@
 """Cutting files into units and reading symbols and calls off them.
 
-Everything works inside a row, on the array of a text's lines, so these jobs have no shuffle. The rules
-are line patterns, not a parser: a unit starts at a line that matches, and ends at the first line that
-closes it at the same indent, or before the next unit.
+Everything works inside a row, on the array of a text's lines, so these jobs read a text once and have no
+shuffle. The rules are line patterns, not a parser: a block starts at a line that matches and ends there if
+that line closes its braces, else at the first later line that closes it at the same indent. Where none does,
+it ends before the next block with no more indent. Python's blocks end before the first line with no more indent.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths, text
-from codelattice.functions.rules import CALL, CLASS_LINE, DECLARATION, FAMILIES, GO_RECEIVER, STATEMENTS, UNIT_LINE
+from codelattice.functions.rules import (
+    BODY_ON_HEADER, CALL, CLASS_LINE, DECLARATION, FAMILIES, FIELD_LINE, GO_RECEIVER, NOT_CALLED, STATEMENT_START, STATEMENTS, TYPED, UNIT_LINE, VALUE_LINE,
+)
 from codelattice.operators.skew import first_per_key, skew_join
 
+FIELD = "array<struct<owner:string,line_no:int,end_line:int,header:string,names:array<string>>>"
+
 
 def hold(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row, even when a lambda uses them many times."""
@@ -31,108 +36,170 @@ def _indent(line: Column) -> Column:
 
 
 def _headers(language: str) -> Column:
-    """Array of unit header lines of ``lines``: ``line_no, name, params, header, is_class, indent``."""
-    unit, klass = UNIT_LINE[language], CLASS_LINE[language]
+    """Array of block header lines of ``lines``: ``line_no, name, params, header, is_class, bare, typed, indent``."""
+    unit, klass, value = UNIT_LINE[language], CLASS_LINE[language], VALUE_LINE.get(language)
+    patterns = [p for p in (klass, unit, value) if p]
     numbered = F.transform("lines", lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("header")))
-    opening = F.filter(numbered, lambda x: F.rlike(x["header"], F.lit(klass)) | F.rlike(x["header"], F.lit(unit)))
+
+    def opening(x):
+        found = F.lit(False)
+        for p in patterns:
+            found = found | F.rlike(x["header"], F.lit(p))
+        return found & ~F.rlike(x["header"], F.lit(STATEMENT_START))
 
     def parts(x):
         s = x["header"]
-        name = F.coalesce(F.nullif(F.regexp_extract(s, klass, 1), F.lit("")), F.regexp_extract(s, unit, 1))
+        name = F.coalesce(*[F.nullif(F.regexp_extract(s, p, 1), F.lit("")) for p in patterns], F.lit(""))
+        params = F.coalesce(*[F.nullif(F.regexp_extract(s, p, 2), F.lit("")) for p in patterns[1:]], F.lit(""))
+        bare = F.rlike(s, F.lit(r";\s*$")) & ~F.contains(s, F.lit("{")) if language == "java" else F.lit(False)
+        typed = F.rlike(s, F.lit(TYPED))
         return F.struct(
-            x["line_no"].alias("line_no"), name.alias("name"), F.regexp_extract(s, unit, 2).alias("params"), s.alias("header"),
-            F.rlike(s, F.lit(klass)).alias("is_class"), _indent(s).alias("indent"))
+            x["line_no"].alias("line_no"), name.alias("name"), params.alias("params"), s.alias("header"), F.rlike(s, F.lit(klass)).alias("is_class"),
+            bare.alias("bare"), typed.alias("typed"), _indent(s).alias("indent"))
 
-    found = F.transform(opening, parts)
-    return F.filter(found, lambda h: (h["name"] != "") & (h["is_class"] | ~h["name"].isin(*STATEMENTS)))
+    found = F.transform(F.filter(numbered, opening), parts)
+    return F.filter(found, lambda h: (h["name"] != "") & (h["is_class"] | ~h["name"].isin(*STATEMENTS) & (~h["bare"] | h["typed"])))
 
 
 def _end_line(h: Column, following: Column, language: str) -> Column:
     """Last line of the block that ``h`` opens, before line ``following``."""
-    inner = F.slice("lines", h["line_no"] + 1, F.greatest(following - h["line_no"] - 1, F.lit(0)))
+    first, count = h["line_no"] + 1, F.greatest(following - h["line_no"] - 1, F.lit(0))
     if language == "python":
-        closes = F.transform(inner, lambda s: (F.trim(s) != "") & (_indent(s) <= h["indent"]))
-        at = F.array_position(closes, F.lit(True)).cast("int")
+        inner = F.slice("indents", first, count)
+        at = F.array_position(F.transform(inner, lambda n: n <= h["indent"]), F.lit(True)).cast("int")
         block = F.when(at > 0, F.slice(inner, F.lit(1), at - 1)).otherwise(inner)
-        full = F.array_join(block, "\n")
-        kept = F.regexp_replace(full, r"\s+$", "")
-        return h["line_no"] + F.when(kept == "", 0).otherwise(text.count_of(kept, "\n") + 1)
+        return h["line_no"] + F.coalesce(F.array_max(F.transform(block, lambda n, i: F.when(n.isNotNull(), i + 1))), F.lit(0))
     brace = F.concat(F.substr(h["header"], F.lit(1), h["indent"]), F.lit("}"))
-    at = F.array_position(F.transform(inner, lambda s: F.startswith(s, brace)), F.lit(True)).cast("int")
-    return F.when(at > 0, h["line_no"] + at).otherwise(following - 1)
+    at = F.array_position(F.transform(F.slice("lines", first, count), lambda s: F.startswith(s, brace)), F.lit(True)).cast("int")
+    closed = text.count_of(h["header"], "{") <= text.count_of(h["header"], "}")
+    return F.when(closed, h["line_no"]).when(at > 0, h["line_no"] + at).otherwise(following - 1)
+
+
+def _blocks(language: str) -> Column:
+    """``headers`` with ``end_line`` and, for classes, the least indent inside."""
+    last = F.size("lines") + 1
+
+    def block(h, i):
+        later = F.filter(F.slice("headers", i + 2, F.size("headers")), lambda c: c["indent"] <= h["indent"])
+        end = _end_line(h, F.coalesce(F.get(later, F.lit(0))["line_no"], last), language)
+        return h.withField("end_line", end.cast("int"))
+
+    def inside(h):
+        members = F.slice("indents", h["line_no"] + 1, F.greatest(h["end_line"] - h["line_no"] - 1, F.lit(0)))
+        return h.withField("inner", F.when(h["is_class"], F.array_min(members)))
+
+    return F.transform(F.transform("headers", block), inside)
 
 
-def _owner(h: Column, language: str) -> Column:
-    """Class a unit belongs to, empty for none."""
+def _around(line_no: Column) -> Column:
+    """Blocks that hold a line, other than as their header; the innermost is last."""
+    return F.filter("blocks", lambda c: (c["line_no"] < line_no) & (c["end_line"] >= line_no))
+
+
+def _last_name(blocks: Column) -> Column:
+    return F.coalesce(F.try_element_at(blocks, F.lit(-1))["name"], F.lit(""))
+
+
+def _owner(h: Column, around: Column, language: str) -> Column:
+    """Class a unit belongs to, empty for none; NULL for a line that is no unit after all.
+
+    Java: the innermost class, also from inside a method. A method without a body stands right in a class.
+    Python and TypeScript: what is defined inside a function does not count.
+    """
     if language == "go":
         return F.regexp_extract(h["header"], GO_RECEIVER, 1)
+    in_class = F.coalesce(F.try_element_at(around, F.lit(-1))["is_class"], F.lit(False))
     if language == "java":
-        above = F.filter("headers", lambda c: c["is_class"] & (c["line_no"] < h["line_no"]))
-        return F.coalesce(F.try_element_at(above, F.lit(-1))["name"], F.lit(""))
-    # The last line above with less indent that opens a block must be a class.
-    above = F.filter("headers", lambda c: (c["indent"] < h["indent"]) & (c["line_no"] < h["line_no"]))
-    last = F.try_element_at(above, F.lit(-1))
-    return F.when(last["is_class"], last["name"]).when(F.size(above) > 0, F.lit(None)).otherwise(F.lit(""))
-
-
-def _units(df: DataFrame, language: str) -> DataFrame:
-    """``df`` rows of one language with ``lines`` and the array ``units``, in text order."""
-    rows = hold(df.where(F.col("language").isin(*FAMILIES[language])), lines=text.lines(F.col("text")))
-    rows = hold(rows, headers=_headers(language))
-    count = F.size("lines") + 1
-
-    def unit(h, i):
-        following = F.coalesce(F.get("headers", i + 1)["line_no"], count)
+        return F.when(~h["bare"] | in_class, _last_name(F.filter(around, lambda c: c["is_class"])))
+    return F.when(~F.exists(around, lambda c: ~c["is_class"]), _last_name(around))
+
+
+def _fields() -> Column:
+    """Field lines of Java classes: those right in a class, at the indent of its members."""
+    numbered = F.transform("lines", lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("header")))
+    lines = F.filter(numbered, lambda x: F.rlike(x["header"], F.lit(FIELD_LINE)) & ~F.rlike(x["header"], F.lit(STATEMENT_START)))
+
+    def field(x):
+        owner = F.try_element_at(_around(x["line_no"]), F.lit(-1))
+        rest = F.slice("lines", x["line_no"], F.size("lines"))
+        end = F.array_position(F.transform(rest, lambda s: F.rlike(s, F.lit(r";\s*(//.*)?$"))), F.lit(True)).cast("int")
+        names = text.split_params(F.regexp_replace(F.regexp_extract(x["header"], FIELD_LINE, 1), r";\s*(//.*)?$", ""))
+        member = owner["is_class"] & (owner["inner"] == _indent(x["header"]))
         return F.struct(
-            h["name"].alias("name"), _owner(h, language).alias("owner"), h["is_class"].alias("is_class"),
-            h["line_no"].alias("start_line"), _end_line(h, following, language).alias("end_line"),
-            F.trim(h["header"]).alias("header"), h["params"].alias("params"),
-        )
+            F.when(member, owner["name"]).alias("owner"), x["line_no"].alias("line_no"), (x["line_no"] + F.greatest(end, F.lit(1)) - 1).alias("end_line"),
+            F.trim(x["header"]).alias("header"), F.transform(names, lambda n: F.regexp_extract(n, r"^(\w+)", 1)).alias("names"))
+
+    return F.filter(F.transform(lines, field), lambda f: f["owner"].isNotNull()).cast(FIELD)
+
+
+def _units(df: DataFrame) -> DataFrame:
+    """Source files (no text: an empty one) with ``family``, ``lines`` and the arrays ``units`` and ``fields``, in text order."""
+    family = text.by_language(F.col("language"), F.lit)
+    code = F.coalesce("text", F.lit("")).alias("text")
+    rows = hold(df.select("file_path", "language", code, family.alias("family")).where(F.col("family").isNotNull()), lines=text.lines(F.col("text")))
 
-    cut = hold(rows, units=F.filter(F.transform("headers", unit), lambda u: u["owner"].isNotNull()))
-    return cut.drop("headers")
+    def pick(make) -> Column:
+        return text.by_language(F.col("family"), make)
 
+    rows = hold(rows, headers=pick(_headers), indents=F.transform("lines", lambda s: F.when(F.trim(s) != "", _indent(s))))
+    rows = hold(rows, blocks=pick(_blocks))
+    rows = hold(rows, placed=F.transform("blocks", lambda h: F.struct(h.alias("h"), _around(h["line_no"]).alias("around"))))
 
-def _body(u: str = "unit") -> Column:
-    return F.array_join(F.slice("lines", F.col(f"{u}.start_line"), F.col(f"{u}.end_line") - F.col(f"{u}.start_line") + 1), "\n")
+    def units(language):
+        def unit(p):
+            h = p["h"]
+            return F.struct(
+                h["name"].alias("name"), _owner(h, p["around"], language).alias("owner"), h["is_class"].alias("is_class"),
+                F.exists(p["around"], lambda c: ~c["is_class"]).alias("nested"), h["line_no"].alias("start_line"), h["end_line"].alias("end_line"),
+                F.trim(h["header"]).alias("header"), h["params"].alias("params"), F.regexp_extract(h["header"], BODY_ON_HEADER[language], 1).alias("on_header"))
 
+        return F.filter(F.transform("placed", unit), lambda u: u["owner"].isNotNull())
 
-def _all_units(files: DataFrame) -> list[tuple[str, DataFrame]]:
-    return [(language, _units(files, language)) for language in FAMILIES]
+    fields = F.when(F.col("family") == "java", _fields()).otherwise(F.array().cast(FIELD))
+    return hold(rows, units=pick(units), fields=fields).drop("headers", "indents", "blocks", "placed")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+def _is_init(unit: Column, family: Column) -> Column:
+    """True for a constructor."""
+    name, owner = unit["name"], unit["owner"]
+    member = owner != ""
+    return F.when(family == "java", name == owner).when(family == "python", member & (name == "__init__")).when(
+        family == "typescript", member & (name == "constructor")).otherwise(F.lit(False))
+
+
+def _callable(family: Column) -> Column:
+    """``units`` without classes and Java's constructors."""
+    return F.filter("units", lambda u: ~u["is_class"] & ~((family == "java") & (u["name"] == u["owner"])))
+
+
+def _inner_lines(u: str = "unit") -> Column:
+    """Code of a unit below its header, and what the header line itself holds of it."""
+    below = F.slice("lines", F.col(f"{u}.start_line") + 1, F.col(f"{u}.end_line") - F.col(f"{u}.start_line"))
+    return F.concat(F.array(F.col(f"{u}.on_header")), below)
 
 
 def segment_units(files: DataFrame) -> DataFrame:
     """Callable units of source files (``file_path, language, text``).
 
     ``name`` carries the class for Python and TypeScript; Java constructors are not units. ``body`` keeps
-    the indent of its first line.
+    the indent of its first line. ``nested`` units stand inside the body of another unit.
     """
-    out = []
-    for language, cut in _all_units(files):
-        rows = cut.select("file_path", "language", "lines", F.explode(F.filter("units", lambda u: ~u["is_class"])).alias("unit"))
-        name, owner, header = F.col("unit.name"), F.col("unit.owner"), F.col("unit.header")
-        qualified = F.when(owner != "", F.concat(owner, F.lit("."), name)).otherwise(name) if language in ("python", "typescript") else name
-        if language == "java":
-            rows = rows.where(name != owner)
-        public = {"java": F.rlike(header, F.lit(r"\bpublic\b")), "go": F.rlike(name, F.lit("^[A-Z]"))}.get(language, F.lit(True))
-        static = F.rlike(header, F.lit(r"\bstatic\b")) if language in ("java", "typescript") else F.lit(False)
-        out.append(rows.select(
-            "file_path", "language", qualified.alias("name"), F.col("unit.start_line").alias("start_line"), F.col("unit.end_line").alias("end_line"),
-            F.regexp_replace(header, r"\s*[{:]\s*$", "").alias("signature"), _body().alias("body"), static.alias("is_static"), public.alias("is_public"),
-            F.array_join(text.split_params(F.col("unit.params")), "; ").alias("params")))
-    return _union(out)
+    family = F.col("family")
+    rows = _units(files).select("file_path", "language", "family", "lines", F.explode(_callable(family)).alias("unit"))
+    name, owner, header = F.col("unit.name"), F.col("unit.owner"), F.col("unit.header")
+    qualified = F.when(family.isin("python", "typescript") & (owner != ""), F.concat(owner, F.lit("."), name)).otherwise(name)
+    public = F.when(family == "java", F.rlike(header, F.lit(r"\bpublic\b"))).when(family == "go", F.rlike(name, F.lit("^[A-Z]"))).otherwise(F.lit(True))
+    static = family.isin("java", "typescript") & F.rlike(header, F.lit(r"\bstatic\b"))
+    body = F.array_join(F.slice("lines", F.col("unit.start_line"), F.col("unit.end_line") - F.col("unit.start_line") + 1), "\n")
+    return rows.select(
+        "file_path", "language", qualified.alias("name"), F.col("unit.start_line").alias("start_line"), F.col("unit.end_line").alias("end_line"),
+        F.regexp_replace(header, r"\s*[{:]\s*$", "").alias("signature"), body.alias("body"), static.alias("is_static"), public.alias("is_public"),
+        F.array_join(text.split_params(F.col("unit.params")), "; ").alias("params"), F.col("unit.nested").alias("nested"))
 
 
 def without_units(files: DataFrame) -> DataFrame:
     """Paths of source files in which no callable unit was found."""
-    return _union([cut.where(F.size(F.filter("units", lambda u: ~u["is_class"])) == 0).select("file_path", "language") for _, cut in _all_units(files)])
+    return _units(files).where(F.size(_callable(F.col("family"))) == 0).select("file_path", "language")
 
 
 SIGNATURE_LIMIT = {"java": 200, "go": 200, "python": 240, "typescript": 240}
@@ -141,74 +208,93 @@ SIGNATURE_LIMIT = {"java": 200, "go": 200, "python": 240, "typescript": 240}
 def symbol_table(files: DataFrame) -> DataFrame:
     """Symbols of source files: ``id, name, kind, file_path, line, end_line, signature, body_hash``.
 
-    Names are ``Class.method(types)``, ``Class.<init>(types)`` and, for Python and TypeScript functions,
-    ``module.function(types)``.
+    Names are ``Class.method(types)``, ``Class.<init>(types)``, ``Class.field`` and, for Python and TypeScript
+    functions, ``module.function(types)``.
     """
-    out = []
-    for language, cut in _all_units(files):
-        rows = cut.select("file_path", "lines", F.explode("units").alias("unit"))
-        name, owner, is_class = F.col("unit.name"), F.col("unit.owner"), F.col("unit.is_class")
-        header, member = F.col("unit.header"), F.col("unit.owner") != ""
-        init = {"java": name == owner, "python": member & (name == "__init__"), "go": F.lit(False)}.get(language, member & (name == "constructor"))
+    family = F.col("family")
+    cut = _units(files)
+
+    def member(language, named):
+        """The one ``struct`` of columns a unit turns into."""
+        u = named
+        name, owner, is_class, header = u["name"], u["owner"], u["is_class"], u["header"]
+        held, init = owner != "", _is_init(u, F.lit(language))
         module = F.regexp_replace(paths.base_name(F.col("file_path")), r"\.[^.]*$", "")
         alone = name if language in ("java", "go") else F.concat(module, F.lit("."), name)
-        params = F.col("unit.params")
-        types = text.param_types(params, language)
+        types = text.param_types(u["params"], language)
         if language == "python":
-            types = F.when(member, text.param_types(params, language, member=True)).otherwise(types)
-        qualified = F.when(init, F.concat(owner, F.lit(".<init>"))).when(member, F.concat(owner, F.lit("."), name)).otherwise(alone)
-        full = F.when(is_class, name).otherwise(F.concat(qualified, F.lit("("), F.array_join(types, ","), F.lit(")")))
-        function_kind = "function" if language == "go" else "method"
+            types = F.when(held, text.param_types(u["params"], language, member=True)).otherwise(types)
+        qualified = F.when(init, F.concat(owner, F.lit(".<init>"))).when(held, F.concat(owner, F.lit("."), name)).otherwise(alone)
         class_kind = F.when(F.rlike(header, F.lit(r"\binterface\b")), "interface").otherwise("struct" if language == "go" else "class")
-        kind = F.when(is_class, class_kind).when(init, "constructor").when(member, "method").otherwise(function_kind)
-        signature = text.first_line_signature(header, SIGNATURE_LIMIT[language])
-        inner = F.array_join(F.slice("lines", F.col("unit.start_line") + 1, F.col("unit.end_line") - F.col("unit.start_line")), "\n")
-        hashed = F.when(is_class, F.lit("")).otherwise(text.body_hash(inner, language))
-        out.append(rows.select(
-            ids.symbol_id(F.col("file_path"), full, kind, signature).alias("id"), full.alias("name"), kind.alias("kind"), "file_path",
-            F.col("unit.start_line").alias("line"), F.col("unit.end_line").alias("end_line"), signature.alias("signature"), hashed.alias("body_hash")))
-    return _union(out)
+        return F.struct(
+            F.when(is_class, name).otherwise(F.concat(qualified, F.lit("("), F.array_join(types, ","), F.lit(")"))).alias("name"),
+            F.when(is_class, class_kind).when(init, "constructor").when(held, "method").otherwise("function" if language == "go" else "method").alias("kind"),
+            u["start_line"].alias("line"), u["end_line"].alias("end_line"), text.first_line_signature(header, SIGNATURE_LIMIT[language]).alias("signature"),
+            F.when(is_class, F.lit("")).otherwise(text.body_hash(F.array_join(_inner_lines(), "\n"), language)).alias("body_hash"))
+
+    # Fields go along as entries without a unit, so that the texts are read once.
+    flat = F.flatten(F.transform("fields", lambda f: F.transform(f["names"], lambda n: F.struct(
+        F.concat(f["owner"], F.lit("."), n).alias("name"), F.lit("field").alias("kind"), f["line_no"].alias("line"), f["end_line"].alias("end_line"),
+        text.first_line_signature(f["header"], SIGNATURE_LIMIT["java"]).alias("signature"), F.lit("").alias("body_hash")))))
+    shape = "struct<name:string,kind:string,line:int,end_line:int,signature:string,body_hash:string>"
+    entries = F.concat(
+        F.transform("units", lambda u: F.struct(u.alias("unit"), F.lit(None).cast(shape).alias("field"))),
+        F.transform(flat, lambda f: F.struct(F.lit(None).cast(cut.schema["units"].dataType.elementType).alias("unit"), f.cast(shape).alias("field"))))
+    rows = cut.select("file_path", "family", "lines", F.inline(entries))
+    found = hold(rows, s=F.coalesce("field", text.by_language(family, lambda k: member(k, F.col("unit"))).cast(shape)))
+    return found.select(
+        ids.symbol_id(F.col("file_path"), F.col("s.name"), F.col("s.kind"), F.col("s.signature")).alias("id"), "s.name", "s.kind", "file_path",
+        "s.line", "s.end_line", "s.signature", "s.body_hash")
+
+
+def _code_lines(files: DataFrame) -> DataFrame:
+    """``file_path, family, class_name, caller, line, code``: each line with the innermost unit it is in.
+
+    Of a header line ``code`` is what follows the opening brace; ``caller`` is NULL outside of units.
+    """
+    cut = _units(files)
+    rows = cut.select("file_path", "family", "units", F.posexplode("lines").alias("pos", "code")).withColumn("line", F.col("pos") + 1)
+    line = F.col("line")
+    holding = F.filter("units", lambda u: ~u["is_class"] & (u["start_line"] <= line) & (u["end_line"] >= line))
+    at = hold(rows, u=F.try_element_at(holding, F.lit(-1)))
+    code = F.when(F.col("u.start_line") == line, F.col("u.on_header")).otherwise(F.col("code"))
+    return at.select("file_path", "family", F.col("u.owner").alias("class_name"), F.col("u.name").alias("caller"), "line", code.alias("code"))
 
 
-def call_candidates(files: DataFrame, language: str = "java") -> DataFrame:
-    """Calls inside units: ``file_path, class_name, caller, line, receiver, method, call_type``, once per line.
+def call_candidates(files: DataFrame) -> DataFrame:
+    """Calls inside units of Java and Go files, once per line:
+    ``file_path, language, class_name, caller, line, receiver, method, call_type``.
 
     ``X::m`` is a method reference, ``new T`` a constructor, ``super.m(`` a super call, a capitalised
-    receiver a static one. A call on the result of another call has no receiver and is left out.
+    receiver a static one. A call on the result of another call has no receiver and is left out, and so is a
+    conversion to a slice type in Go.
     """
-    cut = _units(files, language)
-    rows = cut.select("file_path", "lines", F.explode(F.filter("units", lambda u: ~u["is_class"])).alias("unit"))
-    body = F.slice("lines", F.col("unit.start_line") + 1, F.col("unit.end_line") - F.col("unit.start_line"))
-    lines = rows.select(
-        "file_path", F.col("unit.owner").alias("class_name"), F.col("unit.name").alias("caller"), F.col("unit.start_line").alias("at"),
-        F.posexplode(body).alias("pos", "code"))
-    plain = F.regexp_replace(F.regexp_replace("code", r"//[^\n]*", ""), r"\"(?:[^\"\\]|\\.)*\"", '""')
-    found = lines.select("file_path", "class_name", "caller", (F.col("at") + F.col("pos") + 1).alias("line"),
-                         F.explode(F.regexp_extract_all(F.regexp_replace(plain, r"\)\s*\.\s*\w+\s*\(", ")("), F.lit(CALL), F.lit(0))).alias("hit"))
-    ref = F.col("hit").contains("::")
-    new = F.rlike("hit", F.lit(r"^new\s"))
-    dotted = F.regexp_replace("hit", r"\s*\($", "")
-    receiver = F.when(ref, F.substring_index("hit", "::", 1)).when(new, F.regexp_extract("hit", r"^new\s+(\w+)", 1)).otherwise(
-        F.when(F.instr(dotted, ".") > 0, F.regexp_replace(dotted, r"\.\w+$", "")).otherwise(F.lit("")))
-    method = F.when(ref, F.substring_index("hit", "::", -1)).when(new, F.lit("<init>")).otherwise(F.substring_index(dotted, ".", -1))
-    kind = (
-        F.when(ref, "method_reference").when(new, "constructor").when(F.startswith(receiver, F.lit("super")), "super")
-        .when(F.rlike(receiver, F.lit("^[A-Z]")), "static").otherwise("direct"))
-    calls = found.select("file_path", "class_name", "caller", "line", receiver.alias("receiver"), method.alias("method"), kind.alias("call_type"))
-    return calls.where(~F.col("method").isin(*STATEMENTS)).distinct()
-
-
-def declared_types(files: DataFrame, language: str = "java") -> DataFrame:
-    """``file_path, caller, name, type_name``: declared locals per unit, and fields with an empty caller."""
-    cut = _units(files, language)
-    units = F.filter("units", lambda u: ~u["is_class"])
-    pieces = cut.select("file_path", "lines", F.explode(units).alias("unit")).select(
-        "file_path", F.col("unit.name").alias("caller"), _body().alias("code"))
-    inside = F.exists(units, lambda u: (F.col("no") >= u["start_line"]) & (F.col("no") <= u["end_line"]))
-    # A field line is one outside every unit.
-    numbered = cut.select("file_path", "units", F.posexplode("lines").alias("pos", "code")).withColumn("no", F.col("pos") + 1)
-    fields = numbered.where(~inside).select("file_path", F.lit("").alias("caller"), "code")
-    found = pieces.unionByName(fields).select("file_path", "caller", F.explode(F.regexp_extract_all("code", F.lit(DECLARATION), F.lit(0))).alias("d"))
+    known = _code_lines(files.where(F.col("language").isin("java", "go"))).where(F.col("caller").isNotNull())
+    plain = F.regexp_replace(F.regexp_replace("code", r"\"(?:[^\"\\]|\\.)*\"|`[^`]*`", '""'), r"//[^\n]*", "")
+    apart = F.regexp_replace(plain, r"\)\s*\.\s*\w+\s*\(|\]\s*\w+\s*\(", ")(")
+    java = F.col("family") == "java"
+
+    def parsed(hit):
+        ref, new = F.contains(hit, F.lit("::")), F.rlike(hit, F.lit(r"^new\s"))
+        dotted = F.regexp_replace(hit, r"\s*\($", "")
+        receiver = F.when(ref, F.substring_index(hit, "::", 1)).when(new, F.regexp_extract(hit, r"^new\s+(\w+)", 1)).otherwise(
+            F.when(F.instr(dotted, ".") > 0, F.regexp_replace(dotted, r"\.\w+$", "")).otherwise(F.lit("")))
+        method = F.when(ref, F.substring_index(hit, "::", -1)).when(new, F.lit("<init>")).otherwise(F.substring_index(dotted, ".", -1))
+        kind = (
+            F.when(ref, "method_reference").when(new, "constructor").when(java & F.startswith(receiver, F.lit("super")), "super")
+            .when(F.rlike(receiver, F.lit("^[A-Z]")), "static").otherwise("direct"))
+        return F.struct(receiver.alias("receiver"), method.alias("method"), kind.alias("call_type"))
+
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(apart, F.lit(CALL), F.lit(0)), parsed))
+    rows = known.select("file_path", F.col("family").alias("language"), "class_name", "caller", "line", F.inline(hits))
+    barred = F.col("method").isin(*STATEMENTS) & (F.col("language") == "java") | F.col("method").isin(*NOT_CALLED) & (F.col("language") == "go")
+    return rows.where(~barred)
+
+
+def declared_types(files: DataFrame) -> DataFrame:
+    """``file_path, caller, name, type_name`` in Java files: declared locals per unit, and fields with an empty caller."""
+    lines = _code_lines(files.where(F.col("language") == "java"))
+    found = lines.select("file_path", F.coalesce("caller", F.lit("")).alias("caller"), F.explode(F.regexp_extract_all("code", F.lit(DECLARATION), F.lit(0))).alias("d"))
     pairs = found.select("file_path", "caller", F.regexp_extract("d", DECLARATION, 2).alias("name"), F.regexp_extract("d", DECLARATION, 1).alias("type_name"))
     return first_per_key(pairs, ["file_path", "caller", "name"], "type_name")
 
@@ -216,15 +302,16 @@ def declared_types(files: DataFrame, language: str = "java") -> DataFrame:
 def resolve_receivers(calls: DataFrame, types: DataFrame) -> DataFrame:
     """``caller_id, callee_id, call_type, file_path, line`` with receivers replaced by their declared type.
 
-    A local wins over a field; an unknown name stays; a call without a receiver, or on ``this``, is to the
-    own class.
+    A local wins over a field; an unknown name stays. In Java a call without a receiver, or on ``this``, is to the
+    own class; in Go it is to a function.
     """
     local = types.where(F.col("caller") != "").select("file_path", "caller", F.col("name").alias("receiver"), F.col("type_name").alias("_local"))
     field = types.where(F.col("caller") == "").select("file_path", F.col("name").alias("receiver"), F.col("type_name").alias("_field"))
     joined = skew_join(skew_join(calls.withColumn("receiver", F.regexp_replace("receiver", r"^this\.", "")), local, ["file_path", "caller", "receiver"], "left"),
                        field, ["file_path", "receiver"], "left")
-    own = F.col("receiver").isin("", "this")
+    own = F.col("receiver").isin("", "this") & (F.col("language") == "java")
     callee = F.when(own, F.col("class_name")).otherwise(F.coalesce("_local", "_field", "receiver"))
+    some = [F.nullif(c, F.lit("")) for c in (F.col("class_name"), callee)]
     return joined.select(
-        F.concat_ws(".", "class_name", "caller").alias("caller_id"), F.concat_ws(".", callee, "method").alias("callee_id"), "call_type", "file_path", "line"
+        F.concat_ws(".", some[0], "caller").alias("caller_id"), F.concat_ws(".", some[1], "method").alias("callee_id"), "call_type", "file_path", "line"
     ).distinct()

@@ -88,27 +88,45 @@ def _unit_views(source: str, tag: str) -> None:
         SELECT file_path, language, line_no, line, length(line) - length(regexp_replace(line, '^[ \\t]+', '')) AS indent FROM (
           SELECT file_path, language, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line, len(parts) AS n FROM (
             SELECT file_path, language, string_split(text, {NL}) AS parts FROM {source}) a) b WHERE NOT (line_no = n AND line = '')""")
+    # A head is one line; a block is a head with its last line. Which block a line is in is settled by a join on ranges.
     classed = _by_language(lambda k: f"regexp_extract(line, '{rules.CLASS_LINE[k]}', 1)")
     named = _by_language(lambda k: f"regexp_extract(line, '{rules.UNIT_LINE[k]}', 1)")
     params = _by_language(lambda k: f"regexp_extract(line, '{rules.UNIT_LINE[k]}', 2)")
+    rest = _by_language(lambda k: f"regexp_extract(line, '{rules.BODY_ON_HEADER[k]}', 1)")
     skip = ", ".join(f"'{w}'" for w in rules.STATEMENTS)
+    value = rules.VALUE_LINE["typescript"]
     oracle_view(f"ox_heads{tag}", f"""
-        SELECT *, lead(line_no) OVER (PARTITION BY file_path ORDER BY line_no) AS next_no FROM (
-          SELECT file_path, language, line_no, line, indent, {classed} AS class_name, {named} AS unit_name, {params} AS params FROM ox_lines{tag}) x
-        WHERE class_name <> '' OR (unit_name <> '' AND unit_name NOT IN ({skip}))""")
+        SELECT *, language = 'java' AND class_name = '' AND regexp_matches(line, ';\\s*$') AND NOT contains(line, '{{') AS bare FROM (
+          SELECT file_path, language, line_no, line, indent, {classed} AS class_name, {rest} AS on_header,
+            CASE WHEN language = 'typescript' AND {named} = '' THEN regexp_extract(line, '{value}', 1) ELSE {named} END AS unit_name,
+            CASE WHEN language = 'typescript' AND {named} = '' THEN regexp_extract(line, '{value}', 2) ELSE {params} END AS params FROM ox_lines{tag}
+          WHERE NOT regexp_matches(line, '{rules.STATEMENT_START}')) x
+        WHERE class_name <> '' OR (unit_name <> '' AND unit_name NOT IN ({skip})
+          AND (language <> 'java' OR regexp_matches(line, '{rules.TYPED}') OR contains(line, '{{') OR NOT regexp_matches(line, ';\\s*$')))""")
+    oracle_view(f"ox_blocks{tag}", f"""
+        WITH stop AS (SELECT h.file_path, h.line_no, min(n.line_no) AS next_no FROM ox_heads{tag} h JOIN ox_heads{tag} n
+            ON n.file_path = h.file_path AND n.line_no > h.line_no AND n.indent <= h.indent GROUP BY 1, 2),
+          brace AS (SELECT h.file_path, h.line_no, min(l.line_no) AS close_no FROM ox_heads{tag} h JOIN ox_lines{tag} l
+            ON l.file_path = h.file_path AND l.line_no > h.line_no AND starts_with(l.line, concat(substr(h.line, 1, h.indent), '}}')) GROUP BY 1, 2),
+          dedent AS (SELECT h.file_path, h.line_no, min(l.line_no) AS out_no FROM ox_heads{tag} h JOIN ox_lines{tag} l
+            ON l.file_path = h.file_path AND l.line_no > h.line_no AND trim(l.line) <> '' AND l.indent <= h.indent GROUP BY 1, 2),
+          total AS (SELECT file_path, max(line_no) AS n FROM ox_lines{tag} GROUP BY 1)
+        SELECT h.*, class_name <> '' AS is_class, CASE WHEN class_name <> '' THEN class_name ELSE unit_name END AS name,
+          CASE WHEN h.language = 'python' THEN (SELECT max(l.line_no) FROM ox_lines{tag} l WHERE l.file_path = h.file_path AND trim(l.line) <> ''
+              AND l.line_no >= h.line_no AND l.line_no < coalesce(d.out_no, t.n + 1))
+            WHEN {_count("h.line", "{")} <= {_count("h.line", "}")} THEN h.line_no
+            WHEN b.close_no < coalesce(s.next_no, t.n + 1) THEN b.close_no ELSE coalesce(s.next_no - 1, t.n) END AS end_line
+        FROM ox_heads{tag} h JOIN total t ON t.file_path = h.file_path LEFT JOIN stop s ON s.file_path = h.file_path AND s.line_no = h.line_no
+          LEFT JOIN brace b ON b.file_path = h.file_path AND b.line_no = h.line_no LEFT JOIN dedent d ON d.file_path = h.file_path AND d.line_no = h.line_no""")
     oracle_view(f"ox_units{tag}", f"""
-        SELECT h.file_path, h.language, h.class_name <> '' AS is_class, CASE WHEN h.class_name <> '' THEN h.class_name ELSE h.unit_name END AS name,
-          trim(h.line) AS header, h.params, h.line_no AS start_line,
-          CASE WHEN h.language = 'python' THEN (SELECT max(l.line_no) FROM ox_lines{tag} l WHERE l.file_path = h.file_path AND trim(l.line) <> '' AND l.line_no >= h.line_no
-              AND l.line_no < coalesce((SELECT min(m.line_no) FROM ox_lines{tag} m WHERE m.file_path = h.file_path AND m.line_no > h.line_no AND trim(m.line) <> ''
-                AND m.indent <= h.indent AND m.line_no < coalesce(h.next_no, 1000000)), h.next_no, 1000000))
-            ELSE coalesce((SELECT min(l.line_no) FROM ox_lines{tag} l WHERE l.file_path = h.file_path AND l.line_no > h.line_no
-              AND l.line_no < coalesce(h.next_no, 1000000) AND starts_with(l.line, concat(substr(h.line, 1, h.indent), '}}'))),
-              h.next_no - 1, (SELECT max(l.line_no) FROM ox_lines{tag} l WHERE l.file_path = h.file_path)) END AS end_line,
-          CASE WHEN h.language = 'go' THEN regexp_extract(h.line, '{rules.GO_RECEIVER}', 1)
-            WHEN h.language = 'java' THEN coalesce((SELECT arg_max(c.class_name, c.line_no) FROM ox_heads{tag} c WHERE c.file_path = h.file_path AND c.class_name <> '' AND c.line_no < h.line_no), '')
-            ELSE coalesce((SELECT arg_max(c.class_name, c.line_no) FROM ox_heads{tag} c WHERE c.file_path = h.file_path AND c.indent < h.indent AND c.line_no < h.line_no), '') END AS owner
-        FROM ox_heads{tag} h""")
+        WITH up AS (SELECT h.file_path, h.line_no, arg_max(c.name, c.line_no) AS inner_name, arg_max(c.is_class, c.line_no) AS in_class,
+            arg_max(c.name, c.line_no) FILTER (WHERE c.is_class) AS class_above, bool_or(NOT c.is_class) AS in_unit
+            FROM ox_blocks{tag} h JOIN ox_blocks{tag} c ON c.file_path = h.file_path AND c.line_no < h.line_no AND c.end_line >= h.line_no GROUP BY 1, 2)
+        SELECT h.file_path, h.language, h.is_class, h.name, trim(h.line) AS header, h.params, h.on_header, h.line_no AS start_line, h.end_line, coalesce(u.in_unit, false) AS nested,
+          CASE WHEN h.language = 'go' THEN regexp_extract(h.line, '{rules.GO_RECEIVER}', 1) WHEN h.language = 'java' THEN coalesce(u.class_above, '')
+            ELSE coalesce(u.inner_name, '') END AS owner
+        FROM ox_blocks{tag} h LEFT JOIN up u ON u.file_path = h.file_path AND u.line_no = h.line_no
+        WHERE CASE h.language WHEN 'java' THEN NOT h.bare OR coalesce(u.in_class, false) WHEN 'go' THEN true ELSE NOT coalesce(u.in_unit, false) END""")
     oracle_view(f"ox_bodies{tag}", f"""
         SELECT u.*, (SELECT string_agg(l.line, {NL} ORDER BY l.line_no) FROM ox_lines{tag} l WHERE l.file_path = u.file_path AND l.line_no BETWEEN u.start_line AND u.end_line) AS body
         FROM ox_units{tag} u""")
@@ -134,16 +152,24 @@ def segment_units(t):
     return units.select("file_path", "language", "name", "start_line", "end_line", "signature", F.sha2("body", 256).alias("body_hash"), "is_static", "is_public", "params")
 
 
-@query("segment_rejects", "SELECT concat('doc', doc_id) AS file_path, 'python' AS language FROM documents")
+@query("segment_rejects", """
+    SELECT concat('doc', doc_id) AS file_path, 'python' AS language FROM documents
+    UNION ALL SELECT concat('cut/', file_path), language FROM fx_source_files WHERE language <> 'java'
+    UNION ALL SELECT concat('init/', file_path), language FROM fx_source_files WHERE language = 'java'""")
 def segment_rejects(t):
-    files = t.wide("documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("python").alias("language"), "text")
-    return U.without_units(files)
+    """Prose, code cut off before its first unit, and classes with no more than a constructor; whole files go along."""
+    files = t.wide("fx_source_files").select("file_path", "language", "text")
+    java = F.col("language") == "java"
+    cut = files.where(~java).select(F.concat(F.lit("cut/"), "file_path").alias("file_path"), "language", F.substring_index("text", "(", 1).alias("text"))
+    init = files.where(java).select(F.concat(F.lit("init/"), "file_path").alias("file_path"), "language", F.concat(F.substring_index("text", "public static", 1), F.lit("}\n")).alias("text"))
+    prose = t.wide("documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("python").alias("language"), "text")
+    return U.without_units(prose.unionByName(files).unionByName(cut).unionByName(init))
 
 
 BARE = "trim(split_part(regexp_replace(trim({0}), '^(\\*+|\\.\\.\\.|readonly |final )', ''), '=', 1))"
 ANNOTATED = f"CASE WHEN instr({BARE.format('x')}, ':') > 0 THEN regexp_replace(substr({BARE.format('x')}, instr({BARE.format('x')}, ':') + 1), '\\s+', '', 'g') ELSE '_' END"
 TYPES = f"""CASE language WHEN 'java' THEN array_to_string([regexp_replace(regexp_extract({BARE.format('x')}, '^(.*\\S)\\s+\\S+$', 1), '\\s+', '', 'g') for x in {PARAM_LIST}], ',')
-    WHEN 'go' THEN array_to_string([regexp_extract(x, '^\\s*\\S+\\s+(.+)$', 1) for x in {PARAM_LIST}], ',')
+    WHEN 'go' THEN array_to_string([regexp_replace(regexp_extract(x, '^\\s*\\S+\\s+(.+)$', 1), '\\s+', '', 'g') for x in {PARAM_LIST}], ',')
     ELSE array_to_string([{ANNOTATED} for x in {PARAM_LIST} if NOT (language = 'python' AND owner <> '' AND x = 'self')], ',') END"""
 oracle_view("ox_named", f"""
     SELECT *, CASE WHEN is_class THEN name ELSE concat(CASE WHEN (language = 'java' AND name = owner) OR (language = 'python' AND owner <> '' AND name = '__init__') OR (language = 'typescript' AND owner <> '' AND name = 'constructor') THEN concat(owner, '.<init>')
@@ -152,13 +178,27 @@ oracle_view("ox_named", f"""
       CASE WHEN is_class THEN CASE WHEN regexp_matches(header, '\\binterface\\b') THEN 'interface' WHEN language = 'go' THEN 'struct' ELSE 'class' END
         WHEN language = 'java' AND name = owner THEN 'constructor' WHEN owner = '' AND language = 'go' THEN 'function' ELSE 'method' END AS kind
     FROM ox_bodies""")
-INNER = f"CASE WHEN instr(body, {NL}) > 0 THEN substr(body, instr(body, {NL}) + 1) ELSE '' END"
+INNER = f"concat(on_header, {NL}, CASE WHEN instr(body, {NL}) > 0 THEN substr(body, instr(body, {NL}) + 1) ELSE '' END)"
 HASHED = _by_language(lambda k: f"sha256(array_to_string(regexp_extract_all(regexp_replace({INNER}, '{text.COMMENTS[k]}', ' ', 'g'), '{text.TOKEN}'), ' '))")
 
 
+# A field stands right in a class, as far in as the class's leftmost line; bracketed commas don't separate names.
+oracle_view("ox_fields", f"""
+    WITH place AS (SELECT l.file_path, l.line_no, arg_max(c.name, c.line_no) AS owner, arg_max(c.is_class, c.line_no) AS in_class, arg_max(c.line_no, c.line_no) AS class_no
+        FROM ox_lines l JOIN ox_blocks c ON c.file_path = l.file_path AND c.line_no < l.line_no AND c.end_line >= l.line_no WHERE l.language = 'java' GROUP BY 1, 2),
+      inside AS (SELECT c.file_path, c.line_no AS class_no, min(l.indent) AS indent FROM ox_blocks c JOIN ox_lines l
+        ON l.file_path = c.file_path AND l.line_no > c.line_no AND l.line_no < c.end_line AND trim(l.line) <> '' WHERE c.is_class GROUP BY 1, 2)
+    SELECT l.file_path, p.owner, l.line_no, trim(l.line) AS header, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(
+        regexp_extract(l.line, '{rules.FIELD_LINE}', 1), ';\\s*(//.*)?$', ''), '\\([^()]*\\)|<[^<>]*>', '', 'g'), '=[^,]*', '', 'g'), ',')) AS name
+    FROM ox_lines l JOIN place p ON p.file_path = l.file_path AND p.line_no = l.line_no AND p.in_class JOIN inside i ON i.file_path = l.file_path AND i.class_no = p.class_no AND i.indent = l.indent
+    WHERE regexp_matches(l.line, '{rules.FIELD_LINE}') AND NOT regexp_matches(l.line, '{rules.STATEMENT_START}')""")
+
+
 @query("symbol_table", f"""
     SELECT concat('sym_', substr(sha256(concat_ws(':', file_path, full_name, kind, header)), 1, 32)) AS id, full_name AS name, kind, file_path, cast(start_line AS int) AS line,
-      cast(end_line AS int) AS end_line, header AS signature, CASE WHEN is_class THEN '' ELSE {HASHED} END AS body_hash FROM ox_named""")
+      cast(end_line AS int) AS end_line, header AS signature, CASE WHEN is_class THEN '' ELSE {HASHED} END AS body_hash FROM ox_named
+    UNION ALL SELECT concat('sym_', substr(sha256(concat_ws(':', file_path, concat(owner, '.', trim(name)), 'field', header)), 1, 32)), concat(owner, '.', trim(name)), 'field', file_path,
+      cast(line_no AS int), cast(line_no AS int), header, '' FROM ox_fields""")
 def symbol_table(t):
     return U.symbol_table(t.wide("fx_source_files"))
 
@@ -176,20 +216,25 @@ def split_params(t):
     return heads.select("file_path", "start_line", parts.alias("parts")).unionByName(init).unionByName(docs)
 
 
-STRIPPED = "regexp_replace(regexp_replace(regexp_replace(l.line, '//[^\\n]*', '', 'g'), '\"(?:[^\"\\\\]|\\\\.)*\"', '\"\"', 'g'), '\\)\\s*\\.\\s*\\w+\\s*\\(', ')(', 'g')"
+STRIPPED = "regexp_replace(regexp_replace(regexp_replace(code, '\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`', '\"\"', 'g'), '//[^\\n]*', '', 'g'), '\\)\\s*\\.\\s*\\w+\\s*\\(|\\]\\s*\\w+\\s*\\(', ')(', 'g')"
+# Each line of code belongs to the unit that starts last among those around it.
+oracle_view("ox_code", """
+    SELECT l.file_path, l.language, l.line_no, arg_max(u.owner, u.start_line) AS class_name, arg_max(u.name, u.start_line) AS caller,
+      CASE WHEN max(u.start_line) = l.line_no THEN arg_max(u.on_header, u.start_line) ELSE any_value(l.line) END AS code
+    FROM ox_lines l LEFT JOIN ox_units u ON u.file_path = l.file_path AND NOT u.is_class AND l.line_no BETWEEN u.start_line AND u.end_line
+    WHERE l.language IN ('java', 'go') GROUP BY l.file_path, l.language, l.line_no""")
 oracle_view("ox_hits", f"""
-    SELECT u.file_path, u.owner AS class_name, u.name AS caller, cast(l.line_no AS int) AS line, unnest(regexp_extract_all({STRIPPED}, '{rules.CALL}')) AS hit
-    FROM ox_units u JOIN ox_lines l ON l.file_path = u.file_path AND l.line_no > u.start_line AND l.line_no <= u.end_line
-    WHERE NOT u.is_class AND u.language = 'java'""")
+    SELECT file_path, language, class_name, caller, cast(line_no AS int) AS line, unnest(regexp_extract_all({STRIPPED}, '{rules.CALL}')) AS hit
+    FROM ox_code WHERE caller IS NOT NULL""")
 oracle_view("ox_candidates", f"""
-    SELECT DISTINCT file_path, class_name, caller, line, receiver, method,
-      CASE WHEN ref THEN 'method_reference' WHEN new THEN 'constructor' WHEN starts_with(receiver, 'super') THEN 'super'
+    SELECT DISTINCT file_path, language, class_name, caller, line, receiver, method,
+      CASE WHEN ref THEN 'method_reference' WHEN new THEN 'constructor' WHEN language = 'java' AND starts_with(receiver, 'super') THEN 'super'
         WHEN regexp_matches(receiver, '^[A-Z]') THEN 'static' ELSE 'direct' END AS call_type
     FROM (SELECT *, CASE WHEN ref THEN split_part(hit, '::', 1) WHEN new THEN regexp_extract(hit, '^new\\s+(\\w+)', 1)
           WHEN instr(dotted, '.') > 0 THEN regexp_replace(dotted, '\\.\\w+$', '') ELSE '' END AS receiver,
         CASE WHEN ref THEN split_part(hit, '::', 2) WHEN new THEN '<init>' ELSE split_part(dotted, '.', -1) END AS method
       FROM (SELECT *, contains(hit, '::') AS ref, regexp_matches(hit, '^new\\s') AS new, regexp_replace(hit, '\\s*\\($', '') AS dotted FROM ox_hits) a) b
-    WHERE method NOT IN ({", ".join(f"'{w}'" for w in rules.STATEMENTS)})""")
+    WHERE method NOT IN (SELECT unnest(CASE language WHEN 'java' THEN [{", ".join(f"'{w}'" for w in rules.STATEMENTS)}] ELSE [{", ".join(f"'{w}'" for w in rules.NOT_CALLED)}] END))""")
 
 
 @query("call_candidates", "SELECT * FROM ox_candidates")
@@ -198,11 +243,10 @@ def call_candidates(t):
 
 
 @query("receiver_type_resolve", f"""
-    WITH decl AS (SELECT l.file_path, coalesce(u.name, '') AS caller, unnest(regexp_extract_all(l.line, '{rules.DECLARATION}')) AS d
-        FROM ox_lines l LEFT JOIN ox_units u ON u.file_path = l.file_path AND NOT u.is_class AND l.line_no BETWEEN u.start_line AND u.end_line WHERE l.language = 'java'),
+    WITH decl AS (SELECT file_path, coalesce(caller, '') AS caller, unnest(regexp_extract_all(code, '{rules.DECLARATION}')) AS d FROM ox_code WHERE language = 'java'),
       types AS (SELECT file_path, caller, regexp_extract(d, '{rules.DECLARATION}', 2) AS name, min(regexp_extract(d, '{rules.DECLARATION}', 1)) AS t FROM decl GROUP BY 1, 2, 3)
-    SELECT DISTINCT concat_ws('.', c.class_name, c.caller) AS caller_id,
-      concat_ws('.', CASE WHEN c.receiver IN ('', 'this') THEN c.class_name ELSE coalesce(a.t, b.t, regexp_replace(c.receiver, '^this\\.', '')) END, c.method) AS callee_id,
+    SELECT DISTINCT concat_ws('.', nullif(c.class_name, ''), c.caller) AS caller_id,
+      concat_ws('.', CASE WHEN c.language = 'java' AND c.receiver IN ('', 'this') THEN c.class_name ELSE nullif(coalesce(a.t, b.t, regexp_replace(c.receiver, '^this\\.', '')), '') END, c.method) AS callee_id,
       c.call_type, c.file_path, c.line
     FROM ox_candidates c LEFT JOIN types a ON a.file_path = c.file_path AND a.caller = c.caller AND a.caller <> '' AND a.name = regexp_replace(c.receiver, '^this\\.', '')
       LEFT JOIN types b ON b.file_path = c.file_path AND b.caller = '' AND b.name = regexp_replace(c.receiver, '^this\\.', '')""")
@@ -210,10 +254,15 @@ def receiver_type_resolve(t):
     return U.resolve_receivers(U.call_candidates(t.wide("fx_source_files")), U.declared_types(t.wide("fx_source_files")))
 
 
+oracle_view("ox_fresh", f"SELECT *, {QUALIFIED} AS full_name FROM ox_bodies WHERE {CALLABLE}")
+# Of several stored units of a name the last one counts.
+oracle_view("ox_stored", f"SELECT file_path, arg_max(body, start_line) AS body, {QUALIFIED} AS full_name FROM ox_bodies_old WHERE {CALLABLE} GROUP BY ALL")
+SAME_TEXT = " = ".join(f"array_to_string([trim(x) for x in string_split({side}.body, {NL}) if trim(x) <> ''], {NL})" for side in ("o", "n"))
+
+
 @query("unchanged_unit_skip", f"""
-    SELECT n.file_path, {QUALIFIED.replace('language', 'n.language').replace('owner', 'n.owner').replace('name', 'n.name').replace('concat(n.owner', 'concat(n.owner')} AS name FROM ox_bodies n
-    WHERE NOT n.is_class AND NOT (n.language = 'java' AND n.name = n.owner) AND NOT EXISTS (SELECT 1 FROM ox_bodies_old o WHERE o.file_path = n.file_path AND o.owner = n.owner AND o.name = n.name
-      AND array_to_string([trim(x) for x in string_split(o.body, {NL}) if trim(x) <> ''], {NL}) = array_to_string([trim(x) for x in string_split(n.body, {NL}) if trim(x) <> ''], {NL}))""")
+    SELECT n.file_path, n.full_name AS name FROM ox_fresh n
+    WHERE NOT EXISTS (SELECT 1 FROM ox_stored o WHERE o.file_path = n.file_path AND o.full_name = n.full_name AND {SAME_TEXT})""")
 def unchanged_unit_skip(t):
     units = U.segment_units(t.wide("fx_source_files"))
     return M.changed_units(units, U.segment_units(t.wide("fx_source_files_old"))).select("file_path", "name")
@@ -311,11 +360,11 @@ def mask_sessions(t):
 @query("reassemble", f"""
     SELECT file_path, string_agg(shown, {NL} ORDER BY line_no) AS out FROM (
       SELECT l.file_path, l.line_no, CASE WHEN u.start_line = l.line_no THEN concat('<', u.name, '>') ELSE l.line END AS shown
-      FROM ox_lines l LEFT JOIN (SELECT * FROM ox_units WHERE {CALLABLE} AND start_line % 2 = 0) u
+      FROM ox_lines l LEFT JOIN (SELECT * FROM ox_units WHERE {CALLABLE} AND NOT nested) u
         ON u.file_path = l.file_path AND l.line_no BETWEEN u.start_line AND u.end_line
       WHERE u.start_line IS NULL OR u.start_line = l.line_no) x GROUP BY file_path""")
 def reassemble(t):
-    units = U.segment_units(t.wide("fx_source_files")).where("start_line % 2 = 0")
+    units = U.segment_units(t.wide("fx_source_files")).where("NOT nested")
     short = F.concat(F.lit("<"), F.substring_index("name", ".", -1), F.lit(">"))
     per_file = units.groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", short.alias("body"))).alias("u"))
     joined = U.hold(t.wide("fx_source_files").join(per_file, "file_path", "left"), lines=text.lines(F.col("text")))
@@ -324,9 +373,9 @@ def reassemble(t):
 
 
 @query("mask_changed_units", f"""
-    SELECT s.file_path, EXISTS (SELECT 1 FROM ox_bodies n WHERE n.file_path = s.file_path AND {CALLABLE.replace('is_class', 'n.is_class').replace('language', 'n.language').replace('name', 'n.name').replace('owner', 'n.owner')}
+    SELECT s.file_path, EXISTS (SELECT 1 FROM ox_fresh n WHERE n.file_path = s.file_path
       AND EXISTS (SELECT 1 FROM ox_points p, ox_placed l WHERE p.file_path = n.file_path AND l.file_path = n.file_path AND l.line_no = n.start_line AND p.start >= l.base AND p.start < l.base + length(n.body))
-      AND NOT EXISTS (SELECT 1 FROM ox_bodies_old o WHERE o.file_path = n.file_path AND o.owner = n.owner AND o.name = n.name AND o.body = n.body)) AS masked
+      AND NOT EXISTS (SELECT 1 FROM ox_stored o WHERE o.file_path = n.file_path AND o.full_name = n.full_name AND {SAME_TEXT})) AS masked
     FROM fx_source_files s""")
 def mask_changed_units(t):
     files, _ = M.mask_changed_units(t.wide("fx_source_files"), t.wide("fx_source_files_old"))

@@ -202,7 +202,12 @@ def _view_sql(sha) -> dict[str, str]:
             '      throw new IllegalStateException("', o_orderpriority, '");', chr(10), '    }', chr(10),
             '    cache.save(id); repo.save(id);', chr(10),
             '    tags.forEach(Printer::print);', chr(10), '    return check(id) || id > 0;', chr(10),
-            '  }', chr(10), '}', chr(10))
+            '  }', chr(10),
+            '  private int hits, misses = 0;', chr(10), '  static class Inner implements Store {', chr(10), '    protected final List<String> names = new ArrayList<>();', chr(10),
+            '    public int size() { return names.size(); }', chr(10), '  }', chr(10), '  interface Store {', chr(10), '    int size() throws StoreError;', chr(10),
+            CASE WHEN o_orderkey % 8 = 0 THEN concat('    default boolean isEmpty() {', chr(10), '      return size() == 0;', chr(10), '    }', chr(10)) ELSE '' END,
+            '  }', chr(10), '  Runnable task() {', chr(10), '    return new Runnable() {', chr(10), '      public void run() {', chr(10),
+            '        repo.touch(', cast(o_custkey AS string), ');', chr(10), '      }', chr(10), '    };', chr(10), '  }', chr(10), '}', chr(10))
           WHEN o_orderkey % 4 = 1 THEN concat(
             '# order ', cast(o_orderkey AS string), chr(10),
             'class Order', cast(o_orderkey AS string), ':', chr(10),
@@ -211,7 +216,10 @@ def _view_sql(sha) -> dict[str, str]:
             '        if key is not None and cache.total(key) > ', cast(o_custkey AS string), ':', chr(10),
             '            raise ValueError("', o_orderpriority, '")', chr(10),
             '        return self.repo.save(key)', chr(10), chr(10),
-            'def total(a, *rest):', chr(10), '    return sum(rest) + a', chr(10))
+            'def total(a, *rest):', chr(10), '    return sum(rest) + a', chr(10),
+            'class Narrow(Base):', chr(10), '  class Row:', chr(10), '    pass', chr(10), chr(10), '  def one(self): return self.x[1:]', chr(10),
+            '  async def two(self, k: int) -> Dict[str, int]:', chr(10), '    def inner(z):', chr(10), '      return z', chr(10), chr(10), '    return inner(k)', chr(10),
+            'x = 1', chr(10))
           WHEN o_orderkey % 4 = 2 THEN concat(
             'package shop', chr(10), chr(10),
             'func (o *Order', cast(o_custkey % 50 AS string), ') Load(id int, tags map[string]int) error {', chr(10),
@@ -219,7 +227,10 @@ def _view_sql(sha) -> dict[str, str]:
             '  }', chr(10), '  if total > ', cast(o_custkey AS string), ' || id == 0 {', chr(10),
             '    return repo.Save(id)', chr(10), '  }', chr(10), '  return nil', chr(10), '}', chr(10), chr(10),
             'func Total', cast(o_orderkey % 9 AS string), '(xs ...int) int {', chr(10), '  return len(xs)', chr(10),
-            '}', chr(10))
+            '}', chr(10), chr(10), 'type Pair struct {', chr(10), '  a, b int', chr(10), '}', chr(10), chr(10),
+            'func (p Pair) Sum(f func(int) int) (int, error) { return f(p.a) + Max(p.b), nil }', chr(10), chr(10),
+            'func run(v interface{}) {', chr(10), '  defer Pool.Put(v) // give(back)', chr(10), '  data := []byte("x(y)")', chr(10),
+            '  go func() { store.db.Save(data); log(v) }()', chr(10), '}', chr(10))
           ELSE concat(
             'export class Order', cast(o_orderkey AS string), ' {', chr(10),
             '  async load(id: number, tags: Record<string, number> = {}): Promise<void> {', chr(10),
@@ -227,7 +238,10 @@ def _view_sql(sha) -> dict[str, str]:
             '      throw new Error("', o_orderpriority, '");', chr(10), '    }', chr(10),
             '    await this.repo.save(id);', chr(10), '  }', chr(10), '}', chr(10), chr(10),
             'export function total(xs: number[]): number {', chr(10),
-            '  return xs.length > 0 ? sum(xs) : 0;', chr(10), '}', chr(10)) END AS text
+            '  return xs.length > 0 ? sum(xs) : 0;', chr(10), '}', chr(10), chr(10),
+            'export const twice = async (x: number, y = 1) => {', chr(10), '  const inner = (z) => z * 2;', chr(10), '  return inner(x);', chr(10), '};', chr(10),
+            'const short = x => x + 1;', chr(10), 'let old = function (a, b) { return a; };', chr(10),
+            'const limit = total(', cast(o_custkey AS string), ');', chr(10)) END AS text
         FROM orders"""
     # The state on disk before: every third file is the same, others differ in one number.
     views["fx_source_files_old"] = """

@@ -89,7 +89,49 @@ def test_java_units_and_symbols(frame):
     files = frame(FILES, [("src/UserService.java", "java", JAVA), ("README.md", "java", "nothing here")])
     assert rows(U.segment_units(files), "name", "start_line", "end_line", "is_public", "params") == [("save", 7, 13, True, "User user")]
     assert rows(U.without_units(files), "file_path") == [("README.md",)]
-    assert rows(U.symbol_table(files), "name", "kind", "line") == [("UserService", "class", 1), ("UserService.save(User)", "method", 7)]
+    assert rows(U.symbol_table(files), "name", "kind", "line") == [
+        ("UserService", "class", 1), ("UserService.<init>(Repository)", "constructor", 5), ("UserService.logger", "field", 3),
+        ("UserService.repo", "field", 2), ("UserService.save(User)", "method", 7)]
+
+
+NESTED = """class A {
+  static class B {
+    int n;
+    int x() { return n; }
+  }
+  void y(int k) {
+    run(k);
+  }
+  interface C { }
+  abstract void z();
+}
+"""
+
+
+def test_a_unit_belongs_to_the_class_around_it(frame):
+    files = frame(FILES, [("A.java", "java", NESTED)])
+    got = U.symbol_table(files).orderBy("line").select("name", "line", "end_line").collect()
+    assert [tuple(r) for r in got] == [
+        ("A", 1, 11), ("B", 2, 5), ("B.n", 3, 3), ("B.x()", 4, 4), ("A.y(int)", 6, 8), ("C", 9, 9), ("A.z()", 10, 10)]
+    assert rows(U.call_candidates(files), "class_name", "caller", "line", "method") == [("A", "y", 7, "run")]
+
+
+def test_layouts(frame):
+    narrow = "class A:\n  def f(self): return 1\n\n  def g(self):\n    def h(): pass\n    return h\n"
+    arrow = "export const f = (a: number) => {\n  const g = b => b;\n};\nlet h = x => x;\n"
+    files = frame(FILES, [("a.py", "python", narrow), ("a.ts", "javascript", arrow)])
+    assert rows(U.segment_units(files), "name", "start_line", "end_line") == [("A.f", 2, 2), ("A.g", 4, 6), ("f", 1, 3), ("h", 4, 4)]
+    odd = frame(FILES, [("e.go", "go", ""), ("n.go", "go", None), ("t.txt", "text", "func f() {\n}")])
+    assert rows(U.without_units(odd), "file_path") == [("e.go",), ("n.go",)]
+
+
+def test_go_calls(frame):
+    go = "package p\nfunc (s *S) Put(f func(int) int) (int, error) {\n  go s.db.Save(f(1)) // no(1)\n  b := []byte(Max(2))\n  a().b()\n}\n"
+    calls = U.call_candidates(frame(FILES, [("a.go", "go", go)]))
+    assert rows(calls, "class_name", "caller", "receiver", "method", "call_type", "line") == [
+        ("S", "Put", "", "Max", "direct", 4), ("S", "Put", "", "a", "direct", 5), ("S", "Put", "", "f", "direct", 3), ("S", "Put", "s.db", "Save", "direct", 3)]
+    types = U.declared_types(frame(FILES, [("a.go", "go", go)]))
+    assert ("S.Put", "Max") in rows(U.resolve_receivers(calls, types), "caller_id", "callee_id")
 
 
 def test_python_units(frame):
