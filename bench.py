@@ -31,6 +31,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, memory="20g")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.codelattice.textPartitions", str(spark.sparkContext.defaultParallelism))  # the tables are one file each
     queries, _ = load()
     queries["class_of_label"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm up
     took = {}

@@ -78,18 +78,28 @@ def by_language(language: Column, make) -> Column:
 
 
 def split_params(params: Column) -> Column:
-    """Array of parameters cut at the commas outside all brackets, trimmed, empty ones dropped."""
+    """Array of parameters cut at the commas outside all brackets, trimmed, empty ones dropped.
+
+    Cut at all commas first; pieces are put together again while a bracket is open.
+    """
     opened, closed = ("(", "[", "{", "<"), (")", "]", "}", ">")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    flat = F.replace(F.coalesce(params, F.lit("")), F.lit("\n"), F.lit(" "))
+    pieces = F.split(flat, ",")
 
-    def step(acc, ch):
-        depth = F.when(ch.isin(*opened), acc["depth"] + 1).when(ch.isin(*closed), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        shown = F.when((ch == ",") & (acc["depth"] == 0), F.lit("\n")).otherwise(ch)
-        return F.struct(depth.alias("depth"), F.concat(acc["out"], shown).alias("out"))
+    def walk(depth, piece):
+        """Brackets open after ``piece``; one that closes nothing does not count."""
+        marks = F.regexp_extract_all(piece, F.lit(r"[()\[\]{}<>]"), F.lit(0))
+        return F.aggregate(marks, depth, lambda d, ch: F.when(ch.isin(*opened), d + 1).when(ch.isin(*closed), F.greatest(d - 1, F.lit(0))).otherwise(d))
 
-    flat = F.replace(F.coalesce(params, F.lit("")), F.lit("\n"), F.lit(" "))
-    cut = F.aggregate(F.split(flat, ""), start, step, lambda acc: acc["out"])
-    return F.filter(F.transform(F.split(cut, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    def step(acc, piece):
+        mark = F.when(acc["depth"] == 0, F.lit("\n")).otherwise(F.lit(","))
+        return F.struct(walk(acc["depth"], piece).alias("depth"), F.concat(acc["out"], mark, piece).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    folded = F.split(F.aggregate(pieces, start, step, lambda acc: acc["out"]), "\n")
+    # Without brackets all commas separate.
+    cut = F.when(F.rlike(flat, F.lit(r"[(\[{<]")), folded).otherwise(pieces)
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _bare(token: Column) -> Column:

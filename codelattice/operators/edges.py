@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import ids
 from codelattice.operators.nodes import text_or_empty
-from codelattice.operators.skew import hot_keys, skew_join
+from codelattice.operators.skew import HOT_SHARE, skew_join
 from codelattice.session import cut_lineage
 
 
@@ -43,9 +43,15 @@ class Hubs:
     callees: Sequence[str] = ()
 
 
-def find_hubs(pairs: DataFrame, **limits) -> Hubs:
-    """Look for hubs, to pass to the roll-up of a graph that may have them."""
-    return Hubs(hot_keys(pairs, "caller_id", **limits), hot_keys(pairs, "callee_id", **limits))
+def find_hubs(pairs: DataFrame, share: float = HOT_SHARE) -> Hubs:
+    """Look for hubs, to pass to the roll-up of a graph that may have them; one job, at most ``1 / share`` values an end."""
+    ends = pairs.select(F.inline(F.array(
+        F.struct(F.lit(True).alias("calling"), F.col("caller_id").alias("id")), F.struct(F.lit(False).alias("calling"), F.col("callee_id").alias("id")))))
+    counts = ends.groupBy("calling", "id").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("calling").agg(F.sum("n").alias("total"))
+    hot = counts.where("id IS NOT NULL").join(total, "calling").where(F.col("n") >= F.col("total") * F.lit(share))
+    found = hot.select("calling", "id").collect()
+    return Hubs([r.id for r in found if r.calling], [r.id for r in found if not r.calling])
 
 
 def call_pairs(calls: DataFrame) -> DataFrame:
@@ -55,6 +61,12 @@ def call_pairs(calls: DataFrame) -> DataFrame:
     )
 
 
+def counted(calls: DataFrame) -> tuple[DataFrame, Hubs]:
+    """Counted pairs, written once, and their hubs."""
+    pairs = cut_lineage(call_pairs(calls))
+    return pairs, find_hubs(pairs)
+
+
 def resolve_endpoints(pairs: DataFrame, keys: DataFrame, hot: Hubs | None = None) -> DataFrame:
     """Add ``source`` and ``target``; rows with an unknown end are dropped."""
     hot = hot or Hubs()
@@ -71,12 +83,15 @@ def annotate_edges(edges: DataFrame, edge_annotations: DataFrame) -> DataFrame:
 
 
 def roll_up(pairs: DataFrame, keys: DataFrame, *by: str, hot: Hubs | None = None) -> DataFrame:
-    """Directed edges with call count and manual flag from counted pairs."""
+    """Directed edges, one row each, with call count and manual flag from counted pairs.
+
+    They come out partitioned by ``edge_id``, so that a join with remarks needs no shuffle of its own. An edge has
+    no more than four pairs, by id or label at each end, so there is nothing to count before the shuffle.
+    """
+    named = resolve_endpoints(pairs, keys, hot).withColumn("edge_id", ids.edge_id(F.col("source"), F.col("target")))
     return (
-        resolve_endpoints(pairs, keys, hot)
-        .groupBy(*by, "source", "target")
+        named.repartition("edge_id").groupBy(*by, "edge_id", "source", "target")
         .agg(F.sum("n").alias("call_count"), F.max("manual").alias("is_manual"))
-        .select(*by, ids.edge_id(F.col("source"), F.col("target")).alias("edge_id"), "source", "target", "call_count", "is_manual")
     )
 
 
@@ -88,8 +103,8 @@ def edge_rollup(
     hot: Hubs | None = None,
 ) -> DataFrame:
     """The call graph as weighted, annotated, directed edges."""
-    edges = roll_up(call_pairs(calls), endpoint_keys(nodes, directories), hot=hot)
-    return annotate_edges(edges, edge_annotations)
+    pairs, hubs = counted(calls)
+    return annotate_edges(roll_up(pairs, endpoint_keys(nodes, directories), hot=hot or hubs), edge_annotations)
 
 
 def both_ways(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -99,15 +114,15 @@ def both_ways(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def neighbour_ids(calls: DataFrame, edge_annotations: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``seed_id, id``: other ends of calls and annotated edges at each seed, in either direction."""
-    links = (
-        calls.select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b"))
-        .unionByName(edge_annotations.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")))
-        .distinct()
-    )
-    both = both_ways(links, "a", "b")
+    """``seed_id, id``: other ends of calls and annotated edges at each seed, in either direction.
+
+    Links are filtered by the seeds before anything else, so few seeds cost one scan.
+    """
+    links = calls.select(F.col("caller_id").alias("a"), F.col("callee_id").alias("b")).unionByName(
+        edge_annotations.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")))
     wanted = seeds.select(F.col("id").alias("a")).distinct()
-    return skew_join(both, wanted, "a", "left_semi").select(F.col("a").alias("seed_id"), F.col("b").alias("id")).distinct()
+    near = skew_join(both_ways(links, "a", "b"), wanted, "a", "left_semi")
+    return near.select(F.col("a").alias("seed_id"), F.col("b").alias("id")).distinct()
 
 
 def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,9 +140,13 @@ def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFram
         F.struct(F.col("caller_id").alias("key"), F.lit(True).alias("out")),
         F.struct(F.col("callee_id").alias("key"), F.lit(False).alias("out")),
     )
-    matched = skew_join(call_pairs(calls).select("*", F.inline(ends)), names, "key")
+    # Calls that no seed touches go first; the rest is counted before names fan out to seeds.
+    near = skew_join(calls.select("caller_id", "callee_id", "call_type", F.inline(ends)), names.select("key").distinct(), "key", "left_semi")
+    counts = near.groupBy("key", "out", "caller_id", "callee_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("call_type") == "manual").alias("manual")
+    )
     # A call matched at both ends counts once, and as an outgoing one.
-    touched = matched.groupBy("seed_id", "caller_id", "callee_id").agg(
+    touched = skew_join(counts, names, "key").groupBy("seed_id", "caller_id", "callee_id").agg(
         F.first("n").alias("n"), F.first("manual").alias("manual"), F.max("out").alias("out")
     )
     resolved = resolve_endpoints(touched, endpoint_keys(nodes))
@@ -174,9 +193,10 @@ def khop_nodes(edges: DataFrame, seeds: DataFrame, k: int, checkpoint_every: int
 def khop_edges(edges: DataFrame, reached: DataFrame, k: int) -> DataFrame:
     """Edges that expanding every node closer than ``k`` steps brings in."""
     opened = reached.where(F.col("hop") < k).select("id")
-    by_source = skew_join(edges, opened.withColumnRenamed("id", "source"), "source", "left_semi")
-    by_target = skew_join(edges, opened.withColumnRenamed("id", "target"), "target", "left_semi")
-    return by_source.unionByName(by_target).dropDuplicates(["edge_id"])
+    at_source = opened.withColumnRenamed("id", "source")
+    by_source = skew_join(edges, at_source, "source", "left_semi")
+    rest = skew_join(edges, at_source, "source", "left_anti")
+    return by_source.unionByName(skew_join(rest, opened.withColumnRenamed("id", "target"), "target", "left_semi"))
 
 
 def induced_edges(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
@@ -188,13 +208,16 @@ def induced_edges(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
 
 def connected_edges(edges: DataFrame, focus: DataFrame, node_ids: DataFrame) -> DataFrame:
     """Edges at a node of ``focus`` whose other end is in ``node_ids``."""
-    at, kept = focus.select("id").distinct(), node_ids.select("id").distinct()
+    tagged = focus.select("id", F.lit(True).alias("at"), F.lit(False).alias("kept")).unionByName(
+        node_ids.select("id", F.lit(False).alias("at"), F.lit(True).alias("kept")))
+    roles = tagged.groupBy("id").agg(F.max("at").alias("at"), F.max("kept").alias("kept"))
 
-    def side(here: str, there: str) -> DataFrame:
-        part = skew_join(edges, at.withColumnRenamed("id", here), here, "left_semi")
-        return skew_join(part, kept.withColumnRenamed("id", there), there, "left_semi")
+    def side(end: str) -> DataFrame:
+        return roles.select(F.col("id").alias(end), F.col("at").alias(f"_{end}_at"), F.col("kept").alias(f"_{end}_kept"))
 
-    return side("source", "target").unionByName(side("target", "source")).dropDuplicates(["edge_id"])
+    found = skew_join(skew_join(edges, side("source"), "source"), side("target"), "target")
+    joined = F.col("_source_at") & F.col("_target_kept") | F.col("_target_at") & F.col("_source_kept")
+    return found.where(joined).select(*edges.columns)
 
 
 def merge_new(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
@@ -211,13 +234,11 @@ def remove_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def view_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     """Edges between visible nodes, flagged if a user made them or an end is planned."""
-    shown = induced_edges(edges.dropDuplicates(["edge_id"]), visible)
-    planned = visible.where(F.col("is_virtual")).select("id").distinct()
-    src = planned.select(F.col("id").alias("source"), F.lit(True).alias("_s"))
-    dst = planned.select(F.col("id").alias("target"), F.lit(True).alias("_t"))
-    marked = skew_join(skew_join(shown, src, "source", "left"), dst, "target", "left")
-    flag = F.col("is_manual") | F.coalesce("_s", F.lit(False)) | F.coalesce("_t", F.lit(False))
-    return marked.select(*edges.columns, flag.alias("user_created"))
+    shown = visible.groupBy("id").agg(F.max("is_virtual").alias("planned"))
+    src = shown.select(F.col("id").alias("source"), F.col("planned").alias("_s"))
+    dst = shown.select(F.col("id").alias("target"), F.col("planned").alias("_t"))
+    marked = skew_join(skew_join(edges, src, "source"), dst, "target")
+    return marked.select(*edges.columns, (F.col("is_manual") | F.col("_s") | F.col("_t")).alias("user_created"))
 
 
 def refresh_view(previous: DataFrame, fresh_nodes: DataFrame, fresh_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,7 +82,8 @@ def all_calls(t: Tables) -> DataFrame:
 
 def all_edges(t: Tables) -> DataFrame:
     keys = E.endpoint_keys(all_nodes(t), t.fx_virtual_directories)
-    return E.roll_up(E.call_pairs(all_calls(t)), keys)
+    pairs, hot = E.counted(all_calls(t))
+    return E.roll_up(pairs, keys, hot=hot)
 
 
 # --- node set -------------------------------------------------------------------------------------
@@ -189,9 +190,15 @@ def endpoint_resolve(t):
 @query("edge_rollup", """
     SELECT e.*, coalesce(a.remarks, '') AS remarks FROM ox_edges e LEFT JOIN fx_edge_annotations a ON a.edge_id = e.edge_id""")
 def edge_rollup(t):
-    calls = all_calls(t)
-    hot = E.find_hubs(E.call_pairs(calls))
-    return E.edge_rollup(calls, all_nodes(t), t.fx_virtual_directories, t.fx_edge_annotations, hot)
+    return E.edge_rollup(all_calls(t), all_nodes(t), t.fx_virtual_directories, t.fx_edge_annotations)
+
+
+@query("edge_rollup_hubs", "SELECT * FROM ox_edges")
+def edge_rollup_hubs(t):
+    """The roll-up with every name that has one pair in 200 spread over tasks."""
+    pairs = E.call_pairs(all_calls(t))
+    keys = E.endpoint_keys(all_nodes(t), t.fx_virtual_directories)
+    return E.roll_up(pairs, keys, hot=E.find_hubs(pairs, share=1 / 200))
 
 
 @query("annotate_edges", """
@@ -280,6 +287,17 @@ def neighbourhood_edges(t):
     return E.merge_neighbourhood_edges(found)
 
 
+@query("neighbourhood_few_seeds", """
+    SELECT seed_id, concat(source, '::', target) AS edge_id, count(*) AS call_count FROM ox_touched
+    WHERE seed_id IN (SELECT id FROM fx_virtual_nodes) GROUP BY seed_id, source, target""")
+def neighbourhood_few_seeds(t):
+    """Planned nodes as seeds, of which there are few."""
+    nodes = all_nodes(t)
+    seeds = nodes.join(t.fx_virtual_nodes.select("id"), "id", "left_semi").select("id", "label")
+    found = E.merge_neighbourhood_edges(E.neighbourhood_edges(all_calls(t), seeds, nodes))
+    return found.select("seed_id", "edge_id", "call_count")
+
+
 @query("neighbourhood_nodes", """
     SELECT p.seed_id, n.id, n.label, n.type, n.file_path, n.parent_id FROM (
       SELECT seed_id, CASE WHEN out THEN target ELSE source END AS id FROM ox_touched UNION SELECT id, id FROM ox_seeds) p

@@ -44,11 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition input of heavy per-row work that comes in fewer partitions than there are cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` in as many ``partitions`` as asked for, else as its files were split.
 
-    A small file is one partition, which would leave all cores but one idle. Large inputs have many
-    partitions already and pass through without a shuffle.
+    Texts are best read as they are split. Repartition where the input is a few small files and the work per
+    row is heavy; ``spark.codelattice.textPartitions`` asks for that in a whole session.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    asked = partitions or df.sparkSession.conf.get("spark.codelattice.textPartitions", None)
+    return df.repartition(int(asked)) if asked else df

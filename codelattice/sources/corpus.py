@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from codelattice.functions import ids, paths
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``path, language, length, file_hash, text`` of all source files below ``root``.
 
-    The listing and the reads are Spark's own; folders a scan skips never reach the content column.
+    The listing and the reads are Spark's own. Its file source filters by name, length and time only, so source
+    files in folders that a scan skips are read and then dropped. Where those are large, name the wanted folders:
+    ``root`` may be a glob such as ``/ws/{src,lib}``, with paths below the folder before its first wildcard.
     """
     any_case = ["".join(f"[{c}{c.upper()}]" for c in ext[1:]) for ext in paths.EXTENSION_LANGUAGE]
     glob = "*.{" + ",".join(any_case) + "}"
@@ -21,7 +25,8 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
     # binaryFile reports URIs such as file:/a/b; keep the path.
     local = raw.withColumn("path", F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""))
-    return source_paths(local, root).select(
+    base = re.split(r"/[^/]*[*?{\[]", root, maxsplit=1)[0]
+    return source_paths(local, base).select(
         "path", paths.language_of(F.col("path")).alias("language"), "length",
         F.sha2(F.col("content"), 256).alias("file_hash"), F.decode("content", "UTF-8").alias("text"),
     )

@@ -11,22 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+    """The commit rows, None where nothing was ever saved; any other fault in reading them is raised."""
+    try:
+        return spark.read.schema("version bigint, source string").parquet(f"{root}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def latest_version(spark: SparkSession, root: str) -> int:
     """Newest committed version, 0 if there is none."""
-    try:
-        commits = spark.read.schema("version bigint, source string").parquet(f"{root}/commits")
-    except AnalysisException:
-        return 0
-    return commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    commits = _commits(spark, root)
+    return 0 if commits is None else commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
 
 def is_committed(spark: SparkSession, root: str, source: str) -> bool:
     """True if a save with this ``source`` label, such as a batch id, went through before."""
-    try:
-        commits = spark.read.schema("version bigint, source string").parquet(f"{root}/commits")
-    except AnalysisException:
-        return False
-    return not commits.where(F.col("source") == source).isEmpty()
+    commits = _commits(spark, root)
+    return commits is not None and not commits.where(F.col("source") == source).isEmpty()
 
 
 def load_tables(spark: SparkSession, root: str, names: list[str], version: int | None = None) -> dict[str, DataFrame]:
@@ -35,10 +39,16 @@ def load_tables(spark: SparkSession, root: str, names: list[str], version: int |
 
 
 def save_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], source: str = "") -> int:
-    """Write ``tables`` as the next version and commit it."""
+    """Write ``tables`` as the next version and commit it.
+
+    One writer at a time, such as the one stream that owns the set: what a save that died before its commit
+    left under the number is written over, and a number that was committed meanwhile is refused.
+    """
     number = latest_version(spark, root) + 1
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/version={number}/{name}")
+    if latest_version(spark, root) >= number:
+        raise RuntimeError(f"version {number} of {root} was committed by another writer")
     commit = spark.range(1).select(F.lit(number).cast("bigint").alias("version"), F.lit(source).alias("source"))
     commit.write.mode("append").parquet(f"{root}/commits")
     return number

@@ -100,9 +100,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def append_available(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode stream over all there is, into Parquet, and read the result."""
-    spark, root = stream.sparkSession, scratch(stream.sparkSession, label)
+def append_available(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Run an append-mode stream over all there is, into Parquet, and read the result.
+
+    With the ``root`` of an earlier run the stream goes on where that one ended.
+    """
+    spark = stream.sparkSession
+    root = root or scratch(spark, label)
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
