@@ -106,6 +106,30 @@ def _load_order() -> Column:
     return F.struct("snapshot_id", (~F.col("is_virtual")).alias("later"), "seq")
 
 
+def _stored(table: DataFrame, rows: DataFrame, key: str, now: int, first: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` with ``rows`` written over it by ``key``; all its columns stay.
+
+    Columns of ``rows`` win, but for those in ``first``, which a stored row keeps. Times of creation and
+    change are set where the table has them.
+    """
+    told = [c for c in rows.columns if c != key]
+    given = rows.select(key, *[F.col(c).alias(f"_new_{c}") for c in told], F.lit(True).alias("_hit"))
+    both = table.withColumn("_had", F.lit(True)).join(given, key, "full_outer")
+    had, hit = F.coalesce("_had", F.lit(False)), F.coalesce("_hit", F.lit(False))
+
+    def value(c: str) -> Column:
+        old = F.col(c)
+        if c in told:
+            return F.when(hit & ~had if c in first else hit, F.col(f"_new_{c}")).otherwise(old)
+        if c == "created_at":
+            return F.when(had, old).otherwise(F.lit(now).cast(table.schema[c].dataType))
+        if c == "updated_at":
+            return F.when(hit, F.lit(now).cast(table.schema[c].dataType)).otherwise(old)
+        return old
+
+    return both.select(*[value(c).alias(c) for c in table.columns])
+
+
 def restore(
     nodes: DataFrame,
     edges: DataFrame,
@@ -119,7 +143,8 @@ def restore(
     """New overlay tables after loading the given snapshots, in order of snapshot id.
 
     A planned node comes back unbuilt, without a folder, and keeps its class only if that is in the
-    snapshot. Notes go to planned nodes and to symbols that still exist.
+    snapshot. Notes go to planned nodes and to symbols that still exist. Other stored columns stay as they
+    are; what is written carries the time ``now``.
     """
     virtual_ids = _virtual_ids(nodes)
     parents = virtual_ids.select("snapshot_id", F.col("id").alias("_parent"), F.col("id").alias("_class"))
@@ -130,7 +155,6 @@ def restore(
         "id", "r.label", "r.type", "r.virtual_class_id", F.lit(None).cast("string").alias("virtual_directory"),
         F.lit(False).alias("materialized"),
     )
-    keep = ["id", "label", "type", "virtual_class_id", "virtual_directory", F.col("materialized").cast("boolean").alias("materialized")]
 
     known = known_context(nodes, edges, symbols)
     spoken = nodes.where((text_or_empty("description") != "") | (text_or_empty("ai_remarks") != ""))
@@ -143,17 +167,16 @@ def restore(
     remarks = back.where(text_or_empty("remarks") != "").groupBy(
         ids.edge_id(F.col("source_id"), F.col("target_id")).alias("edge_id"), "source_id", "target_id"
     ).agg(F.max_by("remarks", F.struct("snapshot_id", "seq")).alias("remarks"))
-    stored = edge_annotations.select("edge_id", "source_node_id", "target_node_id", F.col("remarks").alias("_old"), F.col("call_count").alias("_count"))
-    told = remarks.withColumnsRenamed({"source_id": "_s", "target_id": "_t"}).join(stored, "edge_id", "full_outer").select(
-        "edge_id", F.coalesce("source_node_id", "_s").alias("source_node_id"), F.coalesce("target_node_id", "_t").alias("target_node_id"),
-        F.coalesce("remarks", "_old").alias("remarks"), F.coalesce("_count", F.lit(0)).cast("int").alias("call_count"),
-    )
+    told = remarks.select(
+        "edge_id", F.col("source_id").alias("source_node_id"), F.col("target_id").alias("target_node_id"), "remarks", F.lit(0).alias("call_count"))
     added = missing_edges(back, calls)
+    if "created_at" in calls.columns:
+        added = added.withColumn("created_at", F.lit(now).cast(calls.schema["created_at"].dataType))
     return {
-        "virtual_nodes": virtual.join(loaded.select("id"), "id", "left_anti").select(*keep).unionByName(loaded),
-        "node_annotations": annotations.select("node_id", "description", "ai_remarks").join(notes.select("node_id"), "node_id", "left_anti").unionByName(notes),
-        "edge_annotations": told,
-        "method_calls": calls.select(*added.columns).unionByName(added),
+        "virtual_nodes": _stored(virtual.withColumn("materialized", F.col("materialized").cast("boolean")), loaded, "id", now),
+        "node_annotations": _stored(annotations, notes, "node_id", now),
+        "edge_annotations": _stored(edge_annotations, told, "edge_id", now, first=("source_node_id", "target_node_id", "call_count")),
+        "method_calls": calls.unionByName(added, allowMissingColumns=True),
     }
 
 

@@ -68,13 +68,16 @@ def snapshot_counts(t):
     return S.snapshot_counts(t.fx_snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
 
 
+NOW = 1_700_000_000
+
+
 def _restored(t):
     # Some planned nodes and notes exist already.
     have = t.fx_snapshot_nodes.where("is_virtual AND seq % 4 = 0").select(
         "id", F.lit("older").alias("label"), "type", F.lit("k").alias("virtual_class_id"), F.lit("x").alias("virtual_directory"), F.lit(1).alias("materialized"))
-    virtual = t.fx_virtual_nodes.select(*have.columns).unionByName(have)
-    return S.restore(t.fx_snapshot_nodes, t.fx_snapshot_edges, t.fx_symbols, t.fx_method_calls, virtual,
-                     t.fx_node_annotations, t.fx_edge_annotations)
+    virtual = t.fx_virtual_nodes.select(*have.columns, "created_at").unionByName(have.withColumn("created_at", F.lit(None).cast("bigint")))
+    notes = t.fx_node_annotations.withColumn("code_snippet", F.concat(F.lit("code of "), "node_id")).withColumn("created_at", F.col("updated_at") - 1)
+    return S.restore(t.fx_snapshot_nodes, t.fx_snapshot_edges, t.fx_symbols, t.fx_method_calls, virtual, notes, t.fx_edge_annotations, now=NOW)
 
 
 @query("snapshot_restore", """
@@ -88,15 +91,18 @@ def snapshot_restore_nodes(t):
     return rows.select("id", "label", "type", *blank, "materialized")
 
 
-@query("snapshot_restore_annotations", """
+@query("snapshot_restore_annotations", f"""
     WITH said AS (SELECT n.id, arg_max(n.description, concat(n.snapshot_id, chr(1), CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS description,
         arg_max(n.ai_remarks, concat(n.snapshot_id, chr(1), CASE WHEN n.is_virtual THEN '0' ELSE '1' END, lpad(cast(n.seq AS string), 12, '0'))) AS ai_remarks
       FROM fx_snapshot_nodes n LEFT JOIN ox_sn_known k ON k.snapshot_id = n.snapshot_id AND k.id = n.id
       WHERE (n.description <> '' OR n.ai_remarks <> '') AND (n.is_virtual OR k.id IS NOT NULL) GROUP BY n.id)
-    SELECT id AS node_id, description, ai_remarks FROM said
-    UNION ALL SELECT node_id, description, ai_remarks FROM fx_node_annotations WHERE node_id NOT IN (SELECT id FROM said)""")
+    SELECT coalesce(s.id, a.node_id) AS node_id, CASE WHEN s.id IS NULL THEN a.description ELSE s.description END AS description,
+      CASE WHEN s.id IS NULL THEN a.ai_remarks ELSE s.ai_remarks END AS ai_remarks, CASE WHEN a.node_id IS NULL THEN '' ELSE concat('code of ', a.node_id) END AS code_snippet,
+      coalesce(a.updated_at - 1, {NOW}) AS created_at, CASE WHEN s.id IS NULL THEN a.updated_at ELSE {NOW} END AS updated_at
+    FROM said s FULL JOIN fx_node_annotations a ON a.node_id = s.id""")
 def snapshot_restore_annotations(t):
-    return _restored(t)["node_annotations"]
+    notes = _restored(t)["node_annotations"]
+    return notes.withColumn("code_snippet", F.coalesce("code_snippet", F.lit("")))
 
 
 @query("snapshot_restore_edges", """
