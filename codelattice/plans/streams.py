@@ -70,6 +70,60 @@ def incremental_index_stream(t):
     return versioned.load_tables(t.spark, root, ["symbols"])["symbols"].select("id", "body_hash")
 
 
+oracle_view("ox_t0_symbols", "SELECT id, kind, file_path, body_hash FROM fx_units_old")
+oracle_view("ox_t0_manifest", "SELECT DISTINCT file_path, 'old' AS file_hash FROM fx_units_old")
+oracle_view("ox_t0_calls", """
+    SELECT concat('d', cast(l_suppkey AS string)) AS caller_id, concat('d', cast(l_partkey % 1000 AS string)) AS callee_id, l_returnflag = 'R' AS manual FROM lineitem""")
+for _k, _p in ((1, 0), (2, 1), (3, 2)):
+    oracle_view(f"ox_t{_k}_files", f"SELECT file_path, max(save) AS save FROM fx_saves WHERE batch = {_k} GROUP BY file_path")
+    oracle_view(f"ox_t{_k}_new", f"""
+        SELECT s.id, s.kind, s.file_path, s.body_hash FROM fx_saves s JOIN ox_t{_k}_files f ON f.file_path = s.file_path AND f.save = s.save WHERE s.id IS NOT NULL""")
+    oracle_view(f"ox_t{_k}_diff", f"""
+        SELECT coalesce(o.id, n.id) AS id, n.id IS NULL AS removed FROM ox_t{_k}_new n FULL JOIN (SELECT * FROM ox_t{_p}_symbols
+          WHERE kind IN ('method', 'constructor', 'function') AND file_path IN (SELECT file_path FROM ox_t{_k}_files)) o ON o.id = n.id
+        WHERE n.id IS NULL OR o.id IS NULL OR o.body_hash <> n.body_hash""")
+    oracle_view(f"ox_t{_k}_symbols", f"""
+        SELECT * FROM ox_t{_k}_new UNION ALL SELECT * FROM ox_t{_p}_symbols
+        WHERE file_path NOT IN (SELECT file_path FROM ox_t{_k}_files) AND id NOT IN (SELECT id FROM ox_t{_k}_new)""")
+    oracle_view(f"ox_t{_k}_calls", f"""
+        SELECT * FROM ox_t{_p}_calls WHERE manual OR (caller_id NOT IN (SELECT id FROM ox_t{_k}_diff) AND callee_id NOT IN (SELECT id FROM ox_t{_k}_diff WHERE removed))
+        UNION ALL SELECT id, 'd1', false FROM ox_t{_k}_diff WHERE NOT removed""")
+    oracle_view(f"ox_t{_k}_manifest", f"""
+        SELECT file_path, concat('h', cast(save AS string)) AS file_hash FROM ox_t{_k}_files
+        UNION ALL SELECT * FROM ox_t{_p}_manifest WHERE file_path NOT IN (SELECT file_path FROM ox_t{_k}_files)""")
+
+
+@query("incremental_index_batches", """
+    SELECT 'symbols' AS part, id AS key, body_hash AS value, count(*) AS n FROM ox_t3_symbols GROUP BY id, body_hash
+    UNION ALL SELECT 'calls', caller_id, callee_id, count(*) FROM ox_t3_calls GROUP BY caller_id, callee_id
+    UNION ALL SELECT 'manifest', file_path, file_hash, count(*) FROM ox_t3_manifest GROUP BY file_path, file_hash""")
+def incremental_index_batches(t):
+    """Three batches of saves, and a last run that finds nothing new."""
+    root = S.scratch(t.spark, "index")
+    old = t.fx_units_old.select("id", "kind", "file_path", "body_hash", F.lit(0).cast("bigint").alias("seq"))
+    calls = t.lineitem.select(
+        F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("caller_id"), F.concat(F.lit("d"), (F.col("l_partkey") % 1000).cast("string")).alias("callee_id"),
+        F.when(F.col("l_returnflag") == "R", "manual").otherwise("direct").alias("call_type"), F.lit("f").alias("file_path"), F.lit(1).alias("line"))
+    manifest = old.select("file_path").distinct().withColumn("file_hash", F.lit("old"))
+    versioned.save_tables(t.spark, f"{root}/tables", {"symbols": old, "method_calls": calls, "manifest": manifest}, "start")
+    saves = t.fx_saves.select(
+        "batch", "file_path", F.concat(F.lit("h"), F.col("save").cast("string")).alias("file_hash"), "id", "kind", "body_hash", F.col("save").cast("bigint").alias("seq"))
+
+    def calls_of(changed):
+        return changed.select(F.col("id").alias("caller_id"), F.lit("d1").alias("callee_id"), F.lit("direct").alias("call_type"),
+                              F.lit("g").alias("file_path"), F.lit(1).alias("line"))
+
+    for batch in (1, 2, 3, 4):
+        saves.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{root}/feed")
+        feed = t.spark.readStream.schema(saves.drop("batch").schema).parquet(f"{root}/feed")
+        S.incremental_index(feed, f"{root}/tables", calls_of, f"{root}/state")
+    got = versioned.load_tables(t.spark, f"{root}/tables", S.INDEX_TABLES)
+    parts = [("symbols", "symbols", "id", "body_hash"), ("calls", "method_calls", "caller_id", "callee_id"), ("manifest", "manifest", "file_path", "file_hash")]
+    out = [got[name].groupBy(F.col(a).alias("key"), F.col(b).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "key", "value", "n")
+           for part, name, a, b in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("edge_append_stream", """
     SELECT concat('p', l_suppkey) AS caller_id, concat('p', l_partkey) AS callee_id, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def edge_append_stream(t):

@@ -79,6 +79,14 @@ def _view_sql(sha) -> dict[str, str]:
           CASE WHEN doc_id % 4 = 0 THEN 'function' ELSE 'method' END AS kind,
           md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, ' edit') ELSE text END) AS body_hash
         FROM documents WHERE doc_id % 11 <> 0"""
+    # Saves in three batches: all files; some of them twice, first with units that are gone in the second; some emptied.
+    views["fx_saves"] = """
+        SELECT 1 AS batch, 1 AS save, source AS file_path, concat('d', cast(doc_id AS string)) AS id, CASE WHEN doc_id % 4 = 0 THEN 'function' ELSE 'method' END AS kind,
+          md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, ' edit') ELSE text END) AS body_hash FROM documents WHERE doc_id % 11 <> 0
+        UNION ALL SELECT 2, 2, source, concat('t', cast(doc_id AS string)), 'method', md5(text) FROM documents WHERE doc_id % 5 = 0 AND right(md5(source), 1) > '4'
+        UNION ALL SELECT 2, 3, source, concat('d', cast(doc_id AS string)), 'method', md5(concat(text, CASE WHEN doc_id % 7 = 0 THEN ' more' ELSE '' END))
+          FROM documents WHERE doc_id % 3 <> 0 AND right(md5(source), 1) > '4'
+        UNION ALL SELECT DISTINCT 3, 4, source, CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string) FROM documents WHERE right(md5(source), 1) > 'a'"""
     views["fx_mask_sessions"] = """
         SELECT concat('s', cast(conv_id AS string), '-', cast(turn AS string)) AS id,
           concat('src/c', cast(conv_id % 20 AS string), '.py') AS file_path, text AS original_code,
