@@ -16,6 +16,7 @@ LIST_ORDER = {
     "virtual": ["-created_at"],
     "dirs": ["path"],
     "snapshots": ["-created_at"],
+    "sessions": ["-created_at"],
     "symbols": [],
 }
 

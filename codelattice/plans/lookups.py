@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelattice.functions import ids, paths
+from codelattice.functions import coerce, ids, paths
 from codelattice.operators import lookup as K
 from codelattice.operators import nodes as N
 from codelattice.operators import view as V
@@ -165,13 +165,15 @@ def symbol_exists(t):
 @query("table_load", """
     SELECT 'calls' AS part, concat(file_path, ':', line) AS key, count(*) AS n FROM fx_method_calls GROUP BY 2
     UNION ALL SELECT 'notes', node_id, 1 FROM fx_node_annotations UNION ALL SELECT 'virtual', id, 1 FROM fx_virtual_nodes
-    UNION ALL SELECT 'dirs', path, 1 FROM fx_virtual_directories UNION ALL SELECT 'symbols', id, 1 FROM fx_symbols""")
+    UNION ALL SELECT 'dirs', path, 1 FROM fx_virtual_directories UNION ALL SELECT 'symbols', id, 1 FROM fx_symbols
+    UNION ALL SELECT 'snapshots', id, 1 FROM fx_snapshots UNION ALL SELECT 'sessions', id, 1 FROM fx_mask_sessions""")
 def table_load(t):
     one = F.lit(1).cast("bigint").alias("n")
     calls = K.ordered(t.fx_method_calls, "calls").groupBy(F.concat_ws(":", "file_path", "line").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     out = calls.select(F.lit("calls").alias("part"), "key", "n")
     for part, df, key in (("notes", t.fx_node_annotations, "node_id"), ("virtual", t.fx_virtual_nodes, "id"),
-                          ("dirs", t.fx_virtual_directories, "path"), ("symbols", t.fx_symbols, "id")):
+                          ("dirs", t.fx_virtual_directories, "path"), ("symbols", t.fx_symbols, "id"),
+                          ("snapshots", t.fx_snapshots, "id"), ("sessions", t.fx_mask_sessions, "id")):
         out = out.unionByName(K.ordered(df, part).select(F.lit(part).alias("part"), F.col(key).alias("key"), one))
     return out
 
@@ -184,6 +186,24 @@ def sessions_by_status(t):
     return t.fx_mask_sessions.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Numbers and texts that may come as the other kind, as null, or not at all.
+oracle_view("ox_loose", """
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority ELSE '' END AS text,
+      CASE WHEN o_orderkey % 5 IN (1, 3, 4) THEN 0 ELSE cast(trunc(o_totalprice) AS bigint) END AS number FROM orders""")
+
+
+@query("loose_json", "SELECT o_orderkey, text, number FROM ox_loose")
+def loose_json(t):
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    json = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('{"f": "'), "o_orderpriority", F.lit('", "n": '), price, F.lit("}")))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('{"f": 3, "n": "'), price, F.lit('"}')))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit('{"n": '), price, F.lit("}")))
+        .when(F.col("o_orderkey") % 5 == 3, F.lit('{"f": null, "n": "many"}')).otherwise(F.lit("broken")))
+    rows = t.orders.select("o_orderkey", json.alias("j"))
+    return rows.select("o_orderkey", coerce.json_text_or_empty(F.col("j"), "$.f").alias("text"), coerce.json_int_or_zero(F.col("j"), "$.n").cast("bigint").alias("number"))
+
+
 @query("cache_stats", "SELECT count(*) AS entries FROM fx_units_old")
 def cache_stats(t):
     return t.fx_units_old.agg(F.count(F.lit(1)).alias("entries"))

@@ -303,10 +303,15 @@ def decision_points(t):
     return rows.select("file_path", "p.start", "p.kind", "p.hint", "p.code", "p.priority")
 
 
-@query("topk_per_unit", "SELECT file_path, start, priority, cast(rn AS int) AS rank FROM ox_points WHERE rn <= 1")
+@query("topk_per_unit", """
+    SELECT file_path, cast(start_line AS int) AS start_line, cast(start AS int) AS start, priority, cast(rank AS int) AS rank FROM (
+      SELECT u.file_path, u.start_line, p.start - l.base AS start, p.priority, row_number() OVER (PARTITION BY u.file_path, u.start_line ORDER BY p.priority DESC, p.start) AS rank
+      FROM ox_fresh u JOIN ox_placed l ON l.file_path = u.file_path AND l.line_no = u.start_line
+        JOIN ox_points p ON p.file_path = u.file_path AND p.start >= l.base AND p.start < l.base + length(u.body)) x WHERE rank <= 3""")
 def topk_per_unit(t):
-    rows = M.with_decision_points(t.wide("fx_source_files")).select("file_path", F.posexplode(M.top_points(F.col("points"), 1)).alias("pos", "p"))
-    return rows.select("file_path", "p.start", "p.priority", (F.col("pos") + 1).alias("rank"))
+    units = M.with_decision_points(U.segment_units(t.wide("fx_source_files")), "body")
+    rows = units.select("file_path", "start_line", F.posexplode(M.top_points(F.col("points"))).alias("pos", "p"))
+    return rows.select("file_path", "start_line", "p.start", "p.priority", (F.col("pos") + 1).alias("rank"))
 
 
 oracle_view("ox_masks", """
@@ -341,20 +346,24 @@ oracle_view("ox_edits", f"""
       SELECT *, cast(start - length(split_part(substr(text, 1, start), {NL}, -1)) AS int) AS spot FROM ox_masks WHERE language = 'python') m""")
 
 
-@query("apply_edits_desc", f"""
+oracle_view("ox_masked", f"""
     SELECT s.file_path, coalesce(e.masked, s.text) AS masked_code FROM fx_source_files s LEFT JOIN (
       SELECT file_path, concat(string_agg(concat({_cut('prev', 'a')}, put), '' ORDER BY a, b), max(substr(text, b + 1)) FILTER (WHERE last)) AS masked FROM (
         SELECT *, coalesce(lag(b) OVER w, 0) AS prev, row_number() OVER w = count(*) OVER (PARTITION BY file_path) AS last FROM ox_edits WINDOW w AS (PARTITION BY file_path ORDER BY a, b)) x GROUP BY file_path) e
     ON e.file_path = s.file_path""")
+
+
+@query("apply_edits_desc", "SELECT * FROM ox_masked")
 def apply_edits_desc(t):
     return M.mask_texts(t.wide("fx_source_files"), "file_path").select("file_path", "masked_code")
 
 
 @query("mask_sessions", """
-    SELECT substr(sha256(concat(file_path, ':', text)), 1, 32) AS id, file_path, language, 'pending' AS status, length(text) AS chars FROM fx_source_files""")
+    SELECT substr(sha256(concat(s.file_path, ':', s.text)), 1, 32) AS id, s.file_path, s.language, 'pending' AS status, length(s.text) AS chars, sha256(m.masked_code) AS masked
+    FROM fx_source_files s JOIN ox_masked m ON m.file_path = s.file_path""")
 def mask_sessions(t):
     rows = M.mask_sessions(M.mask_texts(t.wide("fx_source_files"), "file_path"), "file_path")
-    return rows.select("id", "file_path", "language", "status", F.length("original_code").cast("bigint").alias("chars"))
+    return rows.select("id", "file_path", "language", "status", F.length("original_code").cast("bigint").alias("chars"), F.sha2("masked_code", 256).alias("masked"))
 
 
 @query("reassemble", f"""
