@@ -84,6 +84,23 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in chosen_path.jaccard_join(docs).collect()} == brute.near_duplicates(rows)
 
 
+def test_large_buckets_are_split_until_they_are_small(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BUCKET", 16)
+    rows, common = [], prose(10, 25)
+    for k in range(300):  # near copies of one text; texts that share a passage
+        words = prose(9, 80).split()
+        words[k % 80] = f"w{k}"
+        rows += [(k, " ".join(words)), (1000 + k, common + " " + prose(100 + k, 60))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = texts.mapInArrow(chosen_path._sets_of(5, 0.8, chosen_path.runs_for(0.999999)), chosen_path._SETS)
+    buckets = [tuple(r) for r in chosen_path.buckets_of(sets.withColumnRenamed("doc_id", "rep"), texts, 5, 0.8).select("key", "rep").collect()]
+    met = defaultdict(set)
+    for key, rep in buckets:
+        met[key].add(rep)
+    assert max(map(len, met.values())) <= 4 * 16  # blocks are dealt by a hash, so their sizes vary
+    assert {(a, b) for x in met.values() for a in x for b in x if a < b < 1000} == {(a, b) for b in range(300) for a in range(b)}
+
+
 def test_near_duplicates_lose_no_link(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
