@@ -121,6 +121,20 @@ def test_local_search_only_improves():
     assert sum(fewer for fewer, _ in found) and sum(fuller for _, fuller in found) > 20
 
 
+def test_local_search_goes_on_past_stuck_and_emptied_bins():
+    rng = random.Random(1)
+    assert _searched([rng.randint(300, 1100) for _ in range(4000)], 2048)[0] >= 12
+
+
+def test_exchanges_reach_every_bin():
+    bins = packing.Bins(np.array([600, 300] + [850] * 200 + [290, 650]), 1000)
+    bins.items = [[0, 1], *[[k] for k in range(2, 202)], [202, 203]]
+    for b in range(202):
+        bins.free.append(0)
+        bins._set(b, 1000 - sum(bins.lengths[i] for i in bins.items[b]))
+    assert bins._improve_anywhere(0) and bins.free[0] == 110 and bins.free[201] == 50
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 7, 8, 20):
         codes = langid.codewords(n)
