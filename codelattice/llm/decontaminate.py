@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import LOWER, fresh, span_hashes, text_chunks, window_hashes, window_ok, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000  # benchmark text that one broadcast holds; larger benchmarks go in several passes
-HITS = "doc_id long, n_words long, spans array<struct<first:int,last:int,from:int,to:int>>, items array<string>"
+HITS = "row_a long, row_b long, doc_id long, n_words long, spans array<struct<first:int,last:int,from:int,to:int>>, items array<string>"
 
 
 class Windows:
@@ -83,14 +83,21 @@ def _scan_batches(windows: Windows):
                         found[row].append({"first": x, "last": y - 1, "from": int(starts[a + x]) - base, "to": int(ends[a + y - 1]) - base})
                 names = [sorted(x for x in items.get(row, ()) if x is not None) for row in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(first), pa.int64()),
+                    [batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(first), pa.int64()),
                      pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))),
                      pa.array(names, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"])
+                    ["row_a", "row_b", "doc_id", "n_words", "spans", "items"])
 
     return scan
 
 
+def row_key() -> list[Column]:
+    """Two hashes of a row's id and text, null or not; rows that agree in both have the same hits."""
+    row = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    marks = F.concat(*[x.isNull().cast("string") for x in row])
+    return [F.xxhash64(F.lit(seed), marks, *row) for seed in (1, 2)]
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, maximal runs of hit words (also as byte ranges of the text), and the items found.
 
@@ -98,9 +105,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ignored. The benchmark is brought in blocks of at most ``block_bytes`` of text (one item at least), so no
     broadcast grows with it; each block is one pass over the documents. Texts of null have no words and are
     returned with none. An item without words has no window; an item whose id is null marks words, and is not
-    listed. Rows that repeat a ``doc_id`` are told apart only while the benchmark is one block.
+    listed. Every row is answered, whatever it repeats and however many blocks there are.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _hits(docs, benchmark, window, block_bytes).drop("row_a", "row_b")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`benchmark_hits` with the :func:`row_key` of each row."""
+    a, b = row_key()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), a.alias("row_a"), b.alias("row_b"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
@@ -111,12 +124,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         parts.append(texts.mapInArrow(_scan_batches(Windows([tuple(r) for r in mine.collect()], window)), HITS))
     if blocks == 1:
         return parts[0]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    merged = rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", joined_spans(F.col("spans")))
+    key, rows = ["row_a", "row_b"], None
+    for part in parts:
+        # equal rows are counted once for each block, before those of all blocks meet
+        once = part.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "spans", "items")], F.count(F.lit(1)).alias("copies"))
+        rows = once if rows is None else rows.unionByName(once)
+    merged = rows.groupBy(*key).agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies"))
+    each = merged.withColumn("spans", joined_spans(F.col("spans"))).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.drop("copies")
 
 
 def joined_spans(spans):
@@ -150,10 +167,17 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its :func:`row_key` in two more columns, and their names."""
+    names = [fresh("_row_a", docs), fresh("_row_b", docs)]
+    return docs.withColumns(dict(zip(names, row_key(), strict=True))), names
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the hit byte ranges cut out of ``text``; other columns stay. ``doc_id`` has to be unique."""
+    """``docs`` with the hit byte ranges cut out of ``text``; other columns stay. Each row loses its own, whatever its id."""
+    keyed, key = _keyed(docs)
     name = fresh("_spans", docs)
-    hits = benchmark_hits(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(name)).dropDuplicates(["doc_id"])
+    hits = _hits(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("row_a").alias(key[0]), F.col("row_b").alias(key[1]), F.col("spans").alias(name)).dropDuplicates(key)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -171,10 +195,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out)
 
-    return docs.join(hits, "doc_id", "left").withColumn("text", cut("text", name)).select(*docs.columns)
+    return keyed.join(hits, key, "left").withColumn("text", cut("text", name)).select(*docs.columns)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    bad = decontamination_report(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """``docs`` without the contaminated rows; a clean row stays even if it shares its id with one.
+
+    Contaminated rows whose id is null stay unless ``unnamed`` is set.
+    """
+    keyed, key = _keyed(docs)
+    bad = _hits(docs, benchmark, window).withColumn("n_hit", n_hit()).where(contaminated())
+    if not unnamed:
+        bad = bad.where("doc_id is not null")
+    bad = bad.select(F.col("row_a").alias(key[0]), F.col("row_b").alias(key[1])).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)

@@ -55,6 +55,19 @@ def test_contamination(spark, messy, block):
     assert cut[8] == "" and cut[3] is None and cut[0] != texts[0] and cut[14] == texts[14]
 
 
+def test_contamination_is_of_rows_whatever_their_ids(spark, messy):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = messy.unionByName(spark.createDataFrame([(None, "One two"), (None, None), (0, "a clean text"), (None, "clean")], "doc_id long, text string"), allowMissingColumns=True)
+    one, many = (Counter(map(str, decontaminate.benchmark_hits(docs, bench, block_bytes=b).collect())) for b in (32_000_000, 200))
+    assert one == many and sum(one.values()) == docs.count()
+    named = decontaminate.remove_documents(docs, bench).where("text in ('a clean text', 'clean')")
+    assert sorted(r.text for r in named.collect()) == ["a clean text", "clean"]
+    left = decontaminate.remove_documents(docs, bench, unnamed=True).where("doc_id is null").collect()
+    assert Counter(r.text for r in left) == Counter([None, "clean"])
+    cut = [r.text for r in decontaminate.remove_spans(docs, bench).where("doc_id = 0").collect()]
+    assert len(cut) == 4 and cut.count("a clean text") == 1
+
+
 def test_contamination_of_nothing(spark, messy, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontamination_report(nothing, none).count() == 0
