@@ -2,8 +2,10 @@
 
 The parser of the standard library streams a page's events into lines, one per block, each with its text, its
 tags and its part of the page. Ratios of text to tags are smoothed over neighbouring lines with a Gaussian and
-split into two clusters; the part of the page that holds most text of the upper cluster is the content. Lines in
-menus, headers, footers, side columns, notices, adverts, forms and reader comments never count.
+split into two clusters; the parts of the page that hold lines of the upper cluster are the content, with the low
+lines and the lists and tables that they enclose. An article or main element counts as one part, and its lines reach
+the upper cluster with half the ratio. Lines in menus, headers, footers, side columns, notices, adverts, forms and
+reader comments never count.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0  # lines
 RADIUS = 3
+PRIOR = 2.0  # by which the ratios of lines in an article or main element count for more
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -34,7 +37,8 @@ MARKED = frozenset(
 #: Wrappers whose marks are ignored: a page may call its body anything.
 WHOLE = frozenset(["html", "body", "main", "article"])
 CONTAINERS = frozenset("article main".split())
-SECTIONS = frozenset("div section td body table ul ol dl".split())
+LISTS = frozenset("table td ul ol dl".split())
+SECTIONS = frozenset("div section body".split()) | LISTS
 #: Start tag -> open elements that it ends, up to the nearest of the elements behind.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -60,6 +64,8 @@ class Lines(HTMLParser):
         self.dropped = 0
         self.links = 0
         self.parts = [False]  # part number -> whether it is an article or a main element
+        self.lists = [False]  # whether it is a list or table, or a cell
+        self.above = [0]  # the part around it
         self.lines: list[Line] = []
         self.line = Line()
 
@@ -111,6 +117,8 @@ class Lines(HTMLParser):
         part = self.stack[-1][2] if self.stack else 0
         within = self.parts[part]
         if tag in CONTAINERS and not (within and tag == "article" and any(t == "article" for t, _, _ in self.stack)) or tag in SECTIONS and not within:
+            self.above.append(part)
+            self.lists.append(tag in LISTS)
             part = len(self.parts)
             self.parts.append(tag in CONTAINERS)
             self.line.part = part
@@ -161,6 +169,33 @@ def two_clusters(values: np.ndarray) -> float:
     return float(ordered[int(np.argmin(left + right)) + 1])
 
 
+def content_parts(parser: Lines, parts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """For each part of a page whether it is content; of each line the part, text outside links, text, and cluster."""
+    n = len(parser.parts)
+    unit = list(range(n))  # the outermost article or main element, else the part itself
+    for p in range(1, n):
+        if parser.parts[p] and parser.parts[parser.above[p]]:
+            unit[p] = unit[parser.above[p]]
+    whole, units = np.array(parser.parts), np.array(unit)
+    of_line = units[parts]
+    texts = np.bincount(parts, sizes, minlength=n) >= 0.5 * np.bincount(parts, lengths, minlength=n)  # not mostly links
+    votes = np.bincount(of_line, np.where(upper, sizes, 0), minlength=n)
+    high = np.bincount(parts[upper], minlength=n) > 0
+    held = np.bincount(of_line[upper], minlength=n) > 0
+    held &= np.bincount(of_line, sizes, minlength=n) >= 0.5 * np.bincount(of_line, lengths, minlength=n)
+    held &= whole | (votes > 1e-3 * votes.max())
+    if not held.any():  # links only: those of the article with most text, if there is one
+        held = whole & (np.arange(n) == np.argmax(np.bincount(of_line, lengths * whole[of_line], minlength=n)))
+    around = [{parser.above[p] for p in np.flatnonzero(held & whole)}, np.flatnonzero(held[of_line] & whole[of_line])]
+    for p in np.flatnonzero(whole & (units == np.arange(n)) & ~held & texts):  # an article between such parts
+        at = np.flatnonzero(of_line == p)
+        held[p] = len(at) and parser.above[p] in around[0] and around[1][0] < at[0] < around[1][-1]
+    kept = held[units] & (high | texts | (units == np.arange(n)))
+    for p in range(1, n):  # lists and tables belong to the part around them
+        kept[p] |= parser.lists[p] and texts[p] and kept[parser.above[p]]
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The content of one page; empty for null, and for pages without any."""
     parser = Lines()
@@ -174,15 +209,9 @@ def main_text(html: str | None) -> str:
     sizes = np.array([len(text) - min(x.linked, len(text)) for text, x in lines], float)
     smooth = smoothed(sizes / np.array([max(1, x.tags) for _, x in lines]))
     parts = np.array([x.part for _, x in lines])
-    upper = smooth >= two_clusters(smooth)
-    votes = np.bincount(parts, np.where(upper, sizes, 0) + 1e-6 * sizes, minlength=len(parser.parts))
-    whole = np.array(parser.parts)
-    if (held := np.flatnonzero(whole & (np.bincount(parts, minlength=len(whole)) > 0))).size:
-        chosen = {int(held[np.argmax(votes[held])])}
-    else:  # no article is named: every part that holds lines of the upper cluster, and is not mostly links
-        mostly = np.bincount(parts, sizes, minlength=len(whole)) >= 0.5 * np.bincount(parts, [len(t) for t, _ in lines], minlength=len(whole))
-        chosen = set(np.flatnonzero((votes > 1e-3 * votes.max()) & mostly & np.isin(np.arange(len(whole)), parts[upper])).tolist())
-    return " ".join(text for text, x in lines if x.part in chosen)
+    upper = smooth * np.where(np.array(parser.parts)[parts], PRIOR, 1.0) >= two_clusters(smooth)
+    kept = content_parts(parser, parts, sizes, np.array([len(text) for text, _ in lines], float), upper)
+    return " ".join(text for text, x in lines if kept[x.part])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -167,6 +167,24 @@ def test_main_text(name):
     assert content.main_text(PAGES[name]) == WANT
 
 
+LONG = "<p>" + "A paragraph of the story that goes on for quite some time. " * 4 + "</p>"
+STORY = " ".join(["A paragraph of the story that goes on for quite some time."] * 4)
+LINKS = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+REGIONS = {
+    "articles side by side": (f"<body><article><h2>One</h2>{LONG}</article><article><h2>Two</h2>{LONG}</article>", f"One {STORY} Two {STORY}"),
+    "short article between": (f"<body><article>{LONG}</article><article><p>Brief.</p></article><article>{LONG}</article><article><p><a href=x>See more</a></article>", f"{STORY} Brief. {STORY}"),
+    "main around an article": (f"<body><main><h1>Title</h1>{LONG}<article>{LONG}</article></main>", f"Title {STORY} {STORY}"),
+    "text beside an article": (f"<body><article>{LONG}</article><div>{LONG}</div><div>Short</div>", f"{STORY} {STORY}"),
+    "empty article": (f"<body><article><p>x</p></article><div>Menu</div><div>{LONG * 3}</div>", f"{STORY} {STORY} {STORY}"),
+    "list and table": (f"<body>{LINKS}<div>{LONG}<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>{LONG}{LINKS}</div>{LINKS}", f"{STORY} a b c d {STORY}"),
+}
+
+
+@pytest.mark.parametrize("name", REGIONS)
+def test_all_regions_of_text_stay(name):
+    assert content.main_text(REGIONS[name][0]) == REGIONS[name][1]
+
+
 def test_main_text_of_a_table(spark):
     odd = [None, "", "<", "plain text only", "<p>&#0;&bogus;&lt;</p>", "<nav>only a menu</nav>", "<div>" * 3000 + "deep", "<article>" + "<p>word</p>" * 20000 + "</article>"]
     pages = spark.createDataFrame([(k, "u", h, "t") for k, h in enumerate([*odd, odd[3]])] + [(None, None, None, None)], "page_id long, url string, html string, text string")
