@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,3 +97,95 @@ def spellings(word, pieces):
         if word[:n] in pieces:
             for rest in spellings(word[n:], pieces):
                 yield [word[:n], *rest]
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _tree(level):
+    """Root, and for each leaf its siblings on the left and right, lowest first."""
+    paths, at = [[] for _ in level], list(range(len(level)))
+    while len(level) > 1:
+        runs = [level[k : k + 8] for k in range(0, len(level), 8)]
+        for k, path in enumerate(paths):
+            run, place = runs[at[k] // 8], at[k] % 8
+            path.append(("".join(run[:place]), "".join(run[place + 1 :])))
+            at[k] //= 8
+        level = [digest("".join(run)) for run in runs]
+    return level[0], paths
+
+
+def manifest(rows):
+    """``rows``: ``(doc_id, source, lang, n_chars, text)``."""
+
+    def leaf(row):
+        return digest("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2]].append(row)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    ordered = {g: sorted(groups[g], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for g in names}
+    trees = {g: _tree([leaf(r) for r in ordered[g]]) for g in names}
+    root, tops = _tree([trees[g][0] for g in names])
+    out = []
+    for g, top in zip(names, tops, strict=True):
+        for row, path in zip(ordered[g], trees[g][1], strict=True):
+            path, hit = path + top, row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0
+            node = leaf((*row[:4], row[4].translate(LOWER))) if hit and row[4] is not None else leaf(row)
+            for left, right in path:
+                node = digest(left + node + right)
+            out.append((row[0], leaf(row), trees[g][0], root, digest("".join(a + b for a, b in path)), node, node == root))
+    return out
+
+
+def parts(nodes, links):
+    """Least node of the part of each node."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    runs = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(docs):
+    """``docs``: ``(id, text)``."""
+    prints = [fingerprint(t) for _, t in docs]
+    kinds = sorted(set(prints))
+    part = parts(kinds, [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if (a ^ b).bit_count() <= 2])
+    least = {}
+    for (doc, _), p in zip(docs, prints, strict=True):
+        if doc is not None:
+            least[part[p]] = min(doc, least.get(part[p], doc))
+    return [(doc, f"{p:016x}", least.get(part[p])) for (doc, _), p in zip(docs, prints, strict=True)]
+
+
+def search(docs, items, k=10):
+    """``docs``, ``items``: ``(id, text)``."""
+    counts = [Counter(words(t)) for _, t in docs]
+    n_docs, n_terms = sum(1 for c in counts if c), sum(sum(c.values()) for c in counts)
+    df, out = Counter(t for c in counts for t in c), []
+    for item, text in items:
+        scored = []
+        for (doc, _), c in zip(docs, counts, strict=True):
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t in set(words(text)) if c[t])
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, rank, doc, -score) for rank, (score, _, _, doc) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return out
