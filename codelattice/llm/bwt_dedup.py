@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import fresh, mixed, powers, text_chunks, written
@@ -25,12 +25,12 @@ from codelattice.llm.common import fresh, mixed, powers, text_chunks, written
 LENGTH = 100
 GRAM = 20
 SLICE = 1 << 22  # bytes of a text that are looked at together
-BAND = 16  # strings of a band
+BAND = 40  # strings of a band
 BUCKET_BYTES = 4 << 20  # bytes of bands that one task gets
 SHARD_BYTES = 1 << 19
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # different pieces of one anchor, beyond which each string is a band
-_PIECES = "anchor long, content long, length int, place int, doc_id long, start long"
+_PIECES = "anchor long, content long, length int, place int, doc_id long, row long, start long"
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -53,7 +53,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     anchor = (least & low).astype(np.int64)  # one entry for each string
-    row = np.searchsorted(offsets, np.arange(len(anchor)), side="right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     ok = np.arange(len(anchor)) + length <= offsets[row + 1]
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])
@@ -118,20 +118,32 @@ def seen_of(hashes: DataFrame) -> Seen:
     return Seen(out, bits)
 
 
-def _anchored(length: int, gram: int, seen: Seen | None = None):
-    """Pieces of all texts, or those whose anchor may be in ``seen``."""
+def _counted(length: int, gram: int):
+    """Anchors of all pieces, and how many pieces have them, counted within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, begin, data, offsets in _slices(batch.column(1), length):
+            for _, _, data, offsets in _slices(batch.column(2), length):
+                anchors, n = np.unique(pieces_of(data, offsets, length, gram)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    return run
+
+
+def _anchored(length: int, gram: int, seen: Seen):
+    """Pieces of all texts whose anchor may be in ``seen``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for rows, begin, data, offsets in _slices(batch.column(2), length):
                 row, start, size, place, anchor, content = pieces_of(data, offsets, length, gram)
-                if seen is not None:
-                    row, start, size, place, anchor, content = (x[seen.maybe(anchor)] for x in (row, start, size, place, anchor, content))
+                wanted = seen.maybe(anchor)
+                row, start, size, place, anchor, content = (x[wanted] for x in (row, start, size, place, anchor, content))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)),
-                     pa.array(ids[rows[row]].astype(np.int64)), pa.array(start + begin[row])],
-                    ["anchor", "content", "length", "place", "doc_id", "start"])
+                     pa.array(ids[rows[row]].astype(np.int64)), pa.array(keys[rows[row]]), pa.array(start + begin[row])],
+                    ["anchor", "content", "length", "place", "doc_id", "row", "start"])
 
     return run
 
@@ -254,19 +266,20 @@ def _merge_buckets(length: int):
         if not parts:
             return
         # rows that repeat a document give the same band at the same place
-        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["core", "doc_id", "start"]).sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["core", "doc_id", "row", "start"]).sort_values(["doc_id", "row", "start"], kind="stable", ignore_index=True)
         equal = rows.duplicated(["core", "bytes"])
-        docs, starts = rows["doc_id"][equal].tolist(), rows["start"][equal].tolist()
+        docs, keys, starts = (rows[c][equal].tolist() for c in ("doc_id", "row", "start"))
         ends = (rows["start"][equal] + rows["bytes"][equal].map(len)).tolist()
         rows = rows[~equal]
         rows = rows[rows["core"].duplicated(keep=False)]
         if len(rows):
-            for doc, at, flags in zip(rows["doc_id"].tolist(), rows["start"].tolist(), repeated_starts(rows["bytes"].tolist(), length), strict=True):
+            for doc, key, at, flags in zip(rows["doc_id"].tolist(), rows["row"].tolist(), rows["start"].tolist(), repeated_starts(rows["bytes"].tolist(), length), strict=True):
                 for a, b in zip(*_runs(flags), strict=True):
                     docs.append(doc)
+                    keys.append(key)
                     starts.append(at + int(a))
                     ends.append(at + int(b) - 1 + length)
-        yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
+        yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "row": pd.Series(keys, dtype="int64"), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
 
     return merge
 
@@ -286,63 +299,76 @@ def bands_of(raw: bytes, start: int, size: int, place: int, length: int, band: i
 def _cut_bands(length: int, band: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 found = [(*x, w["hot"]) for w in wanted for x in bands_of(raw, w["start"], w["length"], w["place"], length, 1 if w["hot"] else band)]
                 core, start, part, hot = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core, pa.int64()), pa.array(hot), pa.array([doc] * len(core), pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
-                    ["core", "hot", "doc_id", "start", "bytes"])
+                    [pa.array(core, pa.int64()), pa.array(hot), pa.array([doc] * len(core), pa.int64()), pa.array([key] * len(core), pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
+                    ["core", "hot", "doc_id", "row", "start", "bytes"])
 
     return cut
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND) -> DataFrame:
-    """Byte ranges ``doc_id``, ``start``, ``end`` covered by strings of ``length`` bytes that start earlier too.
+    """Byte ranges ``doc_id``, ``row``, ``start``, ``end`` covered by strings of ``length`` bytes that start earlier too.
 
-    Ranges may overlap. Earlier is by document id, then by place. ``docs`` has ``doc_id`` (not null) and ``text``.
+    Ranges may overlap. Earlier is by document id, then ``row``, then place. ``docs`` has ``doc_id`` and ``row`` (not null;
+    two texts of one id have different rows) and ``text``.
     """
-    anchors = docs.mapInArrow(_anchored(length, gram), _PIECES).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    docs = docs.select("doc_id", "row", "text")
+    anchors = docs.mapInArrow(_counted(length, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     seen = seen_of(written(anchors.where("n > 1").select("anchor")))
     found = written(docs.mapInArrow(_anchored(length, gram, seen), _PIECES))
     key = ["anchor", "content", "length"]
     # equal pieces are counted before they move
-    contents = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "place")).alias("oldest"))
+    contents = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start", "place")).alias("oldest"))
     per_anchor = contents.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
     known = written(contents.join(per_anchor, "anchor"))
-    many = known.where(F.col("n") > 1).select(*key, F.col("oldest.doc_id").alias("first_id"), F.col("oldest.start").alias("first_start"))
-    not_first = "doc_id <> first_id or start <> first_start"
-    whole = written(found.drop("place").join(many, key).where(not_first).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")))
+
+    def again(rows: DataFrame, firsts: DataFrame, by: list[str]) -> DataFrame:
+        """``rows`` that are not the first of their kind."""
+        first = firsts.select(*by, *[F.col(f"oldest.{c}").alias(f"first_{c}") for c in ("doc_id", "row", "start")])
+        return rows.join(first, by).where("doc_id <> first_doc_id or row <> first_row or start <> first_start")
+
+    ranges = ["doc_id", "row", "start", "end"]
+    whole = written(again(found.drop("place"), known.where(F.col("n") > 1), key).withColumn("end", F.col("start") + F.col("length")).select(ranges))
 
     several = known.where(F.col("kinds") > 1).select("length", "oldest.*", (F.col("kinds") > HOT).alias("hot"))
-    wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "place", "hot")).alias("wanted"))  # at most its pieces per document
-    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_bands(length, band), "core long, hot boolean, doc_id long, start long, bytes binary")
-    cut = written(cut)
+    wanted = several.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length", "place", "hot")).alias("wanted"))  # at most its pieces per document
+    bands = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
+    cut = written(bands.mapInArrow(_cut_bands(length, band), "core long, hot boolean, doc_id long, row long, start long, bytes binary"))
     # strings of hot anchors are bands of their own, and equal if their cores are
-    single = cut.where("hot").select("core", "doc_id", "start")
-    oldest = single.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("o")).where("n > 1")
-    again = single.join(oldest.select("core", F.col("o.doc_id").alias("first_id"), F.col("o.start").alias("first_start")), "core").where(not_first)
-    again = again.select("doc_id", "start", (F.col("start") + F.lit(length)).alias("end"))
+    single = cut.where("hot").select("core", "doc_id", "row", "start")
+    oldest = single.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("oldest")).where("n > 1")
+    strings = again(single, oldest, ["core"]).withColumn("end", F.col("start") + F.lit(length)).select(ranges)
     size = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    bands = cut.where("not hot").select("core", "doc_id", "start", "bytes").repartition(int(size // BUCKET_BYTES) + 1, "core")
-    merged = bands.mapInPandas(_merge_buckets(length), "doc_id long, start long, end long")
-    return written(whole.unionByName(again).unionByName(merged))
+    buckets = cut.where("not hot").select("core", "doc_id", "row", "start", "bytes").repartition(int(size // BUCKET_BYTES) + 1, "core")
+    merged = buckets.mapInPandas(_merge_buckets(length), "doc_id long, row long, start long, end long")
+    return written(whole.unionByName(strings).unionByName(merged))
+
+
+def row_of(text: Column) -> Column:
+    """Tells apart texts that share an id; texts that share both are one document."""
+    return F.xxhash64(F.lit(1), text)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``removed`` (maximal ranges) and ``kept`` (the bytes left) of every document.
+    """``doc_id``, ``row``, ``n_bytes``, ``removed`` (maximal ranges) and ``kept`` (the bytes left) of every document.
 
-    Null is empty. Ids name documents: rows that repeat an id and its text are the same document and answered
-    alike; rows without an id have no place in the order, are not searched and lose nothing. Nor do texts shorter
-    than ``length`` bytes. Further columns are ignored.
+    Null is empty. Rows that repeat an id and its text are the same document and answered alike; different texts of one
+    id are documents of their own, in the order of a hash of the text (``row``). Rows without an id have no place in the
+    order, are not searched and lose nothing. Nor do texts shorter than ``length`` bytes. Further columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = repeats(texts.where("doc_id is not null"), length).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(text).alias("row"), text.alias("text"))
+    found = repeats(texts.where("doc_id is not null"), length)
+    ranges = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, removed, kept = [], [], [], []
-            for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sizes, removed, kept = [], [], []
+            for text, spans in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 raw = text.encode()
                 joined: list[list[int]] = []
                 for s in spans or ():
@@ -354,16 +380,15 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for a, b in joined:
                     left.append(raw[at:a])
                     at = b
-                ids.append(doc)
                 sizes.append(len(raw))
                 removed.append([{"start": a, "end": b} for a, b in joined])
                 kept.append(b"".join([*left, raw[at:]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "removed", "kept"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                ["doc_id", "row", "n_bytes", "removed", "kept"])
 
-    schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(cut, schema)
+    schema = "doc_id long, row long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+    return texts.join(ranges, ["doc_id", "row"], "left").select("doc_id", "row", "text", "ranges").mapInArrow(cut, schema)
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -374,12 +399,17 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated ranges cut out of ``text``; bytes that no longer form a character go with them."""
-    name = fresh("_kept", docs)
-    left = deduplicated(docs, length).where(F.size("removed") > 0).select("doc_id", F.col("kept").alias(name)).dropDuplicates(["doc_id"])
+    """``docs`` with the repeated ranges cut out of ``text``; bytes that no longer form a character go with them.
+
+    Each text loses its own ranges, also where it shares its id with another. Other columns stay as they are.
+    """
+    name, row = fresh("_kept", docs), fresh("_row", docs)
+    changed = deduplicated(docs, length).where(F.size("removed") > 0)
+    left = changed.select("doc_id", F.col("row").alias(row), F.col("kept").alias(name)).dropDuplicates(["doc_id", row])
+    named = docs.withColumn(row, row_of(F.col("text").cast("string")))
 
     @F.pandas_udf("string")
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
-    return docs.join(left, "doc_id", "left").withColumn("text", F.when(F.col(name).isNotNull(), text_of(name)).otherwise(F.col("text"))).select(*docs.columns)
+    return named.join(left, ["doc_id", row], "left").withColumn("text", F.when(F.col(name).isNotNull(), text_of(name)).otherwise(F.col("text"))).select(*docs.columns)

@@ -49,6 +49,15 @@ def test_repeats(messy, nothing, monkeypatch, hot):
     assert bwt_dedup.dedup_report(nothing).count() == 0
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = "".join(random.Random(1).choices("abcdefgh", k=400)), prose(77, 200)[:400]
+    docs = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (2, b, "z"), (2, b, "z"), (3, prose(78, 30) + b, "w")], "doc_id long, text string, row string")
+    kept = bwt_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.row) for r in kept.collect()) == sorted([(1, a, "x"), (2, "", "y"), (2, b, "z"), (2, b, "z"), (3, prose(78, 30), "w")])
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in bwt_dedup.dedup_report(docs).collect()) == [(1, 400, 0), (2, 400, 0), (2, 400, 0), (2, 400, 400), (3, len(prose(78, 30)) + 400, 400)]
+
+
 def test_slices_of_long_texts_overlap(messy, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SLICE", 1 << 12)
     named = dict((r[0], r[1]) for r in messy_rows() if r[0] is not None)
