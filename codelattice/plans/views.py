@@ -87,6 +87,24 @@ def _view_sql(sha) -> dict[str, str]:
         UNION ALL SELECT 2, 3, source, concat('d', cast(doc_id AS string)), 'method', md5(concat(text, CASE WHEN doc_id % 7 = 0 THEN ' more' ELSE '' END))
           FROM documents WHERE doc_id % 3 <> 0 AND right(md5(source), 1) > '4'
         UNION ALL SELECT DISTINCT 3, 4, source, CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string) FROM documents WHERE right(md5(source), 1) > 'a'"""
+    # Saves of files with their symbols and call sites: some symbols changed, moved or gone, some files emptied.
+    views["fx_code_saves"] = """
+        SELECT 1 AS batch, 1 AS save, file_path, id, CASE WHEN seq % 5 = 0 THEN 'function' ELSE 'method' END AS kind, CASE WHEN seq % 3 = 0 THEN md5(name) ELSE body_hash END AS body_hash,
+          line, end_line, seq FROM fx_symbols WHERE right(md5(file_path), 1) > '7' AND seq % 13 <> 0
+        UNION ALL SELECT 2, 2, file_path, id, 'method', CASE WHEN seq % 4 = 0 THEN md5(id) ELSE body_hash END, line + 3, CASE WHEN end_line = 0 THEN 0 ELSE end_line + 3 END, seq
+          FROM fx_symbols WHERE right(md5(file_path), 1) > 'b'
+        UNION ALL SELECT DISTINCT 3, 3, file_path, CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS int), CAST(NULL AS int), 3
+          FROM fx_symbols WHERE right(md5(file_path), 1) > 'd'"""
+    views["fx_code_sites"] = """
+        SELECT DISTINCT concat('p', cast(l.l_partkey AS string)) AS caller_id, s.file_path AS callee_file, s.line + l.l_linenumber - 2 AS callee_line, l.l_linenumber AS line
+        FROM lineitem l JOIN fx_symbols s ON s.seq = l.l_suppkey * 7"""
+    # Saves, and in between the moments at which the file is taken off the queue.
+    views["fx_queue_events"] = """
+        SELECT event_id, ts, CASE WHEN event_id % 4 = 0 THEN 'taken' ELSE 'saved' END AS event, concat('src/u', cast(user_id AS string), '.go') AS file_path FROM events"""
+    views["fx_session_steps"] = """
+        SELECT concat('s', cast(conv_id AS string)) AS id, turn AS seq,
+          CASE WHEN turn = 0 AND conv_id % 9 <> 0 THEN 'pending' WHEN (conv_id * 7 + turn * turn) % 5 < 3 THEN 'filled' WHEN (conv_id + turn) % 4 = 0 THEN 'pending' ELSE 'validated' END AS status
+        FROM conversations"""
     views["fx_mask_sessions"] = """
         SELECT concat('s', cast(conv_id AS string), '-', cast(turn AS string)) AS id,
           concat('src/c', cast(conv_id % 20 AS string), '.py') AS file_path, text AS original_code,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.paths import language_of
 from codelattice.operators import index as I
+from codelattice.operators.locate import changed_sites_to_calls
+from codelattice.operators.skew import skew_join
 from codelattice.session import checkpoint_dir
 from codelattice.sources import versioned
 
@@ -165,3 +167,41 @@ def incremental_index(
 
     query = saved_units.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def index_saves(saved_units: DataFrame, root: str, state: str, buckets: int = versioned.BUCKETS) -> None:
+    """Apply a stream of saved files, with their call sites, to the tables kept in buckets at ``root``.
+
+    ``saved_units`` has, for each saved file, all its units: ``file_path, file_hash, id, kind, body_hash, line, end_line,
+    seq, sites``; ``sites`` is an array of ``callee_file, callee_line, line``, null or empty for none. A file saved without units
+    has one row with no ``id``. The units of a batch are compared with the stored ones, the sites of changed units are
+    resolved on the symbols as stored before the batch, and the tables follow. Symbols and manifest are dealt by file,
+    calls by caller; a batch writes the buckets of what it changes, and a batch that was applied is skipped.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark, label = batch.sparkSession, f"batch {batch_id}"
+        if versioned.is_committed(spark, root, label):
+            return
+        tables = versioned.load_buckets(spark, root, INDEX_TABLES)
+        batch = batch.persist()
+        files = batch.groupBy("file_path").agg(F.max_by("file_hash", "seq").alias("file_hash"))
+        last = batch.join(files, ["file_path", "file_hash"], "left_semi").where("id is not null")
+        new = I.last_per_key(last, ["id"], "seq").select("file_path", "id", "kind", "body_hash", "line", "end_line", "seq", "sites")
+        old = tables["symbols"].join(files.select("file_path"), "file_path", "left_semi")
+        diff = I.unit_diff(old, new).persist()
+        sites = new.select(F.col("id").alias("caller_id"), "file_path", F.inline("sites"))
+        fresh = changed_sites_to_calls(sites, diff.where(F.col("change") == "changed"), tables["symbols"])
+        out = I.apply_file_delta(tables["symbols"], tables["method_calls"], tables["manifest"], files, new, diff, fresh, "seq")
+        moved = tables["symbols"].join(new.select("id"), "id", "left_semi").select("file_path")
+        gone = diff.where(F.col("change") == "removed").select(F.col("id").alias("callee_id"))
+        callers = diff.where(F.col("change") != "same").select(F.col("id").alias("caller_id")).unionByName(
+            skew_join(tables["method_calls"], gone, "callee_id", "left_semi").select("caller_id"))
+        versioned.save_buckets(
+            spark, root, {"symbols": (out["symbols"], "file_path"), "method_calls": (out["method_calls"], "caller_id"), "manifest": (out["manifest"], "file_path")},
+            {"symbols": files.select("file_path").unionByName(moved), "method_calls": callers, "manifest": files}, label, buckets)
+        diff.unpersist()
+        batch.unpersist()
+
+    query = saved_units.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
