@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.operators.nodes import text_or_empty
-from codelattice.operators.skew import skew_join
+from codelattice.operators.ranks import numbered, running_sum
+from codelattice.operators.skew import first_per_key, skew_join
 from codelattice.session import cut_lineage
 
 KEY = ["snapshot_id", "id"]
@@ -19,29 +20,45 @@ KEY = ["snapshot_id", "id"]
 def virtual_tree(nodes: DataFrame) -> DataFrame:
     """Planned nodes with ``depth``, ``order`` (sort key of the walk) and ``flat``.
 
-    Roots have no parent; children follow their parent by label. Nodes under an absent parent are left
-    out. A snapshot without any root is a flat list. Runs one join per level of the deepest tree.
+    Roots have no parent; children follow their parent by label. Nodes under an absent parent, or above themselves, are
+    left out. A snapshot without any root is a flat list. Ids name nodes: rows that repeat one stand together.
+
+    Pointers to ancestors double their reach with each round, so a tree of depth d takes some log(d) rounds. They carry
+    how many nodes are below each node, which gives each its place among its siblings, and then the sum of those
+    places, which is the node's place in the walk.
     """
     planned = nodes.where("is_virtual")
-    roots = planned.where(text_or_empty("parent_id") == "")
-    step = F.struct("label", "id")
-    level = roots.select("*", F.lit(0).alias("depth"), F.array(step).alias("order"), F.lit(False).alias("flat"))
-    below = planned.where(text_or_empty("parent_id") != "")
-    done, depth = level, 0
-    while True:
-        above = level.select("snapshot_id", F.col("id").alias("parent_id"), F.col("order").alias("_above"))
-        level = cut_lineage(
-            below.join(above, ["snapshot_id", "parent_id"])
-            .where(~F.exists("_above", lambda up: up["id"] == F.col("id")))  # a node is not below itself
-            .select(*[below[c] for c in planned.columns], F.lit(depth + 1).alias("depth"),
-                    F.concat("_above", F.array(step)).alias("order"), F.lit(False).alias("flat"))
-        )
-        if level.isEmpty():
+    roots = planned.where(text_or_empty("parent_id") == "").select("snapshot_id").distinct()
+    shape = cut_lineage(first_per_key(planned.select(*KEY, "label", text_or_empty("parent_id").alias("parent")), KEY, "label", "parent").join(roots, "snapshot_id", "left_semi"))
+    known = shape.select("snapshot_id", F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    linked = skew_join(shape, known, ["snapshot_id", "parent"], "left")
+    up = F.when(F.coalesce("_known", F.lit(False)), F.col("parent"))
+    start = linked.select(*KEY, up.alias("up"), ((F.col("parent") != "") & up.isNull()).alias("lost"), F.lit(1).cast("bigint").alias("below"), up.isNotNull().cast("int").alias("depth"))
+    count, rounds, found = shape.count(), 0, start
+    while 2**rounds <= count:  # what still has an ancestor after that is above itself
+        open_, rounds = found.where("up is not null"), rounds + 1
+        gained = open_.groupBy("snapshot_id", F.col("up").alias("id")).agg(F.sum("below").alias("_gained"))
+        above = found.select("snapshot_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("lost").alias("_lost"), F.col("depth").alias("_depth"))
+        nearer = skew_join(found, above, ["snapshot_id", "up"], "left")
+        found = cut_lineage(skew_join(nearer, gained, KEY, "left").select(
+            *KEY, F.col("_up").alias("up"), (F.col("lost") | F.coalesce("_lost", F.lit(False))).alias("lost"),
+            (F.col("below") + F.coalesce("_gained", F.lit(0))).alias("below"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        if found.where("up is not null").isEmpty():
             break
-        done, depth = done.unionByName(level), depth + 1
-    rootless = planned.join(roots.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
-    at = F.struct(_sortable(F.col("seq")).alias("label"), F.col("id"))
-    return done.unionByName(rootless.select("*", F.lit(0).alias("depth"), F.array(at).alias("order"), F.lit(True).alias("flat")))
+    kept = shape.join(found.where("up is null and not lost").select(*KEY, "below", "depth"), KEY)
+    ahead = running_sum(kept, ["snapshot_id", "parent"], ["label", "id"], F.col("below"), "ahead")
+    place = cut_lineage(ahead.select(*KEY, F.nullif("parent", F.lit("")).alias("up"), "depth", (F.col("ahead") + (F.col("parent") != "").cast("int")).alias("place")))
+    for _ in range(rounds):
+        above = place.select("snapshot_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("place").alias("_place"))
+        place = cut_lineage(skew_join(place, above, ["snapshot_id", "up"], "left").select(
+            *KEY, F.col("_up").alias("up"), "depth", (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place")))
+
+    def key(number):
+        return F.array(F.struct(_sortable(number).alias("label"), F.col("id")))
+
+    walked = planned.join(place.select(*KEY, "depth", "place"), KEY).select(*planned.columns, "depth", key(F.col("place")).alias("order"), F.lit(False).alias("flat"))
+    rootless = planned.join(roots, "snapshot_id", "left_anti")
+    return walked.unionByName(rootless.select("*", F.lit(0).alias("depth"), key(F.col("seq")).alias("order"), F.lit(True).alias("flat")))
 
 
 def _sortable(number: Column) -> Column:
@@ -216,9 +233,17 @@ def _planned_lines(tree: DataFrame, related: DataFrame) -> list[DataFrame]:
     return [own, edges]
 
 
+LINE_ORDER = ["section", "order", "step", "line"]
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``snapshot_id, line_no, kind, line``: the reports' lines, counted from 1 in each snapshot."""
+    return numbered(lines, ["snapshot_id"], LINE_ORDER, "line_no").select("snapshot_id", "line_no", "kind", "line")
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """Write the lines as text, one folder per snapshot, in report order across its files."""
-    order = ["snapshot_id", "section", "order", "step", "line"]
+    order = ["snapshot_id", *LINE_ORDER]
     (
         lines.repartitionByRange(*order).sortWithinPartitions(*order)
         .select("snapshot_id", "line").write.mode("overwrite").partitionBy("snapshot_id").text(path)

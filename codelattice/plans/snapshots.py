@@ -227,3 +227,72 @@ def snapshot_report_outline(t):
     snapshots = t.fx_snapshot_nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
     lines = report.report_lines(snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
     return lines.where(F.col("kind") == "summary").select("snapshot_id", "line")
+
+
+oracle_view("ox_sn_head", """
+    SELECT n.snapshot_id, count(*) FILTER (WHERE is_virtual) AS v, count(*) FILTER (WHERE NOT is_virtual) AS c,
+      (SELECT count(*) FROM fx_snapshot_edges e WHERE e.snapshot_id = n.snapshot_id) AS e FROM fx_snapshot_nodes n GROUP BY n.snapshot_id""")
+oracle_view("ox_sn_walk", """
+    WITH RECURSIVE v AS (SELECT * FROM fx_snapshot_nodes WHERE is_virtual),
+      tree AS (SELECT v.*, 0 AS depth, [label, id] AS k FROM v WHERE parent_id = ''
+        UNION ALL SELECT c.*, p.depth + 1, list_concat(p.k, [c.label, c.id]) FROM tree p JOIN v c ON c.snapshot_id = p.snapshot_id AND c.parent_id = p.id)
+    SELECT *, false AS flat, 0 AS nr FROM tree
+    UNION ALL SELECT *, 0, [lpad(cast(seq AS string), 20, '0')], true, row_number() OVER (PARTITION BY snapshot_id ORDER BY seq) FROM v
+      WHERE snapshot_id NOT IN (SELECT snapshot_id FROM v WHERE parent_id = '')""")
+oracle_view("ox_sn_edge", """
+    SELECT e.*, coalesce(nullif(a.label, ''), e.source_id) AS source_label, coalesce(nullif(b.label, ''), e.target_id) AS target_label, sv.id IS NOT NULL AS source_virtual, tv.id IS NOT NULL AS target_virtual
+    FROM fx_snapshot_edges e LEFT JOIN ox_sn_label a ON a.snapshot_id = e.snapshot_id AND a.id = e.source_id
+    LEFT JOIN ox_sn_label b ON b.snapshot_id = e.snapshot_id AND b.id = e.target_id
+    LEFT JOIN ox_sn_virtual sv ON sv.snapshot_id = e.snapshot_id AND sv.id = e.source_id
+    LEFT JOIN ox_sn_virtual tv ON tv.snapshot_id = e.snapshot_id AND tv.id = e.target_id""")
+
+
+def _fixed(section: int, lines: list[tuple[str, str]]) -> str:
+    """SQL for lines of each snapshot's head: text and condition."""
+    return "\n    UNION ALL ".join(
+        f"SELECT snapshot_id, {section} AS section, []::VARCHAR[] AS k, {step} AS step, {text} AS line FROM ox_sn_head WHERE {cond}" for step, (text, cond) in enumerate(lines))
+
+
+def _said(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TITLES = [
+    (1, report.PLANNED_TITLE, report.NO_PLANNED, report.PLANNED_INTRO, "v"), (3, report.CONTEXT_TITLE, report.NO_CONTEXT, report.CONTEXT_INTRO, "c"),
+    (5, report.RELATION_TITLE, report.NO_RELATION, report.RELATION_INTRO, "e")]
+_SUMMARY = """concat('**Summary:** ', concat_ws(', ', CASE WHEN v > 0 THEN concat(v, ' virtual node(s)') END, CASE WHEN c > 0 THEN concat(c, ' context node(s)') END,
+      CASE WHEN e > 0 THEN concat(e, ' relationship(s)') END), '.')"""
+_PLANNED = [  # step, text, condition
+    (0, "concat('### 📁 ', label, ' *(virtual directory)*')", "NOT flat AND depth = 0"), (1, "''", "NOT flat AND depth = 0"),
+    (2, "concat('#### 📦 ', label, ' *(virtual class)*')", "NOT flat AND depth = 1"), (3, "concat('##### ', label, ' *(virtual ', type, ')*')", "NOT flat AND depth > 1"),
+    (4, "concat('### ', nr, '. ', label, ' *(virtual)*')", "flat"), (5, "concat(CASE WHEN flat THEN '- **Type:** ' ELSE '- Type: ' END, type)", "flat OR depth > 1"),
+    (6, "concat(CASE WHEN flat THEN '- **Target file:** `' ELSE '- Target file: `' END, file_path, '`')", "(flat OR depth > 1) AND file_path <> ''"),
+    (7, "concat(CASE WHEN flat THEN '- **Description:** ' ELSE '- Description: ' END, description)", "description <> ''"), (8, "''", "NOT flat AND depth = 0 AND description <> ''"),
+    (9, "concat(CASE WHEN flat THEN '- **AI Remarks:** ' ELSE '- AI Remarks: ' END, ai_remarks)", "ai_remarks <> '' AND (flat OR depth > 0)"), (99, "''", "flat OR depth > 0")]
+_WALKED = "\n    UNION ALL ".join(f"SELECT snapshot_id, 2, k, {step}, {text} FROM ox_sn_walk WHERE {cond}" for step, text, cond in _PLANNED)
+
+
+@query("snapshot_report_lines", f"""
+    WITH all_lines AS (
+    {_fixed(0, [("concat('# Graph Snapshot: ', snapshot_id)", "true"), ("''", "true"), (_SUMMARY, "true"), ("''", "true"), (_said(report.ADVICE), "true"), ("''", "true"), ("'---'", "true"), ("''", "true")])}
+    UNION ALL {" UNION ALL ".join(_fixed(s, [(_said(title), "true"), ("''", "true"), (_said(none), f"{n} = 0"), (_said(intro), f"{n} > 0"), ("''", "true")]) for s, title, none, intro, n in _TITLES)}
+    UNION ALL {_fixed(7, [("''", "e > 0")])}
+    UNION ALL {_fixed(8, [("'---'", "true"), ("''", "true"), (_said(report.USAGE), "true")])}
+    UNION ALL {_WALKED}
+    UNION ALL SELECT w.snapshot_id, 2, w.k, 10, concat(CASE WHEN flat THEN '- **Related:** ' ELSE '- Related: ' END, r.line) FROM ox_sn_walk w JOIN (
+        SELECT snapshot_id, source_id AS id, concat('→ ', target_label, CASE WHEN target_virtual THEN ' (virtual)' ELSE '' END) AS line FROM ox_sn_edge
+        UNION ALL SELECT snapshot_id, target_id, concat('← ', source_label, CASE WHEN source_virtual THEN ' (virtual)' ELSE '' END) FROM ox_sn_edge WHERE source_id <> target_id) r
+      ON r.snapshot_id = w.snapshot_id AND r.id = w.id WHERE flat OR depth > 0
+    UNION ALL SELECT DISTINCT snapshot_id, 4, [f, ''], 0, concat('**File:** `', f, '`') FROM (SELECT *, CASE WHEN file_path = '' THEN '(no file)' ELSE file_path END AS f FROM fx_snapshot_nodes WHERE NOT is_virtual) x
+    UNION ALL SELECT snapshot_id, 4, [CASE WHEN file_path = '' THEN '(no file)' ELSE file_path END, lpad(cast(seq AS string), 20, '0')], 0,
+      concat('- **', label, '**', CASE WHEN line > 0 THEN concat(' (line ', line, ')') ELSE '' END, ' — ', type, CASE WHEN description <> '' THEN concat(': ', description) ELSE '' END) FROM fx_snapshot_nodes WHERE NOT is_virtual
+    UNION ALL SELECT DISTINCT snapshot_id, 4, [CASE WHEN file_path = '' THEN '(no file)' ELSE file_path END, '~'], 0, '' FROM fx_snapshot_nodes WHERE NOT is_virtual
+    UNION ALL SELECT snapshot_id, 6, [lpad(cast(seq AS string), 20, '0')], 0, concat('- `', source_label, '` → `', target_label, '`',
+      CASE WHEN source_virtual AND target_virtual THEN ' (virtual → virtual)' WHEN source_virtual THEN ' (virtual → context)' WHEN target_virtual THEN ' (context → virtual)' ELSE '' END,
+      CASE WHEN remarks <> '' THEN concat(' — ', remarks) ELSE '' END) FROM ox_sn_edge)
+    SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY section, k, step, line) AS line_no, line FROM all_lines""")
+def snapshot_report_lines(t):
+    """All lines of all reports, in order."""
+    snapshots = t.fx_snapshot_nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
+    lines = report.report_lines(snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
+    return report.numbered_lines(lines).select("snapshot_id", "line_no", "line")
