@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.session import cut_lineage
+from codelattice.session import stored
 
 _ROW_BITS = 33  # that monotonically_increasing_id gives to the row in its partition
 
@@ -20,7 +20,7 @@ def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[str], val
     """
     keys = [*group, *order]
     ranged = rows.withColumn("_value", value.cast("bigint")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    placed = stored(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", _ROW_BITS))
     # a row for each range and group that it holds some of
     ranges = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*group, "_part").agg(F.sum("_value").alias("_sum"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codelattice.operators.nodes import text_or_empty
 from codelattice.operators.ranks import numbered, running_sum
 from codelattice.operators.skew import first_per_key, skew_join
-from codelattice.session import cut_lineage
+from codelattice.session import stored
 
 KEY = ["snapshot_id", "id"]
 
@@ -29,7 +29,7 @@ def virtual_tree(nodes: DataFrame) -> DataFrame:
     """
     planned = nodes.where("is_virtual")
     roots = planned.where(text_or_empty("parent_id") == "").select("snapshot_id").distinct()
-    shape = cut_lineage(first_per_key(planned.select(*KEY, "label", text_or_empty("parent_id").alias("parent")), KEY, "label", "parent").join(roots, "snapshot_id", "left_semi"))
+    shape = stored(first_per_key(planned.select(*KEY, "label", text_or_empty("parent_id").alias("parent")), KEY, "label", "parent").join(roots, "snapshot_id", "left_semi"))
     known = shape.select("snapshot_id", F.col("id").alias("parent"), F.lit(True).alias("_known"))
     linked = skew_join(shape, known, ["snapshot_id", "parent"], "left")
     up = F.when(F.coalesce("_known", F.lit(False)), F.col("parent"))
@@ -40,17 +40,17 @@ def virtual_tree(nodes: DataFrame) -> DataFrame:
         gained = open_.groupBy("snapshot_id", F.col("up").alias("id")).agg(F.sum("below").alias("_gained"))
         above = found.select("snapshot_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("lost").alias("_lost"), F.col("depth").alias("_depth"))
         nearer = skew_join(found, above, ["snapshot_id", "up"], "left")
-        found = cut_lineage(skew_join(nearer, gained, KEY, "left").select(
+        found = stored(skew_join(nearer, gained, KEY, "left").select(
             *KEY, F.col("_up").alias("up"), (F.col("lost") | F.coalesce("_lost", F.lit(False))).alias("lost"),
             (F.col("below") + F.coalesce("_gained", F.lit(0))).alias("below"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
         if found.where("up is not null").isEmpty():
             break
     kept = shape.join(found.where("up is null and not lost").select(*KEY, "below", "depth"), KEY)
     ahead = running_sum(kept, ["snapshot_id", "parent"], ["label", "id"], F.col("below"), "ahead")
-    place = cut_lineage(ahead.select(*KEY, F.nullif("parent", F.lit("")).alias("up"), "depth", (F.col("ahead") + (F.col("parent") != "").cast("int")).alias("place")))
+    place = stored(ahead.select(*KEY, F.nullif("parent", F.lit("")).alias("up"), "depth", (F.col("ahead") + (F.col("parent") != "").cast("int")).alias("place")))
     for _ in range(rounds):
         above = place.select("snapshot_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("place").alias("_place"))
-        place = cut_lineage(skew_join(place, above, ["snapshot_id", "up"], "left").select(
+        place = stored(skew_join(place, above, ["snapshot_id", "up"], "left").select(
             *KEY, F.col("_up").alias("up"), "depth", (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place")))
 
     def key(number):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again.
+
+    For loops: a checkpoint hands what the optimiser knows about its columns on to the next round, and that can double
+    with every round.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """``df`` in as many ``partitions`` as asked for, else as its files were split.
 
