@@ -25,11 +25,13 @@ from codelattice.llm.common import fresh, mixed, powers, text_chunks, written
 LENGTH = 100
 GRAM = 20
 SLICE = 1 << 22  # bytes of a text that are looked at together
-BAND = 40  # strings of a band
+CHUNK = 1 << 17  # bytes of short texts that are: their arrays stay in a core's cache
+BAND = 16  # strings of a band
 BUCKET_BYTES = 4 << 20  # bytes of bands that one task gets
 SHARD_BYTES = 1 << 19
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # different pieces of one anchor, beyond which each string is a band
+ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _PIECES = "anchor long, content long, length int, place int, doc_id long, row long, start long"
 
 
@@ -42,10 +44,10 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
     inverse = powers(n + 1, inverse=True)
-    h = mixed((sums[gram:] - sums[: n - gram + 1]) * inverse[: n - gram + 1])
+    h = (sums[gram:] - sums[: n - gram + 1]) * inverse[: n - gram + 1]
     width = length - gram + 1
     low = np.uint64((1 << 24) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    least = (h * ODD & ~low) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -63,12 +65,12 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first, last = first[keep], last[keep]
     end = last + length
     content = mixed((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
-    return row[first], first - offsets[row[first]], end - first, anchor[first] - first, h[anchor[first]], content
+    return row[first], first - offsets[row[first]], end - first, anchor[first] - first, mixed(h[anchor[first]]), content
 
 
 def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, their first byte, bytes and offsets; a text longer than a slice comes in parts that overlap."""
-    for lo, hi, data, offsets in text_chunks(column):
+    for lo, hi, data, offsets in text_chunks(column, CHUNK):
         if hi - lo > 1 or len(data) <= SLICE:
             yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data, offsets
             continue

@@ -61,7 +61,7 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
 def test_slices_of_long_texts_overlap(messy, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SLICE", 1 << 12)
     named = dict((r[0], r[1]) for r in messy_rows() if r[0] is not None)
-    monkeypatch.setattr("codelattice.llm.common.CHUNK_BYTES", 1 << 12)
+    monkeypatch.setattr(bwt_dedup, "CHUNK", 1 << 12)
     want = brute.repeats(named.items())
     assert {r.doc_id: tuple(r)[1:] for r in bwt_dedup.dedup_report(messy.where("doc_id is not null")).collect()} == want
 
