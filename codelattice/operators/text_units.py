@@ -248,9 +248,10 @@ def symbol_table(files: DataFrame) -> DataFrame:
 
 
 def _code_lines(files: DataFrame) -> DataFrame:
-    """``file_path, family, class_name, caller, line, code``: each line with the innermost unit it is in.
+    """``file_path, family, class_name, caller, unit_line, line, code``: each line with the innermost unit it is in.
 
-    Of a header line ``code`` is what follows the opening brace; ``caller`` is NULL outside of units.
+    Of a header line ``code`` is what follows the opening brace; ``caller`` is NULL outside of units. ``unit_line``, where
+    the unit starts, tells overloads apart.
     """
     cut = _units(files)
     rows = cut.select("file_path", "family", "units", F.posexplode("lines").alias("pos", "code")).withColumn("line", F.col("pos") + 1)
@@ -258,15 +259,15 @@ def _code_lines(files: DataFrame) -> DataFrame:
     holding = F.filter("units", lambda u: ~u["is_class"] & (u["start_line"] <= line) & (u["end_line"] >= line))
     at = hold(rows, u=F.try_element_at(holding, F.lit(-1)))
     code = F.when(F.col("u.start_line") == line, F.col("u.on_header")).otherwise(F.col("code"))
-    return at.select("file_path", "family", F.col("u.owner").alias("class_name"), F.col("u.name").alias("caller"), "line", code.alias("code"))
+    return at.select("file_path", "family", F.col("u.owner").alias("class_name"), F.col("u.name").alias("caller"), F.col("u.start_line").alias("unit_line"), "line", code.alias("code"))
 
 
 def call_candidates(files: DataFrame) -> DataFrame:
     """Calls inside units of Java and Go files, once per line:
-    ``file_path, language, class_name, caller, line, receiver, method, call_type``.
+    ``file_path, language, class_name, caller, unit_line, line, receiver, method, call_type``.
 
     ``X::m`` is a method reference, ``new T`` a constructor, ``super.m(`` a super call, a capitalised
-    receiver a static one. A call on the result of another call has no receiver and is left out, and so is a
+    receiver a static one. In Java ``this(`` and ``super(`` call a constructor of the own class and of the one above. A call on the result of another call has no receiver and is left out, and so is a
     conversion to a slice type in Go.
     """
     known = _code_lines(files.where(F.col("language").isin("java", "go"))).where(F.col("caller").isNotNull())
@@ -275,39 +276,40 @@ def call_candidates(files: DataFrame) -> DataFrame:
     java = F.col("family") == "java"
 
     def parsed(hit):
+        chained = F.when(java, F.nullif(F.regexp_extract(hit, r"^(this|super)\s*\($", 1), F.lit("")))
         ref, new = F.contains(hit, F.lit("::")), F.rlike(hit, F.lit(r"^new\s"))
         dotted = F.regexp_replace(hit, r"\s*\($", "")
-        receiver = F.when(ref, F.substring_index(hit, "::", 1)).when(new, F.regexp_extract(hit, r"^new\s+(\w+)", 1)).otherwise(
+        receiver = F.when(chained.isNotNull(), chained).when(ref, F.substring_index(hit, "::", 1)).when(new, F.regexp_extract(hit, r"^new\s+(\w+)", 1)).otherwise(
             F.when(F.instr(dotted, ".") > 0, F.regexp_replace(dotted, r"\.\w+$", "")).otherwise(F.lit("")))
-        method = F.when(ref, F.substring_index(hit, "::", -1)).when(new, F.lit("<init>")).otherwise(F.substring_index(dotted, ".", -1))
+        method = F.when(ref, F.substring_index(hit, "::", -1)).when(new | chained.isNotNull(), F.lit("<init>")).otherwise(F.substring_index(dotted, ".", -1))
         kind = (
-            F.when(ref, "method_reference").when(new, "constructor").when(java & F.startswith(receiver, F.lit("super")), "super")
+            F.when(ref, "method_reference").when(new | F.coalesce(chained == "this", F.lit(False)), "constructor").when(java & F.startswith(receiver, F.lit("super")), "super")
             .when(F.rlike(receiver, F.lit("^[A-Z]")), "static").otherwise("direct"))
         return F.struct(receiver.alias("receiver"), method.alias("method"), kind.alias("call_type"))
 
     hits = F.array_distinct(F.transform(F.regexp_extract_all(apart, F.lit(CALL), F.lit(0)), parsed))
-    rows = known.select("file_path", F.col("family").alias("language"), "class_name", "caller", "line", F.inline(hits))
+    rows = known.select("file_path", F.col("family").alias("language"), "class_name", "caller", "unit_line", "line", F.inline(hits))
     barred = F.col("method").isin(*STATEMENTS) & (F.col("language") == "java") | F.col("method").isin(*NOT_CALLED) & (F.col("language") == "go")
     return rows.where(~barred)
 
 
 def declared_types(files: DataFrame) -> DataFrame:
-    """``file_path, caller, name, type_name`` in Java files: declared locals per unit, and fields with an empty caller."""
+    """``file_path, unit_line, name, type_name`` in Java files: declared locals by the first line of their unit, and fields with 0."""
     lines = _code_lines(files.where(F.col("language") == "java"))
-    found = lines.select("file_path", F.coalesce("caller", F.lit("")).alias("caller"), F.explode(F.regexp_extract_all("code", F.lit(DECLARATION), F.lit(0))).alias("d"))
-    pairs = found.select("file_path", "caller", F.regexp_extract("d", DECLARATION, 2).alias("name"), F.regexp_extract("d", DECLARATION, 1).alias("type_name"))
-    return first_per_key(pairs, ["file_path", "caller", "name"], "type_name")
+    found = lines.select("file_path", F.coalesce("unit_line", F.lit(0)).alias("unit_line"), F.explode(F.regexp_extract_all("code", F.lit(DECLARATION), F.lit(0))).alias("d"))
+    pairs = found.select("file_path", "unit_line", F.regexp_extract("d", DECLARATION, 2).alias("name"), F.regexp_extract("d", DECLARATION, 1).alias("type_name"))
+    return first_per_key(pairs, ["file_path", "unit_line", "name"], "type_name")
 
 
 def resolve_receivers(calls: DataFrame, types: DataFrame) -> DataFrame:
     """``caller_id, callee_id, call_type, file_path, line`` with receivers replaced by their declared type.
 
-    A local wins over a field; an unknown name stays. In Java a call without a receiver, or on ``this``, is to the
+    A local of the same unit wins over a field; an unknown name stays. In Java a call without a receiver, or on ``this``, is to the
     own class; in Go it is to a function.
     """
-    local = types.where(F.col("caller") != "").select("file_path", "caller", F.col("name").alias("receiver"), F.col("type_name").alias("_local"))
-    field = types.where(F.col("caller") == "").select("file_path", F.col("name").alias("receiver"), F.col("type_name").alias("_field"))
-    joined = skew_join(skew_join(calls.withColumn("receiver", F.regexp_replace("receiver", r"^this\.", "")), local, ["file_path", "caller", "receiver"], "left"),
+    local = types.where("unit_line > 0").select("file_path", "unit_line", F.col("name").alias("receiver"), F.col("type_name").alias("_local"))
+    field = types.where("unit_line = 0").select("file_path", F.col("name").alias("receiver"), F.col("type_name").alias("_field"))
+    joined = skew_join(skew_join(calls.withColumn("receiver", F.regexp_replace("receiver", r"^this\.", "")), local, ["file_path", "unit_line", "receiver"], "left"),
                        field, ["file_path", "receiver"], "left")
     own = F.col("receiver").isin("", "this") & (F.col("language") == "java")
     callee = F.when(own, F.col("class_name")).otherwise(F.coalesce("_local", "_field", "receiver"))

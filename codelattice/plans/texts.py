@@ -239,7 +239,22 @@ oracle_view("ox_candidates", f"""
 
 @query("call_candidates", "SELECT * FROM ox_candidates")
 def call_candidates(t):
-    return U.call_candidates(t.wide("fx_source_files"))
+    return U.call_candidates(t.wide("fx_source_files")).drop("unit_line")
+
+
+# What is called follows from how the files are made: constructors that call others, and overloads with locals of one name.
+@query("call_chaining", """
+    WITH o AS (SELECT concat('src/chain/O', cast(o_orderkey AS string), '.java') AS file_path, concat('O', cast(o_orderkey AS string)) AS c, o_custkey % 2 = 0 AS even FROM orders)
+    SELECT concat(c, '.', c) AS caller_id, 'super.<init>' AS callee_id, 'super' AS call_type, file_path, 4 AS line FROM o
+    UNION ALL SELECT concat(c, '.', c), concat(c, '.<init>'), 'constructor', file_path, 7 FROM o
+    UNION ALL SELECT concat(c, '.run'), concat(c, CASE WHEN even THEN '.make' ELSE '.build' END), 'direct', file_path, 10 FROM o
+    UNION ALL SELECT concat(c, '.run'), 'Bar.go', 'direct', file_path, 11 FROM o
+    UNION ALL SELECT concat(c, '.run'), concat(c, '.other'), 'direct', file_path, 14 FROM o
+    UNION ALL SELECT concat(c, '.run'), 'Alt.go', 'direct', file_path, 15 FROM o
+    UNION ALL SELECT concat(c, '.run'), CASE WHEN even THEN 'super.run' ELSE 'Field.go' END, CASE WHEN even THEN 'super' ELSE 'direct' END, file_path, 18 FROM o""")
+def call_chaining(t):
+    files = t.wide("fx_chained_files")
+    return U.resolve_receivers(U.call_candidates(files), U.declared_types(files)).select("caller_id", "callee_id", "call_type", "file_path", "line")
 
 
 @query("receiver_type_resolve", f"""

@@ -207,6 +207,16 @@ def _view_sql(sha) -> dict[str, str]:
                  ' hint="complete the condition"] */ ', text, ' /* [MASK:session=t', cast(conv_id AS string), ' id=n',
                  cast(turn AS string), ' hint=""] */') END AS text
         FROM conversations"""
+    # One Java file per order: constructors that call others, and overloads with locals of one name.
+    views["fx_chained_files"] = """
+        SELECT concat('src/chain/O', cast(o_orderkey AS string), '.java') AS file_path, 'java' AS language, concat(
+          'class O', cast(o_orderkey AS string), ' extends Base {', chr(10), '  private Field v;', chr(10),
+          '  O', cast(o_orderkey AS string), '(int k) {', chr(10), '    super(k);', chr(10), '  }', chr(10),
+          '  O', cast(o_orderkey AS string), '() {', chr(10), '    this(', cast(o_custkey AS string), ');', chr(10), '  }', chr(10),
+          '  void run(int a) {', chr(10), '    Bar v = ', CASE WHEN o_custkey % 2 = 0 THEN 'make' ELSE 'build' END, '(a);', chr(10), '    v.go();', chr(10), '  }', chr(10),
+          '  void run(String s) {', chr(10), '    Alt v = other(s);', chr(10), '    v.go();', chr(10), '  }', chr(10),
+          '  void run() {', chr(10), '    ', CASE WHEN o_custkey % 2 = 0 THEN 'super.run();' ELSE 'v.go();' END, chr(10), '  }', chr(10), '}', chr(10)) AS text
+        FROM orders"""
     # One Java, Python, Go or TypeScript file per order.
     views["fx_source_files"] = """
         SELECT o_orderkey AS seq,

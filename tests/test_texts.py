@@ -158,6 +158,15 @@ def test_calls_resolve_receivers_to_types(frame):
         ("UserService.save", "UserService.print", "method_reference", 12), ("UserService.save", "users.forEach", "direct", 12)]
 
 
+def test_constructor_chaining_and_overloads(frame):
+    java = "class A extends B {\n  C v;\n  A(int k) {\n    super(k);\n  }\n  A() {\n    this(1); v.go();\n  }\n  void run(int a) {\n    Bar v = f(a);\n    v.go();\n  }\n  void run() {\n    Alt v = g();\n    v.go();\n  }\n}\n"
+    files = frame(FILES, [("A.java", "java", java)])
+    calls = U.resolve_receivers(U.call_candidates(files), U.declared_types(files))
+    assert rows(calls, "caller_id", "callee_id", "call_type", "line") == [
+        ("A.A", "A.<init>", "constructor", 7), ("A.A", "C.go", "direct", 7), ("A.A", "super.<init>", "super", 4), ("A.run", "A.f", "direct", 10),
+        ("A.run", "A.g", "direct", 14), ("A.run", "Alt.go", "direct", 15), ("A.run", "Bar.go", "direct", 11)]
+
+
 def test_decision_points_and_masks(frame):
     code = 'void f(String s) {\n  if (s == null) {\n    throw new E("x");\n  }\n  if (a.b > 1 && c) {\n  }\n  int y = n > 3 ? 1 : 2;\n}'
     files = frame(FILES, [("F.java", "java", code)])
