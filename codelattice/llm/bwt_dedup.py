@@ -11,7 +11,6 @@ intervals are the repeated strings. No step sorts the suffixes of different shar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ GRAM = 20
 SLICE = 1 << 22  # bytes of a text that are looked at together
 CHUNK = 1 << 17  # bytes of short texts that are: their arrays stay in a core's cache
 BAND = 16  # strings of a band
-BUCKET_BYTES = 4 << 20  # bytes of bands that one task gets
-SHARD_BYTES = 1 << 19
+BUCKET_BYTES = 1 << 20  # bytes of bands that are merged together; the more, the slower each byte
+SHARD_BYTES = 1 << 18
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # different pieces of one anchor, beyond which each string is a band
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -286,28 +285,40 @@ def _merge_buckets(length: int):
     return merge
 
 
-def bands_of(raw: bytes, start: int, size: int, place: int, length: int, band: int) -> Iterator[tuple[int, int, bytes]]:
-    """Bands of a piece: hash of the core, start, bytes. Where a band begins is counted from the anchor."""
-    anchor = start + place
-    at, stop = start, start + size - length  # first and last string
-    while at <= stop:
-        number = (anchor - at) // band
-        last = min(stop, anchor - number * band)
-        core = raw[anchor - number * band : anchor - (number + 1) * band + 1 + length]
-        yield int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=number.to_bytes(2, "little")).digest(), "little", signed=True), at, raw[at : last + length]
-        at = last + 1
+def bands_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, band: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Bands of pieces: piece, hash of the core, start and end in ``data``. Where a band begins is counted from the anchor."""
+    anchor, last = start + place, start + size - length  # last string
+    high, low = (anchor - start) // band, (anchor - last) // band
+    piece = np.repeat(np.arange(len(start)), high - low + 1)
+    number = high[piece] - (np.arange(len(piece)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1))
+    core = anchor[piece] - number * band[piece]  # where the core starts; all strings of the band hold it
+    first = np.maximum(start[piece], core - band[piece] + 1)
+    end = np.minimum(last[piece], core) + length
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
+    whole = (sums[core - band[piece] + 1 + length] - sums[core]) * powers(len(data) + 1, inverse=True)[core]
+    return piece, mixed(whole + mixed(number.astype(np.uint64) + np.uint64(1))), first, end
 
 
 def _cut_bands(length: int, band: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                found = [(*x, w["hot"]) for w in wanted for x in bands_of(raw, w["start"], w["length"], w["place"], length, 1 if w["hot"] else band)]
-                core, start, part, hot = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(core, pa.int64()), pa.array(hot), pa.array([doc] * len(core), pa.int64()), pa.array([key] * len(core), pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())],
-                    ["core", "hot", "doc_id", "row", "start", "bytes"])
+            for doc, key, text, wanted in zip(*(batch.column(k) for k in range(4)), strict=True):
+                raw = text.as_py().encode()
+                pieces = wanted.values
+                start, size, place, hot = (pieces.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length", "place", "hot"))
+                part = start // SLICE  # of a long text, what is looked at together
+                for k in np.unique(part).tolist():
+                    mine = part == k
+                    begin, stop = int(start[mine].min()), int((start[mine] + size[mine]).max())
+                    data = np.frombuffer(raw, np.uint8)[begin:stop]
+                    piece, core, first, end = bands_of(data, start[mine] - begin, size[mine].astype(np.int64), place[mine].astype(np.int64), np.where(hot[mine], 1, band), length)
+                    spans = zip((first + begin).tolist(), (end + begin).tolist(), strict=True)
+                    n = len(core)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(core.view(np.int64)), pa.array(hot[mine][piece]), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, key.as_py(), np.int64)), pa.array(first + begin),
+                         pa.array([raw[a:b] for a, b in spans], pa.binary())],
+                        ["core", "hot", "doc_id", "row", "start", "bytes"])
 
     return cut
 
