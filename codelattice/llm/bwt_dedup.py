@@ -23,7 +23,7 @@ from codelattice.llm.common import fresh, mixed, powers, text_chunks, written
 
 LENGTH = 100
 GRAM = 20
-SLICE = 1 << 22  # bytes of a text that are looked at together
+SLICE = 1 << 19  # bytes of a long text that are looked at together
 CHUNK = 1 << 17  # bytes of short texts that are: their arrays stay in a core's cache
 BAND = 16  # strings of a band
 BUCKET_BYTES = 1 << 20  # bytes of bands that are merged together; the more, the slower each byte
