@@ -17,46 +17,68 @@ HITS = "row_a long, row_b long, doc_id long, n_words long, spans array<struct<fi
 
 
 class Windows:
-    """The windows of benchmark texts by size, as sorted hashes with the items that hold them."""
+    """The windows of benchmark texts: their bytes once, and by size the hash and first word of each distinct window.
+
+    A block of 32 MB takes some 200 MB: bytes, bounds of words, and for each window a hash, a word and an item as numbers.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        found: dict[int, dict[int, list]] = {}
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            data = LOWER[data]
-            starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-            if not len(starts):
-                continue
-            size = min(window, len(starts))
-            raw = data.tobytes()
-            for k, h in enumerate(window_hashes(span_hashes(data, starts, ends), size).tolist()):
-                words = tuple(raw[a:b] for a, b in zip(starts[k : k + size], ends[k : k + size], strict=True))
-                found.setdefault(size, {}).setdefault(h, []).append((item, words))
+        texts = [(text or "").encode() for _, text in items]
+        self.items = [item for item, _ in items]
+        self.data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        starts, ends, first = word_spans(self.data, np.cumsum([0, *map(len, texts)]))
+        hashes = _word_hashes(self.data, starts, ends)
+        number = np.min_scalar_type(len(self.data))
+        self.starts, self.ends = starts.astype(number), ends.astype(number)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+        sizes = np.minimum(window, np.diff(first))
         self.by_size = {}
-        for size, table in found.items():
-            keys = np.array(sorted(table), np.uint64)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            n = len(starts) - size + 1
+            at = np.flatnonzero((sizes[text_of[:n]] == size) & (text_of[:n] == text_of[size - 1 :]))
+            h = window_hashes(hashes, size)[at]
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
+            item = text_of[at]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            for k in np.flatnonzero(~new).tolist():
+                new[k] = self._words(at[k], size) != self._words(at[k - 1], size)
+            keep = new.copy()
+            keep[1:] |= item[1:] != item[:-1]  # an item counts once for a window
+            bounds = np.append(np.flatnonzero(new[keep]), np.count_nonzero(keep))
             seen = np.zeros(1 << 20, bool)
-            seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_size[size] = (keys, seen, table)
+            seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.by_size[size] = (h[new], seen, at[new].astype(number), bounds.astype(number), item[keep].astype(number))
+
+    def _words(self, k: int, size: int) -> list[bytes]:
+        k = int(k)
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[k : k + size].tolist(), self.ends[k : k + size].tolist(), strict=True)]
 
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, list]]:
         """``(first word, size, items)`` of each true occurrence; a hash hit counts only if its words agree."""
         hashes = span_hashes(data, starts, ends)
-        for size, (keys, seen, table) in self.by_size.items():
+        for size, (keys, seen, at, bounds, item) in self.by_size.items():
             h = window_hashes(hashes, size)
             if not len(h):
                 continue
             maybe = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            at = np.searchsorted(keys, h[maybe])
-            maybe = maybe[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == h[maybe])]
             maybe = maybe[window_ok(first, len(starts), size)[maybe]]
-            for k in maybe.tolist():
-                words = tuple(data[a:b].tobytes() for a, b in zip(starts[k : k + size], ends[k : k + size], strict=True))
-                items = [item for item, w in table[int(h[k])] if w == words]
-                if items:
-                    yield k, size, items
+            lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+            for k, a, b in zip(maybe[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                words = [data[x:y].tobytes() for x, y in zip(starts[k : k + size], ends[k : k + size], strict=True)]
+                for c in range(a, b):
+                    if self._words(at[c], size) == words:
+                        yield k, size, [self.items[i] for i in item[int(bounds[c]) : int(bounds[c + 1])].tolist()]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """:func:`span_hashes` of many words, a run of ``step`` words at a time."""
+    parts = [np.zeros(0, np.uint64)]
+    for k in range(0, len(starts), step):
+        a, b = starts[k : k + step], ends[k : k + step]
+        parts.append(span_hashes(data[a[0] : b[-1]], a - a[0], b - a[0]))
+    return np.concatenate(parts)
 
 
 def _scan_batches(windows: Windows):
@@ -102,7 +124,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Per document: words, maximal runs of hit words (also as byte ranges of the text), and the items found.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and ``text``; further columns are
-    ignored. The benchmark is brought in blocks of at most ``block_bytes`` of text (one item at least), so no
+    ignored. The benchmark is brought in blocks of about ``block_bytes`` of text (one item at least), so no
     broadcast grows with it; each block is one pass over the documents. Texts of null have no words and are
     returned with none. An item without words has no window; an item whose id is null marks words, and is not
     listed. Every row is answered, whatever it repeats and however many blocks there are.
@@ -117,10 +139,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
+    items = items if blocks == 1 else items.distinct()
     parts = []
     for k in range(blocks):
-        # one block of the test set, of about block_bytes
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        # one block of the test set, of about block_bytes; items that share a text are spread over the blocks
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         parts.append(texts.mapInArrow(_scan_batches(Windows([tuple(r) for r in mine.collect()], window)), HITS))
     if blocks == 1:
         return parts[0]
