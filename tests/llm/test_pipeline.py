@@ -79,5 +79,5 @@ def test_no_text_is_lost_for_being_short():
 def test_queries_are_registered():
     import __spark_entry__
 
-    assert [f"op{n}" for n in range(1, 11)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries()) and F is not None

@@ -1,6 +1,7 @@
 """Decontamination, packing, language, token counts and lattice scores against plain versions."""
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -68,6 +69,21 @@ def test_contamination_is_of_rows_whatever_their_ids(spark, messy):
     assert len(cut) == 4 and cut.count("a clean text") == 1
 
 
+def test_windows_take_a_few_bytes_for_each_word():
+    words = [f"w{k * 7919 % 30011}" for k in range(800_000)]
+    items = [(str(k), " ".join(words[k : k + 400])) for k in range(0, len(words), 400)]
+    assert len(pickle.dumps(decontaminate.Windows(items))) < 8 * sum(len(t) for _, t in items)
+
+
+def test_windows_that_items_share():
+    shared = " ".join(f"s{k}" for k in range(13))
+    items = [("a", f"x {shared} y"), ("b", f"{shared} z {shared}"), (None, shared), ("c", "one two"), ("d", "ONE two"), ("e", ""), ("f", None), ("c", "one two")]
+    windows = decontaminate.Windows(items)
+    data = np.frombuffer(f"q {shared} one two".encode(), np.uint8)
+    starts, ends, first = word_spans(data, np.array([0, len(data)]))
+    assert sorted((k, size, sorted(map(str, found))) for k, size, found in windows.scan(data, starts, ends, first)) == [(1, 13, ["None", "a", "b"]), (14, 2, ["c", "c", "d"])]
+
+
 def test_contamination_of_nothing(spark, messy, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontamination_report(nothing, none).count() == 0
@@ -176,6 +192,15 @@ def test_language_of_odd_texts(spark, messy, nothing):
     assert {r.lang_pred for r in langid.identify(messy, None).collect()} == {"und"}
 
 
+def test_noise_is_in_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = ["@@@ ### 12 x 99 ====", "1 2 3 4 5 6 7 8 a", "00 12 x, " + "47 11 " * 5000, "<<<>>> {} [] é" + " ;;" * 40, None, "", "..."]
+    more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(noise)], "doc_id long, text string")
+    kept = langid.in_a_language(docs.unionByName(more, allowMissingColumns=True), langid.train(docs))
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == docs.count()
+    assert {r.doc_id for r in langid.in_a_language(more, None).collect()} == {-1, -2, -3, -4}
+
+
 def test_close_languages_are_flagged():
     model = langid.fit([("aaaa bbbb", "x"), ("cccc dddd", "y")], margin=0.2)
     texts = pa.array(["aaaa", "cccc", "zzzz"])
