@@ -25,9 +25,11 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 7  # languages up to which all ways to split them in two are bits
 MARGIN = 0.02  # least gap between the two best codewords, as probability
+FLOOR = 0.25  # a text is noise below this part of the share of letters among letters and signs that 99 in 100 fitted texts reach
 PREDICTED = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
 _LETTER = regex.compile(r"\p{L}")
+_SIGN = np.array([0x20 < b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.where((np.arange(256) < 0x80) & ~((LOWER >= 0x61) & (LOWER <= 0x7A)), 0x20, LOWER).astype(np.uint8)
 
 
@@ -64,6 +66,12 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield h, ok
 
 
+def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Share of letters among the letters and signs of each text; digits and blanks do not count."""
+    letters, signs = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (_FOLD[data] != 0x20, _SIGN[data]))
+    return letters / np.maximum(letters + signs, 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -71,18 +79,12 @@ class Model:
     weights: np.ndarray  # bucket x bit
     scale: float
     margin: float
-    floor: float = 0.0  # least share of n-grams that speak for or against a language, for a text to be in one
+    floor: float = 0.0  # least share of letters among letters and signs, for a text to be in a language
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean weight per n-gram, one row per text and one column per bit."""
-        return self.read(data, offsets)[0]
-
-    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """:meth:`margins`, and what share of each text's n-grams went into them: those with a letter."""
         total = np.zeros((len(offsets) - 1, self.weights.shape[1]))
-        n, places = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
-        for order in ORDERS:
-            places += np.maximum(np.diff(offsets) - order + 1, 0)
+        n = np.zeros(len(offsets) - 1)
         for h, ok in grams(data, offsets):
             lo = np.minimum(offsets[:-1], len(h))
             some = np.flatnonzero(np.minimum(offsets[1:], len(h)) > lo)
@@ -92,7 +94,7 @@ class Model:
             values[~ok] = 0
             total[some] += np.add.reduceat(values, lo[some], axis=0)
             n[some] += np.add.reduceat(ok.astype(np.int64), lo[some])
-        return total / np.maximum(n, 1)[:, None], n / np.maximum(places, 1)
+        return total / np.maximum(n, 1)[:, None]
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its probability, and whether the second is too close."""
@@ -124,9 +126,8 @@ def fit(rows: list[tuple[str, str]], margin: float = MARGIN) -> Model:
         q = share[zero].mean(axis=0) if zero.any() else np.zeros(BUCKETS)
         weights[:, b] = np.log((p + 1e-6) / (q + 1e-6))
     model = Model(languages, codes, weights, 4.0, margin)
-    shares = [model.read(data, offsets)[1] for _, _, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string()))]
-    # half of what 99 in 100 of these texts reach
-    model.floor = float(np.quantile(np.concatenate(shares), 0.01)) / 2 if shares else 0.0
+    shares = [lettered(data, offsets) for _, _, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string()))]
+    model.floor = FLOOR * float(np.quantile(np.concatenate(shares), 0.01)) if shares else 0.0
     return model
 
 
@@ -173,19 +174,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def in_a_language(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a learned language.
 
-    A text that is null or has no letter goes, with or without a model. With one, a text goes too if the share of its
-    n-grams that the classifiers can judge is below the model's floor, which the fitted texts give: symbol noise with
-    stray letters. Ambiguous texts stay: they are in one language or another, or in one that was not learned.
+    A text that is null or has no letter goes, with or without a model. With one, a text goes too if its share of letters
+    among letters and signs is below the model's floor, which the fitted texts give: symbol noise with stray letters;
+    one that the codewords leave ambiguous must reach twice the floor. Numbers do not count against a text.
+    Other ambiguous texts stay: they are in one language or another, or in one that was not learned.
     """
-    name = fresh("_lang", docs)
+    name, floor = fresh("_lang", docs), model.floor if model else 0.0
 
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
         out = []
         for _, _, data, offsets in text_chunks(texts, 1 << 19):
-            out.append(model.read(data, offsets)[1] >= model.floor)
+            share, (_, _, close) = lettered(data, offsets), model.decode(model.margins(data, offsets))
+            out.append(share >= np.where(close, 2 * floor, floor))
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     text = F.col("text").cast("string")
-    lettered = docs.where(text.isNotNull() & text.rlike(r"\p{L}"))
-    return lettered if model is None else lettered.withColumn(name, fits(text)).where(F.col(name)).drop(name)
+    spelt = docs.where(text.isNotNull() & text.rlike(r"\p{L}"))
+    return spelt if model is None else spelt.withColumn(name, fits(text)).where(F.col(name)).drop(name)

@@ -194,7 +194,7 @@ def test_language_of_odd_texts(spark, messy, nothing):
 
 def test_noise_is_in_no_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    noise = ["@@@ ### 12 x 99 ====", "1 2 3 4 5 6 7 8 a", "00 12 x, " + "47 11 " * 5000, "<<<>>> {} [] é" + " ;;" * 40, None, "", "..."]
+    noise = ["@@@ ### 12 x 99 ====", "12 34 !!?? -- 56 %% ## a", "x, " + "[47] 11; " * 5000, "<<<>>> {} [] é" + " ;;" * 40, None, "", "..."]
     more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(noise)], "doc_id long, text string")
     kept = langid.in_a_language(docs.unionByName(more, allowMissingColumns=True), langid.train(docs))
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == docs.count()
@@ -290,3 +290,17 @@ def test_trie_shares_prefixes_and_breaks_ties():
         want.append(-max(found)[1] if found else None)
     got = trie_counts.best_counts(subwords.Lookup(pieces), logs, words).tolist()
     assert got[:6] == want[:6] and got[6:] == [2, 7]
+
+
+def test_texts_of_numbers_and_few_words_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = ["36.128.82.53 Ount of +1 (748) 555-8257 ennt wh.", "Ntst of at 32.70.47.86 4534389088205400 esanre +1 (352) 555-5947 to.", "On 4942399381559813 91.96.62.88 the"]
+    few = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert langid.in_a_language(few, langid.train(docs)).count() == len(texts)
+
+
+def test_half_noise_needs_a_codeword_that_fits(spark):
+    model = langid.fit([("aaaa bbbb", "x"), ("cccc dddd", "y")], margin=0.2)
+    texts = ["aaaa" + "!" * 7, "zzzz" + "!" * 7, "zzzz!", "aaaa" + "!" * 20]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert model.floor == 0.25 and {r.doc_id for r in langid.in_a_language(docs, model).collect()} == {0, 2}
