@@ -69,7 +69,8 @@ def _folded(path: Column) -> Column:
 
 def normalised(path: Column) -> Column:
     """Collapse ``//`` and ``/./``, resolve ``..`` and drop a trailing slash."""
-    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.(/|$)")), _folded(path)).otherwise(_collapsed(path))
+    clean = ~F.rlike(path, F.lit(r"//|/\./|/\.?$|(^|/)\.\.(/|$)"))  # most paths are, at the cost of one pattern
+    return F.when(clean, path).when(F.rlike(path, F.lit(r"(^|/)\.\.(/|$)")), _folded(path)).otherwise(_collapsed(path))
 
 
 def _collapsed(path: Column) -> Column:

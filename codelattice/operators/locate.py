@@ -96,21 +96,23 @@ def locate_narrowest(locations: DataFrame, symbols: DataFrame, hot_files=None) -
     Equal ranges rank by start, end and id. Every location row stays.
     """
     flat = locations.withColumn("file_path", paths.normalised(F.col("file_path")))
-    found = _enclosing(flat, narrowest_ranges(symbols), hot_files)
-    return skew_join(flat, found, ["file_path", "line"], "left", hot=hot_files)
+    return _located(flat, narrowest_ranges(symbols), hot_files)
 
 
-def _resolved(sites: DataFrame, found: DataFrame, hot_files=None) -> DataFrame:
-    callee = found.select(
-        F.col("file_path").alias("callee_file"), F.col("line").alias("callee_line"), F.col("symbol_id").alias("callee_id")
-    )
-    clean = sites.withColumn("callee_file", paths.normalised(F.col("callee_file")))
-    return skew_join(clean, callee, ["callee_file", "callee_line"], "left", hot=hot_files)
+def _located(flat: DataFrame, ranges: DataFrame, hot_files=None) -> DataFrame:
+    """``flat``, whose paths are normalised, with the ``symbol_id`` of the best range."""
+    return skew_join(flat, _enclosing(flat, ranges, hot_files), ["file_path", "line"], "left", hot=hot_files)
 
 
-def _places(sites: DataFrame) -> DataFrame:
-    file = paths.normalised(F.col("callee_file"))
-    return sites.select(file.alias("file_path"), F.col("callee_line").alias("line")).distinct()
+def _resolved(sites: DataFrame, ranges: DataFrame, hot_files=None) -> DataFrame:
+    """``sites`` with ``callee_id``; each distinct place is normalised and looked up, and joined back as it was written."""
+    written = sites.select("callee_file", "callee_line").distinct()
+    places = written.select("callee_file", paths.normalised(F.col("callee_file")).alias("file_path"), F.col("callee_line").alias("line"))
+    callee = _located(places, ranges, hot_files).select(
+        "callee_file", F.col("line").alias("callee_line"), F.col("file_path").alias("_clean"), F.col("symbol_id").alias("callee_id")
+    )
+    joined = skew_join(sites, callee, ["callee_file", "callee_line"], "left", hot=hot_files)
+    return joined.withColumn("callee_file", F.coalesce("_clean", paths.normalised(F.col("callee_file")))).drop("_clean")
 
 
 def _as_calls(resolved: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def _as_calls(resolved: DataFrame) -> DataFrame:
 
 def resolve_sites(sites: DataFrame, symbols: DataFrame, hot_files=None) -> DataFrame:
     """Call sites (``caller_id, callee_file, callee_line, file_path, line``) with the narrowest ``callee_id``."""
-    return _resolved(sites, locate_narrowest(_places(sites), symbols, hot_files), hot_files)
+    return _resolved(sites, narrowest_ranges(symbols), hot_files)
 
 
 def sites_to_calls(sites: DataFrame, symbols: DataFrame, hot_files=None) -> DataFrame:
@@ -142,4 +144,4 @@ def changed_sites_to_calls(sites: DataFrame, changed: DataFrame, symbols: DataFr
     """The same for changed callers (``id``) only, by the nearest-start rule on the stored symbols."""
     callers = changed.select(F.col("id").alias("caller_id")).distinct()
     mine = skew_join(sites, callers, "caller_id", "left_semi")
-    return _as_calls(_resolved(mine, locate_nearest(_places(mine), symbols)))
+    return _as_calls(_resolved(mine, nearest_ranges(symbols)))
