@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.operators.skew import skew_join
+from codelattice.sources.versioned import save_tables
 
 CALLABLE_KINDS = ("method", "constructor", "function")
 
@@ -68,3 +72,17 @@ def index_stats(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Numbers of symbols and calls, in one row."""
     tagged = symbols.select(F.lit(1).alias("s"), F.lit(0).alias("e")).unionByName(calls.select(F.lit(0).alias("s"), F.lit(1).alias("e")))
     return tagged.agg(F.sum("s").alias("symbols"), F.sum("e").alias("edges"))
+
+
+def save_index(spark: SparkSession, root: str, symbols: DataFrame, calls: DataFrame, source: str = "") -> DataFrame:
+    """Save both tables as the next version under ``root``: ``version, symbols, edges, duration_ms``, in one row.
+
+    The writes themselves count their rows, so no table is read again for it.
+    """
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("symbols", "calls")}
+    tables = {name: df.observe(seen[name], F.count(F.lit(1)).alias("n")) for name, df in (("symbols", symbols), ("calls", calls))}
+    start = time.monotonic()
+    version = save_tables(spark, root, tables, source)
+    took = int(1000 * (time.monotonic() - start))
+    counts = [seen[name].get.get("n", 0) for name in ("symbols", "calls")]
+    return spark.createDataFrame([(version, *counts, took)], "version long, symbols long, edges long, duration_ms long")

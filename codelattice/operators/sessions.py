@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice.operators.ranks import numbered
+
 
 def validation_rollup(results: DataFrame) -> DataFrame:
     """``session_id, passed, status`` from results (``session_id, stage, passed``).
@@ -47,3 +49,13 @@ def session_transitions(sessions: DataFrame, submissions: DataFrame, results: Da
         "id", F.col("code").alias("_code"), F.when(F.coalesce("passed", F.lit(False)), "validated").otherwise("filled").alias("_status"))
     out = sessions.join(state, "id", "left")
     return out.withColumn("filled_code", F.coalesce("_code", "filled_code")).withColumn("status", F.coalesce("_status", "status")).select(*sessions.columns)
+
+
+def session_history(sessions: DataFrame) -> DataFrame:
+    """``position, id, file_path, status, created_at``, position 1 being the newest; equal times by descending id, no time last.
+
+    Positions are counted over ranges of time, so no task sees the whole history.
+    """
+    rows = sessions.select("id", "file_path", "status", "created_at")
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return numbered(rows, [], ["created_at", "id"], "_oldest").select((total + 1 - F.col("_oldest")).alias("position"), *rows.columns)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codelattice.functions import coerce, ids, paths
 from codelattice.operators import lookup as K
 from codelattice.operators import nodes as N
+from codelattice.operators import sessions as S
 from codelattice.operators import view as V
 from codelattice.plans.graph import BASENAME, CLASS, all_edges, all_nodes
 from codelattice.plans.registry import oracle_view, query
+from codelattice.session import checkpoint_dir
 
 oracle_view("ox_pool", "SELECT * FROM ox_real UNION ALL SELECT * FROM ox_planned")
 
@@ -186,6 +190,12 @@ def sessions_by_status(t):
     return t.fx_mask_sessions.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("session_history", """
+    SELECT row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS position, id, file_path, status, created_at FROM fx_mask_sessions""")
+def session_history(t):
+    return S.session_history(t.fx_mask_sessions)
+
+
 # Numbers and texts that may come as the other kind, as null, or not at all.
 oracle_view("ox_loose", """
     SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority ELSE '' END AS text,
@@ -214,6 +224,14 @@ def index_stats(t):
     return K.index_stats(t.fx_symbols, t.fx_method_calls)
 
 
+@query("index_run_stats", """
+    SELECT cast(1 AS bigint) AS version, (SELECT count(*) FROM fx_symbols) AS symbols, (SELECT count(*) FROM fx_method_calls) AS edges, true AS timed""")
+def index_run_stats(t):
+    spark = t.fx_symbols.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/index-run-{uuid.uuid4().hex}"
+    return K.save_index(spark, root, t.fx_symbols, t.fx_method_calls).withColumn("timed", F.col("duration_ms") >= 0).drop("duration_ms")
+
+
 # --- containers and selections --------------------------------------------------------------------
 
 oracle_view("ox_class_of_file", """
