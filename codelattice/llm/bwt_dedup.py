@@ -26,6 +26,7 @@ GRAM = 20
 SLICE = 1 << 19  # bytes of a long text that are looked at together
 CHUNK = 1 << 17  # bytes of short texts that are: their arrays stay in a core's cache
 BAND = 16  # strings of a band
+BATCH = 1 << 14  # bands that a worker hands on together
 BUCKET_BYTES = 1 << 20  # bytes of bands that are merged together; the more, the slower each byte
 SHARD_BYTES = 1 << 18
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
@@ -313,12 +314,14 @@ def _cut_bands(length: int, band: int):
                     begin, stop = int(start[mine].min()), int((start[mine] + size[mine]).max())
                     data = np.frombuffer(raw, np.uint8)[begin:stop]
                     piece, core, first, end = bands_of(data, start[mine] - begin, size[mine].astype(np.int64), place[mine].astype(np.int64), np.where(hot[mine], 1, band), length)
-                    spans = zip((first + begin).tolist(), (end + begin).tolist(), strict=True)
-                    n = len(core)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(core.view(np.int64)), pa.array(hot[mine][piece]), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, key.as_py(), np.int64)), pa.array(first + begin),
-                         pa.array([raw[a:b] for a, b in spans], pa.binary())],
-                        ["core", "hot", "doc_id", "row", "start", "bytes"])
+                    for at in range(0, len(core), BATCH):
+                        some = slice(at, at + BATCH)
+                        spans = list(zip((first[some] + begin).tolist(), (end[some] + begin).tolist(), strict=True))
+                        n = len(spans)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(core[some].view(np.int64)), pa.array(hot[mine][piece[some]]), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, key.as_py(), np.int64)),
+                             pa.array(first[some] + begin), pa.array([raw[x:y] for x, y in spans], pa.binary())],
+                            ["core", "hot", "doc_id", "row", "start", "bytes"])
 
     return cut
 
