@@ -4,9 +4,12 @@ A string of ``LENGTH`` bytes is assigned to its anchor, the k-gram of least hash
 equal anchors at equal places. A piece is a run of strings with one anchor. Pieces that are equal as a whole
 need no sorting: the first stays, the others are repeats. Different pieces of one anchor are cut into bands, by
 distance from the anchor; the strings of a band share a core, and only bands with equal cores can share a
-string. Different bands with equal cores go to a bucket, where suffix orders of shards are merged by refining their interleave: each step carries it from the order by the
-first n bytes to that by the first n + 2, and keeps the intervals of equal prefixes. At depth ``LENGTH`` the
-intervals are the repeated strings. No step sorts the suffixes of different shards anew.
+string. Of equal bands the first goes on, in each task before they move and again where they meet. A core of
+very many bands is cut into narrower ones, down to single strings. Different bands with equal cores stream into
+buckets of bounded size, where suffix orders of shards are merged by refining their interleave: each step
+carries it from the order by the first n bytes to that by the first n + 2, and keeps the intervals of equal
+prefixes. At depth ``LENGTH`` the intervals are the repeated strings. No step sorts the suffixes of different
+shards anew.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ LENGTH = 100
 GRAM = 20
 SLICE = 1 << 19  # bytes of a long text that are looked at together
 CHUNK = 1 << 17  # bytes of short texts that are: their arrays stay in a core's cache
-BAND = 16  # strings of a band
-BATCH = 1 << 14  # bands that a worker hands on together
+BANDS = (16, 4, 1)  # strings of a band; the narrower ones are for cores of more than ``HOT`` bands
+FLUSH_BYTES = 1 << 22  # bytes of bands among which a worker looks for equal ones before it hands them on
 BUCKET_BYTES = 1 << 20  # bytes of bands that are merged together; the more, the slower each byte
+TASK_BYTES = 1 << 24  # bytes of bands that come to a task, which merges them bucket by bucket
 SHARD_BYTES = 1 << 18
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
-HOT = 4096  # different pieces of one anchor, beyond which each string is a band
+HOT = 4096  # bands of one core, beyond which they are cut into narrower ones
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _PIECES = "anchor long, content long, length int, place int, doc_id long, row long, start long"
+_BANDS = "again boolean, core long, content long, doc_id long, row long, start long, size int, place int, bytes binary"
+_RANGES = "doc_id long, row long, start long, end long"
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -260,73 +266,182 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _ranges(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, row, start, end)], ["doc_id", "row", "start", "end"])
+
+
+def _merge_held(held: list[tuple], length: int) -> pa.RecordBatch:
+    """Ranges of the repeated strings in different bands, which come with all others of their core."""
+    core, doc, row, start = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
+    pieces = [b for h in held for b in h[4]]
+    _, number, n = np.unique(core, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n[number] > 1)
+    shared = shared[np.lexsort((start[shared], row[shared], doc[shared]))]  # by age
+    docs, rows, starts, ends = [], [], [], []
+    if len(shared):
+        for k, flags in zip(shared.tolist(), repeated_starts([pieces[k] for k in shared.tolist()], length), strict=True):
+            for x, y in zip(*_runs(flags), strict=True):
+                docs.append(doc[k])
+                rows.append(row[k])
+                starts.append(start[k] + x)
+                ends.append(start[k] + y - 1 + length)
+    return _ranges(docs, rows, starts, ends)
+
+
 def _merge_buckets(length: int):
-    """Bands come with all others of their core. Of equal ones the oldest goes on; those whose core is in others too are merged."""
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)  # a bucket, sized by their number
-        if not parts:
-            return
-        # rows that repeat a document give the same band at the same place
-        rows = pd.concat(parts, ignore_index=True).drop_duplicates(["core", "doc_id", "row", "start"]).sort_values(["doc_id", "row", "start"], kind="stable", ignore_index=True)
-        equal = rows.duplicated(["core", "bytes"])
-        docs, keys, starts = (rows[c][equal].tolist() for c in ("doc_id", "row", "start"))
-        ends = (rows["start"][equal] + rows["bytes"][equal].map(len)).tolist()
-        rows = rows[~equal]
-        rows = rows[rows["core"].duplicated(keep=False)]
-        if len(rows):
-            for doc, key, at, flags in zip(rows["doc_id"].tolist(), rows["row"].tolist(), rows["start"].tolist(), repeated_starts(rows["bytes"].tolist(), length), strict=True):
-                for a, b in zip(*_runs(flags), strict=True):
-                    docs.append(doc)
-                    keys.append(key)
-                    starts.append(at + int(a))
-                    ends.append(at + int(b) - 1 + length)
-        yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "row": pd.Series(keys, dtype="int64"), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
+    """Bands come in order of core, bytes and age. Of equal ones the oldest goes on; a bucket is merged whenever it is full."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # core, document, row, start and bytes of different bands
+        size, last = 0, None  # last: core, content, document, row and start of the oldest of the equal bands that came last
+        for batch in batches:
+            if not len(batch):
+                continue
+            core, content, doc, row, start, length_of = _numbers(batch, "core", "content", "doc_id", "row", "start", "size")
+            new = np.ones(len(core), bool)
+            new[1:] = (core[1:] != core[:-1]) | (content[1:] != content[:-1])
+            new[0] = last is None or last[:2] != (core[0], content[0])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))  # -1: equal to the last of the batch before
+            old = [np.where(first >= 0, x[first], 0 if last is None else last[k]) for k, x in ((2, doc), (3, row), (4, start))]
+            # rows that repeat a document give the same band at the same place
+            again = ~new & ((doc != old[0]) | (row != old[1]) | (start != old[2]))
+            yield _ranges(doc[again], row[again], start[again], start[again] + length_of[again])
+            last = (core[-1], content[-1], old[0][-1], old[1][-1], old[2][-1])
+            at = np.flatnonzero(new)
+            texts = batch.column(batch.schema.get_field_index("bytes")).take(pa.array(at)).to_pylist()
+            filled = size + np.cumsum(length_of[at])
+            bound = np.flatnonzero(np.concatenate([[False], core[at][1:] != core[at][:-1]])) if len(at) else at  # where a core begins
+            if len(at) and held and held[-1][0][-1] != core[at[0]]:
+                bound = np.concatenate([[0], bound])
+            lo, gone = 0, 0
+            for k in bound.tolist():
+                if (filled[k - 1] if k else size) - gone < BUCKET_BYTES:
+                    continue
+                held.append((core[at[lo:k]], doc[at[lo:k]], row[at[lo:k]], start[at[lo:k]], texts[lo:k]))
+                yield _merge_held(held, length)
+                held, lo, gone = [], k, int(filled[k - 1] if k else size)
+            if lo < len(at):
+                held.append((core[at[lo:]], doc[at[lo:]], row[at[lo:]], start[at[lo:]], texts[lo:]))
+            size = (int(filled[-1]) if len(at) else size) - gone
+        if held:
+            yield _merge_held(held, length)
 
     return merge
 
 
-def bands_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, band: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Bands of pieces: piece, hash of the core, start and end in ``data``. Where a band begins is counted from the anchor."""
+def bands_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, band: int, length: int) -> tuple[np.ndarray, ...]:
+    """Bands of pieces: piece, hash of the core, hash of the bytes, start and end in ``data``, start of the core.
+
+    Where a band begins is counted from the anchor of its piece, which stands ``place`` bytes from the piece's start.
+    """
     anchor, last = start + place, start + size - length  # last string
     high, low = (anchor - start) // band, (anchor - last) // band
     piece = np.repeat(np.arange(len(start)), high - low + 1)
     number = high[piece] - (np.arange(len(piece)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1))
-    core = anchor[piece] - number * band[piece]  # where the core starts; all strings of the band hold it
-    first = np.maximum(start[piece], core - band[piece] + 1)
+    core = anchor[piece] - number * band  # where the core starts; all strings of the band hold it
+    first = np.maximum(start[piece], core - band + 1)
     end = np.minimum(last[piece], core) + length
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    whole = (sums[core - band[piece] + 1 + length] - sums[core]) * powers(len(data) + 1, inverse=True)[core]
-    return piece, mixed(whole + mixed(number.astype(np.uint64) + np.uint64(1))), first, end
+    inverse = powers(len(data) + 1, inverse=True)
+    whole = (sums[core - band + 1 + length] - sums[core]) * inverse[core]
+    content = mixed((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+    return piece, mixed(whole + mixed(number.astype(np.uint64) + np.uint64(1))), content, first, end, core
+
+
+class _Combiner:
+    """Bands of a task, gathered until there are ``FLUSH_BYTES``; of equal ones the oldest goes on, the others are ranges already."""
+
+    def __init__(self):
+        self.parts, self.texts, self.size = [], [], 0
+
+    def put(self, core, content, doc, row, start, place, data, first, end) -> None:
+        size = end - first
+        total = int(size.sum())
+        before = np.cumsum(size) - size
+        self.texts.append(data[np.arange(total) + np.repeat(first - before, size)])
+        self.parts.append((core.view(np.int64), content.view(np.int64), doc, row, start, size, place, before + self.size))
+        self.size += total
+
+    def flush(self) -> pa.RecordBatch:
+        core, content, doc, row, start, size, place, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        text = np.concatenate(self.texts)
+        self.__init__()
+        order = np.lexsort((start, row, doc, content, core))
+        core, content, doc, row, start, size, place, at = (x[order] for x in (core, content, doc, row, start, size, place, at))
+        new = np.ones(len(core), bool)
+        new[1:] = (core[1:] != core[:-1]) | (content[1:] != content[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        kept = new | (doc != doc[first]) | (row != row[first]) | (start != start[first])  # else the same place, of a row that repeats a document
+        core, content, doc, row, start, size, place, at, new = (x[kept] for x in (core, content, doc, row, start, size, place, at, new))
+        held = np.where(new, size, 0)
+        offsets = np.concatenate([[0], np.cumsum(held)])
+        text = text[np.arange(offsets[-1]) + np.repeat(at - offsets[:-1], held)]
+        binary = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(~new), *(pa.array(x) for x in (core, content, doc, row, start)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), binary],
+            ["again", "core", "content", "doc_id", "row", "start", "size", "place", "bytes"])
+
+
+def _cut_texts(length: int, band: int):
+    """Bands of the wanted pieces of whole texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Combiner()
+        for batch in batches:
+            ids, keys = _numbers(batch, "doc_id", "row")
+            wanted = batch.column(3)
+            until, pieces = wanted.offsets.to_numpy(), wanted.values
+            start, size, place = (pieces.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "length", "place"))
+            for lo, hi, data, offsets in text_chunks(batch.column(2), CHUNK):
+                mine = slice(until[lo], until[hi])
+                text = np.repeat(np.arange(hi - lo), np.diff(until[lo : hi + 1]))
+                at, long, to = start[mine] + offsets[text], size[mine], place[mine]
+                part = at // SLICE  # of a long text, what is looked at together
+                for k in np.unique(part).tolist():
+                    some = part == k
+                    begin, stop = int(at[some].min()), int((at[some] + long[some]).max())
+                    piece, core, content, first, end, middle = bands_of(data[begin:stop], at[some] - begin, long[some], to[some], band, length)
+                    of = text[some][piece]
+                    out.put(core, content, ids[lo + of], keys[lo + of], first + begin - offsets[of], middle - first, data[begin:stop], first, end)
+                    if out.size >= FLUSH_BYTES:
+                        yield out.flush()
+        if out.parts:
+            yield out.flush()
+
+    return cut
 
 
 def _cut_bands(length: int, band: int):
+    """Narrower bands of bands."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Combiner()
         for batch in batches:
-            for doc, key, text, wanted in zip(*(batch.column(k) for k in range(4)), strict=True):
-                raw = text.as_py().encode()
-                pieces = wanted.values
-                start, size, place, hot = (pieces.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length", "place", "hot"))
-                part = start // SLICE  # of a long text, what is looked at together
-                for k in np.unique(part).tolist():
-                    mine = part == k
-                    begin, stop = int(start[mine].min()), int((start[mine] + size[mine]).max())
-                    data = np.frombuffer(raw, np.uint8)[begin:stop]
-                    piece, core, first, end = bands_of(data, start[mine] - begin, size[mine].astype(np.int64), place[mine].astype(np.int64), np.where(hot[mine], 1, band), length)
-                    for at in range(0, len(core), BATCH):
-                        some = slice(at, at + BATCH)
-                        spans = list(zip((first[some] + begin).tolist(), (end[some] + begin).tolist(), strict=True))
-                        n = len(spans)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(core[some].view(np.int64)), pa.array(hot[mine][piece[some]]), pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, key.as_py(), np.int64)),
-                             pa.array(first[some] + begin), pa.array([raw[x:y] for x, y in spans], pa.binary())],
-                            ["core", "hot", "doc_id", "row", "start", "bytes"])
+            doc, row, start, place = _numbers(batch, "doc_id", "row", "start", "place")
+            for lo, hi, data, offsets in text_chunks(batch.column(batch.schema.get_field_index("bytes")), CHUNK):
+                piece, core, content, first, end, middle = bands_of(data, offsets[:-1], np.diff(offsets), place[lo:hi].astype(np.int64), band, length)
+                of = lo + piece
+                out.put(core, content, doc[of], row[of], start[of] + first - offsets[piece], middle - first, data, first, end)
+                if out.size >= FLUSH_BYTES:
+                    yield out.flush()
+        if out.parts:
+            yield out.flush()
 
     return cut
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND) -> DataFrame:
+def _merged(bands: DataFrame, length: int) -> DataFrame:
+    size = bands.agg(F.sum("size")).first()[0] or 0
+    dealt = bands.repartition(int(size // TASK_BYTES) + 1, "core").sortWithinPartitions("core", "content", "doc_id", "row", "start")
+    return dealt.mapInArrow(_merge_buckets(length), _RANGES)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Byte ranges ``doc_id``, ``row``, ``start``, ``end`` covered by strings of ``length`` bytes that start earlier too.
 
     Ranges may overlap. Earlier is by document id, then ``row``, then place. ``docs`` has ``doc_id`` and ``row`` (not null;
@@ -342,26 +457,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int =
     per_anchor = contents.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
     known = written(contents.join(per_anchor, "anchor"))
 
-    def again(rows: DataFrame, firsts: DataFrame, by: list[str]) -> DataFrame:
-        """``rows`` that are not the first of their kind."""
-        first = firsts.select(*by, *[F.col(f"oldest.{c}").alias(f"first_{c}") for c in ("doc_id", "row", "start")])
-        return rows.join(first, by).where("doc_id <> first_doc_id or row <> first_row or start <> first_start")
-
-    ranges = ["doc_id", "row", "start", "end"]
-    whole = written(again(found.drop("place"), known.where(F.col("n") > 1), key).withColumn("end", F.col("start") + F.col("length")).select(ranges))
-
-    several = known.where(F.col("kinds") > 1).select("length", "oldest.*", (F.col("kinds") > HOT).alias("hot"))
-    wanted = several.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length", "place", "hot")).alias("wanted"))  # at most its pieces per document
-    bands = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
-    cut = written(bands.mapInArrow(_cut_bands(length, band), "core long, hot boolean, doc_id long, row long, start long, bytes binary"))
-    # strings of hot anchors are bands of their own, and equal if their cores are
-    single = cut.where("hot").select("core", "doc_id", "row", "start")
-    oldest = single.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("oldest")).where("n > 1")
-    strings = again(single, oldest, ["core"]).withColumn("end", F.col("start") + F.lit(length)).select(ranges)
-    size = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = cut.where("not hot").select("core", "doc_id", "row", "start", "bytes").repartition(int(size // BUCKET_BYTES) + 1, "core")
-    merged = buckets.mapInPandas(_merge_buckets(length), "doc_id long, row long, start long, end long")
-    return written(whole.unionByName(strings).unionByName(merged))
+    firsts = known.where(F.col("n") > 1).select(*key, *[F.col(f"oldest.{c}").alias(f"first_{c}") for c in ("doc_id", "row", "start")])
+    again = found.drop("place").join(firsts, key).where("doc_id <> first_doc_id or row <> first_row or start <> first_start")
+    ranges = written(again.select("doc_id", "row", "start", (F.col("start") + F.col("length")).alias("end")))
+
+    several = known.where(F.col("kinds") > 1).select("length", "oldest.*")
+    wanted = several.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length", "place")).alias("wanted"))  # at most its pieces per document
+    texts = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
+    cut = written(texts.mapInArrow(_cut_texts(length, BANDS[0]), _BANDS))
+    for narrower in (*BANDS[1:], None):
+        ranges = ranges.unionByName(cut.where("again").select("doc_id", "row", "start", (F.col("start") + F.col("size")).alias("end")))
+        bands = cut.where("not again").drop("again")
+        hot = written(bands.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("core")) if narrower else None
+        if hot is None or hot.isEmpty():  # bands of one string that share a core are equal, so no bucket grows with them
+            return written(ranges.unionByName(_merged(bands, length)))
+        ranges = ranges.unionByName(written(_merged(bands.join(hot, "core", "left_anti"), length)))
+        cut = written(bands.join(hot, "core", "left_semi").mapInArrow(_cut_bands(length, narrower), _BANDS))
 
 
 def row_of(text: Column) -> Column:

@@ -66,6 +66,20 @@ def test_slices_of_long_texts_overlap(messy, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in bwt_dedup.dedup_report(messy.where("doc_id is not null")).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [4096, 20, 2])
+def test_a_passage_in_most_texts_is_merged_in_full_buckets(spark, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    monkeypatch.setattr(bwt_dedup, "BUCKET_BYTES", 1 << 11)
+    monkeypatch.setattr(bwt_dedup, "FLUSH_BYTES", 1 << 13)
+    monkeypatch.setattr(bwt_dedup, "TASK_BYTES", 1 << 15)
+    rng = random.Random(4)
+    shared = ["".join(rng.choices("abcde ", k=n)) for n in (90, 104, 130, 260)]  # the first is shorter than a string
+    rows = [(n, "".join(rng.choices("xyz", k=rng.randrange(3))) + rng.choice("qrst") * 3 + rng.choice(shared) + "".join(rng.choices("uvw", k=rng.randrange(4)))) for n in range(150)]
+    rows += [(200 + n, "ab" * n + shared[3] * 2) for n in range(5)] + [(300, rows[0][1])]
+    docs = spark.createDataFrame(rows + rows[:10], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: tuple(r)[1:] for r in bwt_dedup.dedup_report(docs).collect()} == brute.repeats(rows)
+
+
 def test_near_duplicates(messy, nothing):
     got = chosen_path.jaccard_join(messy).collect()
     assert len(got) == messy.count()
