@@ -125,37 +125,51 @@ def neighbour_ids(calls: DataFrame, edge_annotations: DataFrame, seeds: DataFram
     return near.select(F.col("a").alias("seed_id"), F.col("b").alias("id")).distinct()
 
 
-def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame, hubs: Hubs | None = None) -> DataFrame:
     """Rolled-up edges between each seed and its neighbours, with the neighbour on the far end.
 
-    ``seed_nodes`` has ``id, label``; a call touches a seed if it names the seed's id or label. Result:
-    ``seed_id, edge_id, source, target, call_count, is_manual`` and ``other_id``.
+    ``seed_nodes`` has ``id, label``, a row for each id; a call touches a seed if it names the seed's id or label. Result:
+    ``seed_id, edge_id, source, target, call_count, is_manual`` and ``other_id``. Calls meet seeds as edges that are
+    rolled up per name, so a label of m seeds and n calls makes m rows per edge, not m × n. ``hubs`` are of ``calls``.
     """
     names = (
         seed_nodes.select(F.col("id").alias("seed_id"), F.col("id").alias("key"))
         .unionByName(seed_nodes.select(F.col("id").alias("seed_id"), F.col("label").alias("key")))
         .distinct()
     )
-    ends = F.array(
-        F.struct(F.col("caller_id").alias("key"), F.lit(True).alias("out")),
-        F.struct(F.col("callee_id").alias("key"), F.lit(False).alias("out")),
-    )
-    # Calls that no seed touches go first; the rest is counted before names fan out to seeds.
-    near = skew_join(calls.select("caller_id", "callee_id", "call_type", F.inline(ends)), names.select("key").distinct(), "key", "left_semi")
-    counts = near.groupBy("key", "out", "caller_id", "callee_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("call_type") == "manual").alias("manual")
-    )
-    # A call matched at both ends counts once, and as an outgoing one.
-    touched = skew_join(counts, names, "key").groupBy("seed_id", "caller_id", "callee_id").agg(
-        F.first("n").alias("n"), F.first("manual").alias("manual"), F.max("out").alias("out")
-    )
-    resolved = resolve_endpoints(touched, endpoint_keys(nodes))
-    return (
-        resolved.withColumn("other_id", F.when(F.col("out"), F.col("target")).otherwise(F.col("source")))
-        .groupBy("seed_id", "source", "target", "other_id")
-        .agg(F.sum("n").alias("call_count"), F.max("manual").alias("is_manual"))
-        .withColumn("edge_id", ids.edge_id(F.col("source"), F.col("target")))
-    )
+    caller, callee, far, own_name = F.col("caller_id"), F.col("callee_id"), F.col("far"), F.col("label")
+    ends = F.inline(F.array(
+        F.struct(caller.alias("key"), callee.alias("far"), F.lit(True).alias("out")), F.struct(callee.alias("key"), caller.alias("far"), F.lit(False).alias("out"))))
+    # Calls that no seed touches go first; the rest is counted, resolved and rolled up before names fan out to seeds.
+    near = skew_join(calls.select("call_type", ends).where("out OR key <> far"), names.select("key").distinct(), "key", "left_semi")
+    counts = near.groupBy("key", "out", "far").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("call_type") == "manual").alias("manual"))
+    hubs, known = hubs or Hubs(), endpoint_keys(nodes)
+    hot = sorted({*hubs.callers, *hubs.callees})
+    labels = seed_nodes.select(F.col("id").alias("key"), "label").distinct()
+    placed = counts.join(known.withColumnRenamed("node_id", "here"), "key").join(labels, "key", "left")
+    resolved = skew_join(placed, known.select(F.col("key").alias("far"), F.col("node_id").alias("there")), "far", hot=hot)
+    # A call between a seed's id and its label is matched at both ends, and counts once, as an outgoing one.
+    own = (far == own_name) & (far != F.col("key"))
+    rolled = resolved.groupBy("key", "out", "here", "there").agg(
+        F.sum("n").alias("n"), F.sum("manual").alias("manual"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_n"), F.sum(F.when(own, F.col("manual")).otherwise(0)).alias("own_manual"))
+    by_seed = skew_join(rolled, names, "key", hot=hot)
+    out = F.col("out")
+    source, target = F.when(out, F.col("here")).otherwise(F.col("there")), F.when(out, F.col("there")).otherwise(F.col("here"))
+    counted_twice = (F.col("seed_id") == F.col("key")) & (F.col("own_n") > 0)
+    less_n, less_manual = -F.col("own_n"), -F.col("own_manual")
+    seen = F.struct(out.alias("out"), F.col("n").alias("n"), F.col("manual").alias("manual"))
+    taken = F.struct(F.lit(False).alias("out"), less_n.alias("n"), less_manual.alias("manual"))
+    parts = by_seed.select("seed_id", source.alias("source"), target.alias("target"), F.inline(F.when(counted_twice, F.array(seen, taken)).otherwise(F.array(seen))))
+    sides = parts.groupBy("seed_id", "source", "target").agg(*[
+        F.sum(F.when(F.col("out") == side, F.col(c)).otherwise(0)).alias(f"{c}_{name}") for c in ("n", "manual") for side, name in ((True, "out"), (False, "in"))])
+
+    def side(name: str, other: str) -> Column:
+        return F.struct(F.col(other).alias("other_id"), F.col(f"n_{name}").alias("call_count"), F.col(f"manual_{name}").alias("manual"))
+
+    loop = F.struct(F.col("target").alias("other_id"), (F.col("n_out") + F.col("n_in")).alias("call_count"), (F.col("manual_out") + F.col("manual_in")).alias("manual"))
+    both = F.when(F.col("source") == F.col("target"), F.array(loop)).otherwise(F.array(side("out", "target"), side("in", "source")))
+    return sides.select("seed_id", "source", "target", F.inline(F.filter(both, lambda x: x["call_count"] > 0))).select(
+        "seed_id", "source", "target", "other_id", "call_count", (F.col("manual") > 0).alias("is_manual"), ids.edge_id(F.col("source"), F.col("target")).alias("edge_id"))
 
 
 def merge_neighbourhood_edges(found: DataFrame) -> DataFrame:

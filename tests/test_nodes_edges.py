@@ -136,3 +136,25 @@ def test_edge_requests_answer_with_the_stored_count(frame):
     made, calls, rejected = I.create_manual_edges(asks, known, stored)
     assert rows(made, "edge_id", "call_count", "remarks") == [("a::b", 4, "old"), ("a::c", 1, "new")]
     assert calls.count() == 2 and rows(rejected, "request_id") == [(3,)]
+
+
+def test_neighbourhood_of_a_label_of_many_seeds_and_a_hub(spark):
+    nodes = [(f"n{k}", "same" if k % 3 == 0 else f"label{k % 40}" if k % 3 == 1 else f"n{k}") for k in range(90)]
+    calls = [("same", f"n{k % 90}", "direct") for k in range(120)] + [("same", "same", "manual"), ("n0", "same", "manual"), ("n3", "n3", "direct")]
+    calls += [(f"n{k * 7 % 90}", f"label{k % 40}", "manual" if k % 5 == 0 else "direct") for k in range(200)] + [("n5", "unknown", "direct"), ("n0", "n0", "manual")]
+    seeds = spark.createDataFrame(nodes, "id string, label string")
+    got = E.neighbourhood_edges(spark.createDataFrame(calls, "caller_id string, callee_id string, call_type string"), seeds, seeds)
+    meant = {}
+    for node, label in sorted(nodes, key=lambda n: (n[1], n[0])):
+        meant[label] = node
+        meant[node] = node
+    want = {}
+    for seed, label in nodes:
+        for caller, callee, kind in calls:
+            out = caller in (seed, label)
+            if (out or callee in (seed, label)) and caller in meant and callee in meant:
+                key = (seed, meant[caller], meant[callee], meant[callee] if out else meant[caller])
+                n, manual = want.get(key, (0, False))
+                want[key] = (n + 1, manual or kind == "manual")
+    found = {(r.seed_id, r.source, r.target, r.other_id): (r.call_count, r.is_manual) for r in got.collect()}
+    assert found == want and len(want) > 1000
