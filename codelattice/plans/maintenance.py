@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codelattice.functions import ids, paths
 from codelattice.operators import index as I
 from codelattice.plans.graph import HASH
 from codelattice.plans.registry import oracle_view, query
+from codelattice.session import checkpoint_dir
+from codelattice.sources import folders
 
 EDGE = "concat(caller_id, '::', callee_id)"
 
@@ -407,3 +411,36 @@ def workspace_inventory(t):
     dirs, files = inventory(t.fx_paths, "/ws")
     return dirs.select(F.lit("directory").alias("part"), "id", "path", "name", F.lit("").alias("directory")).unionByName(
         files.select(F.lit("file").alias("part"), "id", "path", "name", "directory"))
+
+
+def _workspace(t) -> str:
+    """The files of ``fx_paths``, each with its path as text, written to a folder that all executors share."""
+    root = f"{checkpoint_dir(t.spark).rstrip('/')}/ws-{uuid.uuid4().hex}"
+    folders.write_files(t.fx_paths.select(F.substr("path", F.lit(5)).alias("path"), F.col("path").alias("text")), root)
+    return root
+
+
+@query("corpus_read", f"""
+    SELECT substr(path, 5) AS path, CASE {EXT.format('path')} WHEN '.go' THEN 'go' WHEN '.java' THEN 'java' WHEN '.py' THEN 'python'
+      WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.cjs' THEN 'javascript'
+      ELSE 'typescript' END AS language, octet_length(encode(path)) AS length, sha256(path) AS file_hash, path AS text
+    FROM fx_paths WHERE {EXT.format('path')} IN {KNOWN} AND NOT regexp_matches(path, '/(\\.[^/]*|node_modules|target|build)/')""")
+def corpus_read(t):
+    """Source files read back from a folder tree that was written first."""
+    root = _workspace(t)
+    found = folders.read_sources(t.spark, root)
+    return found.withColumn("path", F.substr("path", F.lit(len(folders.opened(root)[1]) + 2)))
+
+
+@query("workspace_listing", f"""
+    WITH f AS (SELECT substr(path, 5) AS path FROM fx_paths WHERE NOT regexp_matches(path, '/\\.[^/]*/')),
+      d AS (SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS path
+        FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS i FROM f) x)
+    SELECT 'directory' AS part, {HASH.format('path')} AS id, path, regexp_extract(path, '([^/]*)$', 1) AS name, '' AS directory FROM d
+    UNION ALL SELECT 'file', {HASH.format('path')}, path, regexp_extract(path, '([^/]*)$', 1), {HASH.format("regexp_extract(path, '^(.*)/[^/]*$', 1)")}
+    FROM f WHERE {EXT.format('path')} IN {KNOWN}""")
+def workspace_listing(t):
+    """Folders and files listed from a folder tree that was written first."""
+    dirs, files = folders.list_workspace(t.spark, _workspace(t))
+    return dirs.select(F.lit("directory").alias("part"), "id", "path", "name", F.lit("").alias("directory")).unionByName(
+        files.select(F.lit("file").alias("part"), "id", "path", "name", "directory"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from codelattice import session
-from codelattice.sources import corpus, versioned
+from codelattice.sources import corpus, folders, versioned
 from codelattice.streaming import feeds as S
 from tests.conftest import rows
 
@@ -95,3 +95,34 @@ def test_loose_values(spark):
     got = df.select(coerce.json_text_or_empty(F.col("j"), "$.f").alias("f"), coerce.json_int_or_zero(F.col("j"), "$.n").alias("n")).collect()
     assert [tuple(r) for r in got] == [("a", 7), ("", 0), ("", 0), ("", 0), ("", -2)]
     assert [r[0] for r in spark.sql("SELECT * FROM VALUES ('12'), ('x'), ('-1.5') AS t(v)").select(coerce.int_or_zero(F.col("v"))).collect()] == [12, 0, -1]
+
+
+def test_folders_are_skipped_before_they_are_listed(spark, tmp_path, monkeypatch):
+    for name in ("a/A.java", "a/b.PY", "a/c.txt", ".git/x.java", "node_modules/deep/y.js", "a/build/z.go", "t.ts", "a/b/c/d/e.go"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x ü")
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    root = str(tmp_path)
+    got = rows(folders.read_sources(spark, root), "path", "language", "length", "text")
+    assert [(p.removeprefix(root), lang) for p, lang, _, _ in got] == [("/a/A.java", "java"), ("/a/b.PY", "python"), ("/a/b/c/d/e.go", "go"), ("/t.ts", "typescript")]
+    assert got[0][2:] == (4, "x ü")
+    old = rows(corpus.read_corpus(spark, root), "path", "file_hash")
+    assert rows(folders.read_sources(spark, root), "path", "file_hash") == old
+    (tmp_path / "link").symlink_to(tmp_path)
+
+    listed = []
+    plain = folders.Walk.listed
+    monkeypatch.setattr(folders.Walk, "listed", lambda self, store, folder: listed.append(folder.removeprefix(root)) or plain(self, store, folder))
+    for parts in ("1", "2", "64"):
+        reader = folders.FolderReader({"path": root, "skip": r"\..*|node_modules|build", "suffixes": ".go,.ts", "parts": parts})
+        shares = reader.partitions()
+        assert len(shares) <= int(parts)
+        found = [r for s in shares for b in reader.read(s) for r in b.to_pylist()]
+        assert sorted(r["path"].removeprefix(root) for r in found) == ["/a", "/a/b", "/a/b/c", "/a/b/c/d", "/a/b/c/d/e.go", "/empty", "/empty/inner", "/t.ts"]
+        assert sorted(r["content"] for r in found if not r["is_folder"]) == ["x ü".encode()] * 2
+    assert not [f for f in listed if f.startswith(("/.git", "/node_modules", "/a/build", "/link"))]
+
+    dirs, files = folders.list_workspace(spark, root)
+    assert [r[0] for r in rows(dirs, "path")] == ["a", "a/b", "a/b/c", "a/b/c/d", "a/build", "empty", "empty/inner", "node_modules", "node_modules/deep"]
+    assert [r[0] for r in rows(files, "path")] == ["a/A.java", "a/b.PY", "a/b/c/d/e.go", "a/build/z.go", "node_modules/deep/y.js", "t.ts"]
