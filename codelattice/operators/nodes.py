@@ -46,13 +46,12 @@ def unmaterialised(virtual: DataFrame, symbols: DataFrame) -> DataFrame:
     return virtual.where(~built).unionByName(skew_join(virtual.where(built), names, "label", "left_anti"))
 
 
-def annotate_nodes(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Attach description and remarks by node id; empty where a node has none."""
-    notes = annotations.select(F.col("node_id").alias("id"), "description", "ai_remarks", F.lit(True).alias("_noted"))
+def annotate_nodes(nodes: DataFrame, annotations: DataFrame, details: bool = False) -> DataFrame:
+    """Attach description and remarks by node id, with ``details`` code snippet and custom properties too; empty where a node has none."""
+    texts = ["description", "ai_remarks", *(["code_snippet", "custom_properties"] if details else [])]
+    notes = annotations.select(F.col("node_id").alias("id"), *texts, F.lit(True).alias("_noted"))
     return nodes.join(notes, "id", "left").select(
-        *nodes.columns, F.coalesce("_noted", F.lit(False)).alias("annotated"),
-        text_or_empty("description").alias("description"), text_or_empty("ai_remarks").alias("ai_remarks"),
-    )
+        *nodes.columns, F.coalesce("_noted", F.lit(False)).alias("annotated"), *[text_or_empty(c).alias(c) for c in texts])
 
 
 def class_files(nodes: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def annotate_nodes(t):
     return N.annotate_nodes(N.real_nodes(t.fx_symbols).select("id"), t.fx_node_annotations)
 
 
+@query("annotate_nodes_details", """
+    SELECT r.id, a.node_id IS NOT NULL AS annotated, coalesce(a.description, '') AS description, coalesce(a.ai_remarks, '') AS ai_remarks,
+      CASE WHEN a.updated_at % 2 = 0 THEN 'see ' || a.description ELSE '' END AS code_snippet,
+      CASE WHEN a.node_id IS NULL THEN '' ELSE concat('{"at":', a.updated_at, '}') END AS custom_properties
+    FROM ox_real r LEFT JOIN fx_node_annotations a ON a.node_id = r.id""")
+def annotate_nodes_details(t):
+    notes = t.fx_node_annotations.withColumn("code_snippet", F.when(F.col("updated_at") % 2 == 0, F.concat(F.lit("see "), "description")))
+    notes = notes.withColumn("custom_properties", F.to_json(F.struct(F.col("updated_at").alias("at"))))
+    return N.annotate_nodes(N.real_nodes(t.fx_symbols).select("id"), notes, details=True)
+
+
 @query("parent_id_assign", "SELECT id, parent_id FROM ox_parented")
 def parent_id_assign(t):
     return N.with_parents(all_nodes(t)).select("id", "parent_id")
