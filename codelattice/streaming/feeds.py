@@ -88,13 +88,18 @@ def latest_status(events: DataFrame) -> DataFrame:
 # --- running streams ------------------------------------------------------------------------------
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
-    """A Parquet file of a shared folder as a stream."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table of a shared folder, one Parquet file or a folder of them, as a stream.
+
+    All files there come in one batch, unless ``files_per_trigger`` bounds it: rows that belong together (the units of one
+    save, the saves of one hour) may lie in different files, and a watermark drops what comes a batch too late.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # A pattern fits a file as well as a folder; a plain path must be a folder.
+    return reader.parquet(f"{folder}/{name}[.]parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

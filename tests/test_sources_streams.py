@@ -126,3 +126,25 @@ def test_folders_are_skipped_before_they_are_listed(spark, tmp_path, monkeypatch
     dirs, files = folders.list_workspace(spark, root)
     assert [r[0] for r in rows(dirs, "path")] == ["a", "a/b", "a/b/c", "a/b/c/d", "a/build", "empty", "empty/inner", "node_modules", "node_modules/deep"]
     assert [r[0] for r in rows(files, "path")] == ["a/A.java", "a/b.PY", "a/b/c/d/e.go", "a/build/z.go", "node_modules/deep/y.js", "t.ts"]
+
+
+def test_a_table_in_a_folder_of_files_streams_whole(spark, tmp_path):
+    turns = spark.range(40).selectExpr("concat('s', id % 4) AS id", "cast(id AS int) AS seq", "concat('t', id) AS status")
+    turns.repartition(20).write.parquet(f"{tmp_path}/turns.parquet")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/other.parquet")
+    events = S.table_stream(spark, str(tmp_path), "turns")
+    got = S.update_available(S.latest_status(events), "status", ["id"], "seq")
+    assert rows(got, "id", "status", "seq") == [("s0", "t36", 36), ("s1", "t37", 37), ("s2", "t38", 38), ("s3", "t39", 39)]
+
+
+def test_units_of_one_save_may_lie_in_many_files(spark, tmp_path):
+    """More files than a bounded batch held: all units of the save count, not those of the last batch."""
+    units = spark.range(40).selectExpr("'a.go' AS file_path", "'h' AS file_hash", "concat('u', id) AS id", "'method' AS kind", "'b' AS body_hash", "id AS seq")
+    units.repartition(20).write.parquet(f"{tmp_path}/units.parquet")
+    root = f"{tmp_path}/index"
+    nothing = spark.createDataFrame([], "caller_id string, callee_id string, call_type string, file_path string, line int")
+    old = spark.createDataFrame([("gone", "method", "a.go", "b", 0)], "id string, kind string, file_path string, body_hash string, seq long")
+    versioned.save_tables(spark, root, {"symbols": old, "method_calls": nothing, "manifest": spark.createDataFrame([("a.go", "old")], "file_path string, file_hash string")}, "start")
+    calls = lambda changed: changed.selectExpr("id AS caller_id", "'x' AS callee_id", "'direct' AS call_type", "'g' AS file_path", "1 AS line")
+    S.incremental_index(S.table_stream(spark, str(tmp_path), "units"), root, calls, f"{tmp_path}/state")
+    assert rows(versioned.load_tables(spark, root, ["symbols"])["symbols"], "id") == sorted((f"u{k}",) for k in range(40))
