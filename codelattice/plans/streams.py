@@ -42,7 +42,7 @@ def save_debounce_stream(t):
     return _stamped(S.append_available(jobs, "debounce"))
 
 
-# All saves of the one input file come in one batch, so each file is queued once.
+# All saves of the table come in one batch, so each file is queued once.
 @query("queue_dedupe", "SELECT DISTINCT file_path FROM fx_save_events")
 def queue_dedupe(t):
     return S.append_available(S.queue_once(_save_stream(t), "ts", "6 hours"), "queue").select("file_path")
