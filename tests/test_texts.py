@@ -7,6 +7,7 @@ from codelattice.operators import masking as M
 from codelattice.operators import report
 from codelattice.operators import sessions as Z
 from codelattice.operators import text_units as U
+from codelattice.plans.views import Tables
 from tests.conftest import rows
 
 FILES = "file_path string, language string, text string"
@@ -245,3 +246,31 @@ def test_numbers_as_sort_keys(frame):
     numbers = [-(2**63), -1234567890123456789, -5, -1, 0, 3, 20, 2**63 - 1]
     df = frame("n long", [(n,) for n in reversed(numbers)]).orderBy(report._sortable(F.col("n")))
     assert [r.n for r in df.collect()] == numbers
+
+
+def test_texts_of_a_small_file_are_spread_over_the_cores(spark, tmp_path):
+    """One small file used to be one task, however much text its rows make."""
+    spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, '1-URGENT' AS o_orderpriority FROM range(100)").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    files = Tables(spark, str(tmp_path)).wide("fx_source_files")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert files.count() == 100
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_declarations_are_looked_for_once(spark, tmp_path):
+    """Locals and fields used to be cut from the texts by two jobs beside that of the calls, and broadcast."""
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    files = Tables(spark, str(tmp_path)).wide("fx_chained_files")
+    plan = _plan(U.resolve_receivers(U.call_candidates(files), U.declared_types(files)))
+    assert plan.count("FileScan") == 2 and "Broadcast" not in plan
+
+
+def test_stored_units_are_not_broadcast(spark, tmp_path):
+    """Spark takes the units for as small as the table of texts, so a broadcast held all of them in the driver."""
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    files = Tables(spark, str(tmp_path)).wide("fx_chained_files")
+    assert "Broadcast" not in _plan(M.changed_units(U.segment_units(files), U.segment_units(files)))
+    assert "Broadcast" not in _plan(M.mask_changed_units(files, files)[0])
