@@ -140,8 +140,19 @@ class Bins:
         self._set(b, self.free[b] - gain)
 
     def _pairs(self, items: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Sums of two items with the items, for bins of few items; those of many find single ones that fit."""
-        return sorted((x + y, i, j) for k, (x, i) in enumerate(items) for y, j in items[k + 1 :]) if len(items) <= 24 else []
+        """Sums of two of the sorted ``items`` with the items, one pair for each two lengths: items of a length stand for each other.
+
+        What one bin holds has at most some sqrt(2 * capacity) lengths, so there are about as many pairs as the capacity.
+        """
+        first: dict[int, int] = {}
+        twice: dict[int, tuple[int, int, int]] = {}
+        for n, i in items:
+            if n not in first:
+                first[n] = i
+            elif n not in twice:
+                twice[n] = (2 * n, first[n], i)
+        apart = list(first.items())
+        return sorted([*twice.values(), *[(x + y, i, j) for k, (x, i) in enumerate(apart) for y, j in apart[k + 1 :]]])
 
     def _improve(self, a: int, others: list[int]) -> bool:
         """One change that makes a fuller bin fuller at the cost of bin a: a move, or an exchange one for one, one for two or two for one."""

@@ -304,3 +304,12 @@ def test_half_noise_needs_a_codeword_that_fits(spark):
     texts = ["aaaa" + "!" * 7, "zzzz" + "!" * 7, "zzzz!", "aaaa" + "!" * 20]
     docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
     assert model.floor == 0.25 and {r.doc_id for r in langid.in_a_language(docs, model).collect()} == {0, 2}
+
+
+def test_bins_of_many_items_give_back_pairs():
+    """A bin of more than 24 items used to offer single ones only."""
+    for improve in ("_improve_anywhere", "_improve"):
+        bins = packing.Bins(np.array([7] + [3] * 30), 91)
+        bins.items, bins.free, bins.order = [[0], list(range(1, 31))], [84, 1], [(1, 1), (84, 0)]
+        assert getattr(bins, improve)(0, *([[1]] if improve == "_improve" else []))
+        assert bins.free == [85, 0] and sorted(map(len, bins.items)) == [2, 29]
