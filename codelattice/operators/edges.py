@@ -125,51 +125,54 @@ def neighbour_ids(calls: DataFrame, edge_annotations: DataFrame, seeds: DataFram
     return near.select(F.col("a").alias("seed_id"), F.col("b").alias("id")).distinct()
 
 
-def neighbourhood_edges(calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame, hubs: Hubs | None = None) -> DataFrame:
+def _touching(calls: DataFrame, seed_nodes: DataFrame, known: DataFrame, hubs: Hubs | None, sift: bool) -> DataFrame:
+    """Counted calls between known ends, a row for each seed they touch: ``seed_id, out``, all columns of ``resolve_endpoints``.
+
+    A call between a seed's id and its label touches it once, as an outgoing one. Calls are counted and resolved once for both
+    directions and all seeds, and fan out to seeds last, so a label of m seeds makes m rows for each pair that names it.
+    """
+    hubs = hubs or Hubs()
+    seeds = seed_nodes.select(F.col("id").alias("seed_id"), F.col("label").alias("_label")).distinct()
+    names = seeds.select("*", F.explode(F.array_distinct(F.array("seed_id", "_label"))).alias("key"))
+    if sift:
+        ours, out = names.select("key").distinct(), calls
+        for end in ("caller_id", "callee_id"):
+            out = skew_join(out, ours.select(F.col("key").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        calls = out.where("_caller_id OR _callee_id").select(*calls.columns)
+    placed = resolve_endpoints(call_pairs(calls), known, hubs)
+    shown = ["seed_id", "out", *placed.columns]
+    caller = F.col("caller_id")
+    leaving = skew_join(placed, names.withColumnRenamed("key", "caller_id"), "caller_id", hot=hubs.callers)
+    coming = skew_join(placed, names.withColumnRenamed("key", "callee_id"), "callee_id", hot=hubs.callees)
+    coming = coming.where(~caller.eqNullSafe(F.col("seed_id")) & ~caller.eqNullSafe(F.col("_label")))
+    return leaving.withColumn("out", F.lit(True)).select(*shown).unionByName(coming.withColumn("out", F.lit(False)).select(*shown))
+
+
+def neighbourhood_edges(
+    calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame, hubs: Hubs | None = None, sift: bool = True
+) -> DataFrame:
     """Rolled-up edges between each seed and its neighbours, with the neighbour on the far end.
 
     ``seed_nodes`` has ``id, label``, a row for each id; a call touches a seed if it names the seed's id or label. Result:
-    ``seed_id, edge_id, source, target, call_count, is_manual`` and ``other_id``. Calls meet seeds as edges that are
-    rolled up per name, so a label of m seeds and n calls makes m rows per edge, not m × n. ``hubs`` are of ``calls``.
+    ``seed_id, edge_id, source, target, call_count, is_manual`` and ``other_id``. ``hubs`` are of ``calls``. With ``sift``
+    calls that no seed touches go first, so few seeds cost one scan; where nearly all nodes are seeds, do without.
     """
-    names = (
-        seed_nodes.select(F.col("id").alias("seed_id"), F.col("id").alias("key"))
-        .unionByName(seed_nodes.select(F.col("id").alias("seed_id"), F.col("label").alias("key")))
-        .distinct()
-    )
-    caller, callee, far, own_name = F.col("caller_id"), F.col("callee_id"), F.col("far"), F.col("label")
-    ends = F.inline(F.array(
-        F.struct(caller.alias("key"), callee.alias("far"), F.lit(True).alias("out")), F.struct(callee.alias("key"), caller.alias("far"), F.lit(False).alias("out"))))
-    # Calls that no seed touches go first; the rest is counted, resolved and rolled up before names fan out to seeds.
-    near = skew_join(calls.select("call_type", ends).where("out OR key <> far"), names.select("key").distinct(), "key", "left_semi")
-    counts = near.groupBy("key", "out", "far").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("call_type") == "manual").alias("manual"))
-    hubs, known = hubs or Hubs(), endpoint_keys(nodes)
-    hot = sorted({*hubs.callers, *hubs.callees})
-    labels = seed_nodes.select(F.col("id").alias("key"), "label").distinct()
-    placed = counts.join(known.withColumnRenamed("node_id", "here"), "key").join(labels, "key", "left")
-    resolved = skew_join(placed, known.select(F.col("key").alias("far"), F.col("node_id").alias("there")), "far", hot=hot)
-    # A call between a seed's id and its label is matched at both ends, and counts once, as an outgoing one.
-    own = (far == own_name) & (far != F.col("key"))
-    rolled = resolved.groupBy("key", "out", "here", "there").agg(
-        F.sum("n").alias("n"), F.sum("manual").alias("manual"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_n"), F.sum(F.when(own, F.col("manual")).otherwise(0)).alias("own_manual"))
-    by_seed = skew_join(rolled, names, "key", hot=hot)
-    out = F.col("out")
-    source, target = F.when(out, F.col("here")).otherwise(F.col("there")), F.when(out, F.col("there")).otherwise(F.col("here"))
-    counted_twice = (F.col("seed_id") == F.col("key")) & (F.col("own_n") > 0)
-    less_n, less_manual = -F.col("own_n"), -F.col("own_manual")
-    seen = F.struct(out.alias("out"), F.col("n").alias("n"), F.col("manual").alias("manual"))
-    taken = F.struct(F.lit(False).alias("out"), less_n.alias("n"), less_manual.alias("manual"))
-    parts = by_seed.select("seed_id", source.alias("source"), target.alias("target"), F.inline(F.when(counted_twice, F.array(seen, taken)).otherwise(F.array(seen))))
-    sides = parts.groupBy("seed_id", "source", "target").agg(*[
-        F.sum(F.when(F.col("out") == side, F.col(c)).otherwise(0)).alias(f"{c}_{name}") for c in ("n", "manual") for side, name in ((True, "out"), (False, "in"))])
+    parts = _touching(calls, seed_nodes, endpoint_keys(nodes), hubs, sift).select("seed_id", "source", "target", "out", "n", "manual")
+    # An edge of a seed has no more than four pairs, so there is nothing to count before the shuffle.
+    sides = parts.repartition("seed_id", "source", "target").groupBy("seed_id", "source", "target").agg(*[
+        f(F.when(F.col("out") == side, F.col(c))).alias(f"{c}_{name}") for c, f in (("n", F.sum), ("manual", F.max)) for side, name in ((True, "out"), (False, "in"))])
 
     def side(name: str, other: str) -> Column:
         return F.struct(F.col(other).alias("other_id"), F.col(f"n_{name}").alias("call_count"), F.col(f"manual_{name}").alias("manual"))
 
-    loop = F.struct(F.col("target").alias("other_id"), (F.col("n_out") + F.col("n_in")).alias("call_count"), (F.col("manual_out") + F.col("manual_in")).alias("manual"))
-    both = F.when(F.col("source") == F.col("target"), F.array(loop)).otherwise(F.array(side("out", "target"), side("in", "source")))
-    return sides.select("seed_id", "source", "target", F.inline(F.filter(both, lambda x: x["call_count"] > 0))).select(
-        "seed_id", "source", "target", "other_id", "call_count", (F.col("manual") > 0).alias("is_manual"), ids.edge_id(F.col("source"), F.col("target")).alias("edge_id"))
+    n_out, n_in, zero, no = F.col("n_out"), F.col("n_in"), F.lit(0), F.lit(False)
+    loop = F.struct(
+        F.col("target").alias("other_id"), (F.coalesce(n_out, zero) + F.coalesce(n_in, zero)).alias("call_count"),
+        (F.coalesce("manual_out", no) | F.coalesce("manual_in", no)).alias("manual"))
+    both = F.when(F.col("source") == F.col("target"), F.array(loop)).when(n_in.isNull(), F.array(side("out", "target"))).when(
+        n_out.isNull(), F.array(side("in", "source"))).otherwise(F.array(side("out", "target"), side("in", "source")))
+    return sides.select("seed_id", "source", "target", F.inline(both)).select(
+        "seed_id", "source", "target", "other_id", "call_count", F.coalesce("manual", no).alias("is_manual"), ids.edge_id(F.col("source"), F.col("target")).alias("edge_id"))
 
 
 def merge_neighbourhood_edges(found: DataFrame) -> DataFrame:
@@ -179,11 +182,31 @@ def merge_neighbourhood_edges(found: DataFrame) -> DataFrame:
     )
 
 
-def neighbourhood_node_ids(found: DataFrame, seed_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``seed_id, id``: each seed and its neighbours that are nodes on display, once each."""
-    near = found.select("seed_id", F.col("other_id").alias("id")).distinct()
-    shown = skew_join(near, nodes.select("id"), "id", "left_semi")
-    return shown.unionByName(seed_nodes.select(F.col("id").alias("seed_id"), "id")).distinct()
+def neighbourhood_node_ids(
+    calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame, hubs: Hubs | None = None, sift: bool = True
+) -> DataFrame:
+    """``seed_id, id``: each seed and its neighbours among ``nodes``, once each; see :func:`neighbourhood_edges`.
+
+    Whether a neighbour is met again on another edge does not matter here, so nothing is rolled up per edge.
+    """
+    other = F.when(F.col("out"), F.col("target")).otherwise(F.col("source"))
+    near = _touching(calls, seed_nodes, endpoint_keys(nodes), hubs, sift).select("seed_id", other.alias("id"))
+    return near.unionByName(seed_nodes.select(F.col("id").alias("seed_id"), "id")).repartition("seed_id", "id").distinct()
+
+
+def neighbourhood_files(
+    calls: DataFrame, seed_nodes: DataFrame, nodes: DataFrame, hubs: Hubs | None = None, sift: bool = True
+) -> DataFrame:
+    """``seed_id, path``: files of the real nodes among each seed and its neighbours, once each.
+
+    Names bring the file of their node along, so that neighbours need not be brought together and looked up once more.
+    """
+    real = nodes.where(~F.col("is_virtual") & (F.col("file_path") != "")).select(F.col("id").alias("node_id"), F.col("file_path").alias("path"))
+    known = endpoint_keys(nodes).join(real, "node_id", "left").select("key", F.struct("node_id", "path").alias("node_id"))
+    path = F.when(F.col("out"), F.col("target.path")).otherwise(F.col("source.path"))
+    near = _touching(calls, seed_nodes, known, hubs, sift).select("seed_id", path.alias("path")).where("path IS NOT NULL")
+    own = seed_nodes.select(F.col("id").alias("node_id")).join(real, "node_id").select(F.col("node_id").alias("seed_id"), "path")
+    return near.unionByName(own).distinct()
 
 
 def khop_nodes(edges: DataFrame, seeds: DataFrame, k: int, checkpoint_every: int = 3) -> DataFrame:

@@ -284,18 +284,17 @@ oracle_view("ox_touched", """
     FROM m JOIN ox_node_keys a ON a.key = m.caller_id JOIN ox_node_keys b ON b.key = m.callee_id""")
 
 
-def _found(t: Tables):
+def _all_seeds(t: Tables):
+    """Calls, seeds and nodes; every node is a seed, so there is no call to sift out."""
     nodes = all_nodes(t)
-    seeds = nodes.select("id", "label")
-    return E.neighbourhood_edges(all_calls(t), seeds, nodes), seeds, nodes
+    return all_calls(t), nodes.select("id", "label"), nodes
 
 
 @query("neighbourhood", """
     SELECT seed_id, concat(source, '::', target) AS edge_id, source, target, count(*) AS call_count,
       bool_or(call_type = 'manual') AS is_manual FROM ox_touched GROUP BY seed_id, source, target""")
 def neighbourhood_edges(t):
-    found, _, _ = _found(t)
-    return E.merge_neighbourhood_edges(found)
+    return E.merge_neighbourhood_edges(E.neighbourhood_edges(*_all_seeds(t), sift=False))
 
 
 @query("neighbourhood_few_seeds", """
@@ -314,8 +313,8 @@ def neighbourhood_few_seeds(t):
       SELECT seed_id, CASE WHEN out THEN target ELSE source END AS id FROM ox_touched UNION SELECT id, id FROM ox_seeds) p
     JOIN ox_parented n ON n.id = p.id""")
 def neighbourhood_nodes(t):
-    found, seeds, nodes = _found(t)
-    near = E.neighbourhood_node_ids(found, seeds, nodes)
+    calls, seeds, nodes = _all_seeds(t)
+    near = E.neighbourhood_node_ids(calls, seeds, nodes, sift=False)
     rows = N.with_parents(nodes).select("id", "label", "type", "file_path", "parent_id")
     return E.skew_join(near, rows, "id").select("seed_id", "id", "label", "type", "file_path", "parent_id")
 
@@ -325,10 +324,7 @@ def neighbourhood_nodes(t):
       SELECT seed_id, CASE WHEN out THEN target ELSE source END AS id FROM ox_touched UNION SELECT id, id FROM ox_seeds) p
     JOIN ox_nodes n ON n.id = p.id AND NOT n.is_virtual JOIN ox_files f ON f.path = n.file_path""")
 def neighbourhood_files(t):
-    found, seeds, nodes = _found(t)
-    near = E.neighbourhood_node_ids(found, seeds, nodes)
-    rows = nodes.where(~F.col("is_virtual") & (F.col("file_path") != "")).select("id", F.col("file_path").alias("path"))
-    files = E.skew_join(near, rows, "id").select("seed_id", "path").distinct()
+    files = E.neighbourhood_files(*_all_seeds(t), sift=False)
     return files.select("seed_id", ids.path_id(F.col("path")).alias("id"), "path")
 
 

@@ -158,3 +158,40 @@ def test_neighbourhood_of_a_label_of_many_seeds_and_a_hub(spark):
                 want[key] = (n + 1, manual or kind == "manual")
     found = {(r.seed_id, r.source, r.target, r.other_id): (r.call_count, r.is_manual) for r in got.collect()}
     assert found == want and len(want) > 1000
+
+
+def test_neighbours_and_their_files_need_no_counts(spark):
+    nodes = [(f"n{k}", "same" if k % 3 == 0 else f"label{k % 40}" if k % 3 == 1 else f"n{k}", k % 5 == 0, "" if k % 7 == 0 else f"f{k % 4}") for k in range(60)]
+    calls = [("same", f"n{k % 60}", "direct") for k in range(70)] + [("n0", "same", None), ("same", "n3", "manual"), ("n0", "n0", "direct"), ("n5", "unknown", "direct")]
+    calls += [(f"n{k * 7 % 60}", f"label{k % 40}", "direct") for k in range(90)]
+    shown = spark.createDataFrame(nodes, "id string, label string, is_virtual boolean, file_path string")
+    table = spark.createDataFrame(calls, "caller_id string, callee_id string, call_type string")
+    meant = {key: n[0] for n in sorted(nodes, key=lambda n: (n[1], n[0])) for key in (n[1], n[0])}
+    file_of = {n[0]: n[3] for n in nodes if not n[2] and n[3]}
+    for seeds, sift in ((nodes, False), (nodes, True), (nodes[:4], True)):
+        want = {(n[0], n[0]) for n in seeds}
+        for seed, label, _, _ in seeds:
+            for caller, callee, _ in calls:
+                if caller in meant and callee in meant and {caller, callee} & {seed, label}:
+                    want.add((seed, meant[callee] if caller in (seed, label) else meant[caller]))
+        given = shown.where(shown.id.isin([n[0] for n in seeds])).select("id", "label")
+        found, files = E.neighbourhood_node_ids(table, given, shown, sift=sift), E.neighbourhood_files(table, given, shown, sift=sift)
+        assert rows(found, "seed_id", "id") == sorted(want, key=repr)
+        assert rows(files, "seed_id", "path") == sorted({(s, file_of[n]) for s, n in want if n in file_of}, key=repr)
+    edges = E.neighbourhood_edges(table, shown.select("id", "label"), shown, sift=False)
+    assert {r.is_manual for r in edges.where("seed_id = 'n0' and source = target").collect()} == {False}
+
+
+def test_neighbourhoods_deal_rows_of_seeds_out_once(spark):
+    """Rolled-up edges were dealt out, then neighbours twice more, and once more for their files."""
+    from codelattice.plans import load
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("neighbourhood", "neighbourhood_nodes", "neighbourhood_files"):
+            plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(seed_id#" in line and "_label#" not in line]
+            assert len(dealt) == 1, (name, dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
