@@ -46,11 +46,9 @@ def _enclosing(locations: DataFrame, ranges: DataFrame, hot_files=None) -> DataF
 
     ``ranges`` has ``file_path, start, stop`` (half open), ``rank`` (smaller is better) and ``id``.
     """
-    best = (
-        _tile_ranges(ranges)
-        .groupBy("file_path", "level", "block")
-        .agg(F.min(F.struct("rank", "id")).alias("best"))
-    )
+    # Equal ranges first come down to their best symbol, so that a task which reads many symbols does not sort all their blocks.
+    distinct = ranges.groupBy("file_path", "start", "stop").agg(F.min(F.struct("rank", "id")).alias("best"))
+    best = _tile_ranges(distinct).groupBy("file_path", "level", "block").agg(F.min("best").alias("best"))
     asked = locations.select("file_path", "line").where((F.col("file_path") != "") & (F.col("line") > 0)).distinct()
     keys = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn(
         "block", F.expr(f"shiftright(cast(line AS bigint), {BITS} * level)")

@@ -66,3 +66,23 @@ def test_sites_become_distinct_calls(frame):
     assert rows(L.sites_to_calls(sites, symbols), "*") == [("c", "t", "direct", "a.go", 7)]
     assert L.resolution_stats(L.resolve_sites(sites, symbols)).first().asDict() == {"pending": 3, "resolved": 2, "unresolved": 1}
     assert L.changed_sites_to_calls(sites, frame("id string", [("other",)]), symbols).count() == 0
+
+
+def test_equal_ranges_come_down_to_one_before_they_are_cut(spark, frame):
+    """Every symbol's range was cut into blocks, and a task sorted the blocks of all symbols it read."""
+    symbols = [(f"s{(k * 37) % 900:03d}", "f", 1 + k % 3, 30 if k % 2 else 0) for k in range(900)]
+    s, places = frame(SYMBOL, symbols), frame(PLACE, [("f", n) for n in range(1, 40)])
+    for rule, fn, ranges in (("nearest", L.locate_nearest, L.nearest_ranges), ("narrowest", L.locate_narrowest, L.narrowest_ranges)):
+        want = []
+        for n in range(1, 40):
+            found = [((-a,) if rule == "nearest" else (max(b, a) - a, a), i) for i, _, a, b in symbols if a <= n <= ((b or 2**31) if rule == "nearest" else max(b, a))]
+            want.append(("f", n, min(found)[1] if found else None))
+        assert rows(fn(places, s), "file_path", "line", "symbol_id") == sorted(want, key=repr)
+        cut = []
+        whole = L._tile_ranges
+        L._tile_ranges = lambda given: cut.append(given) or whole(given)
+        try:
+            L._enclosing(places, ranges(s))
+        finally:
+            L._tile_ranges = whole
+        assert cut[0].count() == cut[0].select("file_path", "start", "stop").distinct().count() < 10
