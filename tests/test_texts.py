@@ -1,8 +1,9 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
-from codelattice.functions import ids, paths, scoring, text
+from codelattice.functions import ids, paths, rules, scoring, text
 from codelattice.operators import masking as M
 from codelattice.operators import report
 from codelattice.operators import sessions as Z
@@ -274,3 +275,22 @@ def test_stored_units_are_not_broadcast(spark, tmp_path):
     files = Tables(spark, str(tmp_path)).wide("fx_chained_files")
     assert "Broadcast" not in _plan(M.changed_units(U.segment_units(files), U.segment_units(files)))
     assert "Broadcast" not in _plan(M.mask_changed_units(files, files)[0])
+
+
+def test_a_long_indent_is_gone_through_once(spark):
+    """A line that is no unit is not tried anew for each blank before it."""
+    line = " " * 30_000 + "client.send(order);"
+    code = "class A {\n  void run() {\n" + f"{line}\n" * 40 + "  }\n}\n"
+    files = spark.createDataFrame([("A.java", "java", code), ("B.java", "java", "class B {\n" + f"{line}\n" * 40 + "}\n")], FILES)
+    start = time.monotonic()
+    assert U.call_candidates(files).where("receiver = 'client' and method = 'send' and caller = 'run'").count() == 40
+    assert rows(U.without_units(files), "file_path") == [("B.java",)]
+    assert time.monotonic() - start < 40
+
+
+def test_words_tried_once_find_the_same_calls(spark):
+    found = []
+    for code in ("a.b.c (x), new  T(y) X::m new(z) xnew Foo(", "éfoo(1) _a1.b(2) a .b(3) a.(4) this (5) super.x(6)", "X::m::n(a::b(c)) renew New(a) new X::new(", "a..b(c) 1.2.f(x) new\tK.L(m)"):
+        df = spark.createDataFrame([(code,)], "code string")
+        found.append(df.select(*[F.regexp_extract_all("code", F.lit(p), F.lit(0)) for p in (rules.CALL, rules.FAST_CALL)]).first())
+    assert all(slow == fast and slow for slow, fast in found)
