@@ -2,6 +2,7 @@
 
 import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from codelattice.sources import versioned
@@ -48,6 +49,26 @@ def test_steps_that_may_not_follow_are_refused(spark, tmp_path):
     assert out.where("accepted").count() == 9
 
 
+def test_a_batch_of_a_file_asks_for_its_state_once():
+    """Each question goes to another process, and so does each frame; rows are taken and given as they are."""
+    asked = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def __getattr__(self, call):
+            return lambda *given: asked.append((call, *given))
+
+    queue = stateful.Queue(60_000)
+    queue.init(Handle())
+    events = [Row(event_id=n, ts=ts, event=event, file_path="a.go") for n, ts, event in (
+        (3, _at(3), "saved"), (None, _at(4), "saved"), (1, _at(1), "saved"), (2, _at(2), "taken"))]
+    due = 1_704_067_200_000 + 3_000 + 60_000
+    assert list(map(tuple, queue.handleInputRows(("a.go",), iter(events), None))) == [("a.go", _at(1), 1), ("a.go", _at(3), 3)]
+    assert asked == [("get",), ("update", (due,)), ("registerTimer", due)]
+
+
 UNITS = "file_path string, file_hash string, id string, kind string, body_hash string, line int, end_line int, seq bigint, sites array<struct<callee_file:string,callee_line:int,line:int>>"
 
 
