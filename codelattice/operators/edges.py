@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codelattice.functions import ids
 from codelattice.operators.nodes import text_or_empty
 from codelattice.operators.skew import HOT_SHARE, skew_join
-from codelattice.session import cut_lineage
+from codelattice.session import cut_lineage, stored
 
 
 def endpoint_keys(nodes: DataFrame, directories: DataFrame | None = None) -> DataFrame:
@@ -61,10 +61,10 @@ def call_pairs(calls: DataFrame) -> DataFrame:
     )
 
 
-def counted(calls: DataFrame) -> tuple[DataFrame, Hubs]:
+def counted(calls: DataFrame, share: float = HOT_SHARE) -> tuple[DataFrame, Hubs]:
     """Counted pairs, written once, and their hubs."""
     pairs = cut_lineage(call_pairs(calls))
-    return pairs, find_hubs(pairs)
+    return pairs, find_hubs(pairs, share)
 
 
 def resolve_endpoints(pairs: DataFrame, keys: DataFrame, hot: Hubs | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def neighbourhood_files(
 
 def khop_nodes(edges: DataFrame, seeds: DataFrame, k: int, checkpoint_every: int = 3) -> DataFrame:
     """``id, hop``: nodes within ``k`` undirected steps of the seeds and the least number of steps."""
-    adjacency = both_ways(edges, "source", "target").toDF("id", "other").distinct()
+    adjacency = both_ways(edges, "source", "target").toDF("id", "other")  # what a step reaches is made distinct, so equal edges do no harm
     reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, k + 1):
@@ -220,6 +220,8 @@ def khop_nodes(edges: DataFrame, seeds: DataFrame, k: int, checkpoint_every: int
             step.select(F.col("other").alias("id")).distinct()
             .join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
         )
+        if hop < k:
+            frontier = stored(frontier)  # read by the next step, to leave out what is known, and in the result
         reached = reached.unionByName(frontier)
         if hop % checkpoint_every == 0 and hop < k:
             reached = cut_lineage(reached)

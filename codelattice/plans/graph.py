@@ -207,9 +207,8 @@ def edge_rollup(t):
 @query("edge_rollup_hubs", "SELECT * FROM ox_edges")
 def edge_rollup_hubs(t):
     """The roll-up with every name that has one pair in 200 spread over tasks."""
-    pairs = E.call_pairs(all_calls(t))
-    keys = E.endpoint_keys(all_nodes(t), t.fx_virtual_directories)
-    return E.roll_up(pairs, keys, hot=E.find_hubs(pairs, share=1 / 200))
+    pairs, hubs = E.counted(all_calls(t), share=1 / 200)
+    return E.roll_up(pairs, E.endpoint_keys(all_nodes(t), t.fx_virtual_directories), hot=hubs)
 
 
 @query("annotate_edges", """

@@ -195,3 +195,28 @@ def test_neighbourhoods_deal_rows_of_seeds_out_once(spark):
             assert len(dealt) == 1, (name, dealt)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _looked(spark, df, column):
+    """``df`` whose ``column`` goes by way of Python, and the number of rows that did."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(look, "string").asNondeterministic()(column)), seen
+
+
+def test_hubs_of_any_share_are_looked_for_in_written_pairs(spark):
+    pairs = [("hub", f"n{k}") for k in range(40)] + [(f"n{k}", "end") for k in range(20)]
+    calls, seen = _looked(spark, spark.createDataFrame([(a, b, "direct") for a, b in pairs], "caller_id string, callee_id string, call_type string"), "callee_id")
+    got, hubs = E.counted(calls, share=1 / 2)
+    assert (list(hubs.callers), list(hubs.callees), got.count(), seen.value) == (["hub"], [], 60, 60)
+
+
+def test_a_step_reads_the_edges_once(spark):
+    edges, seen = _looked(spark, spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(50)] * 2, "source string, target string"), "target")
+    found = E.khop_nodes(edges, spark.createDataFrame([("n7",)], "id string"), 3)
+    assert rows(found, "id", "hop") == sorted((f"n{7 + d}", abs(d)) for d in range(-3, 4))
+    assert seen.value <= 3 * 100
