@@ -139,9 +139,12 @@ def restore(
     annotations: DataFrame,
     edge_annotations: DataFrame,
     now: int = 0,
+    back: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """New overlay tables after loading the given snapshots, in order of snapshot id.
 
+    ``back`` is what :func:`restorable_edges` gives; remarks and calls both read it, so who needs both may store it first.
+
     A planned node comes back unbuilt, without a folder, and keeps its class only if that is in the
     snapshot. Notes go to planned nodes and to symbols that still exist. Other stored columns stay as they
     are; what is written carries the time ``now``.
@@ -163,7 +166,7 @@ def restore(
         F.max_by(F.struct(text_or_empty("description").alias("description"), text_or_empty("ai_remarks").alias("ai_remarks")), _load_order()).alias("r")
     ).select("node_id", "r.*")
 
-    back = restorable_edges(nodes, edges, symbols)
+    back = restorable_edges(nodes, edges, symbols) if back is None else back
     remarks = back.where(text_or_empty("remarks") != "").groupBy(
         ids.edge_id(F.col("source_id"), F.col("target_id")).alias("edge_id"), "source_id", "target_id"
     ).agg(F.max_by("remarks", F.struct("snapshot_id", "seq")).alias("remarks"))

@@ -11,7 +11,7 @@ from codelattice.operators import nodes as N
 from codelattice.operators import snapshot as S
 from codelattice.plans.graph import BASENAME, all_edges, all_nodes
 from codelattice.plans.registry import oracle_view, query
-from codelattice.session import cut_lineage
+from codelattice.session import cut_lineage, stored
 
 BACKED = "NOT (type IN ('directory', 'file') OR (type IN ('class', 'interface') AND file_path <> '' AND line = 0))"
 
@@ -71,13 +71,13 @@ def snapshot_counts(t):
 NOW = 1_700_000_000
 
 
-def _restored(t):
+def _restored(t, back=None):
     # Some planned nodes and notes exist already.
     have = t.fx_snapshot_nodes.where("is_virtual AND seq % 4 = 0").select(
         "id", F.lit("older").alias("label"), "type", F.lit("k").alias("virtual_class_id"), F.lit("x").alias("virtual_directory"), F.lit(1).alias("materialized"))
     virtual = t.fx_virtual_nodes.select(*have.columns, "created_at").unionByName(have.withColumn("created_at", F.lit(None).cast("bigint")))
     notes = t.fx_node_annotations.withColumn("code_snippet", F.concat(F.lit("code of "), "node_id")).withColumn("created_at", F.col("updated_at") - 1)
-    return S.restore(t.fx_snapshot_nodes, t.fx_snapshot_edges, t.fx_symbols, t.fx_method_calls, virtual, notes, t.fx_edge_annotations, now=NOW)
+    return S.restore(t.fx_snapshot_nodes, t.fx_snapshot_edges, t.fx_symbols, t.fx_method_calls, virtual, notes, t.fx_edge_annotations, now=NOW, back=back)
 
 
 @query("snapshot_restore", """
@@ -113,7 +113,7 @@ def snapshot_restore_annotations(t):
         arg_max(remarks, concat(snapshot_id, chr(1), lpad(cast(seq AS string), 12, '0'))) AS remarks
       FROM ox_sn_restorable WHERE remarks <> '' GROUP BY 1) r ON r.edge_id = a.edge_id""")
 def snapshot_restore_edges(t):
-    out = _restored(t)
+    out = _restored(t, stored(S.restorable_edges(t.fx_snapshot_nodes, t.fx_snapshot_edges, t.fx_symbols)))
     calls = out["method_calls"].groupBy(ids.edge_id(F.col("caller_id"), F.col("callee_id")).alias("edge_id")).agg(F.count(F.lit(1)).alias("n"))
     return calls.select(F.lit("call").alias("part"), "edge_id", "n", F.lit("").alias("remarks")).unionByName(
         out["edge_annotations"].select(F.lit("remark").alias("part"), "edge_id", F.col("call_count").cast("bigint").alias("n"), "remarks"))
