@@ -234,11 +234,40 @@ def _planned_lines(tree: DataFrame, related: DataFrame) -> list[DataFrame]:
 
 
 LINE_ORDER = ["section", "order", "step", "line"]
+FIXED_LINES, NODE_LINES = 30, 11  # at most, of a report without nodes and edges, and of a node without its edges
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """``snapshot_id, line_no, kind, line``: the reports' lines, counted from 1 in each snapshot."""
-    return numbered(lines, ["snapshot_id"], LINE_ORDER, "line_no").select("snapshot_id", "line_no", "kind", "line")
+def most_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``snapshot_id, most``: a snapshot's report (:func:`report_lines`) has at most that many lines, told by its rows alone."""
+    copies = nodes.where("is_virtual").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).groupBy("snapshot_id").agg(F.max("_n").alias("_copies"))
+    kinds = nodes.select("snapshot_id", F.lit(1).alias("_node"), F.lit(0).alias("_edge")).unionByName(
+        edges.select("snapshot_id", F.lit(0).alias("_node"), F.lit(1).alias("_edge")))
+    rows = kinds.groupBy("snapshot_id").agg(F.sum("_node").alias("_nodes"), F.sum("_edge").alias("_edges")).join(copies, "snapshot_id", "left")
+    related = 2 * F.coalesce("_copies", F.lit(0))  # an edge is listed at each row that has the id of one of its ends
+    return rows.select("snapshot_id", (FIXED_LINES + NODE_LINES * F.col("_nodes") + (1 + related) * F.col("_edges")).alias("most"))
+
+
+def numbered_lines(lines: DataFrame, most: DataFrame | None = None, whole: int = CHUNK) -> DataFrame:
+    """``snapshot_id, line_no, kind, line``: the reports' lines, counted from 1 in each snapshot.
+
+    ``most`` (:func:`most_lines`) bounds the lines of each snapshot. Those of at most ``whole`` lines are sorted by one task
+    each; only the lines of larger ones, and all without ``most``, are dealt by ranges, for which they are made twice.
+    """
+    columns = ["snapshot_id", "line_no", "kind", "line"]
+
+    def ranged(some: DataFrame) -> DataFrame:
+        return numbered(some, ["snapshot_id"], LINE_ORDER, "line_no").select(*columns)
+
+    def sorted_whole(some: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(*LINE_ORDER))
+        return some.select("snapshot_id", place.cast("bigint").alias("line_no"), "kind", "line")
+
+    if most is None:
+        return ranged(lines)
+    large = stored(most.where(F.col("most") > whole).select("snapshot_id"))
+    if large.isEmpty():
+        return sorted_whole(lines)
+    return sorted_whole(lines.join(large, "snapshot_id", "left_anti")).unionByName(ranged(lines.join(large, "snapshot_id", "left_semi")))
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -201,6 +201,13 @@ def snapshot_tree(t):
 oracle_view("ox_sn_label", "SELECT snapshot_id, id, arg_max(label, concat(CASE WHEN is_virtual THEN '0' ELSE '1' END, lpad(cast(seq AS string), 12, '0'))) AS label FROM fx_snapshot_nodes GROUP BY 1, 2")
 
 
+def _reported(t):
+    """Lines of all reports, and how many each has at most; reports go through nodes and edges again and again, so the views are worked out once."""
+    nodes, edges = stored(t.fx_snapshot_nodes), stored(t.fx_snapshot_edges)
+    snapshots = nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
+    return report.report_lines(snapshots, nodes, edges), report.most_lines(nodes, edges)
+
+
 @query("snapshot_report", """
     SELECT e.snapshot_id, 'relation' AS kind, concat('- `', coalesce(nullif(a.label, ''), e.source_id), '` → `', coalesce(nullif(b.label, ''), e.target_id), '`',
       CASE WHEN sv.id IS NOT NULL AND tv.id IS NOT NULL THEN ' (virtual → virtual)' WHEN sv.id IS NOT NULL THEN ' (virtual → context)'
@@ -213,8 +220,7 @@ oracle_view("ox_sn_label", "SELECT snapshot_id, id, arg_max(label, concat(CASE W
       CASE WHEN description <> '' THEN concat(': ', description) ELSE '' END) FROM fx_snapshot_nodes WHERE NOT is_virtual
     UNION ALL SELECT DISTINCT snapshot_id, 'file', concat('**File:** `', CASE WHEN file_path = '' THEN '(no file)' ELSE file_path END, '`') FROM fx_snapshot_nodes WHERE NOT is_virtual""")
 def snapshot_report(t):
-    snapshots = t.fx_snapshot_nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
-    lines = report.report_lines(snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
+    lines = _reported(t)[0]
     return lines.where(F.col("kind").isin("relation", "context", "file")).select("snapshot_id", "kind", "line")
 
 
@@ -224,8 +230,7 @@ def snapshot_report(t):
     FROM (SELECT n.snapshot_id, count(*) FILTER (WHERE is_virtual) AS v, count(*) FILTER (WHERE NOT is_virtual) AS c,
       (SELECT count(*) FROM fx_snapshot_edges e WHERE e.snapshot_id = n.snapshot_id) AS e FROM fx_snapshot_nodes n GROUP BY n.snapshot_id) x""")
 def snapshot_report_outline(t):
-    snapshots = t.fx_snapshot_nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
-    lines = report.report_lines(snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
+    lines = _reported(t)[0]
     return lines.where(F.col("kind") == "summary").select("snapshot_id", "line")
 
 
@@ -293,6 +298,5 @@ _WALKED = "\n    UNION ALL ".join(f"SELECT snapshot_id, 2, k, {step}, {text} FRO
     SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY section, k, step, line) AS line_no, line FROM all_lines""")
 def snapshot_report_lines(t):
     """All lines of all reports, in order."""
-    snapshots = t.fx_snapshot_nodes.select(F.col("snapshot_id").alias("id")).distinct().withColumn("name", F.lit(""))
-    lines = report.report_lines(snapshots, t.fx_snapshot_nodes, t.fx_snapshot_edges)
-    return report.numbered_lines(lines).select("snapshot_id", "line_no", "line")
+    lines, most = _reported(t)
+    return report.numbered_lines(lines, most).select("snapshot_id", "line_no", "line")
