@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import span_hashes, text_chunks, word_spans, written
+from codelattice.llm.common import SMALL_CHUNK, span_hashes, text_chunks, word_spans, written
 from codelattice.llm.subwords import Lookup, by_length, edges, rank_probabilities, read_pieces, utf8_sizes
 from codelattice.llm.tokens import _ASCII_LOWER, NOT_SPACE
 
@@ -26,6 +26,7 @@ ROUNDS = 3
 SMOOTHING = 0.1  # added to the expected count of each piece
 FREQUENT = 1_000_000  # words with more than this part of all tokens are sent to every task, so at most that many are
 WORDS_AT_ONCE = 100_000  # rows of the word table that one pass works on
+EDGE_CELLS = 1 << 17  # characters whose edges are kept at once
 COMPONENTS = 8  # languages with weights of their own, by number of documents; the others share one set
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.7, 0.95)  # tried for the lattice
 
@@ -89,7 +90,7 @@ def _add(total: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
 def marginals(lookup: Lookup, logs: np.ndarray, words: list[str]) -> np.ndarray:
     """Natural logarithm of each word's probability over all its spellings, one column for each column of ``logs``."""
     out = np.zeros((len(words), logs.shape[1]))
-    for where, codes in by_length(words):
+    for where, codes in by_length(words, EDGE_CELLS):
         width = codes.shape[1]
         forward = np.full((width + 1, len(codes), logs.shape[1]), -np.inf)
         forward[0] = 0
@@ -104,29 +105,38 @@ def marginals(lookup: Lookup, logs: np.ndarray, words: list[str]) -> np.ndarray:
     return out
 
 
-def expected_counts(lookup: Lookup, logs: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in ``words``, weighted with their ``counts``, by forward and backward sums."""
-    total = np.zeros(lookup.size + 1)
-    for where, codes in by_length(words):
+def expected_counts(lookup: Lookup, logs: np.ndarray, words: list[str], counts: np.ndarray, component: np.ndarray | None = None) -> np.ndarray:
+    """How often each piece is expected in ``words``, weighted with their ``counts``, by forward and backward sums.
+
+    With ``component`` ``logs`` has a column for each component and so has the result; each word is spelled with its own component's.
+    """
+    if component is None:
+        return expected_counts(lookup, logs[:, None], words, counts, np.zeros(len(words), np.int64))[:, 0]
+    kinds = logs.shape[1]
+    flat = np.ascontiguousarray(logs).ravel()
+    total = np.zeros((lookup.size + 1) * kinds)
+    for where, codes in by_length(words, EDGE_CELLS):
         width = codes.shape[1]
-        sizes = utf8_sizes(codes)
-        forward = np.full((len(codes), width + 1), -np.inf)
-        forward[:, 0] = 0
-        backward = np.full((len(codes), width + 1), -np.inf)
-        backward[:, width] = 0
+        sizes, own, n = utf8_sizes(codes), component[where], counts[where]
+        forward = np.full((width + 1, len(codes)), -np.inf)
+        forward[0] = 0
+        backward = np.full((width + 1, len(codes)), -np.inf)
+        backward[width] = 0
         kept = []
         for begin, end, rows, numbers in edges(lookup, codes):
             times = np.where(numbers == lookup.size, sizes[rows, begin], 1)
-            weight = logs[numbers] * times
-            _add(forward[:, end], rows, forward[rows, begin] + weight)
-            kept.append((begin, end, rows, numbers, times, weight))
+            spot = numbers * kinds + own[rows]
+            weight = flat[spot] * times
+            _add(forward[end], rows, forward[begin, rows] + weight)
+            kept.append((begin, end, rows, spot, times, weight))
         for begin, end, rows, _, _, weight in sorted(kept, key=lambda e: -e[1]):
-            _add(backward[:, begin], rows, backward[rows, end] + weight)
-        n = counts[where]
-        for begin, end, rows, numbers, times, weight in kept:
-            share = np.exp(forward[rows, begin] + weight + backward[rows, end] - forward[rows, width])
-            total += np.bincount(numbers, share * n[rows] * times, minlength=lookup.size + 1)
-    return total
+            _add(backward[begin], rows, backward[end, rows] + weight)
+        spots, shares = [], []
+        for begin, end, rows, spot, times, weight in kept:
+            spots.append(spot)
+            shares.append(np.exp(forward[begin, rows] + weight + backward[end, rows] - forward[width, rows]) * n[rows] * times)
+        total += np.bincount(np.concatenate(spots), np.concatenate(shares), minlength=len(total))
+    return total.reshape(-1, kinds)
 
 
 def spelled(logs: np.ndarray) -> np.ndarray:
@@ -142,15 +152,15 @@ def fit(words: DataFrame, components: int, vocabulary: str, rounds: int = ROUNDS
     Each round sends the weights, a number for each piece and component, to the tasks and adds up what they expect.
     """
     pieces, scores = read_pieces(vocabulary)
+    lookup = Lookup(pieces)
     logs = np.repeat(rank_probabilities(scores)[:, None], components, axis=1)
     for _ in range(rounds):
 
         def expect(frames: Iterator[pd.DataFrame], logs: np.ndarray = spelled(logs)) -> Iterator[pd.DataFrame]:
-            lookup, total = Lookup(pieces), np.zeros((len(pieces) + 1, components))
+            total = np.zeros((len(pieces) + 1, components))
             for frame in _bulk(frames):
-                for k in range(components):
-                    own = frame["word"][frame[f"c{k}"] > 0].tolist()
-                    total[:, k] += expected_counts(lookup, logs[:, k], own, np.ones(len(own)))
+                seen, component = np.nonzero(frame[[f"c{k}" for k in range(components)]].to_numpy() > 0)
+                total += expected_counts(lookup, logs, frame["word"].to_numpy()[seen].tolist(), np.ones(len(seen)), component)
             piece, k = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "component": k, "n": total[piece, k]})
 
@@ -165,12 +175,11 @@ def fit(words: DataFrame, components: int, vocabulary: str, rounds: int = ROUNDS
 def with_lattice(words: DataFrame, components: int, vocabulary: str, logs: np.ndarray) -> DataFrame:
     """``words`` with ``l0``, ``l1`` …: each word's lattice probability under each component, in logarithms."""
     pieces, _ = read_pieces(vocabulary)
-    logs = spelled(logs)
+    lookup, logs = Lookup(pieces), spelled(logs)
     names = [f"l{k}" for k in range(components)]
     counts = [f"c{k}" for k in range(components)]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = Lookup(pieces)
         for frame in _bulk(frames):
             out = frame[["hash", *counts]].copy()
             out[names] = marginals(lookup, logs, frame["word"].tolist())
@@ -201,7 +210,7 @@ def _per_document(frequent: np.ndarray, values: np.ndarray):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, offsets in text_chunks(batch.column(2)):
+            for lo, hi, raw, offsets in text_chunks(batch.column(2), SMALL_CHUNK):
                 _, _, _, first, hashes = _words(raw, offsets)
                 spot = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
                 often = frequent[spot] == hashes if len(frequent) else np.zeros(len(hashes), bool)
@@ -226,7 +235,7 @@ def _other_words(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, raw, offsets in text_chunks(batch.column(2)):
+            for lo, hi, raw, offsets in text_chunks(batch.column(2), SMALL_CHUNK):
                 _, _, _, first, hashes = _words(raw, offsets)
                 text = np.repeat(np.arange(hi - lo), np.diff(first))
                 if len(frequent) and len(hashes):

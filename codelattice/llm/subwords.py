@@ -73,8 +73,8 @@ def utf8_sizes(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(positions, codes)``: words of one length at a time, with the start mark, one row per word."""
+def by_length(words: list[str], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(positions, codes)``: words of one length at a time, with the start mark, one row per word; some ``cells`` characters each."""
     lengths = np.array([len(w) for w in words], np.int64)
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
@@ -82,7 +82,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(group):
             continue
         n = int(lengths[group[0]])
-        step = max(1, CELLS // (n + 1))
+        step = max(1, cells // (n + 1))
         for at in range(0, len(group), step):
             part = group[at : at + step]
             codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)

@@ -239,6 +239,21 @@ def _base(rows, held):
     return n, {(d, t): (len(tokens(t)), sum(w in counts for w in tokens(t)), sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) for d, t in rows}
 
 
+def test_all_components_are_fitted_in_one_pass():
+    """op4's time: each component had a pass of its own over each batch of words."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bab"]
+    lookup = subwords.Lookup(pieces)
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(len(pieces) + 1), 3).T)
+    words = ["ab", "bab", "aéb", "abab", "b", "ab", "baba", "x" * 40]
+    component = np.array([0, 1, 2, 0, 1, 2, 2, 1])
+    counts = np.arange(1.0, len(words) + 1)
+    got = lattice.expected_counts(lookup, logs, words, counts, component)
+    for k in range(3):
+        own = np.flatnonzero(component == k)
+        assert np.allclose(got[:, k], lattice.expected_counts(lookup, logs[:, k], [words[i] for i in own], counts[own]))
+    assert len(list(subwords.by_length(["ab"] * 10, 9))) == 4  # three words of three characters at a time
+
+
 def test_lattice_scores(spark, messy, nothing):
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     docs = messy.where("doc_id is not null")
