@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,9 @@ FLUSH_BYTES = 1 << 22  # bytes of bands among which a worker looks for equal one
 BUCKET_BYTES = 1 << 20  # bytes of bands that are merged together; the more, the slower each byte
 TASK_BYTES = 1 << 24  # bytes of bands that come to a task, which merges them bucket by bucket
 SHARD_BYTES = 1 << 18
+GATHER_BYTES = 1 << 17  # bytes copied together, each of which has an index of 8 bytes
+READ_BYTES = 1 << 22  # bytes of rows that a worker gets at once
+ROWS_AT_ONCE = 256  # texts whose ranges are Python objects together
 SEEN_BITS = 1 << 27  # of the set of anchors that occur more than once
 HOT = 4096  # bands of one core, beyond which they are cut into narrower ones
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -353,6 +355,21 @@ def bands_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.nd
     return piece, mixed(whole + mixed(number.astype(np.uint64) + np.uint64(1))), content, first, end, core
 
 
+def gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all spans of ``data``, one behind the other; the indices are made for ``GATHER_BYTES`` or a span at a time."""
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    lo = 0
+    while lo < len(size):
+        begin = int(end[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, begin + GATHER_BYTES, side="right")))
+        stop = int(end[hi - 1])
+        shift = first[lo:hi] - (end[lo:hi] - size[lo:hi])
+        out[begin:stop] = data[np.arange(begin, stop) + np.repeat(shift, size[lo:hi])]
+        lo = hi
+    return out
+
+
 class _Combiner:
     """Bands of a task, gathered until there are ``FLUSH_BYTES``; of equal ones the oldest goes on, the others are ranges already."""
 
@@ -363,7 +380,7 @@ class _Combiner:
         size = end - first
         total = int(size.sum())
         before = np.cumsum(size) - size
-        self.texts.append(data[np.arange(total) + np.repeat(first - before, size)])
+        self.texts.append(gathered(data, first, size))
         self.parts.append((core.view(np.int64), content.view(np.int64), doc, row, start, size, place, before + self.size))
         self.size += total
 
@@ -380,7 +397,7 @@ class _Combiner:
         core, content, doc, row, start, size, place, at, new = (x[kept] for x in (core, content, doc, row, start, size, place, at, new))
         held = np.where(new, size, 0)
         offsets = np.concatenate([[0], np.cumsum(held)])
-        text = text[np.arange(offsets[-1]) + np.repeat(at - offsets[:-1], held)]
+        text = gathered(text, at, held)
         binary = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
         return pa.RecordBatch.from_arrays(
             [pa.array(~new), *(pa.array(x) for x in (core, content, doc, row, start)), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), binary],
@@ -449,8 +466,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
     docs = docs.select("doc_id", "row", "text")
     anchors = docs.mapInArrow(_counted(length, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    seen = seen_of(written(anchors.where("n > 1").select("anchor")))
-    found = written(docs.mapInArrow(_anchored(length, gram, seen), _PIECES))
+    seen = seen_of(written(anchors.where("n > 1").select("anchor"), READ_BYTES))
+    found = written(docs.mapInArrow(_anchored(length, gram, seen), _PIECES), READ_BYTES)
     key = ["anchor", "content", "length"]
     # equal pieces are counted before they move
     contents = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "start", "place")).alias("oldest"))
@@ -464,7 +481,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     several = known.where(F.col("kinds") > 1).select("length", "oldest.*")
     wanted = several.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length", "place")).alias("wanted"))  # at most its pieces per document
     texts = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
-    cut = written(texts.mapInArrow(_cut_texts(length, BANDS[0]), _BANDS))
+    cut = written(texts.mapInArrow(_cut_texts(length, BANDS[0]), _BANDS), READ_BYTES)
     for narrower in (*BANDS[1:], None):
         ranges = ranges.unionByName(cut.where("again").select("doc_id", "row", "start", (F.col("start") + F.col("size")).alias("end")))
         bands = cut.where("not again").drop("again")
@@ -487,13 +504,19 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     id are documents of their own, in the order of a hash of the text (``row``). Rows without an id have no place in the
     order, are not searched and lose nothing. Nor do texts shorter than ``length`` bytes. Further columns are ignored.
     """
+    return _cut_out(docs, length, pa.binary())
+
+
+def _cut_out(docs: DataFrame, length: int, kept_type: pa.DataType) -> DataFrame:
+    """As :func:`deduplicated`; as text, ``kept`` is without bytes that no longer form a character."""
+    as_text = pa.types.is_string(kept_type)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(text).alias("row"), text.alias("text"))
     found = repeats(texts.where("doc_id is not null"), length)
     ranges = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             sizes, removed, kept = [], [], []
             for text, spans in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 raw = text.encode()
@@ -509,12 +532,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = b
                 sizes.append(len(raw))
                 removed.append([{"start": a, "end": b} for a, b in joined])
-                kept.append(b"".join([*left, raw[at:]]))
+                rest = b"".join([*left, raw[at:]])
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, kept_type)],
                 ["doc_id", "row", "n_bytes", "removed", "kept"])
 
-    schema = "doc_id long, row long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+    schema = f"doc_id long, row long, n_bytes long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}"
     return texts.join(ranges, ["doc_id", "row"], "left").select("doc_id", "row", "text", "ranges").mapInArrow(cut, schema)
 
 
@@ -531,12 +555,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Each text loses its own ranges, also where it shares its id with another. Other columns stay as they are.
     """
     name, row = fresh("_kept", docs), fresh("_row", docs)
-    changed = deduplicated(docs, length).where(F.size("removed") > 0)
+    changed = _cut_out(docs, length, pa.string()).where(F.size("removed") > 0)
     left = changed.select("doc_id", F.col("row").alias(row), F.col("kept").alias(name)).dropDuplicates(["doc_id", row])
     named = docs.withColumn(row, row_of(F.col("text").cast("string")))
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-    return named.join(left, ["doc_id", row], "left").withColumn("text", F.when(F.col(name).isNotNull(), text_of(name)).otherwise(F.col("text"))).select(*docs.columns)
+    return named.join(left, ["doc_id", row], "left").withColumn("text", F.coalesce(F.col(name), F.col("text"))).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import LOWER, mixed, rows_or_empty, span_hashes, text_chunks, window_hashes, word_spans, written
+from codelattice.llm.common import LOWER, SMALL_CHUNK, mixed, rows_or_empty, span_hashes, text_chunks, window_hashes, word_spans, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -92,7 +92,7 @@ def children_of(key: int, tokens: np.ndarray, mean: float) -> np.ndarray:
 def _sets_of(words: int, similarity: float, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in text_chunks(batch.column(1), SMALL_CHUNK):
                 size, low, high, sketch, paths = [], [], [], [], []
                 for k, tokens in enumerate(shingles(data, offsets, words)):
                     size.append(len(tokens))
@@ -121,7 +121,7 @@ def _go_on(words: int, mean: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(0)):
+            for lo, hi, data, offsets in text_chunks(batch.column(0), SMALL_CHUNK):
                 row, roots, keys = [], [], []
                 for k, (tokens, open_paths) in enumerate(zip(shingles(data, offsets, words), batch.column(4).slice(lo, hi - lo).to_pylist(), strict=True)):
                     for path in open_paths:

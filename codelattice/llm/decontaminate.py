@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import LOWER, fresh, span_hashes, text_chunks, window_hashes, window_ok, word_spans
+from codelattice.llm.common import LOWER, SMALL_CHUNK, fresh, span_hashes, text_chunks, window_hashes, window_ok, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32_000_000  # benchmark text that one broadcast holds; larger benchmarks go in several passes
@@ -85,7 +85,7 @@ def _scan_batches(windows: Windows):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, raw, offsets in text_chunks(batch.column(1)):
+            for lo, hi, raw, offsets in text_chunks(batch.column(1), SMALL_CHUNK):
                 data = LOWER[raw]
                 starts, ends, first = word_spans(data, offsets)
                 hit = np.zeros(len(starts) + 1, np.int64)

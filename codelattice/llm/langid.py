@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in text_chunks(texts, 1 << 19):
+            for lo, hi, data, offsets in text_chunks(texts, 1 << 17):
                 part = texts.slice(lo, hi - lo).to_pylist()
                 known = np.array([t is not None and model is not None and _LETTER.search(t) is not None for t in part], bool)
                 if model is None:
@@ -184,7 +184,7 @@ def in_a_language(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
         out = []
-        for _, _, data, offsets in text_chunks(texts, 1 << 19):
+        for _, _, data, offsets in text_chunks(texts, 1 << 17):
             share, (_, _, close) = lettered(data, offsets), model.decode(model.margins(data, offsets))
             out.append(share >= np.where(close, 2 * floor, floor))
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))

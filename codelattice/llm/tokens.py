@@ -10,7 +10,7 @@ import numpy as np
 
 from codelattice.llm.common import span_hashes, word_spans
 
-CACHE_WORDS = 1_000_000  # words that a worker remembers; beyond that it starts anew
+CACHE_WORDS = 250_000  # words that a worker remembers; beyond that it starts anew
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
