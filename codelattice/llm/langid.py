@@ -13,15 +13,17 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.common import LOWER, fresh, text_chunks
 
-SAMPLE_ROWS = 400  # labelled rows of each language that the classifiers are fitted on
-SAMPLE_CHARS = 20_000  # longer texts are not chosen for the fit
 BUCKETS = 1 << 16
+BLOCK = 1 << 10  # buckets whose counts go in one row from a task to where they are summed
+HELD = 32  # languages whose counts a task holds before it hands them on
+TALLIES = "lang string, block int, counts binary"
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 7  # languages up to which all ways to split them in two are bits
 MARGIN = 0.02  # least gap between the two best codewords, as probability
@@ -109,15 +111,21 @@ class Model:
         return best, top, top - second < self.margin
 
 
-def fit(rows: list[tuple[str, str]], margin: float = MARGIN) -> Model:
-    """Classifiers of all bits from ``(text, language)`` rows: smoothed log ratios of n-gram frequencies."""
-    languages = sorted({lang for _, lang in rows})
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams of ``texts`` each bucket has, and how many texts each share of letters, in steps of 1 / 65,535."""
+    hits, shares = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for _, _, data, offsets in text_chunks(texts, 1 << 17):
+        for h, ok in grams(data, offsets):
+            hits += np.bincount(h[ok], minlength=BUCKETS)
+        shares += np.bincount(np.rint(lettered(data, offsets) * (BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return hits, shares
+
+
+def fitted(hits: dict[str, np.ndarray], shares: np.ndarray, margin: float = MARGIN) -> Model:
+    """Classifiers of all bits from the counts of each language: smoothed log ratios of n-gram frequencies."""
+    languages = sorted(hits)
     codes = codewords(len(languages))
-    counts = np.zeros((len(languages), BUCKETS))
-    for k, lang in enumerate(languages):
-        for _, _, data, offsets in text_chunks(pa.array([t for t, x in rows if x == lang], pa.string())):
-            for h, ok in grams(data, offsets):
-                counts[k] += np.bincount(h[ok], minlength=BUCKETS)
+    counts = np.array([hits[lang] for lang in languages], float).reshape(len(languages), BUCKETS)
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)  # each language weighs the same
     weights = np.zeros((BUCKETS, codes.shape[1]), np.float32)
     for b in range(codes.shape[1]):
@@ -126,25 +134,69 @@ def fit(rows: list[tuple[str, str]], margin: float = MARGIN) -> Model:
         q = share[zero].mean(axis=0) if zero.any() else np.zeros(BUCKETS)
         weights[:, b] = np.log((p + 1e-6) / (q + 1e-6))
     model = Model(languages, codes, weights, 4.0, margin)
-    shares = [lettered(data, offsets) for _, _, data, offsets in text_chunks(pa.array([t for t, _ in rows], pa.string()))]
-    model.floor = FLOOR * float(np.quantile(np.concatenate(shares), 0.01)) if shares else 0.0
+    if shares.any():
+        up_to, at = np.cumsum(shares), 0.01 * (shares.sum() - 1)
+        low, high = np.searchsorted(up_to, [np.floor(at), np.ceil(at)], side="right") / (BUCKETS - 1)
+        model.floor = FLOOR * float(low + (high - low) * (at - np.floor(at)))
     return model
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """About ``rows`` labelled texts of each language, chosen by a hash of the id; all where there are fewer."""
-    named = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = named.where("text is not null and lang is not null").where(F.length("text") <= chars).where(F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.join(F.broadcast(counts), "lang").where(share * F.col("_n") < rows)  # one row per language
-    return [(r.text, r.lang) for r in drawn.select("text", "lang").collect()]
-
-
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, margin: float = MARGIN) -> Model | None:
-    """A model from labelled ``docs`` (``doc_id``, ``text``, ``lang``); none if no row is labelled."""
-    chosen = sample(docs, rows)
-    return fit(chosen, margin) if chosen else None
+def fit(rows: list[tuple[str, str]], margin: float = MARGIN) -> Model:
+    """A model from ``(text, language)`` rows."""
+    hits, shares = {}, np.zeros(BUCKETS, np.int64)
+    for lang in {lang for _, lang in rows}:
+        hits[lang], of_lang = counted(pa.array([t for t, x in rows if x == lang], pa.string()))
+        shares += of_lang
+    return fitted(hits, shares, margin)
+
+
+def _tallies(named: DataFrame) -> DataFrame:
+    """Counts of all ``text`` by ``lang``, in blocks of buckets and as int64; those of the shares of letters have no ``lang``."""
+    def cut(counts: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, all_counts in counts.items():
+            blocks = all_counts.reshape(-1, BLOCK)
+            some = np.flatnonzero(blocks.any(axis=1))
+            if not len(some) and lang is not None:
+                some = np.zeros(1, np.int64)  # a language is known even if its texts have no n-gram
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())],
+                ["lang", "block", "counts"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, all_shares = {}, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            texts, langs = batch.column(0), batch.column(1)
+            for lang in langs.unique():
+                hits, shares = counted(texts.filter(pc.equal(langs, lang)))
+                name = lang.as_py()
+                held[name] = held[name] + hits if name in held else hits
+                all_shares += shares
+                if len(held) >= HELD:
+                    yield from cut(held)
+                    held = {}
+        yield from cut({**held, None: all_shares})
+
+    def summed(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for counts in rows["counts"]:
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+        return pa.table({"lang": rows["lang"].slice(0, 1), "block": rows["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return named.select("text", "lang").mapInArrow(tally, TALLIES).groupBy("lang", "block").applyInArrow(summed, TALLIES)
+
+
+def train(docs: DataFrame, margin: float = MARGIN) -> Model | None:
+    """A model from all labelled ``docs`` (``text``, ``lang``), whole texts; none if no row is labelled.
+
+    Each task counts its texts; the driver gets the sums, 512 KB a language.
+    """
+    named = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = named.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    hits, shares = {}, np.zeros(BUCKETS, np.int64)
+    for r in _tallies(usable).collect():
+        of = shares if r.lang is None else hits.setdefault(r.lang, np.zeros(BUCKETS, np.int64))
+        of[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
+    return fitted(hits, shares, margin) if hits else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -328,3 +328,26 @@ def test_bins_of_many_items_give_back_pairs():
         bins.items, bins.free, bins.order = [[0], list(range(1, 31))], [84, 1], [(1, 1), (84, 0)]
         assert getattr(bins, improve)(0, *([[1]] if improve == "_improve" else []))
         assert bins.free == [85, 0] and sorted(map(len, bins.items)) == [2, 29]
+
+
+def test_language_is_learned_from_all_labelled_texts(spark):
+    """The classifiers used to see some 400 texts of a language, and none of more than 20,000 characters."""
+    rng = np.random.default_rng(5)
+    rows = [("".join(rng.choice(list("abc de"), 30)), "x") for _ in range(900)] + [("".join(rng.choice(list("fgh ij"), 40)), "y") for _ in range(20)]
+    rows += [("zett " * 5000, "long"), ("!!", "x"), (None, "x"), ("kkk", None)]
+    docs = spark.createDataFrame([(k % 7, *row) for k, row in enumerate(rows)], "doc_id long, text string, lang string")
+    model, want = langid.train(docs), langid.fit([r for r in rows[:-3]])
+    assert model.languages == ["long", "x", "y"] and (model.weights == want.weights).all() and model.floor == want.floor
+
+
+def test_floor_is_a_quantile_of_all_texts():
+    texts = ["a" * k + "!" * (500 - k) for k in range(1, 500)]
+    model = langid.fit([(t, "x") for t in texts])
+    assert abs(model.floor - langid.FLOOR * np.quantile([k / 500 for k in range(1, 500)], 0.01)) < 1e-5
+
+
+def test_counts_of_many_languages_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 2)
+    rows = [(f"{chr(97 + k % 5) * 9} w{k}", f"l{k % 5}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert (langid.train(docs).weights == langid.fit(rows).weights).all()
