@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from codelattice.operators import masking as M
 from codelattice.operators import report
 from codelattice.operators import sessions as Z
 from codelattice.operators import text_units as U
+from codelattice.plans import texts
 from codelattice.plans.views import Tables
 from tests.conftest import rows
 
@@ -294,3 +296,41 @@ def test_words_tried_once_find_the_same_calls(spark):
         df = spark.createDataFrame([(code,)], "code string")
         found.append(df.select(*[F.regexp_extract_all("code", F.lit(p), F.lit(0)) for p in (rules.CALL, rules.FAST_CALL)]).first())
     assert all(slow == fast and slow for slow, fast in found)
+
+
+def test_constructors_parameters_are_split(frame):
+    """Constructors used to be given one fixed parameter list, and a semicolon in a type became a bar."""
+    java = "class A {\n  A(int x, Map<K, V> m) {\n  }\n  A() {\n  }\n  void f(int a, int b) {\n  }\n}\n"
+    python = "class B:\n    def __init__(self, k=(1, 2)):\n        pass\n"
+    script = "function g(o: { a: string; b: number }, p) {\n}\n"
+
+    class T:
+        def wide(self, name):
+            if name == "documents":
+                return frame("doc_id long, text string", [(7, "x, (y), z")])
+            return frame(FILES, [("A.java", "java", java), ("b.py", "python", python), ("g.ts", "typescript", script)])
+
+    got = rows(texts.split_params(T()), "file_path", "start_line", "parts")
+    assert got == [("A.java", 2, "int x|Map<K, V> m"), ("A.java", 4, ""), ("A.java", 6, "int a|int b"), ("b.py", 2, "self|k=(1, 2)"), ("doc7", 0, "x|y|z"), ("g.ts", 1, "o: { a: string; b: number }|p")]
+
+
+def test_symbols_of_some_kinds(frame):
+    java = "class A {\n  int n, m = 1;\n  A(int x, Map<K, V> m) {\n    n = x;\n  }\n  void f() {\n  }\n}\n"
+    files = frame(FILES, [("A.java", "java", java), ("b.py", "python", "class B:\n  def __init__(self, k: int):\n    self.k = k\n")])
+    some = U.symbol_table(files, kinds=("constructor", "field"), params=True)
+    assert rows(some, "name", "params") == [("A.<init>(int,Map<K,V>)", ["int x", "Map<K, V> m"]), ("A.m", []), ("A.n", []), ("B.<init>(int)", ["self", "k: int"])]
+    whole = U.symbol_table(files)
+    assert rows(whole.where("kind in ('constructor', 'field')"), *whole.columns) == rows(some, *whole.columns)
+
+
+def test_tokens_and_lines_equal_plain_versions(frame):
+    odd = ["", " ", "\n", " a \n\n\tb  c\u00a0\n", "\u2003x\r\n\x0by\u0085", "no break", "\n\n", "a\n \u3000\nb\n", 'f("a b", \'c\') + "x\\"y" "open\n  z_1 é', "  // c\n g /* d */ h", "\u00a0a"]
+    space = "[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    df = frame("k int, t string", list(enumerate([*odd, None])))
+    got = {r.k: (r.n, r.h) for r in df.select("k", text.normalise_whitespace(F.col("t")).alias("n"), text.body_hash(F.col("t"), "java").alias("h")).collect()}
+    assert got.pop(len(odd)) == (None, hashlib.sha256(b"").hexdigest())
+    for k, t in enumerate(odd):
+        kept = [s for s in (re.sub(f"^{space}+|{space}+\\Z", "", s) for s in t.split("\n")) if s]
+        code = re.sub(r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/", " ", t)
+        tokens = re.findall(r"\"(?:[^\"\\\n]|\\.)*\"|\w+|[^\w\s]", code, re.ASCII)
+        assert got[k] == ("\n".join(kept), hashlib.sha256(" ".join(tokens).encode()).hexdigest()), t
