@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelattice.plans.registry import oracle_view, query
-from codelattice.session import stored
+from codelattice.session import shuffles_removed, stored
 from codelattice.sources import versioned
 from codelattice.streaming import feeds as S
 from codelattice.streaming import stateful
@@ -277,7 +277,8 @@ def incremental_index_chain(t):
     sites = t.fx_code_sites.groupBy("caller_id").agg(F.collect_list(F.struct("callee_file", F.col("callee_line").cast("int").alias("callee_line"), F.col("line").cast("int").alias("line"))).alias("sites"))
     saves = t.fx_code_saves.join(sites, F.col("id") == F.col("caller_id"), "left").select(
         "batch", "file_path", F.concat(F.lit("h"), F.col("save").cast("string")).alias("file_hash"), "id", "kind", "body_hash", "line", "end_line", F.col("seq").cast("bigint").alias("seq"), "sites")
-    saves = stored(saves)  # each batch would put all sites together anew
+    with shuffles_removed(t.spark):
+        saves = stored(saves)  # each batch would put all sites together anew
     for batch in (1, 2, 3):
         saves.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{root}/feed")
         feed = t.spark.readStream.schema(saves.drop("batch").schema).parquet(f"{root}/feed")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from codelattice.session import shuffles_removed
+
 COMMIT = "version bigint, source string, name string, bucket int, fields string"
 BUCKETS = 64
 
@@ -53,8 +55,9 @@ def save_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], so
     left under the number is written over, and a number that was committed meanwhile is refused.
     """
     number = latest_version(spark, root) + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/version={number}/{name}")
+    with shuffles_removed(spark):
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{root}/version={number}/{name}")
     if latest_version(spark, root) >= number:
         raise RuntimeError(f"version {number} of {root} was committed by another writer")
     commit = spark.range(1).select(F.lit(number).cast("bigint").alias("version"), F.lit(source).alias("source"))
@@ -74,14 +77,15 @@ def save_buckets(
     Without ``touched`` all buckets are written. One writer at a time, as in :func:`save_tables`.
     """
     number, rows = latest_version(spark, root) + 1, []
-    for name, (df, key) in tables.items():
-        which = list(range(buckets))
-        if touched is not None:
-            which = [r[0] for r in touched[name].select(bucket_of(key, buckets)).distinct().collect()]  # at most one row for each bucket
-        if which:
-            part = df.withColumn("bucket", bucket_of(key, buckets)).where(F.col("bucket").isin(which))
-            part.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={number}/{name}")
-            rows += [(number, source, name, b, df.schema.json()) for b in which]
+    with shuffles_removed(spark):  # a save shuffles its tables several times over
+        for name, (df, key) in tables.items():
+            which = list(range(buckets))
+            if touched is not None:
+                which = [r[0] for r in touched[name].select(bucket_of(key, buckets)).distinct().collect()]  # at most one row for each bucket
+            if which:
+                part = df.withColumn("bucket", bucket_of(key, buckets)).where(F.col("bucket").isin(which))
+                part.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={number}/{name}")
+                rows += [(number, source, name, b, df.schema.json()) for b in which]
     if latest_version(spark, root) >= number:
         raise RuntimeError(f"version {number} of {root} was committed by another writer")
     rows = rows or [(number, source, None, None, None)]

@@ -1,3 +1,6 @@
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from codelattice import session
@@ -148,3 +151,20 @@ def test_units_of_one_save_may_lie_in_many_files(spark, tmp_path):
     calls = lambda changed: changed.selectExpr("id AS caller_id", "'x' AS callee_id", "'direct' AS call_type", "'g' AS file_path", "1 AS line")
     S.incremental_index(S.table_stream(spark, str(tmp_path), "units"), root, calls, f"{tmp_path}/state")
     assert rows(versioned.load_tables(spark, root, ["symbols"])["symbols"], "id") == sorted((f"u{k}",) for k in range(40))
+
+
+def test_a_save_leaves_no_shuffle_files(spark, tmp_path):
+    """Shuffles of each save used to stay on disk until the driver collected its plan."""
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for folder in folders for _, _, found in os.walk(folder) for f in found if f.startswith("shuffle_")}
+
+    before, rows_ = shuffles(), spark.range(20000).selectExpr("id", "id % 97 AS k")
+    joined = rows_.hint("merge").join(rows_.groupBy("k").count(), "k")
+    versioned.save_buckets(spark, str(tmp_path), {"t": (joined, "id")}, buckets=4)
+    versioned.save_tables(spark, f"{tmp_path}/whole", {"t": joined})
+    end = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and versioned.load_buckets(spark, str(tmp_path), ["t"])["t"].count() == 20000
